@@ -257,19 +257,14 @@ def class_tallies(rows: DataFrame, class_ids: Sequence[int], keys: Sequence[str]
     Works on pixel rows or on counts (column ``n``). All sums come from one
     aggregation, so pixels are combined before they are shuffled.
     """
-    weight = F.col("n") if "n" in rows.columns else F.lit(1)
-
-    def total(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, weight)), F.lit(0)).cast("bigint")
-
-    sums = [F.coalesce(F.sum(weight), F.lit(0)).cast("bigint").alias("total")]
-    sums.append(total(~is_class(F.col("pred"), class_ids)).alias("unknown"))
+    n = "n" if "n" in rows.columns else "1"
+    classes = ", ".join(str(int(c)) for c in class_ids)
+    tests = {"total": "true", "unknown": f"pred not in ({classes})"}
     for c in class_ids:
-        sums.append(total(F.col("ref") == c).alias(f"sup_{c}"))
-        sums.append(total(F.col("pred") == c).alias(f"out_{c}"))
-        sums.append(total((F.col("ref") == c) & (F.col("pred") == c)).alias(f"hit_{c}"))
+        tests |= {f"sup_{c}": f"ref = {c}", f"out_{c}": f"pred = {c}", f"hit_{c}": f"ref = {c} and pred = {c}"}
     if "valid" in rows.columns:
-        sums.append(total(F.col("valid")).alias("valid_pixels"))
+        tests["valid_pixels"] = "valid"
+    sums = [F.expr(f"cast(coalesce(sum(if({test}, {n}, 0)), 0) as bigint)").alias(name) for name, test in tests.items()]
     return rows.groupBy(*keys).agg(*sums)
 
 
@@ -277,33 +272,37 @@ def tally_columns(class_ids: Sequence[int]) -> list[str]:
     return ["total", "unknown", *[f"{p}_{c}" for c in class_ids for p in ("sup", "out", "hit")]]
 
 
-def _mean_of(values: Sequence[Column]) -> Column:
-    known = reduce(lambda a, b: a + b, [F.when(v.isNotNull(), 1).otherwise(0) for v in values])
-    total = reduce(lambda a, b: a + b, [F.coalesce(v, F.lit(0.0)) for v in values])
-    return ratio(total, known)
+def _mean_of(values: Sequence[str]) -> str:
+    known = " + ".join(f"if({v} is null, 0, 1)" for v in values)
+    return f"try_divide({' + '.join(f'coalesce({v}, 0D)' for v in values)}, {known})"
+
 
+def _iou(c: int) -> str:
+    return f"try_divide(hit_{c}, sup_{c} + out_{c} - hit_{c})"
 
-def _iou(c: int) -> Column:
-    union = F.col(f"sup_{c}") + F.col(f"out_{c}") - F.col(f"hit_{c}")
-    return ratio(F.col(f"hit_{c}"), union)
+
+def _recall(c: int) -> str:
+    return f"try_divide(hit_{c}, sup_{c})"
+
+
+def _accuracy(class_ids: Sequence[int]) -> str:
+    return f"try_divide({' + '.join(f'hit_{c}' for c in class_ids)}, total)"
 
 
 def scalar_metrics(tallies: DataFrame, class_ids: Sequence[int], keys: Sequence[str] = ()) -> DataFrame:
     """Accuracy, balanced accuracy, macro-IoU over classes with support, coverage."""
-    hits = reduce(lambda a, b: a + b, [F.col(f"hit_{c}") for c in class_ids])
-    supported = [F.when(F.col(f"sup_{c}") > 0, _iou(c)) for c in class_ids]
-    recalls = [ratio(F.col(f"hit_{c}"), F.col(f"sup_{c}")) for c in class_ids]
+    supported = [f"if(sup_{c} > 0, {_iou(c)}, null)" for c in class_ids]
     columns = [
         *keys,
-        F.col("total").alias("reference_pixels"),
-        ratio(hits, F.col("total")).alias("pixel_accuracy"),
-        _mean_of(recalls).alias("balanced_accuracy"),
-        _mean_of(supported).alias("macro_iou"),
-        (1.0 - ratio(F.col("unknown"), F.col("total"))).alias("prediction_coverage"),
+        "total as reference_pixels",
+        f"{_accuracy(class_ids)} as pixel_accuracy",
+        f"{_mean_of([_recall(c) for c in class_ids])} as balanced_accuracy",
+        f"{_mean_of(supported)} as macro_iou",
+        "1D - try_divide(unknown, total) as prediction_coverage",
     ]
     if "valid_pixels" in tallies.columns:
-        columns.append(ratio(F.col("valid_pixels"), F.col("total")).alias("stage_valid_coverage"))
-    return tallies.select(*columns)
+        columns.append("try_divide(valid_pixels, total) as stage_valid_coverage")
+    return tallies.selectExpr(*columns)
 
 
 def class_report(
@@ -317,18 +316,11 @@ def class_report(
 
     IoU needs reference support; with ``union_rule`` any non-empty union counts.
     """
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(int(c)).alias("class_id"),
-                F.col(f"sup_{c}").alias("reference_pixels"),
-                F.col(f"out_{c}").alias("predicted_pixels"),
-                F.col(f"hit_{c}").alias("true_positive"),
-            )
-            for c in class_ids
-        ]
+    entries = ", ".join(
+        f"struct({int(c)} as class_id, sup_{c} as reference_pixels, out_{c} as predicted_pixels, hit_{c} as true_positive)"
+        for c in class_ids
     )
-    rows = tallies.select(*keys, F.inline(entries))
+    rows = tallies.selectExpr(*keys, f"inline(array({entries}))")
     tp, support, out = F.col("true_positive"), F.col("reference_pixels"), F.col("predicted_pixels")
     iou = ratio(tp, support + out - tp)
     report = rows.select(
@@ -348,20 +340,16 @@ def metric_report_alpha(
     tallies: DataFrame, class_ids: Sequence[int], known_before_alpha: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
     """Alpha-domain metrics: IoU counts whenever the union is non-empty."""
-    hits = reduce(lambda a, b: a + b, [F.col(f"hit_{c}") for c in class_ids])
-    weighted = reduce(
-        lambda a, b: a + b, [F.col(f"sup_{c}") * F.coalesce(_iou(c), F.lit(0.0)) for c in class_ids]
-    )
-    recalls = [ratio(F.col(f"hit_{c}"), F.col(f"sup_{c}")) for c in class_ids]
-    return tallies.join(known_before_alpha, list(keys), "left").select(
+    weighted = " + ".join(f"sup_{c} * coalesce({_iou(c)}, 0D)" for c in class_ids)
+    return tallies.join(known_before_alpha, list(keys), "left").selectExpr(
         *keys,
-        F.col("total").alias("reference_pixels"),
-        F.col("known_before_alpha"),
-        ratio(F.col("total"), F.col("known_before_alpha")).alias("alpha_valid_coverage"),
-        ratio(hits, F.col("total")).alias("pixel_accuracy"),
-        _mean_of(recalls).alias("balanced_accuracy"),
-        _mean_of([_iou(c) for c in class_ids]).alias("macro_iou"),
-        ratio(weighted, F.col("total")).alias("frequency_weighted_iou"),
+        "total as reference_pixels",
+        "known_before_alpha",
+        "try_divide(total, known_before_alpha) as alpha_valid_coverage",
+        f"{_accuracy(class_ids)} as pixel_accuracy",
+        f"{_mean_of([_recall(c) for c in class_ids])} as balanced_accuracy",
+        f"{_mean_of([_iou(c) for c in class_ids])} as macro_iou",
+        f"try_divide({weighted}, total) as frequency_weighted_iou",
     )
 
 
@@ -373,18 +361,12 @@ def average_precision(
     Pixels collapse to distinct (class, score) rows first, scores held as FLOAT.
     The running sums then go bucket by bucket of the score range.
     """
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(int(c)).alias("class_id"),
-                F.get(F.col(scores), F.lit(i)).cast("float").alias("score"),
-                (F.col("ref") == c).cast("bigint").alias("hit"),
-            )
-            for i, c in enumerate(class_ids)
-        ]
+    entries = ", ".join(
+        f"struct({int(c)} as class_id, cast(get({scores}, {i}) as float) as score, if(ref = {int(c)}, 1L, 0L) as hit)"
+        for i, c in enumerate(class_ids)
     )
     by_score = (
-        pixels.select(*keys, F.inline(entries))
+        pixels.selectExpr(*keys, f"inline(array({entries}))")
         .groupBy(*keys, "class_id", "score")
         .agg(F.sum("hit").alias("pos"), F.count(F.lit(1)).alias("seen"))
         .withColumn("_bucket", F.floor(F.col("score") * SCORE_BUCKETS))
@@ -477,12 +459,11 @@ def calibrate_unknown(
     )
     keys = ["score_threshold", "margin_threshold"]
     tallies = class_tallies(spread, class_ids, keys)
-    hits = reduce(lambda a, b: a + b, [F.col(f"hit_{c}") for c in class_ids])
-    return tallies.select(
+    return tallies.selectExpr(
         *keys,
-        _mean_of([_iou(c) for c in class_ids]).alias("train_macro_iou"),
-        ratio(hits, F.col("total")).alias("train_pixel_accuracy"),
-        (1.0 - ratio(F.col("unknown"), F.col("total"))).alias("known_prediction_coverage"),
+        f"{_mean_of([_iou(c) for c in class_ids])} as train_macro_iou",
+        f"{_accuracy(class_ids)} as train_pixel_accuracy",
+        "1D - try_divide(unknown, total) as known_prediction_coverage",
     )
 
 

@@ -7,16 +7,18 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrascope.functions.rigid import slerp
+from terrascope.functions.rigid import POSE, with_slerp
 from terrascope.operators.ordered import bracket_in_time, with_positions
 
-POSE = ("qw", "qx", "qy", "qz", "tx", "ty", "tz")
-
 
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def lerp(first: Sequence[str], second: Sequence[str], amount: str) -> list[str]:
+    return [f"({a} * (1D - {amount}) + {b} * {amount})" for a, b in zip(first, second)]
+
+
 # --- temporal alignment -----------------------------------------------------------
 
 def nearest_scan(frames: DataFrame, scans: DataFrame, tolerance_s: float, bucket_s: float = 3600.0) -> DataFrame:
@@ -69,16 +71,19 @@ def pose_interpolation(asked: DataFrame, poses: DataFrame, bucket_s: float = 360
     events = poses.select(micros(F.col("ts")).alias("us"), pose.alias("low"), pose.alias("high"))
     wanted = asked.select(micros(F.col("ts")).alias("us"), "ask_id")
     bracket = bracket_in_time(wanted.select("us").distinct(), events, int(bucket_s * 1e6))
-    amount = (F.col("us") - F.col("before.us")) / (F.col("after.us") - F.col("before.us"))
-    first = [F.col(f"before.payload.{n}") for n in POSE]
-    second = [F.col(f"after.payload.{n}") for n in POSE]
-    turned = slerp(first[:4], second[:4], amount)
-    moved = [a * (1.0 - amount) + b * amount for a, b in zip(first[4:], second[4:])]
-    resolved = [
-        F.when(F.col("before").isNull(), b).when(F.col("after").isNull(), a).otherwise(mixed).alias(name)
-        for name, a, b, mixed in zip(POSE, first, second, [*turned, *moved])
-    ]
-    return wanted.join(bracket.select("us", *resolved), "us").drop("us")
+    amount = "(us - before.us) / (after.us - before.us)"
+    first = [f"before.payload.{n}" for n in POSE]
+    second = [f"after.payload.{n}" for n in POSE]
+    turned = with_slerp(bracket, first[:4], second[:4], amount)
+    mixed = [*[f"_s{i}" for i in range(4)], *lerp(first[4:], second[4:], f"({amount})")]
+    resolved = turned.selectExpr(
+        "us",
+        *[
+            f"case when before is null then {b} when after is null then {a} else {m} end as {name}"
+            for name, a, b, m in zip(POSE, first, second, mixed)
+        ],
+    )
+    return wanted.join(resolved, "us").drop("us")
 
 
 # --- keyframes and splits ------------------------------------------------------------
@@ -263,22 +268,19 @@ def trajectory_resample(poses: DataFrame, frames_out: int) -> DataFrame:
         (F.col("position") - 1).alias("position"), *[F.col(n).alias(f"r_{n}") for n in POSE]
     )
     joined = placed.join(right, "position", "left")
-    amount = F.col("_at") - F.col("position")
-    still = F.col("r_qw").isNull() | (amount < 1e-6)
-    first_pose, second_pose = [F.col(n) for n in POSE], [F.col(f"r_{n}") for n in POSE]
-    turned = slerp(first_pose[:4], second_pose[:4], amount)
-    moved = [a * (1.0 - amount) + b * amount for a, b in zip(first_pose[4:], second_pose[4:])]
-    return joined.select(
-        F.col("out_index").cast("int"),
+    amount = "(_at - position)"
+    after = [f"r_{n}" for n in POSE]
+    turned = with_slerp(joined, POSE[:4], after[:4], amount)
+    mixed = [*[f"_s{i}" for i in range(4)], *lerp(POSE[4:], after[4:], amount)]
+    return turned.selectExpr(
+        "cast(out_index as int) as out_index",
         *[
-            F.when(still, a).otherwise(mixed).alias(name)
-            for name, a, mixed in zip(POSE, first_pose, [*turned, *moved])
+            f"case when r_qw is null or {amount} < 1e-6D then {a} else {m} end as {a}"
+            for a, m in zip(POSE, mixed)
         ],
     )
 
 
-
-
 def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     absent = [n for n in names if n not in df.columns]
     if absent:

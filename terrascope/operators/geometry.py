@@ -10,16 +10,20 @@ from pyspark.sql import functions as F
 
 from terrascope.functions.numeric import clip, count_when, finite, ratio
 from terrascope.functions.rigid import (
+    POSE,
     Intrinsics,
+    columns,
     pose_matrix,
     pose_translation,
     rotate,
     to_camera,
     to_world,
+    with_rotation,
 )
 from terrascope.operators.ordered import with_positions
 
 XYZ = ("x", "y", "z")
+CAMERA = ("xc", "yc", "zc")
 PIXEL = ["frame_index", "u", "v"]
 
 
@@ -35,10 +39,10 @@ ROUNDING = {"half_away": round_half_away, "half_even": F.rint, "floor": F.floor}
 def world_to_camera(points: DataFrame, poses: DataFrame) -> DataFrame:
     """Add camera coordinates xc, yc, zc from the pose of the point's frame."""
     joined = points.where(finite(*[F.col(c) for c in XYZ])).join(
-        poses.select("frame_index", "qw", "qx", "qy", "qz", "tx", "ty", "tz"), "frame_index"
+        with_rotation(poses.select("frame_index", *POSE)), "frame_index"
     )
-    camera = to_camera(pose_matrix(), pose_translation(), [F.col(c) for c in XYZ])
-    return joined.select(*points.columns, *[c.alias(n) for c, n in zip(camera, ("xc", "yc", "zc"))])
+    camera = to_camera(pose_matrix(), pose_translation(), XYZ)
+    return joined.select(*points.columns, *columns(camera, CAMERA))
 
 
 def pinhole(cam: DataFrame, k: Intrinsics, rounding: str = "half_away", depth_gate: bool = True) -> DataFrame:
@@ -98,21 +102,20 @@ def label_projection(
     Scan points pass the sensor extrinsic and the scan pose into the world, then the
     frame pose into the image; half-even pixels, nearest depth, label + 1.
     """
-    r_cl = [[F.lit(float(x)) for x in row] for row in rotation]
-    t_cl = [F.lit(float(x)) for x in translation]
-    names = ("qw", "qx", "qy", "qz", "tx", "ty", "tz")
-    scans = scan_poses.select("scan_id", *[F.col(n).alias(f"s_{n}") for n in names])
+    r_cl = [[f"({float(x)!r}D)" for x in row] for row in rotation]
+    t_cl = [f"({float(x)!r}D)" for x in translation]
+    scans = with_rotation(scan_poses.select("scan_id", *[F.col(n).alias(f"s_{n}") for n in POSE]), "s_")
     views = (
         matches.where(F.col("scan_id") >= 0)
         .select("frame_index", "scan_id")
-        .join(frame_poses.select("frame_index", *names), "frame_index")
+        .join(with_rotation(frame_poses.select("frame_index", *POSE)), "frame_index")
         .join(scans, "scan_id")
     )
-    sensor = [a + b for a, b in zip(rotate(r_cl, [F.col(c) for c in XYZ]), t_cl)]
+    sensor = [f"({a} + {b})" for a, b in zip(rotate(r_cl, XYZ), t_cl)]
     world = to_world(pose_matrix("s_"), pose_translation("s_"), sensor)
     cam = to_camera(pose_matrix(), pose_translation(), world)
     placed = scan_points.join(views, "scan_id").select(
-        "frame_index", "point_idx", "label", *[c.alias(n) for c, n in zip(cam, ("xc", "yc", "zc"))]
+        "frame_index", "point_idx", "label", *columns(cam, CAMERA)
     )
     nearest = nearest_z_pixel(pinhole(placed, k, "half_even"), ["label"], float32_depth=False)
     return nearest.select(
@@ -185,13 +188,13 @@ def temporal_support(
         *[F.floor(F.col(c) / F.lit(distance)).cast("bigint").alias(f"_c{c}") for c in XYZ],
     )
     cells = ["frame_index", "_fx", "_fy", "_fz"]
-    bit = lambda k: F.shiftleft(F.lit(1).cast("bigint"), (k + radius).cast("int"))
+    bit = lambda k: F.expr(f"shiftleft(1L, cast({k} + {radius} as int))")
 
     occupied = celled.select(*cells).distinct()
     # A cell occupied in frame g supports the same cell of frame g - k at offset k.
     settled = (
         occupied.select("*", F.explode(F.array(*[F.lit(k) for k in offsets])).alias("_k"))
-        .select((F.col("frame_index") - F.col("_k")).alias("frame_index"), *cells[1:], bit(F.col("_k")).alias("_bit"))
+        .select((F.col("frame_index") - F.col("_k")).alias("frame_index"), *cells[1:], bit("_k").alias("_bit"))
         .groupBy(*cells)
         .agg(F.bit_or("_bit").alias("_near"))
     )
@@ -205,20 +208,13 @@ def temporal_support(
         .join(F.broadcast(span), "_one")
         .drop("_one")
     )
-    possible = sum(
-        (
-            F.when((F.col("frame_index") + k).between(F.col("_lo"), F.col("_hi")), F.lit(1 << (k + radius)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-            for k in offsets
-        ),
-        F.lit(0).cast("bigint"),
-    )
-    around = F.array(
-        *[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"))
-            for a in (-1, 0, 1)
-            for b in (-1, 0, 1)
-            for c in (-1, 0, 1)
-        ]
+    possible = F.expr(
+        " + ".join(f"if(frame_index + {k} between _lo and _hi, {1 << (k + radius)}L, 0L)" for k in offsets)
+    )
+    around = F.expr(
+        "array(" + ", ".join(
+            f"struct({a} as a, {b} as b, {c} as c)" for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)
+        ) + ")"
     )
     frame_block = lambda f: F.floor(f / F.lit(float(block))).cast("bigint")
     probe = (
@@ -241,13 +237,12 @@ def temporal_support(
         frame_block(F.col("frame_index")).alias("_block"), "_cx", "_cy", "_cz",
         F.col("frame_index").alias("_g"), *[F.col(c).alias(f"_o{c}") for c in XYZ],
     ).distinct()
-    gap = F.col("_g") - F.col("frame_index")
-    square = sum(((F.col(c) - F.col(f"_o{c}")) * (F.col(c) - F.col(f"_o{c}")) for c in XYZ), F.lit(0.0))
+    gap = "(_g - frame_index)"
+    square = F.expr(" + ".join(f"({c} - _o{c}) * ({c} - _o{c})" for c in XYZ))
     found = (
         probe.join(others, ["_block", "_cx", "_cy", "_cz"])
         .where(
-            gap.between(-radius, radius)
-            & (gap != 0)
+            F.expr(f"{gap} between {-radius} and {radius} and {gap} <> 0")
             & (F.col("_near").bitwiseAND(bit(gap)) == 0)
             & (square <= distance * distance)
         )
@@ -304,22 +299,20 @@ def temporal_filter_stats(supported: DataFrame, raw: DataFrame) -> DataFrame:
 
 # --- masks and depth fusion ---------------------------------------------------------------
 
-def disk_offsets(radius: int) -> list[tuple[int, int]]:
+def disk_offsets(radius: float) -> list[tuple[int, int]]:
+    reach = int(math.floor(radius))
     return [
         (du, dv)
-        for dv in range(-radius, radius + 1)
-        for du in range(-radius, radius + 1)
+        for dv in range(-reach, reach + 1)
+        for du in range(-reach, reach + 1)
         if du * du + dv * dv <= radius * radius
     ]
 
 
 def spread(pixels: DataFrame, offsets: Sequence[tuple[int, int]], width: int, height: int) -> DataFrame:
     """Copy each row to (u + du, v + dv) inside the image, with the squared offset."""
-    moves = F.array(
-        *[
-            F.struct(F.lit(du).alias("_du"), F.lit(dv).alias("_dv"), F.lit(du * du + dv * dv).alias("offset2"))
-            for du, dv in offsets
-        ]
+    moves = F.expr(
+        "array(" + ", ".join(f"struct({du} as _du, {dv} as _dv, {du * du + dv * dv} as offset2)" for du, dv in offsets) + ")"
     )
     rest = [c for c in pixels.columns if c not in ("u", "v")]
     return (
@@ -470,13 +463,12 @@ def depth_edge_mask(depths: DataFrame, width: int, height: int, limit: float = 0
 
 def backproject(pixels: DataFrame, poses: DataFrame, k: Intrinsics, depth: str = "predicted") -> DataFrame:
     """World position of pixels with depth in (0, max_depth]."""
-    d = F.col(depth)
-    ray = [(F.col("u") - k.cx) * d / k.fx, (F.col("v") - k.cy) * d / k.fy, d]
-    joined = pixels.where((d > 0) & (d <= k.max_depth)).join(
-        poses.select("frame_index", "qw", "qx", "qy", "qz", "tx", "ty", "tz"), "frame_index"
+    ray = [f"((u - {k.cx}D) * {depth} / {k.fx}D)", f"((v - {k.cy}D) * {depth} / {k.fy}D)", depth]
+    joined = pixels.where(f"{depth} > 0 and {depth} <= {k.max_depth}D").join(
+        with_rotation(poses.select("frame_index", *POSE)), "frame_index"
     )
     world = to_world(pose_matrix(), pose_translation(), ray)
-    return joined.select(*pixels.columns, *[c.alias(n) for c, n in zip(world, XYZ)])
+    return joined.select(*pixels.columns, *columns(world, XYZ))
 
 
 def lidar_proximity(candidates: DataFrame, depths: DataFrame, radius: float, k: Intrinsics) -> DataFrame:
@@ -484,8 +476,7 @@ def lidar_proximity(candidates: DataFrame, depths: DataFrame, radius: float, k:
 
     Candidates look at a fixed disk of pixels, an equality join each.
     """
-    reach = int(math.floor(radius))
-    looked = spread(candidates.select(*PIXEL, F.col("u").alias("_u"), F.col("v").alias("_v")), disk_offsets(reach), k.width, k.height)
+    looked = spread(candidates.select(*PIXEL, F.col("u").alias("_u"), F.col("v").alias("_v")), disk_offsets(radius), k.width, k.height)
     near = (
         looked.join(depths.where(F.col("measured") > 0).select(*PIXEL), PIXEL)
         .groupBy("frame_index", F.col("_u").alias("u"), F.col("_v").alias("v"))
@@ -538,12 +529,12 @@ def depth_support_count(
     own = candidates.select(
         "candidate_id", F.col("frame_index").alias("view"), "u", "v", F.col("predicted").alias("expected")
     )
-    views = poses.select(F.col("frame_index").alias("view"), "qw", "qx", "qy", "qz", "tx", "ty", "tz")
+    views = with_rotation(poses.select(F.col("frame_index").alias("view"), *POSE))
     moved = candidates.join(ring.select("frame_index", F.col("support_frame").alias("view")), "frame_index").join(
         views, "view"
     )
-    cam = to_camera(pose_matrix(), pose_translation(), [F.col(c) for c in XYZ])
-    placed = moved.select("candidate_id", "view", *[c.alias(n) for c, n in zip(cam, ("xc", "yc", "zc"))])
+    cam = to_camera(pose_matrix(), pose_translation(), XYZ)
+    placed = moved.select("candidate_id", "view", *columns(cam, CAMERA))
     earlier = pinhole(placed, k).select("candidate_id", "view", "u", "v", F.col("zc").alias("expected"))
     looked = spread(own, disk_offsets(current_radius), k.width, k.height).unionByName(
         spread(earlier, disk_offsets(radius), k.width, k.height)
@@ -599,10 +590,15 @@ def hole_insertion(
     """
     usable = cam.where(F.col("zc") > 0) if strict else cam
     depth = F.col("zc").cast("float")
-    to_int = lambda f, c, x: F.floor((F.col(x).cast("float") * F.lit(f).cast("float") / depth + F.lit(c).cast("float")).cast("double"))
+
+    def pixel(f: float, c: float, x: str) -> Column:
+        # FLOAT arithmetic throughout; division yields DOUBLE and is rounded back.
+        ray = f"cast(cast({x} as float) * cast({f} as float) / cast(zc as float) as float)"
+        return F.expr(f"cast(floor(cast({ray} + cast({c} as float) as double)) as bigint)")
+
     pixelled = usable.where(depth != 0).select(
         "frame_index", "point_idx", "own_depth", *carry, depth.alias("_d"),
-        to_int(k.fx, k.cx, "xc").cast("bigint").alias("u"), to_int(k.fy, k.cy, "yc").cast("bigint").alias("v"),
+        pixel(k.fx, k.cx, "xc").alias("u"), pixel(k.fy, k.cy, "yc").alias("v"),
     )
     best = F.min_by(F.struct("_d", "point_idx", "own_depth", *carry), F.struct("_d", "point_idx"))
     nearest = pixelled.groupBy(*PIXEL).agg(best.alias("_b")).select(*PIXEL, "_b.*")

@@ -78,9 +78,9 @@ DERIVED["fx_coarse"] = (
 DERIVED["fx_depth"] = """
 select frame_index, u, v, predicted,
   case when lines % 3 = 0 then predicted + (top_discount - 0.05) * 2 else cast(0 as double) end as measured,
-  5 + 0.003 * (mean_quantity - 20) as rendered, color, gt_color, ref, conf
+  5 + 0.001 * pi() * (mean_quantity - 20) as rendered, color, gt_color, ref, conf
 from (select cast(floor(l_orderkey / 250) as int) as frame_index, cast(l_partkey % 16 as int) as u, cast(l_suppkey % 12 as int) as v,
-        5 + 0.005 * (avg(l_quantity) - 25) as predicted, avg(l_quantity) as mean_quantity, max(l_discount) as top_discount,
+        5 + 0.0016 * pi() * (avg(l_quantity) - 25) as predicted, avg(l_quantity) as mean_quantity, max(l_discount) as top_discount,
         min(l_tax) * 10 as color, min(l_discount) * 8 as gt_color, min(l_linenumber) as ref, max(l_discount) * 10 as conf,
         count(*) as lines
       from {lineitem} group by floor(l_orderkey / 250), l_partkey % 16, l_suppkey % 12) d"""

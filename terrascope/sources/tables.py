@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrascope.functions.numeric import clip, finite
-from terrascope.functions.rigid import pose_matrix, rotate, transpose
+from terrascope.functions.rigid import POSE, ROTATION, TRANSLATION, pose_matrix, rotate, transpose, with_rotation
 from terrascope.functions.text import render_template, safe_label
 from terrascope.functions.vectors import l2_normalize, times_matrix
 from terrascope.operators.ordered import with_positions
@@ -37,7 +37,6 @@ def parse_pose_lines(lines: DataFrame, pose_type: str = "wc") -> DataFrame:
     """
     if pose_type not in ("wc", "cw", "colmap"):
         raise ValueError(f"unsupported pose type: {pose_type}")
-    names = ("qw", "qx", "qy", "qz", "tx", "ty", "tz")
     line = F.trim(F.regexp_replace("value", r"\s+", " "))
     parts = lines.select(line.alias("_line")).where((F.col("_line") != "") & ~F.col("_line").startswith("#"))
     fields = F.split("_line", " ")
@@ -52,7 +51,7 @@ def parse_pose_lines(lines: DataFrame, pose_type: str = "wc") -> DataFrame:
             F.when(broken, F.raise_error(F.concat(F.lit("invalid pose line: "), "_line")).cast("double"))
             .otherwise(number)
             .alias(name)
-            for number, name in zip(numbers, names)
+            for number, name in zip(numbers, POSE)
         ],
     )
     return typed if pose_type == "wc" else invert_poses(typed)
@@ -60,14 +59,13 @@ def parse_pose_lines(lines: DataFrame, pose_type: str = "wc") -> DataFrame:
 
 def invert_poses(poses: DataFrame) -> DataFrame:
     """World-to-camera pose to camera-to-world: conjugate rotation, -R^T t."""
-    back = rotate(transpose(pose_matrix()), [F.col(n) for n in ("tx", "ty", "tz")])
-    length = F.sqrt(sum((F.col(n) * F.col(n) for n in ("qx", "qy", "qz")), F.col("qw") * F.col("qw")))
-    changed = {
-        "qw": F.col("qw") / length,
-        **{n: -F.col(n) / length for n in ("qx", "qy", "qz")},
-        **{n: -v for n, v in zip(("tx", "ty", "tz"), back)},
-    }
-    return poses.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in poses.columns])
+    copied = [f"{c} as _copy_{c}" for c in ROTATION]
+    turned = with_rotation(poses.selectExpr("*", *copied))
+    back = rotate(transpose(pose_matrix()), TRANSLATION)
+    length = "sqrt(" + " + ".join(f"_copy_{c} * _copy_{c}" for c in ROTATION) + ")"
+    changed = {c: f"{'' if c == 'qw' else '-'}_copy_{c} / {length}" for c in ROTATION}
+    changed |= {n: f"-{v}" for n, v in zip(TRANSLATION, back)}
+    return turned.selectExpr(*[f"{changed.get(c, c)} as {c}" for c in poses.columns])
 
 
 def read_pose_manifest(spark: SparkSession, path: str, pose_type: str = "wc") -> DataFrame:
@@ -356,12 +354,12 @@ def target_violations(targets: DataFrame, segmentation: DataFrame, dimension: in
         | ~finite(F.col("mean_dot"), F.col("confidence"))
     )
     rows = targets.agg(F.coalesce(F.sum(bad_row.cast("bigint")), F.lit(0)).alias("bad")).select(
-        F.lit("bad_target_rows").alias("check"), "bad"
+        F.lit("bad_target_rows").alias("test_name"), "bad"
     )
     used = segmentation.where(F.col("region_id") > 0).select("frame_index", "region_id").distinct()
     absent = used.join(targets, ["frame_index", "region_id"], "left_anti")
     return rows.unionByName(
-        absent.agg(F.count(F.lit(1)).alias("bad")).select(F.lit("absent_target_rows").alias("check"), "bad")
+        absent.agg(F.count(F.lit(1)).alias("bad")).select(F.lit("absent_target_rows").alias("test_name"), "bad")
     )
 
 
