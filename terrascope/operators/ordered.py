@@ -39,7 +39,7 @@ def with_running_sums(
     bucket_order = F.col(bucket).desc() if descending else F.col(bucket).asc()
     totals = df.groupBy(*parts).agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
     carried = totals.select(
-        *parts,
+        *_carried_keys(parts),
         *[
             F.coalesce(
                 F.sum(f"_t_{o}").over(_series(keys, [bucket_order]).rowsBetween(*_BEFORE)), F.lit(0)
@@ -51,9 +51,8 @@ def with_running_sums(
     local = df
     for output, column in sums.items():
         local = local.withColumn(f"_l_{output}", F.sum(column).over(inside))
-    joined = local.join(carried, _null_safe(local, carried, parts), "inner")
-    keep = [local[c] for c in df.columns]
-    return joined.select(*keep, *[(F.col(f"_l_{o}") + F.col(f"_c_{o}")).alias(o) for o in sums])
+    joined = local.join(carried, _same_part(parts), "inner")
+    return joined.select(*df.columns, *[(F.col(f"_l_{o}") + F.col(f"_c_{o}")).alias(o) for o in sums])
 
 
 def with_positions(
@@ -85,17 +84,21 @@ def with_previous(
     local = local.withColumn("_last", F.lead(F.lit(1)).over(inside).isNull())
     ends = local.where("_last").select(*parts, boxed.alias("_end"))
     carried = ends.select(
-        *parts, F.lag("_end").over(_series(keys, [F.col(bucket).asc()])).alias("_carry")
+        *_carried_keys(parts), F.lag("_end").over(_series(keys, [F.col(bucket).asc()])).alias("_carry")
     )
-    joined = local.join(carried, _null_safe(local, carried, parts), "left")
+    joined = local.join(carried, _same_part(parts), "left")
     value = F.when(F.col("_first"), F.col("_carry.value")).otherwise(F.col("_prev.value"))
-    return joined.select(*[local[c] for c in df.columns], value.alias(output))
+    return joined.select(*df.columns, value.alias(output))
 
 
-def _null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    condition = left[names[0]].eqNullSafe(right[names[0]])
-    for name in names[1:]:
-        condition = condition & left[name].eqNullSafe(right[name])
+def _carried_keys(parts: Sequence[str]) -> list[Column]:
+    return [F.col(p).alias(f"_key_{p}") for p in parts]
+
+
+def _same_part(parts: Sequence[str]) -> Column:
+    condition = F.col(parts[0]).eqNullSafe(F.col(f"_key_{parts[0]}"))
+    for part in parts[1:]:
+        condition = condition & F.col(part).eqNullSafe(F.col(f"_key_{part}"))
     return condition
 
 
