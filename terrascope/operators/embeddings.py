@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrascope.functions.numeric import clip, finite, ratio, sigmoid
+from terrascope.functions.single import attach
 from terrascope.functions.vectors import (
     affine_reconstruct,
     l2_normalize,
@@ -279,9 +280,10 @@ def relevancy_audit(pairs: DataFrame) -> DataFrame:
         F.avg("full").alias("relevancy_mean"),
     )
     level = exact_percentiles(tagged, ["query_id"], "full", {"relevancy_p95": 0.95}, fine_bucket())
-    overall = tagged.agg(F.avg("gap").alias("mae"), F.max("gap").alias("max_error")).withColumn("query_id", F.lit(-1).cast("bigint"))
-    tail = exact_percentiles(tagged, [], "gap", {"p95_error": 0.95}, fine_bucket()).withColumn("query_id", F.lit(-1).cast("bigint"))
-    return per_query.join(level, "query_id").unionByName(overall.join(tail, "query_id"), allowMissingColumns=True)
+    overall = tagged.agg(F.avg("gap").alias("mae"), F.max("gap").alias("max_error"))
+    tail = exact_percentiles(tagged, [], "gap", {"p95_error": 0.95}, fine_bucket())
+    whole = attach(overall, tail).withColumn("query_id", F.lit(-1).cast("bigint"))
+    return per_query.join(level, "query_id").unionByName(whole, allowMissingColumns=True)
 
 
 def topset_jaccard(pairs: DataFrame, share: float = 0.1) -> DataFrame:
@@ -432,15 +434,13 @@ def weighted_moments(
 
 
 def _moment_parts(moments: DataFrame) -> DataFrame:
-    whole = moments.where((F.col("i") == -1) & (F.col("j") == -1)).select(F.col("value").alias("weight_sum"), F.lit(0).alias("_k"))
+    whole = moments.where((F.col("i") == -1) & (F.col("j") == -1)).select(F.col("value").alias("weight_sum"))
     sums = moments.where((F.col("i") >= 0) & (F.col("j") == -1)).select("i", (F.col("value")).alias("s"))
-    products = moments.where((F.col("i") >= 0) & (F.col("j") >= 0)).select("i", "j", F.col("value").alias("p"), F.lit(0).alias("_k"))
-    return (
-        products.join(sums.withColumnRenamed("s", "si"), "i")
-        .join(sums.select(F.col("i").alias("j"), F.col("s").alias("sj")), "j")
-        .join(whole, "_k")
-        .drop("_k")
+    products = moments.where((F.col("i") >= 0) & (F.col("j") >= 0)).select("i", "j", F.col("value").alias("p"))
+    paired = products.join(sums.withColumnRenamed("s", "si"), "i").join(
+        sums.select(F.col("i").alias("j"), F.col("s").alias("sj")), "j"
     )
+    return attach(paired, whole)
 
 
 def covariance(moments: DataFrame) -> DataFrame:
@@ -454,11 +454,8 @@ def covariance(moments: DataFrame) -> DataFrame:
 
 def two_population_weights(scene: DataFrame, text: DataFrame, mass_ratio: float) -> DataFrame:
     """Scene vectors weigh 1; text vectors share ``mass_ratio`` times the scene weight."""
-    sizes = (
-        scene.agg(F.count(F.lit(1)).alias("_a")).withColumn("_k", F.lit(0))
-        .join(text.agg(F.count(F.lit(1)).alias("_b")).withColumn("_k", F.lit(0)), "_k")
-    )
-    weighted = text.select("feature", F.lit(0).alias("_k")).join(F.broadcast(sizes), "_k").select(
+    counted = attach(text.select("feature"), scene.agg(F.count(F.lit(1)).alias("_a")))
+    weighted = attach(counted, text.agg(F.count(F.lit(1)).alias("_b"))).select(
         "feature", (mass_ratio * F.col("_a") / F.greatest("_b", F.lit(1))).alias("weight")
     )
     return scene.select("feature", F.lit(1.0).alias("weight")).unionByName(weighted)
@@ -581,7 +578,7 @@ def codebook_quality(items: DataFrame, centers: np.ndarray, feature: str = "feat
     assigned = assign_center(items.withColumn("_u", l2_normalize(F.col(feature))), centers, "_u")
     plain = assigned.agg(F.count(F.lit(1)).alias("regions"), F.avg("similarity").alias("top1_cosine_mean"))
     low = exact_percentiles(assigned, [], "similarity", {"top1_cosine_p05": 0.05}, fine_bucket())
-    return plain.withColumn("_k", F.lit(0)).join(low.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    return attach(plain, low)
 
 
 def topk_reconstruction_cosine(items: DataFrame, centers: np.ndarray, topk: int = 4, ridge: float = 1e-4, feature: str = "feature") -> DataFrame:
@@ -607,4 +604,4 @@ def codebook_topk_ls(items: DataFrame, centers: np.ndarray, topk: int = 4) -> Da
     scored = topk_reconstruction_cosine(items, centers, topk)
     plain = scored.agg(F.count(F.lit(1)).alias("regions"), F.avg("topk_cosine").alias("topk_cosine_mean"))
     low = exact_percentiles(scored, [], "topk_cosine", {"topk_cosine_p05": 0.05}, fine_bucket())
-    return plain.withColumn("_k", F.lit(0)).join(low.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    return attach(plain, low)

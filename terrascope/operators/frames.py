@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrascope.functions.rigid import POSE, with_slerp
+from terrascope.functions.single import attach
 from terrascope.operators.ordered import bracket_in_time, with_positions
 
 
@@ -218,10 +219,9 @@ def replay_sample_decay(frames: DataFrame, budget: int, seed: int) -> DataFrame:
     positions = with_positions(
         frames.select("frame_index").withColumn("_b", F.shiftright("frame_index", 12)), [], "_b", [F.col("frame_index")]
     )
-    total = frames.agg(F.floor(F.count(F.lit(1)) * 2 / 3).alias("_cut")).withColumn("_k", F.lit(0))
+    total = frames.agg(F.floor(F.count(F.lit(1)) * 2 / 3).alias("_cut"))
     keyed = (
-        positions.withColumn("_k", F.lit(0))
-        .join(F.broadcast(total), "_k")
+        attach(positions, total)
         .select(
             "frame_index",
             draw_key(F.col("frame_index"), seed).alias("_key"),
@@ -249,10 +249,10 @@ def trajectory_resample(poses: DataFrame, frames_out: int) -> DataFrame:
         poses.withColumn("_b", F.shiftright("frame_index", 12)), [], "_b", [F.col("frame_index")]
     ).drop("_b")
     count = F.col("_n")
-    sizes = poses.agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(0))
+    sizes = poses.agg(F.count(F.lit(1)).alias("_n"))
     out = F.greatest(F.lit(frames_out), count)
     # Source pose p owns the output positions i with floor(i * (n-1) / (m-1)) = p.
-    owned = ordered.withColumn("_k", F.lit(0)).join(F.broadcast(sizes), "_k").withColumn("_m", out)
+    owned = attach(ordered, sizes).withColumn("_m", out)
     first = F.ceil(F.col("position") * (F.col("_m") - 1) / F.greatest(count - 1, F.lit(1)) - 1e-9)
     last = F.least(
         F.ceil((F.col("position") + 1) * (F.col("_m") - 1) / F.greatest(count - 1, F.lit(1)) - 1e-9) - 1,

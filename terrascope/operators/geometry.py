@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrascope.functions.numeric import clip, count_when, finite, ratio
+from terrascope.functions.single import attach
 from terrascope.functions.rigid import (
     POSE,
     Intrinsics,
@@ -135,8 +136,7 @@ def labelled_pixel_summary(labels: DataFrame, matches: DataFrame) -> DataFrame:
     matched = matches.where(F.col("scan_id") >= 0).agg(F.count(F.lit(1)).alias("matched_frames"))
     pixels = labels.agg(F.count(F.lit(1)).alias("labelled_pixels"))
     return (
-        matched.withColumn("_k", F.lit(0))
-        .join(pixels.withColumn("_k", F.lit(0)), "_k")
+        attach(matched, pixels)
         .select(
             "matched_frames",
             "labelled_pixels",
@@ -198,16 +198,9 @@ def temporal_support(
         .groupBy(*cells)
         .agg(F.bit_or("_bit").alias("_near"))
     )
-    span = (
-        points.agg(F.min("frame_index").alias("_lo"), F.max("frame_index").alias("_hi")).withColumn("_one", F.lit(0))
-    )
-    marked = (
-        celled.join(settled, cells, "left")
-        .withColumn("_near", F.coalesce("_near", F.lit(0).cast("bigint")))
-        .withColumn("_one", F.lit(0))
-        .join(F.broadcast(span), "_one")
-        .drop("_one")
-    )
+    span = points.agg(F.min("frame_index").alias("_lo"), F.max("frame_index").alias("_hi"))
+    near = celled.join(settled, cells, "left").withColumn("_near", F.coalesce("_near", F.lit(0).cast("bigint")))
+    marked = attach(near, span)
     possible = F.expr(
         " + ".join(f"if(frame_index + {k} between _lo and _hi, {1 << (k + radius)}L, 0L)" for k in offsets)
     )

@@ -13,6 +13,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrascope.functions.single import attach
+
 _BEFORE = (Window.unboundedPreceding, -1)
 _TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 
@@ -171,8 +173,8 @@ def exact_percentiles(
     )
     bucketed = counted.withColumn("_bucket", bucket)
     running = with_running_sums(bucketed, keys, "_bucket", [F.col("_value")], {"_upto": "_seen"})
-    totals = counted.groupBy(*keys).agg(F.sum("_seen").alias("_n")).withColumn("_k", F.lit(0))
-    located = running.withColumn("_k", F.lit(0)).join(totals, [*keys, "_k"])
+    totals = counted.groupBy(*keys).agg(F.sum("_seen").alias("_n"))
+    located = running.join(totals, list(keys)) if keys else attach(running, totals)
     start = F.col("_upto") - F.col("_seen")
     sums = []
     for name, q in probabilities.items():

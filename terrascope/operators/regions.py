@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrascope.functions.numeric import clip, count_when, ratio
+from terrascope.functions.single import attach
 from terrascope.operators.geometry import PIXEL, densify
 from terrascope.operators.ordered import exact_percentiles
 
@@ -129,7 +130,7 @@ def area_stats(areas: DataFrame, image_pixels: int, keys: Sequence[str] = ()) ->
     joined = (
         plain.join(ranked, list(keys), "left")
         if keys
-        else plain.withColumn("_k", F.lit(0)).join(ranked.withColumn("_k", F.lit(0)), "_k", "left").drop("_k")
+        else attach(plain, ranked)
     )
     return joined.withColumn("median_fraction", F.col("area_median") / image_pixels)
 

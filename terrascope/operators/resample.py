@@ -11,6 +11,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrascope.functions.single import attach
 from terrascope.operators.evaluate import scalar_metrics, tally_columns
 from terrascope.operators.ordered import with_positions
 from terrascope.session import cut_lineage
@@ -47,12 +48,10 @@ def bootstrap_replicates(
     names = [*tally_columns(class_ids), "valid_pixels"]
     groups = tallies.select("group_id").distinct().withColumn("_b", F.shiftright("group_id", 12))
     numbered = with_positions(groups, [], "_b", [F.col("group_id")]).select("group_id", "position")
-    # One row: the number of groups, matched on a constant key.
-    count = groups.agg(F.count(F.lit(1)).alias("group_count")).withColumn("_k", F.lit(0))
+    count = groups.agg(F.count(F.lit(1)).alias("group_count"))
     # One slot per group and replicate; the group's own position serves as the slot.
     picks = (
-        numbered.withColumn("_k", F.lit(0))
-        .join(F.broadcast(count), "_k")
+        attach(numbered, count)
         .select(
             F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"),
             F.col("position").alias("slot"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from terrascope.functions.numeric import clip
 from terrascope.functions.vectors import softmax
 from terrascope.operators.ordered import with_positions, with_previous, with_running_sums
+from terrascope.session import cut_lineage
 
 DAY_US = 86_400_000_000
 
@@ -75,15 +76,19 @@ def observation_switch(
     target, any other run leaves it. The first run sets the label of an empty point.
     The label after a point is thus the target of its last deciding run, and strength
     follows from the observations since the last change of label. Every step is a
-    bucketed window or a sum. A first observation must lift the strength over 1e-6.
+    bucketed window or a sum. Each pass reads its input twice, so passes are written
+    in between. A first observation must lift the strength over 1e-6.
     """
     key = ["point_id"]
-    rows = with_previous(ordered_observations(observations, class_count), key, "_b", _order(), "target", "_before")
+    valid = ordered_observations(observations, class_count)
+    rows = cut_lineage(with_previous(valid, key, "_b", _order(), "target", "_before"), "before")
     starts = rows.withColumn(
         "_start", F.when(F.col("_before").isNull() | (F.col("_before") != F.col("target")), 1).otherwise(0).cast("bigint")
     )
     numbered = with_running_sums(starts, key, "_b", _order(), {"run": "_start"}).drop("_before", "_start")
+    numbered = cut_lineage(numbered, "runs")
     summed = with_running_sums(numbered, ["point_id", "run"], "_b", _order(), {"run_conf": "conf"})
+    summed = cut_lineage(summed, "run-sums")
 
     runs = summed.groupBy("point_id", "run", "target").agg(
         F.sum("conf").alias("total"), F.min("_b").alias("_rb"), F.max(F.struct("_us", "seq")).alias("_end")
@@ -92,8 +97,11 @@ def observation_switch(
     changes = with_previous(deciding, key, "_rb", [F.col("run")], "target", "_label").withColumn(
         "_changes", F.col("_label").isNull() | (F.col("_label") != F.col("target"))
     )
-    points = changes.groupBy("point_id").agg(
-        F.max_by("target", "run").alias("label"), F.max(F.when(F.col("_changes"), F.col("run"))).alias("since_run")
+    points = cut_lineage(
+        changes.groupBy("point_id").agg(
+            F.max_by("target", "run").alias("label"), F.max(F.when(F.col("_changes"), F.col("run"))).alias("since_run")
+        ),
+        "points",
     )
     last_run = runs.groupBy("point_id").agg(
         F.max_by(F.struct("run", "target", "total"), "run").alias("tail")

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrascope.functions.single import attach
 from terrascope.functions.vectors import l2_normalize, norm2
 from terrascope.operators import embeddings as em
 from terrascope.plans.evaluation_queries import SPLITS, splits
@@ -360,7 +361,7 @@ def _(t: Inputs) -> DataFrame:
     """Fit on the earlier frames, assign every region."""
     items = t["fx_regions"].select("vec_id", "frame_index", "feature")
     last = items.agg(F.max("frame_index").alias("last"))
-    held = items.withColumn("_k", F.lit(0)).join(F.broadcast(last.withColumn("_k", F.lit(0))), "_k")
+    held = attach(items, last)
     fit = held.where(F.col("frame_index") <= F.col("last") - 2).select("vec_id", "feature")
     centers = em.codebook_kmeans(fit, "vec_id", 16, 5, 3407)
     assigned = em.assign_center(items.withColumn("feature", l2_normalize(F.col("feature"))), centers)

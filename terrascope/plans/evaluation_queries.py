@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrascope.functions.numeric import ratio
+from terrascope.functions.single import attach
 from terrascope.operators import evaluate as ev
 from terrascope.operators import regions as rg
 from terrascope.operators import resample as rs
@@ -446,9 +447,8 @@ def _(t: Inputs) -> DataFrame:
 def _(t: Inputs) -> DataFrame:
     rows = calibration_pixels(t)
     cells = ev.calibrate_unknown(rows.where(F.col("split") == "train"), CLASSES, SCORE_GRID, MARGIN_GRID)
-    best = ev.best_thresholds(cells).select("score_threshold", "margin_threshold", F.lit(0).alias("_k"))
-    # The chosen thresholds are one row; pixels meet them on a constant key.
-    chosen = rows.withColumn("_k", F.lit(0)).join(F.broadcast(best), "_k")
+    best = ev.best_thresholds(cells).select("score_threshold", "margin_threshold")
+    chosen = attach(rows, best)
     sure = (F.col("top_score") >= F.col("score_threshold")) & (F.col("margin") >= F.col("margin_threshold"))
     keys = ["split", "score_threshold", "margin_threshold"]
     applied = chosen.withColumn("pred", F.when(sure, F.col("top_class")).otherwise(F.lit(0)))
@@ -567,9 +567,9 @@ def _(t: Inputs) -> DataFrame:
     listed = splits(t).where(F.col("split") == "heldout").select("frame_index")
     counts = oracle_region_counts(t).join(listed, "frame_index", "left_semi")
     rows = counts.select("frame_index", "ref", F.col("oracle").alias("pred"), "n", (F.col("region") >= 0).alias("valid"))
-    metrics = ev.scalar_metrics(ev.class_tallies(rows, CLASSES), CLASSES).withColumn("_k", F.lit(0))
-    frames = rows.agg(F.count_distinct("frame_index").alias("frames")).withColumn("_k", F.lit(0))
-    return metrics.join(frames, "_k")
+    metrics = ev.scalar_metrics(ev.class_tallies(rows, CLASSES), CLASSES)
+    frames = rows.agg(F.count_distinct("frame_index").alias("frames"))
+    return attach(metrics, frames)
 
 
 # --- images, tables, checks -------------------------------------------------------------------

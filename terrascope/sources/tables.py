@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrascope.functions.numeric import clip, finite
 from terrascope.functions.rigid import POSE, ROTATION, TRANSLATION, pose_matrix, rotate, transpose, with_rotation
+from terrascope.functions.single import attach
 from terrascope.functions.text import render_template, safe_label
 from terrascope.functions.vectors import l2_normalize, times_matrix
 from terrascope.operators.ordered import with_positions
@@ -244,10 +245,9 @@ def missing_rasters(frames: DataFrame, queries: DataFrame, present: DataFrame) -
     ``queries`` is the short list of one prompt document; it is attached to each
     frame as an array and exploded.
     """
-    listed = queries.agg(F.collect_set("query").alias("_all")).withColumn("_k", F.lit(0))
+    listed = queries.agg(F.collect_set("query").alias("_all"))
     wanted = (
-        frames.withColumn("_k", F.lit(0))
-        .join(F.broadcast(listed), "_k")
+        attach(frames, listed)
         .select("frame_index", F.explode("_all").alias("query"))
     )
     return wanted.join(present.select("frame_index", "query").distinct(), ["frame_index", "query"], "left_anti")
