@@ -19,6 +19,7 @@ from terrascope.functions.rigid import (
     rotate,
     to_camera,
     to_world,
+    transpose,
     with_rotation,
 )
 from terrascope.operators.ordered import with_positions
@@ -28,11 +29,32 @@ CAMERA = ("xc", "yc", "zc")
 PIXEL = ["frame_index", "u", "v"]
 
 
-def round_half_away(value: Column) -> Column:
-    return F.when(value >= 0, F.floor(value + 0.5)).otherwise(F.ceil(value - 0.5))
+def snap(axis: str, size: int, rounding: str) -> tuple[str, str]:
+    """(inside test, pixel) texts for a sub-pixel column under one of three rules.
 
-
-ROUNDING = {"half_away": round_half_away, "half_even": F.rint, "floor": F.floor}
+    The tests compare the sub-pixel value itself, so rejected points are never
+    rounded: half away from zero, half to even, and floor.
+    """
+    edge = size - 0.5
+    if rounding == "half_away":
+        return f"{axis} > -0.5D and {axis} < {edge}D", f"cast(floor({axis} + 0.5D) as int)"
+    if rounding == "half_even":
+        upper = "<=" if size % 2 else "<"
+        return f"{axis} >= -0.5D and {axis} {upper} {edge}D", f"cast(rint({axis}) as int)"
+    if rounding == "floor":
+        return f"{axis} >= 0D and {axis} < {size}D", f"cast(floor({axis}) as int)"
+    raise ValueError(f"unknown rounding: {rounding}")
+
+
+def as_camera(df: DataFrame, camera: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Add xc, yc, zc from expression texts, each worked out once per row.
+
+    Emitted through ``inline``: depth and image tests on the results then stay above
+    this step. Pushed into the join below, every test would repeat the whole
+    transform and the generated method would grow past what the JVM compiles.
+    """
+    fields = ", ".join(f"{text} as {name}" for text, name in zip(camera, CAMERA))
+    return df.selectExpr(*keep, f"inline(array(struct({fields})))")
 
 
 # --- projection ----------------------------------------------------------------------
@@ -43,20 +65,18 @@ def world_to_camera(points: DataFrame, poses: DataFrame) -> DataFrame:
         with_rotation(poses.select("frame_index", *POSE)), "frame_index"
     )
     camera = to_camera(pose_matrix(), pose_translation(), XYZ)
-    return joined.select(*points.columns, *columns(camera, CAMERA))
+    return as_camera(joined, camera, points.columns)
 
 
 def pinhole(cam: DataFrame, k: Intrinsics, rounding: str = "half_away", depth_gate: bool = True) -> DataFrame:
     """Add sub-pixel (us, vs) and pixel (u, v); drop depths out of range and clip to the image."""
-    gated = cam.where((F.col("zc") > k.min_depth) & (F.col("zc") <= k.max_depth)) if depth_gate else cam
-    snapped = gated.withColumn("us", k.fx * F.col("xc") / F.col("zc") + k.cx).withColumn(
-        "vs", k.fy * F.col("yc") / F.col("zc") + k.cy
-    )
-    to_pixel = ROUNDING[rounding]
-    inside = to_pixel(F.col("us")).between(0, k.width - 1) & to_pixel(F.col("vs")).between(0, k.height - 1)
-    return snapped.where(inside).select(
-        "*", to_pixel(F.col("us")).cast("int").alias("u"), to_pixel(F.col("vs")).cast("int").alias("v")
+    gate = f"zc > {k.min_depth}D and zc <= {k.max_depth}D" if depth_gate else "zc <> 0D"
+    placed = cam.where(gate).selectExpr(
+        "*", f"{k.fx}D * xc / zc + {k.cx}D as us", f"{k.fy}D * yc / zc + {k.cy}D as vs"
     )
+    inside_u, u = snap("us", k.width, rounding)
+    inside_v, v = snap("vs", k.height, rounding)
+    return placed.where(f"{inside_u} and {inside_v}").selectExpr("*", f"{u} as u", f"{v} as v")
 
 
 def project_points(points: DataFrame, poses: DataFrame, k: Intrinsics, rounding: str = "half_away") -> DataFrame:
@@ -106,18 +126,28 @@ def label_projection(
     r_cl = [[f"({float(x)!r}D)" for x in row] for row in rotation]
     t_cl = [f"({float(x)!r}D)" for x in translation]
     scans = with_rotation(scan_poses.select("scan_id", *[F.col(n).alias(f"s_{n}") for n in POSE]), "s_")
-    views = (
+    paired = (
         matches.where(F.col("scan_id") >= 0)
         .select("frame_index", "scan_id")
         .join(with_rotation(frame_poses.select("frame_index", *POSE)), "frame_index")
         .join(scans, "scan_id")
     )
-    sensor = [f"({a} + {b})" for a, b in zip(rotate(r_cl, XYZ), t_cl)]
-    world = to_world(pose_matrix("s_"), pose_translation("s_"), sensor)
-    cam = to_camera(pose_matrix(), pose_translation(), world)
-    placed = scan_points.join(views, "scan_id").select(
-        "frame_index", "point_idx", "label", *columns(cam, CAMERA)
-    )
+    # The chain sensor -> world -> camera becomes one 3x4 transform per view.
+    columns_of = lambda m, j: [row[j] for row in m]
+    turned = [rotate(pose_matrix("s_"), columns_of(r_cl, j)) for j in range(3)]
+    moved = to_world(pose_matrix("s_"), pose_translation("s_"), t_cl)
+    middle = [f"{turned[j][i]} as _w{i}{j}" for i in range(3) for j in range(3)]
+    world = paired.selectExpr("*", *middle, *[f"{m} as _w{i}3" for i, m in enumerate(moved)])
+    back = transpose(pose_matrix())
+    whole = [rotate(back, [f"_w{i}{j}" for i in range(3)]) for j in range(3)]
+    shift = to_camera(pose_matrix(), pose_translation(), [f"_w{i}3" for i in range(3)])
+    views = world.selectExpr(
+        "frame_index", "scan_id",
+        *[f"{whole[j][i]} as v{i}{j}" for i in range(3) for j in range(3)],
+        *[f"{m} as v{i}3" for i, m in enumerate(shift)],
+    )
+    cam = [f"v{i}0 * x + v{i}1 * y + v{i}2 * z + v{i}3" for i in range(3)]
+    placed = as_camera(scan_points.join(views, "scan_id"), cam, ["frame_index", "point_idx", "label"])
     nearest = nearest_z_pixel(pinhole(placed, k, "half_even"), ["label"], float32_depth=False)
     return nearest.select(
         *PIXEL, "depth", (F.col("label") + 1).cast("int").alias("label"), F.lit(255).alias("conf_u8")
@@ -527,7 +557,7 @@ def depth_support_count(
         views, "view"
     )
     cam = to_camera(pose_matrix(), pose_translation(), XYZ)
-    placed = moved.select("candidate_id", "view", *columns(cam, CAMERA))
+    placed = as_camera(moved, cam, ["candidate_id", "view"])
     earlier = pinhole(placed, k).select("candidate_id", "view", "u", "v", F.col("zc").alias("expected"))
     looked = spread(own, disk_offsets(current_radius), k.width, k.height).unionByName(
         spread(earlier, disk_offsets(radius), k.width, k.height)
