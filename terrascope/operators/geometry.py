@@ -204,8 +204,9 @@ def temporal_support(
     A frame supports a point when any of its points lies within ``distance``. Two
     points of one fine cell (diagonal = distance) are always that close, so dense
     places are settled by the cells a frame occupies, without point pairs. Only
-    points with an open frame go to the exact check against the 27 cells around
-    them, joined on cell and frame block. Supporting frames are bits of one number.
+    points with an open frame go to the exact check, joined on cell and frame block.
+    Those cells are two distances wide, so a point looks into eight of them: its own
+    and the nearer neighbour along each axis. Supporting frames are bits of one number.
     """
     if not 1 <= radius <= 31:
         raise ValueError("radius must be within 1..31")
@@ -215,7 +216,7 @@ def temporal_support(
     celled = kept.select(
         "*",
         *[F.floor(F.col(c) / F.lit(fine)).cast("bigint").alias(f"_f{c}") for c in XYZ],
-        *[F.floor(F.col(c) / F.lit(distance)).cast("bigint").alias(f"_c{c}") for c in XYZ],
+        *[F.floor(F.col(c) / F.lit(distance)).cast("bigint").alias(f"_h{c}") for c in XYZ],
     )
     cells = ["frame_index", "_fx", "_fy", "_fz"]
     bit = lambda k: F.expr(f"shiftleft(1L, cast({k} + {radius} as int))")
@@ -229,41 +230,42 @@ def temporal_support(
         .agg(F.bit_or("_bit").alias("_near"))
     )
     span = points.agg(F.min("frame_index").alias("_lo"), F.max("frame_index").alias("_hi"))
-    near = celled.join(settled, cells, "left").withColumn("_near", F.coalesce("_near", F.lit(0).cast("bigint")))
+    # These sides grow with the points although their size is estimated low, so they
+    # are never broadcast: sort-merge joins spill and split under skew.
+    near = celled.join(settled.hint("merge"), cells, "left").withColumn("_near", F.coalesce("_near", F.lit(0).cast("bigint")))
     marked = attach(near, span)
     possible = F.expr(
         " + ".join(f"if(frame_index + {k} between _lo and _hi, {1 << (k + radius)}L, 0L)" for k in offsets)
     )
+    # Half cells are one distance wide: an odd half borders the next cell, an even one
+    # the cell before.
+    cell = {c: f"shiftright(_h{c}, 1)" for c in XYZ}
+    side = {c: f"({cell[c]} + if(_h{c} & 1 = 1, 1, -1))" for c in XYZ}
     around = F.expr(
         "array(" + ", ".join(
-            f"struct({a} as a, {b} as b, {c} as c)" for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)
+            f"struct({x} as _cx, {y} as _cy, {z} as _cz)"
+            for x in (cell["x"], side["x"]) for y in (cell["y"], side["y"]) for z in (cell["z"], side["z"])
         ) + ")"
     )
     frame_block = lambda f: F.floor(f / F.lit(float(block))).cast("bigint")
     probe = (
         marked.where(F.col("_near").bitwiseAND(possible) != possible)
         .select(
-            "frame_index", "point_idx", *XYZ, "_near", "_cx", "_cy", "_cz",
+            "frame_index", "point_idx", *XYZ, "_near", *[f"_h{c}" for c in XYZ],
             F.explode(
                 F.sequence(frame_block(F.col("frame_index") - radius), frame_block(F.col("frame_index") + radius))
             ).alias("_block"),
         )
-        .select("*", F.inline(around))
-        .select(
-            "frame_index", "point_idx", *XYZ, "_near", "_block",
-            (F.col("_cx") + F.col("a")).alias("_cx"),
-            (F.col("_cy") + F.col("b")).alias("_cy"),
-            (F.col("_cz") + F.col("c")).alias("_cz"),
-        )
+        .select("frame_index", "point_idx", *XYZ, "_near", "_block", F.inline(around))
     )
     others = celled.select(
-        frame_block(F.col("frame_index")).alias("_block"), "_cx", "_cy", "_cz",
+        frame_block(F.col("frame_index")).alias("_block"), *[F.expr(cell[c]).alias(f"_c{c}") for c in XYZ],
         F.col("frame_index").alias("_g"), *[F.col(c).alias(f"_o{c}") for c in XYZ],
     ).distinct()
     gap = "(_g - frame_index)"
     square = F.expr(" + ".join(f"({c} - _o{c}) * ({c} - _o{c})" for c in XYZ))
     found = (
-        probe.join(others, ["_block", "_cx", "_cy", "_cz"])
+        probe.join(others.hint("merge"), ["_block", "_cx", "_cy", "_cz"])
         .where(
             F.expr(f"{gap} between {-radius} and {radius} and {gap} <> 0")
             & (F.col("_near").bitwiseAND(bit(gap)) == 0)
@@ -284,7 +286,7 @@ def temporal_support(
         & (end >= F.col("frame_index") + min_gap)
     )
     judged = (
-        marked.join(found, ["frame_index", "point_idx"], "left")
+        marked.join(found.hint("merge"), ["frame_index", "point_idx"], "left")
         .withColumn("_mask", mask)
         .withColumn("support", (F.bit_count("_mask") + 1).cast("int"))
     )
