@@ -175,8 +175,13 @@ def labelled_pixel_summary(labels: DataFrame, matches: DataFrame) -> DataFrame:
     )
 
 
-def stride_sample(points: DataFrame, stride: int, order: str = "cloud_order") -> DataFrame:
-    return points if stride <= 1 else points.where(F.col(order) % stride == 0)
+def stride_sample(points: DataFrame, stride: int) -> DataFrame:
+    """Every ``stride``-th point of each cloud in cloud order, the first included."""
+    if stride <= 1:
+        return points
+    bucketed = points.withColumn("_b", F.shiftright("point_idx", 20))
+    placed = with_positions(bucketed, ["frame_index"], "_b", [F.col("point_idx")], "_order")
+    return placed.where(F.col("_order") % stride == 0).select(*points.columns)
 
 
 def color_or_default(points: DataFrame, channels: Sequence[str] = ("r", "g", "b")) -> DataFrame:

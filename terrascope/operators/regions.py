@@ -45,61 +45,78 @@ def mask_nms(
 ) -> DataFrame:
     """Masks with the verdict ``keep`` of IoU, score and containment suppression.
 
-    Overlaps are counted on 64-bit tiles, so a pair of masks costs one row per shared
-    tile. Each pair acts on its later mask, containment of the later one in reverse
-    acts on the earlier; the last triangle also reads the first superdiagonal.
+    Each pair acts on its later mask, containment of the later one in reverse acts on
+    the earlier; the last triangle also reads the first superdiagonal.
+
+    Equal masks of a frame form one shape. Only shapes meet, on shared 64-bit tiles;
+    a mask then needs from each other shape no more than its first and last rank, so
+    a crowd of copies costs one row per copy and neighbouring shape, never a pair of
+    copies.
     """
-    ranks = masks.select(
-        "frame_index", "mask_id", "score",
-        F.row_number().over(Window.partitionBy("frame_index").orderBy(F.col("score").desc(), "mask_id")).alias("rank"),
-    )
+    by_score = Window.partitionBy("frame_index").orderBy(F.col("score").desc(), "mask_id")
     tiles = mask_tiles(mask_pixels)
-    areas = tiles.groupBy("frame_index", "mask_id").agg(F.sum(F.bit_count("bits")).alias("area"))
-    ranked = ranks.join(areas, ["frame_index", "mask_id"], "left").withColumn("area", F.coalesce("area", F.lit(0)))
-    placed = tiles.join(ranked.select("frame_index", "mask_id", "rank", "area"), ["frame_index", "mask_id"])
+    # A mask has at most one entry per tile of the image.
+    outline = F.transform(
+        F.array_sort(F.collect_list(F.struct("tile_u", "tile_v", "bits"))),
+        lambda e: F.concat_ws(":", e["tile_u"], e["tile_v"], e["bits"]),
+    )
+    shapes = tiles.groupBy("frame_index", "mask_id").agg(
+        F.sum(F.bit_count("bits")).alias("area"), F.sha2(F.array_join(outline, ","), 256).alias("shape")
+    )
+    members = (
+        masks.select("frame_index", "mask_id", "score")
+        .join(shapes, ["frame_index", "mask_id"], "left")
+        .select(
+            "frame_index", "mask_id", "score", F.coalesce("area", F.lit(0)).alias("area"), "shape",
+            F.row_number().over(by_score).alias("rank"), F.lag("shape").over(by_score).alias("shape_before"),
+        )
+    )
+    groups = members.where(F.col("shape").isNotNull()).groupBy("frame_index", "shape").agg(
+        F.min("mask_id").alias("mask_id"), F.max("area").alias("area"),
+        F.min("rank").alias("first_rank"), F.max("rank").alias("last_rank"),
+    )
+    placed = tiles.join(groups.select("frame_index", "mask_id", "shape"), ["frame_index", "mask_id"])
     side = lambda t: placed.select(
-        "frame_index", "tile_u", "tile_v",
-        *[F.col(c).alias(f"{c}_{t}") for c in ("mask_id", "rank", "area", "bits")],
+        "frame_index", "tile_u", "tile_v", F.col("shape").alias(f"shape_{t}"), F.col("bits").alias(f"bits_{t}")
     )
-    pairs = (
+    overlaps = (
         side("a").join(side("b"), ["frame_index", "tile_u", "tile_v"])
-        .where(F.col("rank_a") < F.col("rank_b"))
-        .groupBy("frame_index", "mask_id_a", "mask_id_b", "rank_a", "rank_b", "area_a", "area_b")
+        .where(F.col("shape_a") != F.col("shape_b"))
+        .groupBy("frame_index", F.col("shape_a").alias("shape"), F.col("shape_b").alias("other"))
         .agg(F.sum(F.bit_count(F.col("bits_a").bitwiseAND(F.col("bits_b")))).alias("shared"))
         .where(F.col("shared") > 0)
+        .join(
+            groups.select(
+                "frame_index", F.col("shape").alias("other"), F.col("area").alias("other_area"), "first_rank", "last_rank"
+            ),
+            ["frame_index", "other"],
+        )
     )
-    union = F.col("area_a") + F.col("area_b") - F.col("shared")
-    first, second = F.col("shared") / F.col("area_a"), F.col("shared") / F.col("area_b")
-    contained = 1.0 - first * second
-    later_in_first = (first < 0.5) & (second >= 0.85)
-    first_in_later = (first >= 0.85) & (second < 0.5)
-    adjacent = F.col("rank_b") == F.col("rank_a") + 1
-    zero = F.lit(0.0)
-    effects = pairs.select(
-        "frame_index",
-        F.inline(
-            F.array(
-                F.struct(
-                    F.col("mask_id_b").alias("mask_id"),
-                    (F.col("shared") / union).alias("iou"),
-                    F.when(later_in_first, contained).otherwise(zero).alias("upper"),
-                    F.when(later_in_first & adjacent, contained).otherwise(zero).alias("lower"),
-                ),
-                F.struct(
-                    F.col("mask_id_a").alias("mask_id"),
-                    zero.alias("iou"),
-                    zero.alias("upper"),
-                    F.when(first_in_later, contained).otherwise(zero).alias("lower"),
-                ),
-            )
-        ),
+    met = members.join(overlaps, ["frame_index", "shape"]).select(
+        "*", (F.col("shared") / F.col("area")).alias("_own"), (F.col("shared") / F.col("other_area")).alias("_other")
     )
-    worst = effects.groupBy("frame_index", "mask_id").agg(
-        F.max("iou").alias("iou"), F.max("upper").alias("upper"), F.max("lower").alias("lower")
+    zero = F.lit(0.0)
+    contained = 1.0 - F.col("_own") * F.col("_other")
+    after = F.col("first_rank") < F.col("rank")
+    before = F.col("last_rank") > F.col("rank")
+    inside = after & (F.col("_other") < 0.5) & (F.col("_own") >= 0.85)
+    around = before & (F.col("_own") >= 0.85) & (F.col("_other") < 0.5)
+    next_to = inside & (F.col("shape_before") == F.col("other"))
+    union = F.col("area") + F.col("other_area") - F.col("shared")
+    worst = met.groupBy("frame_index", "mask_id").agg(
+        F.max(F.when(after, F.col("shared") / union).otherwise(zero)).alias("_iou"),
+        F.max(F.when(inside, contained).otherwise(zero)).alias("upper"),
+        F.max(F.when(around | next_to, contained).otherwise(zero)).alias("lower"),
     )
-    judged = ranked.join(worst, ["frame_index", "mask_id"], "left").select(
-        "frame_index", "mask_id", "score", "rank", "area",
-        *[F.coalesce(c, zero).alias(c) for c in ("iou", "upper", "lower")],
+    copies = groups.select("frame_index", "shape", F.col("first_rank").alias("_first"))
+    judged = (
+        members.join(copies, ["frame_index", "shape"], "left")
+        .join(worst, ["frame_index", "mask_id"], "left")
+        .select(
+            "frame_index", "mask_id", "score", "rank", "area",
+            F.when(F.col("rank") > F.col("_first"), F.lit(1.0)).otherwise(F.coalesce("_iou", zero)).alias("iou"),
+            F.coalesce("upper", zero).alias("upper"), F.coalesce("lower", zero).alias("lower"),
+        )
     )
     limit = 1.0 - inner_threshold
     tests = judged.select(

@@ -118,13 +118,15 @@ def _(t: Inputs) -> DataFrame:
 
 
 @query(
-    "stride_sample", "frame_index:i points:i pixels:i",
-    f"""with {NEAREST}, s as (select frame_index, count(*) as points from {{fx_points}} where point_idx % 4 = 0 group by frame_index),
-    p as (select frame_index, count(*) as pixels from nz group by frame_index) select s.frame_index, s.points, p.pixels from s join p on s.frame_index = p.frame_index""",
+    "stride_sample", "frame_index:i points:i index_sum:i pixels:i",
+    f"""with {NEAREST}, s as (select frame_index, count(*) as points, sum(point_idx) as index_sum from (select *, row_number() over (partition by frame_index order by point_idx) - 1 as o from {{fx_points}}) k where o % 4 = 0 group by frame_index),
+    p as (select frame_index, count(*) as pixels from nz group by frame_index) select s.frame_index, s.points, s.index_sum, p.pixels from s join p on s.frame_index = p.frame_index""",
 )
 def _(t: Inputs) -> DataFrame:
     """Every 4th point seeds the map; the depth raster still sees all points."""
-    kept = ge.stride_sample(t["fx_points"], 4, "point_idx").groupBy("frame_index").agg(F.count(F.lit(1)).alias("points"))
+    kept = ge.stride_sample(t["fx_points"], 4).groupBy("frame_index").agg(
+        F.count(F.lit(1)).alias("points"), F.sum("point_idx").alias("index_sum")
+    )
     raster = ge.nearest_z_pixel(projected(t), []).groupBy("frame_index").agg(F.count(F.lit(1)).alias("pixels"))
     return kept.join(raster, "frame_index")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -21,6 +23,23 @@ def file_stream(spark: SparkSession, folder: str, name: str, schema: StructType,
     )
 
 
+def _state_partitions(spark: SparkSession) -> str:
+    """State is spread over the session's partitions, at most twice the cores at hand."""
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return str(min(wanted, 2 * spark.sparkContext.defaultParallelism))
+
+
+def _with_settings(spark: SparkSession, settings: dict[str, str], run: Callable[[], None]) -> None:
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        run()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def run_append(stream: DataFrame, label: str, rocksdb: bool = False) -> DataFrame:
     """Process everything available into Parquet files and read them back.
 
@@ -29,22 +48,20 @@ def run_append(stream: DataFrame, label: str, rocksdb: bool = False) -> DataFram
     """
     spark = stream.sparkSession
     base = shared_path(spark, label)
-    before = spark.conf.get(PROVIDER, None)
-    if rocksdb:
-        spark.conf.set(PROVIDER, ROCKSDB)
-    try:
-        running = (
+    settings = {"spark.sql.shuffle.partitions": _state_partitions(spark)} | ({PROVIDER: ROCKSDB} if rocksdb else {})
+
+    def run() -> None:
+        (
             stream.writeStream.format("parquet")
             .outputMode("append")
             .option("path", f"{base}/data")
             .option("checkpointLocation", f"{base}/checkpoint")
             .trigger(availableNow=True)
             .start()
+            .awaitTermination()
         )
-        running.awaitTermination()
-    finally:
-        if rocksdb:
-            spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+
+    _with_settings(spark, settings, run)
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
 
 
@@ -59,12 +76,15 @@ def run_update(stream: DataFrame, label: str) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/data/batch={number}")
 
-    running = (
-        stream.writeStream.outputMode("update")
-        .foreachBatch(write)
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    running.awaitTermination()
+    def run() -> None:
+        (
+            stream.writeStream.outputMode("update")
+            .foreachBatch(write)
+            .option("checkpointLocation", f"{base}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
+
+    _with_settings(spark, {"spark.sql.shuffle.partitions": _state_partitions(spark)}, run)
     return spark.read.parquet(f"{base}/data")

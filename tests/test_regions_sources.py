@@ -53,6 +53,49 @@ def test_mask_nms_drops_duplicate(spark):
     assert sorted(r.mask_id for r in kept) == [0, 2]
 
 
+def pairwise_nms(areas, shared, scores, iou_t, score_t, inner_t):
+    """All pairs in score order, as a matrix."""
+    order = sorted(range(len(scores)), key=lambda m: (-scores[m], m))
+    n = len(order)
+    iou, inner = [[0.0] * n for _ in range(n)], [[0.0] * n for _ in range(n)]
+    for i in range(n):
+        for j in range(i, n):
+            a, b = order[i], order[j]
+            s = shared[a][b]
+            iou[i][j] = s / (areas[a] + areas[b] - s)
+            f, g = s / areas[a], s / areas[b]
+            if f < 0.5 and g >= 0.85:
+                inner[i][j] = 1 - f * g
+            if f >= 0.85 and g < 0.5:
+                inner[j][i] = 1 - f * g
+    tests = [
+        [max([iou[i][j] for i in range(j)], default=0) <= iou_t for j in range(n)],
+        [scores[order[j]] > score_t for j in range(n)],
+        [max([inner[i][j] for i in range(j)], default=0) <= 1 - inner_t for j in range(n)],
+        [max([inner[i][j] for i in range(max(0, j - 1), n)]) <= 1 - inner_t for j in range(n)],
+    ]
+    for t in tests[1:]:
+        if not any(t):
+            t[:3] = [True] * min(3, n)
+    return {order[j] for j in range(n) if all(t[j] for t in tests)}
+
+
+def test_mask_nms_with_copies_equals_all_pairs(spark):
+    import random
+
+    random.seed(4)
+    for trial in range(4):
+        boxes = [(random.randrange(12), random.randrange(12), random.randint(2, 9), random.randint(2, 9)) for _ in range(8)]
+        chosen = [random.choice(boxes) for _ in range(14)] + boxes[:1] * 6
+        scores = [random.randint(30, 99) / 100 for _ in chosen]
+        table, pixels = masks(spark, [(*b, s) for b, s in zip(chosen, scores)])
+        sets = [{(u, v) for u in range(x, x + w) for v in range(y, y + h)} for x, y, w, h in chosen]
+        shared = [[len(p & q) for q in sets] for p in sets]
+        limits = (0.6, [0.5, 0.995][trial % 2], [0.3, 0.8][trial // 2])
+        got = {r.mask_id for r in rg.mask_nms(table, pixels, *limits).where("keep").collect()}
+        assert got == pairwise_nms([len(p) for p in sets], shared, scores, *limits)
+
+
 def test_later_mask_overwrites(spark):
     _, pixels = masks(spark, [(0, 0, 3, 3, 1), (1, 1, 1, 1, 1)])
     painted = rg.paint_raster(pixels.withColumn("mask_order", F.col("mask_id")), 4, 3).collect()
