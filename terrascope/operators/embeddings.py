@@ -11,7 +11,7 @@ from typing import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrascope.functions.numeric import clip, finite, ratio, sigmoid
@@ -26,7 +26,7 @@ from terrascope.functions.vectors import (
     top_last,
     weighted_mean_abs_gap,
 )
-from terrascope.operators.ordered import exact_percentiles
+from terrascope.operators.ordered import exact_percentiles, with_positions, with_running_sums
 from terrascope.session import cut_lineage
 
 MAX_PROMPTS = 4096
@@ -286,25 +286,46 @@ def relevancy_audit(pairs: DataFrame) -> DataFrame:
     return per_query.join(level, "query_id").unionByName(whole, allowMissingColumns=True)
 
 
+def _top_members(pairs: DataFrame, sizes: DataFrame, keys: list[str], column: str, flag: str) -> DataFrame:
+    """Rows among the ``_size`` largest of their key; ties go to the lower region.
+
+    Equal scores collapse to levels whose running counts show the level that the size
+    cuts. Higher levels enter whole; only that level's rows are ordered, in buckets.
+    """
+    levels = (
+        pairs.groupBy(*keys, F.col(column).alias("_level"))
+        .agg(F.count(F.lit(1)).alias("_seen"))
+        .withColumn("_bucket", F.floor(F.col("_level") * FINE).cast("bigint"))
+    )
+    running = with_running_sums(levels, keys, "_bucket", [F.col("_level").desc()], {"_upto": "_seen"}, descending=True)
+    above = F.col("_upto") - F.col("_seen")
+    cut = (
+        running.join(sizes, keys)
+        .where((above < F.col("_size")) & (F.col("_size") <= F.col("_upto")))
+        .select(*keys, "_level", (F.col("_size") - above).alias("_take"))
+    )
+    faced = pairs.select(*keys, "region", F.col(column).alias("_score")).join(cut, keys)
+    whole = faced.where(F.col("_score") > F.col("_level")).select(*keys, "region")
+    tied = faced.where(F.col("_score") == F.col("_level")).withColumn("_bucket", F.shiftright("region", 12))
+    taken = with_positions(tied, keys, "_bucket", [F.col("region")]).where(F.col("position") < F.col("_take"))
+    return whole.unionByName(taken.select(*keys, "region")).withColumn("side", F.lit(flag))
+
+
 def topset_jaccard(pairs: DataFrame, share: float = 0.1) -> DataFrame:
     """Mean over frames of the overlap of the two top sets, per query.
 
-    pairs(frame_index, region, query_id, full, compact). Ranking is per frame and
-    query; ties go to the lower region.
+    pairs(frame_index, region, query_id, full, compact), written once because both
+    sets read it. No frame is ordered by one task.
     """
     frame = ["frame_index", "query_id"]
-    size = F.greatest(F.lit(1), F.ceil(share * F.col("_n")))
-    by = lambda c: Window.partitionBy(*frame).orderBy(F.col(c).desc(), "region")
-    ranked = (
-        pairs.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*frame)))
-        .withColumn("_in_full", F.row_number().over(by("full")) <= size)
-        .withColumn("_in_compact", F.row_number().over(by("compact")) <= size)
+    pairs = cut_lineage(pairs.select(*frame, "region", "full", "compact"), "pairs")
+    sizes = pairs.groupBy(*frame).agg(F.greatest(F.lit(1), F.ceil(share * F.count(F.lit(1)))).alias("_size"))
+    chosen = _top_members(pairs, sizes, frame, "full", "full").unionByName(
+        _top_members(pairs, sizes, frame, "compact", "compact")
     )
-    frames = ranked.groupBy(*frame).agg(
-        ratio(
-            F.count(F.when(F.col("_in_full") & F.col("_in_compact"), 1)),
-            F.count(F.when(F.col("_in_full") | F.col("_in_compact"), 1)),
-        ).alias("jaccard")
+    rows = chosen.groupBy(*frame, "region").agg(F.count(F.lit(1)).alias("sides"))
+    frames = rows.groupBy(*frame).agg(
+        ratio(F.count(F.when(F.col("sides") == 2, 1)), F.count(F.lit(1))).alias("jaccard")
     )
     return frames.groupBy("query_id").agg(F.avg("jaccard").alias("frame_mean_jaccard"), F.count(F.lit(1)).alias("frames"))
 

@@ -124,6 +124,19 @@ def test_codebook(vectors):
     assert got.topk_cosine_mean == pytest.approx(np.mean(expected)) and got.topk_cosine_p05 == pytest.approx(np.quantile(expected, 0.05))
 
 
+def test_top_sets_with_many_equal_scores(spark):
+    rows = [(f, r, 1, [0.9, 0.5, 0.5][r % 3], ((r * 7) % 10) / 10.0) for f in range(2) for r in range(45 + f)]
+    table = spark.createDataFrame(rows, "frame_index int, region int, query_id bigint, full double, compact double")
+    got = em.topset_jaccard(table, 0.4).first()
+    shares = []
+    for f in range(2):
+        mine = [r for r in rows if r[0] == f]
+        size = max(1, int(np.ceil(0.4 * len(mine))))
+        a, b = ({r[1] for r in sorted(mine, key=lambda r: (-r[c], r[1]))[:size]} for c in (3, 4))
+        shares.append(len(a & b) / len(a | b))
+    assert got.frame_mean_jaccard == pytest.approx(np.mean(shares)) and got.frames == 2
+
+
 def test_small_tables_are_bounded(vectors):
     with pytest.raises(ValueError, match="more than 10 rows"):
         em.bounded_rows(vectors[1], 10)
