@@ -168,14 +168,14 @@ def _(t: Inputs) -> DataFrame:
 
 
 def responses(t: Inputs) -> DataFrame:
-    entries = F.array(*[F.struct(F.lit(c).alias("query_id"), F.col(f"s{c}").alias("response")) for c in CLASSES])
+    entries = F.array(*[F.struct(F.lit(c).alias("query_id"), F.expr(f"s{c} * 0.317D * pi()").alias("response")) for c in CLASSES])
     alpha = (F.col("alpha") * ((F.col("u") + F.col("v")) % 10) / 10.0).alias("alpha")
     return t["fx_scored"].select("frame_index", "u", "v", alpha, F.inline(entries))
 
 
 RESPONSES = (
     "rs as (select frame_index, u, v, alpha * ((u + v) % 10) / 10.0 as alpha, c as query_id, "
-    "case c when 1 then s1 when 2 then s2 when 3 then s3 when 4 then s4 when 5 then s5 else s6 end as response "
+    "case c when 1 then s1 when 2 then s2 when 3 then s3 when 4 then s4 when 5 then s5 else s6 end * 0.317::double * pi() as response "
     "from {fx_scored}, (select unnest([1, 2, 3, 4, 5, 6]) as c) k)"
 )
 
