@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that setting is
-    absent, as in tests, a local folder is made.
+    absent and the master is local, as in tests, a local folder is made.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(local)
     return local
