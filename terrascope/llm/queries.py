@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrascope.llm import circulant_minhash, entropy_mix, line_cleaning
+from terrascope.llm import circulant_minhash, dp_packing, entropy_mix, line_cleaning, secret_scan
 from terrascope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,12 +28,22 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return entropy_mix.mix(table(spark, folder, "documents"))
 
 
+@query("op3_secret_randomness")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.find_secrets(table(spark, folder, "documents")))
+
+
 @query("op8_line_cleaning")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = line_cleaning.clean_lines(table(spark, folder, "documents"))
     return cleaned.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op9_dp_packing")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return dp_packing.pack(table(spark, folder, "documents"))
+
+
 @query("op10_circulant_dedup")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return circulant_minhash.near_duplicates(table(spark, folder, "documents"), width=3, percent=85)
