@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrascope.llm.common import SPACES, WORD, let
+from terrascope.llm.common import WORD, bare, let, word_count, words_of
 
 #: Words of a line below which it must end a sentence; separators that make a line navigation.
 SHORT_LINE, SEPARATORS = 10, 3
@@ -19,32 +19,40 @@ MOST_LOST = 0.5
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
 
-_ENDS = r"[.!?:;…。！？][\"'’”»)\]*_]*\s*$"
+_ENDS = r"[.!?:;…。！？][\"'’”»)\]*_]*$"
 _INSIDE = r"[.!?…。]\s"
 _NAVIGATION = r"(?i)^\s*(home|menu|next|previous|back to top|skip to content|log ?in|sign (in|up)|site ?map|contact( us)?|about( us)?|search)\b"
 _BOILERPLATE = (
-    r"(?i)all rights reserved|cookies? (policy|settings|consent)|terms of (use|service)|privacy policy|enable javascript"
-    r"|click here|subscribe to our|share (this|on)|lorem ipsum|powered by|read more$|page \d+ of \d+|copyright (\(c\)|©|\d{4})"
+    "all rights reserved", "cookie policy", "cookie settings", "cookies policy", "terms of use", "terms of service", "privacy policy", "enable javascript",
+    "click here", "subscribe to our", "share this", "share on", "lorem ipsum", "powered by", "copyright (c)", "copyright ©",
 )
+_DIVIDERS = "|›»•·"
 
 
-def _bare(text: Column) -> Column:
-    return F.translate(text, SPACES, "")
+def _holds_any(text: Column, phrases: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for phrase in phrases:
+        found = found | F.contains(text, F.lit(phrase))
+    return found
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+def _without(text: Column, symbols: str) -> Column:
+    for c in symbols:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
-def line_fails(line: Column, n_words: Column) -> Column:
+def line_fails(line: Column, n_words: Column, stock: Column) -> Column:
     """Whether one line with words fails: no sentence end, navigation, or boilerplate.
 
     A long line is excused from the punctuation rule if a sentence ends somewhere in it.
+    ``stock`` tells whether the text of the line holds any stock phrase at all.
     """
-    separators = F.length(line) - F.length(F.translate(line, "|›»•·", ""))
-    no_end = ~line.rlike(_ENDS) & ((n_words < SHORT_LINE) | ~line.rlike(_INSIDE))
-    menu = (separators >= SEPARATORS) & (separators * 4 >= n_words)
-    return no_end | menu | (line.rlike(_NAVIGATION) & (n_words < SHORT_LINE)) | (line.rlike(_BOILERPLATE) & (n_words < 4 * SHORT_LINE))
+    dividers = F.length(line) - F.length(_without(line, _DIVIDERS))
+    no_end = ~F.right(F.rtrim(line), F.lit(12)).rlike(_ENDS) & ((n_words < SHORT_LINE) | ~line.rlike(_INSIDE))
+    menu = (dividers >= SEPARATORS) & (dividers * 4 >= n_words)
+    phrase = stock & (n_words < 4 * SHORT_LINE) & _holds_any(F.lower(line), _BOILERPLATE)
+    return no_end | menu | ((n_words < SHORT_LINE) & line.rlike(_NAVIGATION)) | phrase
 
 
 def _covered(words: Column) -> Column:
@@ -82,13 +90,13 @@ def measures(text: Column) -> Column:
     """A struct of the base measures of ``text``; all are zero for text without words."""
 
     def of(t: Column) -> Column:
-        lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(_bare(x)) > 0)
+        lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD[:-1]))
         dup = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
         return let(
-            _words(t),
+            words_of(t),
             lambda w: F.struct(
-                F.size(w).cast("long").alias("n_words"), F.length(_bare(t)).cast("long").alias("word_chars"),
-                (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+                F.size(w).cast("long").alias("n_words"), F.length(bare(t)).cast("long").alias("word_chars"),
+                (F.octet_length(t) - F.octet_length(_without(t, SYMBOLS))).cast("long").alias("n_symbols"),
                 dup.cast("long").alias("n_dup_lines"), _covered(w).alias("n_repeat_words"),
             ),
         )
@@ -100,7 +108,10 @@ def cleaned(text: Column) -> Column:
     """A struct of the text without failed lines, and the word characters kept and lost."""
 
     def of(t: Column) -> Column:
-        judged = F.transform(F.split(t, "\n", -1), lambda x: let(F.size(_words(x)), lambda n: F.struct(x.alias("line"), F.length(_bare(x)).alias("chars"), ((n > 0) & line_fails(x, n)).alias("bad"))))
+        judge = lambda stock: F.transform(
+            F.split(t, "\n", -1), lambda x: let(word_count(x), lambda n: F.struct(x.alias("line"), F.length(bare(x)).alias("chars"), ((n > 0) & line_fails(x, n, stock)).alias("bad")))
+        )
+        judged = let(_holds_any(F.lower(t), _BOILERPLATE), judge)
 
         def parts(j: Column) -> Column:
             total = lambda keep: F.aggregate(F.filter(j, keep), F.lit(0).cast("long"), lambda a, x: a + x["chars"])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrascope.llm import circulant_minhash, dp_packing, entropy_mix, line_cleaning, secret_scan
+from terrascope.llm import circulant_minhash, dp_packing, entropy_mix, line_cleaning, secret_scan, warc_dictionary
 from terrascope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,23 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return entropy_mix.mix(table(spark, folder, "documents"))
 
 
+OP2_CHECK = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, strlen(html)::bigint as payload_bytes, sha1(html) as payload_digest from p),
+m as (select payload_digest, max(page_id) as last, count(*) as copies from d where payload_bytes >= 1000 group by 1)
+select page_id, payload_bytes, d.payload_digest,
+  case when copies > 1 and last <> page_id then 'revisit' else 'response' end as record_type,
+  case when copies > 1 and last <> page_id then last end as refers_to
+from d left join m on d.payload_digest = m.payload_digest and payload_bytes >= 1000
+"""
+
+
+@query("op2_warc_dictionary", OP2_CHECK)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    back = warc_dictionary.archive_and_read(table(spark, folder, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op3_secret_randomness")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.digests(secret_scan.find_secrets(table(spark, folder, "documents")))
