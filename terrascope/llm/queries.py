@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrascope.llm import circulant_minhash, dp_packing, entropy_mix, line_cleaning, secret_scan, warc_dictionary
+from terrascope.llm import circulant_minhash, dp_packing, entropy_mix, kmeans_tree, line_cleaning, secret_scan, warc_dictionary
 from terrascope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.digests(secret_scan.find_secrets(table(spark, folder, "documents")))
 
 
+@query("op4_kmeans_tree")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return kmeans_tree.search(table(spark, folder, "embeddings"))
+
+
 @query("op8_line_cleaning")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = line_cleaning.clean_lines(table(spark, folder, "documents"))
