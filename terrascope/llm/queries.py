@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrascope.llm import circulant_minhash, dp_packing, entropy_mix, kmeans_tree, line_cleaning, secret_scan, warc_dictionary
+from terrascope.llm import circulant_minhash, dp_packing, entropy_mix, kmeans_tree, license_spans, line_cleaning, secret_scan, warc_dictionary, weak_quality
 from terrascope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,16 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return kmeans_tree.search(table(spark, folder, "embeddings"))
 
 
+@query("op6_license_spans")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return license_spans.scan(table(spark, folder, "documents"))
+
+
+@query("op7_weak_quality")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return weak_quality.score(table(spark, folder, "documents"))
+
+
 @query("op8_line_cleaning")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = line_cleaning.clean_lines(table(spark, folder, "documents"))
