@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrascope.llm import circulant_minhash, dp_packing, entropy_mix, kmeans_tree, license_spans, line_cleaning, secret_scan, warc_dictionary, weak_quality
+from terrascope.llm import circulant_minhash, dp_packing, entropy_mix, kmeans_tree, lattice_score, license_spans, line_cleaning, secret_scan, warc_dictionary, weak_quality
 from terrascope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return kmeans_tree.search(table(spark, folder, "embeddings"))
 
 
+@query("op5_lattice_score")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice_score.score(table(spark, folder, "documents"))
+
+
 @query("op6_license_spans")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return license_spans.scan(table(spark, folder, "documents"))
