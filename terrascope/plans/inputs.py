@@ -20,9 +20,9 @@ ORDERS_PER_FRAME = 250
 
 DERIVED: dict[str, str] = {}
 
-# Camera frames and labelled scans: two time series of one event stream.
-DERIVED["fx_frames"] = "select event_id as frame_id, ts from {events} where event_type = 'view'"
-DERIVED["fx_scans"] = "select event_id as scan_id, ts from {events} where event_type = 'error'"
+# Camera frames and labelled scans: two time series of one event stream, which together hold all of it.
+DERIVED["fx_frames"] = "select event_id as frame_id, ts from {events} where event_type in ('view', 'click', 'purchase')"
+DERIVED["fx_scans"] = "select event_id as scan_id, ts from {events} where event_type not in ('view', 'click', 'purchase')"
 
 # Frame-to-scan alignment: two neighbours share a scan, every 17th frame is unmatched.
 DERIVED["fx_alignment"] = """

@@ -10,7 +10,7 @@ from terrascope.plans.frame_queries import NEAREST, TOLERANCE_S
 from terrascope.plans.inputs import DERIVED, Inputs
 from terrascope.plans.registry import query
 from terrascope.streaming import operators as so
-from terrascope.streaming.run import file_stream, run_append, run_update
+from terrascope.streaming.run import file_stream, run_append, run_update, stream_session
 
 CLASS_COUNT, ALPHA, SCALE, SWITCH = 6, 0.3, 4.0, 1.505
 
@@ -18,13 +18,17 @@ OBS = f"""ob as (select point_id, target, conf, row_number() over (partition by
   from {{fx_observations}} where target between 1 and {CLASS_COUNT - 1} and conf > 0)"""
 
 
-def event_stream(t: Inputs) -> DataFrame:
-    return file_stream(t.spark, t.folder, "events", t["events"].schema)
+def event_streams(t: Inputs, *names: str) -> list[DataFrame]:
+    """Derived tables over the event stream, all in one session of their own."""
+    session = stream_session(t.spark)
+    events = file_stream(session, t.folder, "events", t["events"].schema)
+    return [session.sql(DERIVED[n], events=events) if n in DERIVED else events for n in names]
 
 
-def observation_stream(t: Inputs) -> DataFrame:
-    """The derived observations over the event stream."""
-    return t.spark.sql(DERIVED["fx_observations"], events=event_stream(t))
+def delay(t: Inputs) -> str:
+    """Files may come in any order, so a row may be as late as the table is long."""
+    longest = t["events"].agg(F.max("ts").cast("timestamp").cast("long") - F.min("ts").cast("timestamp").cast("long")).first()[0]
+    return f"{(longest or 0) + 2} seconds"
 
 
 # --- class state ------------------------------------------------------------------------
@@ -39,7 +43,8 @@ def _(t: Inputs) -> DataFrame:
 
 @query("observation_ema_stream", "point_id:i class_id:i logit:d", EMA)
 def _(t: Inputs) -> DataFrame:
-    emitted = run_append(so.observation_ema(observation_stream(t), CLASS_COUNT, ALPHA, SCALE), "ema", rocksdb=True)
+    (observations,) = event_streams(t, "fx_observations")
+    emitted = run_append(so.observation_ema(observations, CLASS_COUNT, ALPHA, SCALE, delay(t)), "ema")
     rows = so.latest_state(emitted).select("point_id", F.posexplode("logits").alias("class_id", "logit"))
     return rows.where(F.col("logit") > 0)
 
@@ -58,7 +63,8 @@ def _(t: Inputs) -> DataFrame:
 @query("evidence_stream", "point_id:i class_id:i evidence:d support_max:d", EVIDENCE + "select * from e")
 def _(t: Inputs) -> DataFrame:
     """Update mode: the last batch that touched a point and class holds its total."""
-    written = run_update(so.evidence(observation_stream(t), CLASS_COUNT), "evidence")
+    (observations,) = event_streams(t, "fx_observations")
+    written = run_update(so.evidence(observations, CLASS_COUNT), "evidence")
     return written.groupBy("point_id", "class_id").agg(
         F.max_by("evidence", "batch").alias("evidence"), F.max_by("support_max", "batch").alias("support_max")
     )
@@ -96,8 +102,8 @@ def _(t: Inputs) -> DataFrame:
 
 @query("observation_switch_stream", SWITCH_SHAPE, SWITCHED)
 def _(t: Inputs) -> DataFrame:
-    stream = so.observation_switch(observation_stream(t), CLASS_COUNT, ALPHA, SCALE, SWITCH)
-    return so.latest_state(run_append(stream, "switch", rocksdb=True))
+    (observations,) = event_streams(t, "fx_observations")
+    return so.latest_state(run_append(so.observation_switch(observations, CLASS_COUNT, ALPHA, SCALE, SWITCH, delay(t)), "switch"))
 
 
 @query("support_max", "point_id:i support:d", f"with {OBS} select point_id, max(conf) as support from ob group by point_id")
@@ -164,25 +170,24 @@ def _(t: Inputs) -> DataFrame:
 
 @query("frame_ingest_stream", "frame_id:i is_keyframe:b", "select frame_id, frame_id % 5 = 4 as is_keyframe from {fx_frames}")
 def _(t: Inputs) -> DataFrame:
-    frames = event_stream(t).where(F.col("event_type") == "view").select(F.col("event_id").alias("frame_id"), "ts")
+    (frames,) = event_streams(t, "fx_frames")
     return run_append(so.frame_ingest(frames, 5, 4).select("frame_id", "is_keyframe"), "frames")
 
 
-@query("stream_scan_match", "frame_id:i scan_id:i gap_s:d", f"with {NEAREST} select * from nm where scan_id >= 0")
+@query("stream_scan_match", "frame_id:i scan_id:i gap_s:d", f"with {NEAREST} select frame_id, scan_id, case when scan_id >= 0 then gap_s end as gap_s from nm")
 def _(t: Inputs) -> DataFrame:
-    events = event_stream(t)
-    frames = events.where(F.col("event_type") == "view").select(F.col("event_id").alias("frame_id"), "ts")
-    scans = events.where(F.col("event_type") == "error").select(F.col("event_id").alias("scan_id"), "ts")
-    return so.closest_pairs(run_append(so.scan_pairs(frames, scans, TOLERANCE_S), "pairs"))
+    frames, scans = event_streams(t, "fx_frames", "fx_scans")
+    return so.closest_pairs(run_append(so.scan_pairs(frames, scans, TOLERANCE_S, delay(t)), "pairs"))
 
 
 @query(
     "stream_frame_metrics", "window_start:i event_type:s frames:i total:d largest:d",
     """select epoch(time_bucket(interval 6 hours, ts, timestamp '1970-01-01'))::bigint as window_start, event_type, count(*) as frames, sum(value) as total, max(value) as largest from {events}
-    where time_bucket(interval 6 hours, ts, timestamp '1970-01-01') + interval 6 hours <= (select max(ts) - interval 1 hour from {events})
     group by time_bucket(interval 6 hours, ts, timestamp '1970-01-01'), event_type""",
 )
 def _(t: Inputs) -> DataFrame:
-    """Windows closed by the watermark; the last, open ones are not emitted."""
-    closed = run_append(so.frame_metrics(event_stream(t)), "metrics")
-    return closed.withColumn("window_start", F.unix_seconds("window_start"))
+    """The last batch that touched a window holds its counters."""
+    (events,) = event_streams(t, "events")
+    written = run_update(so.frame_metrics(events, delay(t)), "metrics")
+    last = written.groupBy("window_start", "event_type").agg(F.max_by(F.struct("frames", "total", "largest"), "batch").alias("s"))
+    return last.select(F.unix_seconds("window_start").alias("window_start"), "event_type", "s.*")

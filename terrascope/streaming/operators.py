@@ -24,99 +24,135 @@ def valid_observations(observations: DataFrame, class_count: int) -> DataFrame:
     return observations.where(valid).withColumn("conf", clip(F.col("conf"), 0.0, 1.0))
 
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """A point's rows of one micro-batch in observation order; the batch size bounds them."""
-    return pd.concat(list(rows), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
+class InOrder(StatefulProcessor):
+    """A fold over one point's observations in time order, whatever batches they come in.
 
+    Observations that the watermark has not passed wait in the state. Those that it has
+    passed are folded into the point's value for good; the others are folded, in order,
+    into what is emitted. So the last emission of a point is the value after all its
+    observations, if none came later than the delay. The delay bounds what waits.
+    """
 
-class EmaState(StatefulProcessor):
-    """Class vector of one point, updated by every valid observation."""
-
-    def __init__(self, class_count: int, alpha: float, scale: float):
-        self.class_count, self.alpha, self.scale = class_count, alpha, scale
+    value_type = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("ema", "seen bigint, logits array<double>")
+        self.value = handle.getValueState("value", self.value_type)
+        self.waiting = handle.getListState("waiting", "us bigint, seq bigint, target int, conf double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seen, logits = 0, np.zeros(self.class_count)
-        if self.state.exists():
-            stored = self.state.get()
-            seen, logits = int(stored[0]), np.asarray(stored[1], dtype=float)
-        batch = _in_order(rows)
-        for target, conf in zip(batch["target"], batch["conf"]):
-            logits = (1.0 - self.alpha) * logits
-            logits[int(target)] += self.alpha * conf * self.scale
-            seen += 1
-        self.state.update((seen, [float(v) for v in logits]))
-        yield pd.DataFrame({"point_id": [int(key[0])], "seen": [seen], "logits": [[float(v) for v in logits]]})
+        value = self.load(self.value.get()) if self.value.exists() else self.first()
+        names = ["us", "seq", "target", "conf"]
+        waited = list(self.waiting.get()) if self.waiting.exists() else []
+        kept = [pd.DataFrame(waited, columns=names)] if waited else []
+        batch = pd.concat([*kept, *[r[names] for r in rows]], ignore_index=True).sort_values(["us", "seq"], kind="stable")
+        us, target, conf = batch["us"].to_numpy("int64"), batch["target"].to_numpy("int64"), batch["conf"].to_numpy("float64")
+        done = int(np.searchsorted(us, timerValues.getCurrentWatermarkInMs() * 1000))
+        if done:
+            value = self.fold(value, target[:done], conf[:done])
+            self.value.update(self.save(value))
+        rest = list(zip(us[done:].tolist(), batch["seq"].astype("int64").tolist()[done:], target[done:].tolist(), conf[done:].tolist()))
+        self.waiting.put(rest) if rest else self.waiting.clear()
+        yield self.emit(int(key[0]), self.fold(value, target[done:], conf[done:]))
 
     def close(self) -> None:
         pass
 
 
-class SwitchState(StatefulProcessor):
-    """Class with hysteresis: label, strength, pending label and its support."""
+def _decayed(alpha: float, n: int) -> np.ndarray:
+    """Weights of ``n`` observations in order, the last one undamped."""
+    return (1.0 - alpha) ** np.arange(n - 1, -1, -1)
+
+
+class EmaState(InOrder):
+    """Class vector of one point, updated by every valid observation."""
+
+    value_type = "seen bigint, logits array<double>"
+
+    def __init__(self, class_count: int, alpha: float, scale: float):
+        self.class_count, self.alpha, self.scale = class_count, alpha, scale
+
+    def first(self) -> tuple:
+        return 0, np.zeros(self.class_count)
+
+    def load(self, stored) -> tuple:
+        return int(stored[0]), np.asarray(stored[1], dtype=float)
+
+    def save(self, value: tuple) -> tuple:
+        return value[0], value[1].tolist()
+
+    def fold(self, value: tuple, target: np.ndarray, conf: np.ndarray) -> tuple:
+        n = len(target)
+        gained = np.bincount(target, self.alpha * self.scale * conf * _decayed(self.alpha, n), self.class_count)
+        return value[0] + n, (1.0 - self.alpha) ** n * value[1] + gained
+
+    def emit(self, point_id: int, value: tuple) -> pd.DataFrame:
+        return pd.DataFrame({"point_id": [point_id], "seen": [value[0]], "logits": [value[1].tolist()]})
+
+
+class SwitchState(InOrder):
+    """Class with hysteresis: label, strength, pending label and its support; folded by runs of one target."""
+
+    value_type = "seen bigint, label int, strength double, pending int, support double"
 
     def __init__(self, alpha: float, scale: float, switch_support: float):
         self.alpha, self.scale, self.switch_support = alpha, scale, switch_support
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState(
-            "switch", "seen bigint, label int, strength double, pending int, support double"
-        )
+    def first(self) -> tuple:
+        return 0, 0, 0.0, 0, 0.0
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seen, label, strength, pending, support = 0, 0, 0.0, 0, 0.0
-        if self.state.exists():
-            seen, label, strength, pending, support = self.state.get()
-        batch = _in_order(rows)
-        for target, conf in zip(batch["target"], batch["conf"]):
-            seen += 1
-            if abs(strength) <= 1e-6 or label == target:
-                label, strength = int(target), (1.0 - self.alpha) * strength + self.alpha * conf * self.scale
-                pending, support = 0, 0.0
+    def load(self, stored) -> tuple:
+        return tuple(stored)
+
+    def save(self, value: tuple) -> tuple:
+        return int(value[0]), int(value[1]), float(value[2]), int(value[3]), float(value[4])
+
+    def _raised(self, strength: float, conf: np.ndarray) -> float:
+        return float((1.0 - self.alpha) ** len(conf) * strength + (self.alpha * self.scale * conf * _decayed(self.alpha, len(conf))).sum())
+
+    def fold(self, value: tuple, target: np.ndarray, conf: np.ndarray) -> tuple:
+        seen, label, strength, pending, support = value
+        cuts = np.flatnonzero(np.diff(target)) + 1
+        for run, confs in zip(np.split(target, cuts), np.split(conf, cuts)):
+            if not len(run):
+                continue
+            seen, kind = seen + len(run), int(run[0])
+            if abs(strength) <= 1e-6 or label == kind:
+                label, strength, pending, support = kind, self._raised(strength, confs), 0, 0.0
                 continue
-            support = support + conf if pending == target else conf
-            pending = int(target)
-            if support >= self.switch_support:
-                label, strength, pending, support = int(target), conf * self.scale, 0, 0.0
-        self.state.update((int(seen), int(label), float(strength), int(pending), float(support)))
-        yield pd.DataFrame(
-            {
-                "point_id": [int(key[0])], "seen": [int(seen)], "label": [int(label)], "strength": [float(strength)],
-                "pending_label": [int(pending)], "pending_support": [float(support)],
-            }
-        )
+            sums = np.cumsum(np.r_[support if pending == kind else 0.0, confs])[1:]
+            at = int(np.searchsorted(sums, self.switch_support))
+            if at == len(run):
+                pending, support = kind, float(sums[-1])
+            else:
+                label, strength, pending, support = kind, self._raised(float(confs[at]) * self.scale, confs[at + 1 :]), 0, 0.0
+        return seen, label, strength, pending, support
 
-    def close(self) -> None:
-        pass
+    def emit(self, point_id: int, value: tuple) -> pd.DataFrame:
+        names = ["seen", "label", "strength", "pending_label", "pending_support"]
+        return pd.DataFrame({"point_id": [point_id]} | {n: [v] for n, v in zip(names, self.save(value))})
 
 
-def observation_ema(observations: DataFrame, class_count: int, alpha: float, scale: float) -> DataFrame:
-    return (
-        valid_observations(observations, class_count)
-        .select("point_id", "ts", "seq", "target", "conf")
-        .groupBy("point_id")
-        .transformWithStateInPandas(
-            EmaState(class_count, alpha, scale), "point_id bigint, seen bigint, logits array<double>", "Append", "None"
-        )
+def _by_point(observations: DataFrame, class_count: int, delay: str):
+    rows = valid_observations(observations, class_count).withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", delay)
+    return rows.select("point_id", "event_time", F.unix_micros("event_time").alias("us"), "seq", "target", "conf").groupBy("point_id")
+
+
+def observation_ema(observations: DataFrame, class_count: int, alpha: float, scale: float, delay: str) -> DataFrame:
+    """State of every point after each batch. ``delay``: how late an observation may come."""
+    return _by_point(observations, class_count, delay).transformWithStateInPandas(
+        EmaState(class_count, alpha, scale), "point_id bigint, seen bigint, logits array<double>", "Append", "EventTime"
     )
 
 
 def observation_switch(
-    observations: DataFrame, class_count: int, alpha: float, scale: float, switch_support: float
+    observations: DataFrame, class_count: int, alpha: float, scale: float, switch_support: float, delay: str
 ) -> DataFrame:
-    return (
-        valid_observations(observations, class_count)
-        .select("point_id", "ts", "seq", "target", "conf")
-        .groupBy("point_id")
-        .transformWithStateInPandas(
-            SwitchState(alpha, scale, switch_support),
-            "point_id bigint, seen bigint, label int, strength double, pending_label int, pending_support double",
-            "Append",
-            "None",
-        )
+    """State of every point after each batch. ``delay``: how late an observation may come."""
+    return _by_point(observations, class_count, delay).transformWithStateInPandas(
+        SwitchState(alpha, scale, switch_support),
+        "point_id bigint, seen bigint, label int, strength double, pending_label int, pending_support double",
+        "Append",
+        "EventTime",
     )
 
 
@@ -135,8 +171,8 @@ def evidence(observations: DataFrame, class_count: int) -> DataFrame:
     )
 
 
-def scan_pairs(frames: DataFrame, scans: DataFrame, tolerance_s: float, delay: str = "1 hour") -> DataFrame:
-    """Frame and scan pairs within the tolerance from two unbounded inputs.
+def scan_pairs(frames: DataFrame, scans: DataFrame, tolerance_s: float, delay: str) -> DataFrame:
+    """Frame and scan pairs within the tolerance from two unbounded inputs, and every frame once without a scan.
 
     The join needs an equality: scans sit in tolerance-wide time buckets and a frame
     looks into its own and both neighbours. Watermarks bound the kept state.
@@ -154,21 +190,22 @@ def scan_pairs(frames: DataFrame, scans: DataFrame, tolerance_s: float, delay: s
         f"bucket = scan_bucket and scan_ts >= frame_ts - interval {width} microseconds "
         f"and scan_ts <= frame_ts + interval {width} microseconds"
     )
-    return left.join(right, near).select("frame_id", "frame_ts", "scan_id", "scan_ts")
+    none = frames.select("frame_id", F.col("ts").cast("timestamp").alias("frame_ts"), F.lit(None).cast("bigint").alias("scan_id"), F.lit(None).cast("timestamp").alias("scan_ts"))
+    return left.join(right, near).select("frame_id", "frame_ts", "scan_id", "scan_ts").union(none)
 
 
 def closest_pairs(pairs: DataFrame) -> DataFrame:
-    """Nearest scan of each frame, the earlier one on a tie."""
+    """Nearest scan of each frame, the earlier one on a tie; -1 without a gap if there is none."""
     gap = F.unix_micros("scan_ts") - F.unix_micros("frame_ts")
     # Of equal earlier instants the last scan counts, of equal later ones the first.
     rank = F.struct(F.abs(gap).alias("a"), F.col("scan_ts").alias("b"), F.when(gap < 0, -F.col("scan_id")).otherwise(F.col("scan_id")).alias("c"))
     return pairs.groupBy("frame_id").agg(
-        F.min_by("scan_id", rank).alias("scan_id"), (F.min(F.abs(gap)) / 1e6).alias("gap_s")
+        F.coalesce(F.min_by("scan_id", F.when(F.col("scan_id").isNotNull(), rank)), F.lit(-1)).alias("scan_id"), (F.min(F.abs(gap)) / 1e6).alias("gap_s")
     )
 
 
-def frame_metrics(events: DataFrame, window: str = "6 hours", delay: str = "1 hour") -> DataFrame:
-    """Counters per tumbling window and kind; a window appears once it is closed."""
+def frame_metrics(events: DataFrame, delay: str, window: str = "6 hours") -> DataFrame:
+    """Counters per tumbling window and kind, open windows too: in update mode the last emission counts."""
     return (
         events.withColumn("event_time", F.col("ts").cast("timestamp"))
         .withWatermark("event_time", delay)

@@ -2,66 +2,64 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from terrascope.session import shared_path
+from terrascope.session import remove, shared_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Settings that a stream's own session takes over from the session that starts it.
+TAKEN_OVER = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone")
 
 
-def file_stream(spark: SparkSession, folder: str, name: str, schema: StructType, files_per_batch: int = 64) -> DataFrame:
-    """Stream of one table's files; the batch size bounds what a task holds at once."""
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .option("pathGlobFilter", f"{name}*.parquet")
-        .parquet(folder)
-    )
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session for streams alone, so that their settings never reach other queries.
+
+    The number of state partitions is the configured number of shuffle partitions; a
+    checkpoint keeps it, whatever cluster resumes the stream.
+    """
+    session = spark.newSession()
+    for name in TAKEN_OVER:
+        if (value := spark.conf.get(name, None)) is not None:
+            session.conf.set(name, value)
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    session.conf.set("spark.sql.streaming.numRecentProgressUpdates", "100000")
+    return session
 
 
-def _state_partitions(spark: SparkSession) -> str:
-    """State is spread over the session's partitions, at most twice the cores at hand."""
-    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return str(min(wanted, 2 * spark.sparkContext.defaultParallelism))
+def file_stream(session: SparkSession, folder: str, name: str, schema: StructType, files_per_batch: int = 64) -> DataFrame:
+    """Stream of one table, whether ``name.parquet`` is a file or a folder of part files."""
+    only = f"{folder}/{name[:-1]}[{name[-1]}].parquet"  # a pattern, which a file or a folder can match
+    return session.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(only)
 
 
-def _with_settings(spark: SparkSession, settings: dict[str, str], run: Callable[[], None]) -> None:
-    before = {name: spark.conf.get(name, None) for name in settings}
-    for name, value in settings.items():
-        spark.conf.set(name, value)
-    try:
-        run()
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+def _finish(query: StreamingQuery) -> None:
+    """Wait for the end; rows that came later than the stated delay are an error, not a smaller result."""
+    query.awaitTermination()
+    late = sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+    if late:
+        raise RuntimeError(f"{late} rows came after the watermark had passed them; state a longer delay")
 
 
-def run_append(stream: DataFrame, label: str, rocksdb: bool = False) -> DataFrame:
+def run_append(stream: DataFrame, label: str) -> DataFrame:
     """Process everything available into Parquet files and read them back.
 
     Checkpoint and output live in the shared folder, so a lost executor or a restart
-    resumes from the last committed batch.
+    resumes from the last committed batch. The checkpoint goes once the stream is done.
     """
     spark = stream.sparkSession
     base = shared_path(spark, label)
-    settings = {"spark.sql.shuffle.partitions": _state_partitions(spark)} | ({PROVIDER: ROCKSDB} if rocksdb else {})
-
-    def run() -> None:
-        (
-            stream.writeStream.format("parquet")
-            .outputMode("append")
-            .option("path", f"{base}/data")
-            .option("checkpointLocation", f"{base}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-            .awaitTermination()
-        )
-
-    _with_settings(spark, settings, run)
+    query = (
+        stream.writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", f"{base}/data")
+        .option("checkpointLocation", f"{base}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    _finish(query)
+    remove(spark, f"{base}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
 
 
@@ -76,15 +74,13 @@ def run_update(stream: DataFrame, label: str) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/data/batch={number}")
 
-    def run() -> None:
-        (
-            stream.writeStream.outputMode("update")
-            .foreachBatch(write)
-            .option("checkpointLocation", f"{base}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-            .awaitTermination()
-        )
-
-    _with_settings(spark, {"spark.sql.shuffle.partitions": _state_partitions(spark)}, run)
+    query = (
+        stream.writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", f"{base}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    _finish(query)
+    remove(spark, f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/data")

@@ -3,9 +3,9 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parents[1] / "tools")]
 
-from terrascope.session import local_session  # noqa: E402
+from terrascope.session import clear, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,4 +13,5 @@ def spark():
     session = local_session("8", 4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear(session)
     session.stop()
