@@ -1,5 +1,6 @@
 """Numeric expectations of the evaluation operators on hand-made tables."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,40 +9,88 @@ from terrascope.operators import resample as rs
 from terrascope.operators.frames import disjoint_scan_split
 
 
+CLASSES = [3, 4, 6, 7, 9]
+
+
 def test_split_precedence(spark):
-    rows = [(4, 100), (5, 100), (6, 101), (7, -1), (8, 102), (9, 103)]
+    """Seventy frames, three to a scan, some without one."""
+    rows = [(f, -1 if f % 11 == 3 else f // 3) for f in range(70)]
+    held_by_training = {scan for f, scan in rows if f % 6 == 2 and scan >= 0}
+    named = {True: lambda scan: "train", False: lambda scan: "unmatched" if scan < 0 else "shared_scan_excluded" if scan in held_by_training else "heldout"}
+    expected = {f: named[f % 6 == 2](scan) for f, scan in rows}
     table = spark.createDataFrame(rows, "frame_index int, label_scan_index int")
-    got = {r.frame_index: r.split for r in disjoint_scan_split(table, 5, 4).collect()}
-    assert got == {4: "train", 5: "shared_scan_excluded", 6: "heldout", 7: "unmatched", 8: "heldout", 9: "train"}
+    assert {r.frame_index: r.split for r in disjoint_scan_split(table, 6, 2).collect()} == expected
+    assert len(set(expected.values())) == 4
+
+
+class Rasters:
+    """Three frames of 17 x 11 pixels in ragged regions, with counts worked out by numpy."""
+
+    def __init__(self) -> None:
+        rng = np.random.default_rng(19)
+        v, u = np.mgrid[0:11, 0:17]
+        self.region = np.stack([(u + shift) // 5 + 4 * (v // 4) for shift in (0, 2, 3)])
+        self.region[rng.random(self.region.shape) < 0.12] = -1
+        self.ref = np.array(CLASSES)[(self.region * 7 + rng.integers(0, 3, self.region.shape)) % len(CLASSES)]
+
+    def rows(self):
+        return [(f, int(u), int(v), int(self.region[f, v, u]), int(self.ref[f, v, u])) for f, v, u in np.ndindex(*self.region.shape)]
+
+    def majority(self, frame, region):
+        counts = [int((self.ref[frame][self.region[frame] == region] == c).sum()) for c in CLASSES]
+        return CLASSES[int(np.argmax(counts))], max(counts), sum(counts)
+
+    def oracle(self):
+        out = np.zeros_like(self.ref)
+        for f in range(len(out)):
+            for region in set(self.region[f].ravel()) - {-1}:
+                out[f][self.region[f] == region] = self.majority(f, region)[0]
+        return out
+
+
+@pytest.fixture(scope="module")
+def rasters():
+    return Rasters()
 
 
 @pytest.fixture(scope="module")
-def small_regions(spark):
-    segmentation, reference = [[0, 0, 1], [-1, 1, 1]], [[1, 1, 2], [2, 1, 2]]
-    rows = [(0, u, v, segmentation[v][u], reference[v][u]) for v in range(2) for u in range(3)]
-    return spark.createDataFrame(rows, "frame_index int, u int, v int, region int, ref int").cache()
-
-
-def test_majority_oracle_and_diagnostics(small_regions):
-    oracle = ev.region_majority_oracle(small_regions, small_regions, [1, 2]).collect()
-    assert {(r.u, r.v): r.oracle for r in oracle} == {(0, 0): 1, (1, 0): 1, (2, 0): 2, (0, 1): 0, (1, 1): 2, (2, 1): 2}
-    counts = ev.region_counts(small_regions, [1, 2])
-    per_class = {r.class_id: r for r in ev.oracle_per_class(counts, [1, 2]).collect()}
-    assert (per_class[1].reference_pixels, per_class[1].covered_pixels, per_class[1].correct_pixels) == (3, 3, 2)
-    assert (per_class[2].reference_pixels, per_class[2].covered_pixels, per_class[2].correct_pixels) == (3, 2, 2)
-    assert per_class[2].covered_accuracy == 1.0 and per_class[2].recall == pytest.approx(2 / 3)
-    purity = ev.region_purity(counts).first()
-    assert purity.assigned_regions == 2
-    assert purity.mean_region_purity == pytest.approx((1 + 2 / 3) / 2)
-    assert purity.pixel_weighted_region_purity == pytest.approx(4 / 5)
-
-
-def test_oracle_totals_over_splits(spark, small_regions):
-    splits = spark.createDataFrame([(0, "heldout")], "frame_index int, split string")
-    rows = ev.oracle_by_split(ev.region_counts(small_regions, [1, 2]), splits, [1, 2]).collect()
-    assert {r.split for r in rows} == {"all", "heldout"}
-    two = next(r for r in rows if r.split == "all" and r.class_id == 2)
-    assert (two.uncovered_pixels, two.covered_wrong_pixels, two.assigned_regions) == (1, 0, 1)
+def pixels(spark, rasters):
+    return spark.createDataFrame(rasters.rows(), "frame_index int, u int, v int, region int, ref int").cache()
+
+
+def test_majority_oracle_and_diagnostics(rasters, pixels):
+    expected = rasters.oracle()
+    got = ev.region_majority_oracle(pixels, pixels, CLASSES).collect()
+    assert len(got) == expected.size and all(r.oracle == expected[r.frame_index, r.v, r.u] for r in got)
+    counts = ev.region_counts(pixels, CLASSES)
+    per_class = {(r.frame_index, r.class_id): r for r in ev.oracle_per_class(counts, CLASSES, ["frame_index"]).collect()}
+    for f in range(3):
+        for c in CLASSES:
+            here, covered = rasters.ref[f] == c, rasters.region[f] >= 0
+            right = here & (expected[f] == c)
+            row = per_class[f, c]
+            assert (row.reference_pixels, row.covered_pixels, row.correct_pixels) == (here.sum(), (here & covered).sum(), right.sum())
+            assert row.recall == (pytest.approx(right.sum() / here.sum()) if here.any() else None)
+    purity = {r.frame_index: r for r in ev.region_purity(counts).collect()}
+    for f in range(3):
+        found = [rasters.majority(f, r)[1:] for r in set(rasters.region[f].ravel()) - {-1}]
+        assert purity[f].assigned_regions == len(found)
+        assert purity[f].mean_region_purity == pytest.approx(np.mean([n / total for n, total in found]))
+        assert purity[f].pixel_weighted_region_purity == pytest.approx(sum(n for n, _ in found) / sum(t for _, t in found))
+
+
+def test_oracle_totals_over_splits(spark, rasters, pixels):
+    splits = {0: "heldout", 1: "train", 2: "heldout"}
+    table = spark.createDataFrame(list(splits.items()), "frame_index int, split string")
+    rows = {(r.split, r.class_id): r for r in ev.oracle_by_split(ev.region_counts(pixels, CLASSES), table, CLASSES).collect()}
+    assert {k for k, _ in rows} == {"all", "heldout", "train"}
+    expected = rasters.oracle()
+    for split, frames in {"all": [0, 1, 2], "heldout": [0, 2], "train": [1]}.items():
+        for c in CLASSES:
+            here, bare = rasters.ref[frames] == c, rasters.region[frames] < 0
+            row = rows[split, c]
+            assert row.uncovered_pixels == (here & bare).sum()
+            assert row.covered_wrong_pixels == (here & ~bare & (expected[frames] != c)).sum()
 
 
 def test_unknown_counts_as_error(spark):
@@ -53,12 +102,14 @@ def test_unknown_counts_as_error(spark):
     assert [[matrix[c, p] for p in (0, 1, 2)] for c in (1, 2)] == [[0, 1, 0], [1, 0, 0]]
 
 
-def test_region_lookup_keeps_uncovered_pixels(spark, small_regions):
-    scores = spark.createDataFrame([(0, 0, [0.9, 0.1]), (0, 1, [0.2, 0.8])], "frame_index int, region int, scores array<double>")
-    got = {(r.u, r.v): (r.covered, r.scores) for r in ev.region_to_pixel(small_regions, scores, 2).collect()}
-    assert got[0, 1] == (False, [0.0, 0.0]) and got[2, 0] == (True, [0.2, 0.8])
+def test_region_lookup_keeps_uncovered_pixels(spark, rasters, pixels):
+    found = sorted({(f, r) for f, _, _, r, _ in rasters.rows() if r >= 0})
+    vectors = {k: [k[0] + 0.5, k[1] / 8.0] for k in found}
+    scores = spark.createDataFrame([(*k, v) for k, v in vectors.items()], "frame_index int, region int, scores array<double>")
+    for r in ev.region_to_pixel(pixels, scores, 2).collect():
+        assert (r.covered, r.scores) == ((True, vectors[r.frame_index, r.region]) if r.region >= 0 else (False, [0.0, 0.0]))
     with pytest.raises(Exception, match="missing region feature"):
-        ev.region_to_pixel(small_regions, scores.where("region = 0"), 2).collect()
+        ev.region_to_pixel(pixels, scores.where("not (frame_index = 1 and region = 5)"), 2).collect()
 
 
 def test_absent_class_stays_out_of_macro_iou(spark):
@@ -127,7 +178,14 @@ def test_bootstrap_is_deterministic_and_paired(spark):
 
 
 def test_area_order(spark):
-    rows = [(0, "s", 10.0), (0, "m", 20.0), (0, "l", 30.0), (1, "s", 40.0), (1, "m", 20.0), (1, "l", 30.0)]
-    got = ev.area_order_audit(spark.createDataFrame(rows, "frame_index int, level string, area_median double")).first()
-    assert (got.ordered_frames, got.frames_tested, got.ordered_fraction) == (1, 2, 0.5)
-    assert (got.median_s, got.median_m, got.median_l) == (25.0, 20.0, 30.0)
+    """Fifty frames of four levels, one of them missing once."""
+    levels, rng = ("fine", "mid", "wide", "all"), np.random.default_rng(23)
+    areas = np.sort(rng.integers(5, 4000, (50, 4)), axis=1).astype(float)
+    areas[::3] = rng.permuted(areas[::3], axis=1)
+    rows = [(f, level, float(areas[f, k])) for f in range(50) for k, level in enumerate(levels) if (f, k) != (7, 2)]
+    got = ev.area_order_audit(spark.createDataFrame(rows, "frame_index int, level string, area_median double"), levels).first()
+    ordered = sum(bool((np.diff(areas[f]) >= 0).all()) for f in range(50) if f != 7)
+    assert (got.ordered_frames, got.frames_tested) == (ordered, 50) and got.ordered_fraction == pytest.approx(ordered / 50)
+    for k, level in enumerate(levels):
+        seen = [areas[f, k] for f in range(50) if (f, k) != (7, 2)]
+        assert got[f"median_{level}"] == pytest.approx(np.median(seen))

@@ -3,6 +3,7 @@
 import hashlib
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,12 +27,15 @@ def test_frame_index_of_names(spark):
 
 
 def test_joint_partition(spark):
-    horizontal, vertical = [[0, 0], [1, 1]], [[0, 1], [0, 1]]
-    rows = [(0, u, v, horizontal[v][u], vertical[v][u]) for v in range(2) for u in range(2)] + [(1, 0, 0, -1, -1), (1, 1, 0, -1, 3)]
-    table = spark.createDataFrame(rows, "frame_index int, u int, v int, a int, b int")
-    got = {(r.frame_index, r.u, r.v): r.joint for r in rg.joint_partition(table, ["a", "b"]).collect()}
-    assert [got[0, u, v] for v in range(2) for u in range(2)] == [0, 1, 2, 3]
-    assert got[1, 0, 0] == -1 and got[1, 1, 0] == 0
+    """Three random levels on two frames: ids follow the sorted distinct tuples of a frame."""
+    rng = np.random.default_rng(31)
+    levels = rng.integers(-1, 3, (2, 6, 9, 3))
+    rows = [(f, u, v, *levels[f, v, u].tolist()) for f, v, u in np.ndindex(2, 6, 9)]
+    table = spark.createDataFrame(rows, "frame_index int, u int, v int, low int, mid int, top int")
+    got = rg.joint_partition(table, ["low", "mid", "top"]).collect()
+    number = {f: {t: i for i, t in enumerate(sorted({r[3:] for r in rows if r[0] == f and max(r[3:]) >= 0}))} for f in range(2)}
+    assert len(got) == len(rows)
+    assert all(r.joint == number[r.frame_index].get((r.low, r.mid, r.top), -1) for r in got)
 
 
 def test_any_level(spark):
@@ -47,40 +51,28 @@ def masks(spark, boxes):
     return table, spark.createDataFrame(pixels, "frame_index int, mask_id int, u int, v int")
 
 
-def test_mask_nms_drops_duplicate(spark):
-    table, pixels = masks(spark, [(0, 0, 2, 2, 0.90), (0, 0, 2, 2, 0.80), (2, 2, 2, 2, 0.95)])
-    kept = rg.mask_nms(table, pixels, 0.8, 0.7, 0.5).where("keep").collect()
-    assert sorted(r.mask_id for r in kept) == [0, 2]
-
-
-def pairwise_nms(areas, shared, scores, iou_t, score_t, inner_t):
-    """All pairs in score order, as a matrix."""
-    order = sorted(range(len(scores)), key=lambda m: (-scores[m], m))
-    n = len(order)
-    iou, inner = [[0.0] * n for _ in range(n)], [[0.0] * n for _ in range(n)]
-    for i in range(n):
-        for j in range(i, n):
-            a, b = order[i], order[j]
-            s = shared[a][b]
-            iou[i][j] = s / (areas[a] + areas[b] - s)
-            f, g = s / areas[a], s / areas[b]
-            if f < 0.5 and g >= 0.85:
-                inner[i][j] = 1 - f * g
-            if f >= 0.85 and g < 0.5:
-                inner[j][i] = 1 - f * g
-    tests = [
-        [max([iou[i][j] for i in range(j)], default=0) <= iou_t for j in range(n)],
-        [scores[order[j]] > score_t for j in range(n)],
-        [max([inner[i][j] for i in range(j)], default=0) <= 1 - inner_t for j in range(n)],
-        [max([inner[i][j] for i in range(max(0, j - 1), n)]) <= 1 - inner_t for j in range(n)],
-    ]
-    for t in tests[1:]:
-        if not any(t):
-            t[:3] = [True] * min(3, n)
-    return {order[j] for j in range(n) if all(t[j] for t in tests)}
-
-
-def test_mask_nms_with_copies_equals_all_pairs(spark):
+def suppressed(shapes, scores, iou_t, score_t, inner_t):
+    """Masks that stay, from the sets of their pixels: every rule as a statement about one mask and its rivals."""
+    ranked = sorted(range(len(shapes)), key=lambda m: (-scores[m], m))
+    place = {m: i for i, m in enumerate(ranked)}
+
+    def lies_in(x, y):
+        """How well mask x is hidden in the much larger mask y, 0 if it is not."""
+        both = len(shapes[x] & shapes[y])
+        hidden = both >= 0.85 * len(shapes[x]) and both < 0.5 * len(shapes[y])
+        return 1 - both * both / (len(shapes[x]) * len(shapes[y])) if hidden else 0
+
+    better = {m: ranked[: place[m]] for m in ranked}
+    worse = {m: ranked[place[m] + 1 :] for m in ranked}
+    apart = {m for m in ranked if all(len(shapes[m] & shapes[o]) <= iou_t * len(shapes[m] | shapes[o]) for o in better[m])}
+    sure = {m for m in ranked if scores[m] > score_t}
+    free_above = {m for m in ranked if all(lies_in(m, o) <= 1 - inner_t for o in better[m])}
+    free_below = {m for m in ranked if all(lies_in(m, o) <= 1 - inner_t for o in worse[m] + better[m][-1:])}
+    rescued = [rule or set(ranked[:3]) for rule in (sure, free_above, free_below)]
+    return apart.intersection(*rescued)
+
+
+def test_mask_nms_equals_rules_on_sets(spark):
     import random
 
     random.seed(4)
@@ -89,18 +81,21 @@ def test_mask_nms_with_copies_equals_all_pairs(spark):
         chosen = [random.choice(boxes) for _ in range(14)] + boxes[:1] * 6
         scores = [random.randint(30, 99) / 100 for _ in chosen]
         table, pixels = masks(spark, [(*b, s) for b, s in zip(chosen, scores)])
-        sets = [{(u, v) for u in range(x, x + w) for v in range(y, y + h)} for x, y, w, h in chosen]
-        shared = [[len(p & q) for q in sets] for p in sets]
+        shapes = [{(u, v) for u in range(x, x + w) for v in range(y, y + h)} for x, y, w, h in chosen]
         limits = (0.6, [0.5, 0.995][trial % 2], [0.3, 0.8][trial // 2])
         got = {r.mask_id for r in rg.mask_nms(table, pixels, *limits).where("keep").collect()}
-        assert got == pairwise_nms([len(p) for p in sets], shared, scores, *limits)
+        assert got == suppressed(shapes, scores, *limits)
 
 
 def test_later_mask_overwrites(spark):
-    _, pixels = masks(spark, [(0, 0, 3, 3, 1), (1, 1, 1, 1, 1)])
-    painted = rg.paint_raster(pixels.withColumn("mask_order", F.col("mask_id")), 4, 3).collect()
-    got = {(r.u, r.v): r.region for r in painted}
-    assert got[1, 1] == 1 and got[0, 0] == 0 and got[3, 0] == -1 and len(got) == 12
+    rng = np.random.default_rng(37)
+    boxes = [(int(u), int(v), int(w), int(h), 1) for u, v, w, h in zip(rng.integers(0, 9, 12), rng.integers(0, 7, 12), rng.integers(1, 6, 12), rng.integers(1, 5, 12))]
+    _, pixels = masks(spark, boxes)
+    canvas = np.full((12, 15), -1)
+    for m, (u, v, w, h, _) in enumerate(boxes):
+        canvas[v : v + h, u : u + w] = m
+    painted = rg.paint_raster(pixels.withColumn("mask_order", F.col("mask_id")), 15, 12).collect()
+    assert len(painted) == canvas.size and all(r.region == canvas[r.v, r.u] for r in painted)
 
 
 def test_alignment_rules(spark):
