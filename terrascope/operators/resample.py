@@ -42,30 +42,26 @@ def bootstrap_replicates(
     """Pooled metrics of every replicate and stage.
 
     ``tallies`` has group_id, stage, stage_order, valid_pixels and the tally columns.
-    It is written once, so the pixels behind it are read once.
+    It is written once, so the pixels behind it are read once. Draws are made where the
+    replicates lie, without a shuffle; a draw meets its group's tallies, and each task
+    adds up its draws per replicate before they meet.
     """
     tallies = cut_lineage(tallies, "tallies")
     names = [*tally_columns(class_ids), "valid_pixels"]
     groups = tallies.select("group_id").distinct().withColumn("_b", F.shiftright("group_id", 12))
     numbered = with_positions(groups, [], "_b", [F.col("group_id")]).select("group_id", "position")
     count = groups.agg(F.count(F.lit(1)).alias("group_count"))
-    # One slot per group and replicate; the group's own position serves as the slot.
+    # As many draws as groups in every replicate.
     picks = (
-        attach(numbered, count)
-        .select(
-            F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"),
-            F.col("position").alias("slot"),
-            "group_count",
-        )
+        attach(tallies.sparkSession.range(replicates).withColumnRenamed("id", "replicate"), count)
+        .where("group_count > 0")
+        .select("replicate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("group_count") - 1)).alias("slot"), "group_count")
         .select("replicate", draw(F.col("replicate"), F.col("slot"), seed, F.col("group_count")).alias("position"))
-        .groupBy("replicate", "position")
-        .agg(F.count(F.lit(1)).alias("times"))
     )
     pooled = (
-        picks.join(numbered, "position")
-        .join(tallies, "group_id")
+        picks.join(numbered.join(tallies, "group_id"), "position")
         .groupBy("replicate", "stage", "stage_order")
-        .agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in names])
+        .agg(*[F.sum(c).alias(c) for c in names])
     )
     return scalar_metrics(pooled, class_ids, ["replicate", "stage", "stage_order"])
 

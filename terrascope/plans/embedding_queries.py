@@ -137,16 +137,16 @@ def _(t: Inputs) -> DataFrame:
 
 
 @query(
-    "query_raster_scores", "frame_index:i u:i v:i c1:d c2:d",
-    """select frame_index, u, v, greatest(q1, q2) / 65535.0 as c1, greatest(q3, q4) / 65535.0 as c2 from (select frame_index, u, v, round_even(s1 * 65535, 0) as q1, round_even(s2 * 65535, 0) as q2,
-      round_even(s3 * 65535, 0) as q3, round_even(s4 * 65535, 0) as q4 from {fx_scored}) x""",
+    "query_raster_scores", "frame_index:i u:i v:i c1:d c2:d c3:d",
+    """select frame_index, u, v, greatest(q1, q2) / 65535.0 as c1, greatest(q3, q4) / 65535.0 as c2, greatest(q5, q6) / 65535.0 as c3 from (select frame_index, u, v, round_even(s1 * 65535, 0) as q1, round_even(s2 * 65535, 0) as q2,
+      round_even(s3 * 65535, 0) as q3, round_even(s4 * 65535, 0) as q4, round_even(s5 * 65535, 0) as q5, round_even(s6 * 65535, 0) as q6 from {fx_scored}) x""",
 )
 def _(t: Inputs) -> DataFrame:
     """One row per query raster and pixel, 16-bit scores."""
-    rows = F.array(*[F.struct(F.lit(c).alias("query_id"), F.rint(F.col(f"s{c}") * 65535).cast("int").alias("score_u16")) for c in range(1, 5)])
+    rows = F.array(*[F.struct(F.lit(c).alias("query_id"), F.rint(F.col(f"s{c}") * 65535).cast("int").alias("score_u16")) for c in range(1, 7)])
     rasters = t["fx_scored"].select("frame_index", "u", "v", F.inline(rows))
-    scored = em.query_raster_scores(rasters, {1: [1, 2], 2: [3, 4]})
-    return scored.withColumn("c1", F.get("scores", F.lit(0))).withColumn("c2", F.get("scores", F.lit(1)))
+    scored = em.query_raster_scores(rasters, {1: [1, 2], 2: [3, 4], 3: [5, 6]})
+    return scored.withColumn("c1", F.get("scores", F.lit(0))).withColumn("c2", F.get("scores", F.lit(1))).withColumn("c3", F.get("scores", F.lit(2)))
 
 
 def scored_items(t: Inputs, b: em.PromptBank) -> DataFrame:
@@ -362,8 +362,8 @@ def _(t: Inputs) -> DataFrame:
     items = t["fx_regions"].select("vec_id", "frame_index", "feature")
     last = items.agg(F.max("frame_index").alias("last"))
     held = attach(items, last)
-    fit = held.where(F.col("frame_index") <= F.col("last") - 2).select("vec_id", "feature")
-    centers = em.codebook_kmeans(fit, "vec_id", 16, 5, 3407)
+    fit = held.where(F.col("frame_index") <= F.col("last") - 1).select("vec_id", "feature")
+    centers = em.codebook_kmeans(fit, "vec_id", 64, 25, 3407)
     assigned = em.assign_center(items.withColumn("feature", l2_normalize(F.col("feature"))), centers)
     return assigned.groupBy("center").agg(F.count(F.lit(1)).alias("members"), F.avg("similarity").alias("similarity_mean"))
 

@@ -17,7 +17,7 @@ from terrascope.plans.registry import query
 
 CLASSES = [1, 2, 3, 4, 5, 6]
 PERIOD, OFFSET = 5, 4
-REPLICATES, SEED = 100, 3407
+REPLICATES, SEED = 2000, 3407
 
 
 # --- Spark side -------------------------------------------------------------------
@@ -410,7 +410,7 @@ def _(t: Inputs) -> DataFrame:
 
 # --- calibration --------------------------------------------------------------------------
 
-SCORE_GRID, MARGIN_GRID = [0.0, 0.5, 0.7, 0.9], [0.0, 0.05, 0.1, 0.2]
+SCORE_GRID, MARGIN_GRID = [k / 10 for k in range(10)], [0.0, 0.01, 0.02, 0.05, 0.1, 0.2]
 SORTED = "list_sort([s1, s2, s3, s4, s5, s6])"
 CAL_ROWS = f"""select split, ref, {argmax_last_text('s')} as top, {SORTED}[6] as top_score, {SORTED}[6] - {SORTED}[5] as margin from {ALPHA} z where alpha > 0"""
 CELLS = f"""cal as ({CAL_ROWS}), cells as (select st.s as score_threshold, mt.m as margin_threshold from

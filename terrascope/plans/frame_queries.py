@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrascope.functions import text
@@ -73,34 +73,38 @@ def _(t: Inputs) -> DataFrame:
     return tb.alignment_table(t["fx_alignment"])
 
 
-def prompt_document(t: Inputs) -> DataFrame:
-    """One prompt-group document built from the part types and names."""
-    kinds = t["part"].groupBy("p_type").agg(F.sort_array(F.collect_set("p_name")).alias("queries"))
-    entries = kinds.select(
-        F.length("p_type").alias("class_id"), F.struct(F.col("p_type").alias("name"), F.col("queries")).alias("record")
-    )
-    one = entries.groupBy("class_id").agg(F.min_by("record", "record.name").alias("record")).agg(
-        F.sort_array(F.collect_list("class_id")).alias("ids"),
-        F.map_from_entries(F.collect_list(F.struct(F.col("class_id").cast("string"), F.col("record")))).alias("classes"),
-    )
-    return one.select(
+def prompt_documents(t: Inputs) -> DataFrame:
+    """Prompt-group documents from the part types and names: one per type and thousand part keys.
+
+    Every type is a class of its own, numbered in order of name; the window runs over the
+    types. No document grows with the table.
+    """
+    types = t["part"].select("p_type").distinct().withColumn("class_id", F.dense_rank().over(Window.orderBy("p_type")))
+    kinds = t["part"].groupBy("p_type", F.floor(F.col("p_partkey") / 1000)).agg(F.sort_array(F.collect_set("p_name")).alias("queries"))
+    return kinds.join(types, "p_type").select(
         F.to_json(
             F.struct(
                 F.lit("mcd_open_vocab_prompt_groups_v2").alias("schema"), F.lit(True).alias("frozen_before_heldout_evaluation"),
-                F.col("ids").alias("primary_macro_class_ids"), F.col("classes"),
+                F.array("class_id").alias("primary_macro_class_ids"),
+                F.create_map(F.col("class_id").cast("string"), F.struct(F.col("p_type").alias("name"), F.col("queries"))).alias("classes"),
             )
         ).alias("document")
     )
 
 
+def prompts(t: Inputs) -> DataFrame:
+    """Classes and queries of all documents; a name that several documents of a class hold comes once."""
+    return tb.prompt_classes(prompt_documents(t)).drop("class_order").distinct()
+
+
 @query(
     "prompt_classes",
     "class_id:i name:s query:s safe_query:s",
-    """with ty as (select length(p_type) as class_id, min(p_type) as name from {part} group by length(p_type))
-    select distinct ty.class_id, ty.name, p.p_name as query, replace(p.p_name, ' ', '_') as safe_query from ty join {part} p on p.p_type = ty.name""",
+    """with ty as (select p_type, dense_rank() over (order by p_type) as class_id from {part} group by p_type)
+    select distinct ty.class_id, p_type as name, p.p_name as query, replace(p.p_name, ' ', '_') as safe_query from ty join {part} p using (p_type)""",
 )
 def _(t: Inputs) -> DataFrame:
-    return tb.prompt_classes(prompt_document(t))
+    return prompts(t)
 
 
 @query(
@@ -116,14 +120,14 @@ def _(t: Inputs) -> DataFrame:
         F.lit(0.0).alias("mean_dot"), F.array(F.lit(0.0)).alias("basis_dot"),
     )
     positive, negative = F.when(F.col("class_id") >= 0, record), F.when(F.col("class_id") < 0, record)
-    document = t["fx_prompts"].agg(
+    documents = t["fx_prompts"].groupBy("class_id").agg(
         F.to_json(
             F.struct(F.lit(tb.QUERY_SCHEMA).alias("schema"), F.collect_list(positive).alias("queries"), F.collect_list(negative).alias("negatives"))
         ).alias("document")
     )
     from terrascope.functions.vectors import norm2
 
-    return tb.query_vectors(document).withColumn("norm2", norm2(F.col("feature"))).withColumn("first", F.get("feature", F.lit(0)))
+    return tb.query_vectors(documents).withColumn("norm2", norm2(F.col("feature"))).withColumn("first", F.get("feature", F.lit(0)))
 
 
 @query(
@@ -342,10 +346,12 @@ def _(t: Inputs) -> DataFrame:
 @query(
     "missing_alignment",
     "frame_index:i",
-    "select r.range as frame_index from range(-3, 700) r where r.range not in (select frame_index from {fx_alignment})",
+    "select r.range as frame_index from range((select min(frame_index) - 3 from {fx_poses}), (select max(frame_index) + 101 from {fx_poses})) r where r.range not in (select frame_index from {fx_alignment})",
 )
 def _(t: Inputs) -> DataFrame:
-    return fr.missing_alignment(t["fx_alignment"], -3, 699)
+    """Frames around those that have a pose: three before the first, a hundred after the last."""
+    first, last = t["fx_poses"].agg(F.min("frame_index"), F.max("frame_index")).first()
+    return fr.missing_alignment(t["fx_alignment"], (first or 0) - 3, (last or 0) + 100)
 
 
 @query(
@@ -488,21 +494,20 @@ def _(t: Inputs) -> DataFrame:
 @query(
     "template_render",
     "class_id:i query:s prompt:s",
-    """with ty as (select length(p_type) as class_id, min(p_type) as name from {part} group by length(p_type))
-    select distinct ty.class_id, p.p_name as query, 'a photo of a ' || p.p_name || ' outdoors' as prompt from ty join {part} p on p.p_type = ty.name""",
+    """with ty as (select p_type, dense_rank() over (order by p_type) as class_id from {part} group by p_type)
+    select distinct ty.class_id, p.p_name as query, 'a photo of a ' || p.p_name || ' outdoors' as prompt from ty join {part} p using (p_type)""",
 )
 def _(t: Inputs) -> DataFrame:
-    return tb.prompts_from_template(tb.prompt_classes(prompt_document(t)), "a photo of a {} outdoors")
+    return tb.prompts_from_template(prompts(t), "a photo of a {} outdoors")
 
 
 @query(
     "query_uniqueness",
     "queries:i distinct_queries:i",
-    """with ty as (select min(p_type) as name from {part} group by length(p_type)), q as (select distinct ty.name, p.p_name from ty join {part} p on p.p_type = ty.name)
-    select count(*) as queries, count(distinct p_name) as distinct_queries from q""",
+    "with q as (select distinct p_type, p_name from {part}) select count(*) as queries, count(distinct p_name) as distinct_queries from q",
 )
 def _(t: Inputs) -> DataFrame:
-    return tb.repeated_queries(tb.prompt_classes(prompt_document(t)))
+    return tb.repeated_queries(prompts(t))
 
 
 @query(

@@ -134,14 +134,13 @@ def _(t: Inputs) -> DataFrame:
 
 @query(
     "focus_bounds", "frame_index:i class_id:i x0:i y0:i x1:i y1:i",
-    f"""with b as (select frame_index, ref as class_id, min(u) as u0, max(u) as u1, min(v) as v0, max(v) as v1 from {{fx_pixels}} where u between ref * 4 and ref * 4 + 12 group by frame_index, ref),
+    f"""with b as (select frame_index, ref as class_id, min(u) as u0, max(u) as u1, min(v) as v0, max(v) as v1 from {{fx_pixels}} group by frame_index, ref),
     s as (select *, least(greatest(20, u1 - u0 + 1, v1 - v0 + 1), {HEIGHT}, {WIDTH}) as span from b),
     p as (select *, least(greatest(round_even(0.5 * (u0 + u1) - span / 2, 0), 0), {WIDTH} - span) as x, least(greatest(round_even(0.5 * (v0 + v1) - span / 2, 0), 0), {HEIGHT} - span) as y from s)
     select frame_index, class_id, x as x0, y as y0, x + span as x1, y + span as y1 from p""",
 )
 def _(t: Inputs) -> DataFrame:
-    inside = F.col("u").between(F.col("ref") * 4, F.col("ref") * 4 + 12)
-    return rg.focus_bounds(t["fx_pixels"].where(inside), 20, WIDTH, HEIGHT)
+    return rg.focus_bounds(t["fx_pixels"], 20, WIDTH, HEIGHT)
 
 
 # --- responses -----------------------------------------------------------------------------------

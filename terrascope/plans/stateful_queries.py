@@ -113,10 +113,10 @@ def _(t: Inputs) -> DataFrame:
 
 @query(
     "support_sum", "point_id:i support:d observations:i",
-    "select point_id, sum(case when target between 1 and 3 then conf else 0 end) as support, sum(case when target between 1 and 3 then 1 else 0 end) as observations from {fx_observations} group by point_id",
+    f"select point_id, sum(case when target between 1 and {CLASS_COUNT - 1} then conf else 0 end) as support, sum(case when target between 1 and {CLASS_COUNT - 1} then 1 else 0 end) as observations from {{fx_observations}} group by point_id",
 )
 def _(t: Inputs) -> DataFrame:
-    return sf.support_sum(t["fx_observations"], 4)
+    return sf.support_sum(t["fx_observations"], CLASS_COUNT)
 
 
 def gated_text(scale: float) -> str:
@@ -141,13 +141,13 @@ def _(t: Inputs) -> DataFrame:
 @query(
     "incremental_append", "point_id:i class_id:i evidence:d pending_label:i pending_support:d is_new:b",
     EVIDENCE + f"""select point_id, class_id, evidence, 0 as pending_label, 0.0 as pending_support, false as is_new from e
-    union all select 1000000000 + frame_index * 1000000 + point_idx % 1000000, label, r * {SCALE} / {SCALE}, 0, 0.0, true from {{fx_points}} where label < {CLASS_COUNT}""",
+    union all select 1000000000 + frame_index * 1000000 + point_idx % 1000000, label, r * {SCALE} / {SCALE}, 0, 0.0, true from {{fx_points}}""",
 )
 def _(t: Inputs) -> DataFrame:
     current = sf.observation_cumulative(t["fx_observations"], CLASS_COUNT, SCALE).select(
         "point_id", "class_id", "evidence", F.lit(0).alias("pending_label"), F.lit(0.0).alias("pending_support")
     )
-    fresh = t["fx_points"].where(F.col("label") < CLASS_COUNT).select(
+    fresh = t["fx_points"].select(
         (F.lit(1000000000) + F.col("frame_index") * 1000000 + F.col("point_idx") % 1000000).alias("point_id"),
         F.col("label").alias("class_id"), (F.col("r") * SCALE).alias("strength"),
     )
