@@ -3,10 +3,12 @@
 All coordinates of a signature come from two permutations of the 32-bit numbers: the first
 scatters the elements of a set, the second is read at circular shifts 0, 1, 2, ..., one
 shift per coordinate. Bands of coordinates are hashed to bucket keys. Documents that share
-a bucket are compared on their full sets, but never all against all: a bucket's members
-meet one head first, linked documents are merged, and only members that still lie in
-different components meet each other. So every pair of a bucket is either compared or known
-to be connected, and a group of thousands of copies costs a few comparisons per member.
+a bucket are compared on their full sets, but pairs are not made for it: a bucket's members
+meet a few heads first and linked documents are merged. What then still lies in different
+components is compared pair by pair in small buckets, and in large ones block against block,
+where a task counts all common shingles of two blocks at once and returns links alone. So
+every pair of a bucket is either compared or known to be connected, and a group of
+thousands of copies costs a few rows per member.
 """
 
 from __future__ import annotations
@@ -28,7 +30,13 @@ SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 #: Coordinates per band, and the chance of missing a pair right at the threshold.
 BAND_ROWS, MISS = 4, 1e-7
 
-_CHUNK = 8192
+#: Heads that a bucket's members meet per turn, and the turns before all open pairs are compared;
+#: they are compared earlier once they are at most so many times the open members.
+HEADS, TURNS, FEW = 3, 2, 4
+#: Members from which a bucket is compared in blocks, and the usual members of a block.
+LARGE, BLOCK = 24, 128
+
+_CHUNK, _HELD, _COLUMNS = 8192, 200, 1 << 15
 _SIG = "doc_id long, n_shingles long, digest binary, keys array<long>"
 
 
@@ -49,8 +57,6 @@ def _permute32(x: np.ndarray, odd: int) -> np.ndarray:
     x ^= x >> np.uint32(15)
     x *= np.uint32(0x2C1B3C6D)
     x ^= x >> np.uint32(12)
-    x *= np.uint32(0x297A2D39)
-    x ^= x >> np.uint32(15)
     return x
 
 
@@ -123,20 +129,87 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     both = left.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = np.empty(0, np.uint64), None  # rows arrive in runs of one b
+        held: dict[bytes, np.ndarray] = {}
+
+        def sets(name: pa.Scalar, text: pa.Scalar) -> np.ndarray:
+            key = name.as_py()
+            if key not in held:
+                if len(held) >= _HELD:
+                    held.clear()
+                held[key] = shingle_set(text.as_py(), width)
+            return held[key]
+
         for batch in batches:
             ok = []
-            for b, ta, tb in zip(batch.column(1), batch.column(2), batch.column(3)):
-                if (name := b.as_py()) != last:
-                    held, last = shingle_set(tb.as_py(), width), name
-                mine = shingle_set(ta.as_py(), width)
-                common = len(np.intersect1d(mine, held, assume_unique=True))
-                ok.append(100 * common >= percent * (len(mine) + len(held) - common))
+            for a, b, ta, tb in zip(*(batch.column(i) for i in range(4))):
+                one, two = sets(a, ta), sets(b, tb)
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                ok.append(100 * common >= percent * (len(one) + len(two) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.mapInArrow(test, "a binary, b binary")
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set on the left shares with each on the right."""
+    total = np.zeros((len(left), len(right)))
+    ours, theirs = np.concatenate(left), np.concatenate(right)
+    at, bt = np.repeat(np.arange(len(left)), [len(s) for s in left]), np.repeat(np.arange(len(right)), [len(s) for s in right])
+    shared = np.intersect1d(ours, theirs)
+    for first in range(0, len(shared), _COLUMNS):
+        part = shared[first : first + _COLUMNS]
+        sides = []
+        for values, rows, n in ((ours, at, len(left)), (theirs, bt, len(right))):
+            column = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[column] == values
+            side = np.zeros((n, len(part)), np.float32)
+            side[rows[hit], column[hit]] = 1
+            sides.append(side)
+        total += sides[0] @ sides[1].T
+    return total
+
+
+def _confirm_blocks(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between different components within the buckets of ``(key, digest, component, all)``; ``all`` counts a bucket's members.
+
+    Of the links of two blocks only those that join what is not joined yet are returned.
+    """
+    block = F.pmod(F.xxhash64("digest"), F.ceil(F.col("all") / BLOCK)).cast("int")
+    rows = members.withColumn("block", block).join(texts, "digest")
+    packed = rows.groupBy("key", "block").agg(F.collect_list(F.struct("digest", "component", "text")).alias("docs"))
+    meet = packed.join(packed.select("key", F.col("block").alias("other"), F.col("docs").alias("others")), "key").where("block <= other").select("docs", "others")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for docs, others in zip(batch.column(0), batch.column(1)):
+                found = _links(docs.as_py(), others.as_py(), width, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*found) if found else ((), ()))], ["a", "b"])
+
+    return meet.mapInArrow(test, "a binary, b binary")
+
+
+def _links(docs: list[dict], others: list[dict], width: int, percent: int) -> list[tuple[bytes, bytes]]:
+    if len({d["component"] for d in docs} | {d["component"] for d in others}) < 2:
+        return []
+    left, right = ([shingle_set(d["text"], width) for d in side] for side in (docs, others))
+    common = common_counts(left, right)
+    sizes = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :]
+    parent: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    found = []
+    for i, j in zip(*np.nonzero(100 * common >= percent * (sizes - common))):
+        a, b = root(docs[i]["component"]), root(others[j]["component"])
+        if a != b:
+            parent[a] = b
+            found.append((docs[i]["digest"], others[j]["digest"]))
+    return found
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT, miss: float = MISS) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
@@ -157,7 +230,6 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     wanted = members.select("digest").distinct()
     texts = _texts(docs, classes.select("digest", "rep"), wanted, width)
     links: DataFrame | None = None
-    tested: DataFrame | None = None
     labels = wanted.select(F.col("digest").alias("node"), F.col("digest").alias("component"))
     alike = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
     turn = 0
@@ -170,22 +242,22 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
         if not left["rows"]:
             break
         rows = at.join(open_pairs.select("key"), "key")
-        everything = left["pairs"] <= 2 * left["rows"] or turn >= 6
+        everything = left["pairs"] <= FEW * left["rows"] or turn >= TURNS
         if everything:
-            other = rows.select("key", F.col("digest").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-            pairs = rows.withColumnRenamed("digest", "a").join(other, "key").where("component < other")
+            rows = at.join(open_pairs.select("key", "all"), "key")
+            small = rows.where(F.col("all") < LARGE)
+            other = small.select("key", F.col("digest").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+            pairs = small.withColumnRenamed("digest", "a").join(other, "key").where("component < other")
+            blocks = cut_lineage(_confirm_blocks(rows.where(F.col("all") >= LARGE).select("key", "digest", "component", "all"), texts, width, percent), "links")
+            links = blocks if links is None else links.union(blocks)
         else:
-            order = F.xxhash64("digest", F.lit(turn))
-            heads = rows.groupBy("key").agg(F.min(F.struct(order, "digest", "n", "component")).alias("head"))
+            first = lambda k: F.min(F.struct(F.xxhash64("digest", F.lit(HEADS * turn + k)).alias("draw"), "digest", "n", "component"))
+            heads = rows.groupBy("key").agg(F.array(*[first(k) for k in range(HEADS)]).alias("heads"))
+            heads = heads.select("key", F.explode(F.array_distinct(F.transform("heads", lambda h: h.dropFields("draw")))).alias("head"))
             heads = heads.select("key", F.col("head.digest").alias("b"), F.col("head.n").alias("m"), F.col("head.component").alias("other"))
             pairs = rows.withColumnRenamed("digest", "a").join(heads, "key").where("component != other")
-        pairs = pairs.where(alike).select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs, "pairs")
-        new = cut_lineage(_confirm(pairs, texts, width, percent), "links")
+        new = cut_lineage(_confirm(pairs.where(alike).select("a", "b").distinct(), texts, width, percent), "links")
         links = new if links is None else links.union(new)
-        tested = pairs if tested is None else tested.union(pairs)
         linked = components(links)
         labels = wanted.join(linked.withColumnRenamed("node", "digest"), "digest", "left").select(F.col("digest").alias("node"), F.coalesce("component", "digest").alias("component"))
         labels = cut_lineage(labels, "labels")

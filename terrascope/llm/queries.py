@@ -70,7 +70,28 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return weak_quality.score(table(spark, folder, "documents"))
 
 
-@query("op8_line_cleaning")
+def _op8_check() -> str:
+    phrases = " or ".join(f"contains(lower(x), '{p}')" for p in line_cleaning._BOILERPLATE)
+    short, word = line_cleaning.SHORT_LINE, "[^\\x20\\x09-\\x0D]+"
+    ends = line_cleaning._ENDS.replace("'", "''")
+    return f"""
+with t as (select doc_id, coalesce(text, '') as t from documents),
+m as (select doc_id, t, regexp_extract_all(t, '{word}') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) as l from t),
+p as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from m) z),
+r as (select doc_id, count(distinct q) as n from (select doc_id, unnest([i, i + 1, i + 2]) as q from (select *, count(*) over (partition by doc_id, g) as c from p) z where c > 1) y group by doc_id),
+x as (select doc_id, x, len(regexp_extract_all(x, '{word}')) as n, length(regexp_replace(x, '[\\x20\\x09-\\x0D]', '', 'g')) as chars,
+    length(regexp_replace(x, '[^{line_cleaning._DIVIDERS}]', '', 'g')) as d from (select doc_id, unnest(l) as x from m) z),
+f as (select doc_id, sum(chars) as lost from x where
+    (not regexp_matches(right(rtrim(x), 12), '{ends}') and (n < {short} or not regexp_matches(x, '{line_cleaning._INSIDE}')))
+    or (d >= {line_cleaning.SEPARATORS} and d * 4 >= n) or (n < {short} and regexp_matches(x, '{line_cleaning._NAVIGATION}')) or (n < {4 * short} and ({phrases})) group by doc_id),
+b as (select m.doc_id, len(w)::bigint as n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::bigint as word_chars,
+    length(regexp_replace(t, '[^{line_cleaning.SYMBOLS}]', '', 'g'))::bigint as n_symbols, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
+    coalesce(r.n, 0)::bigint as n_repeat_words, coalesce(f.lost, 0) as lost from m left join r using (doc_id) left join f using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and not (lost > {line_cleaning.MOST_LOST} * word_chars) as kept from b"""
+
+
+@query("op8_line_cleaning", _op8_check())
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = line_cleaning.clean_lines(table(spark, folder, "documents"))
     return cleaned.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -81,6 +102,20 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return dp_packing.pack(table(spark, folder, "documents"))
 
 
-@query("op10_circulant_dedup")
+OP10_CHECK = """
+with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as g from t),
+u as (select doc_id, len(g) as n, unnest(g) as g from s),
+c as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as n, any_value(b.n) as m, count(*) as c from u a join u b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+l as (select a, b from c where 100 * c.c >= 85 * (n + m - c.c)),
+e as (select a, b from l union all select b, a from l),
+r(a, b) as (select doc_id, doc_id from documents union select r.a, e.b from r join e on r.b = e.a),
+k as (select a as doc_id, min(b) as component_id from r group by a)
+select s.doc_id, len(g)::bigint as n_shingles, component_id, s.doc_id = component_id as kept from s join k on s.doc_id = k.doc_id
+"""
+
+
+@query("op10_circulant_dedup", OP10_CHECK)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return circulant_minhash.near_duplicates(table(spark, folder, "documents"), width=3, percent=85)
