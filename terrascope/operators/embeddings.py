@@ -26,16 +26,16 @@ from terrascope.functions.vectors import (
     top_last,
     weighted_mean_abs_gap,
 )
-from terrascope.operators.ordered import exact_percentiles, with_positions, with_running_sums
+from terrascope.operators.ordered import exact_percentiles, float_bucket, with_positions, with_running_sums
 from terrascope.session import cut_lineage
 
 MAX_PROMPTS = 4096
 MAX_DIMENSION = 1024
-FINE = 4096  # buckets per unit for values within [-1, 1]
+FINE = 1 << 17  # buckets between a power of two and the next, also for values that crowd below 1
 
 
 def fine_bucket() -> Column:
-    return F.floor(F.col("_value") * FINE).cast("bigint")
+    return float_bucket(F.col("_value"), FINE)
 
 
 # --- prompts ------------------------------------------------------------------------

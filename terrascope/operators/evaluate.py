@@ -14,9 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrascope.functions.numeric import count_when, ratio
-from terrascope.operators.ordered import with_running_sums
+from terrascope.operators.ordered import float_bucket, with_running_sums
 
-SCORE_BUCKETS = 4096
 
 
 def is_class(column: Column, class_ids: Sequence[int]) -> Column:
@@ -359,7 +358,7 @@ def average_precision(
     """Tie-grouped average precision per class, null without positives.
 
     Pixels collapse to distinct (class, score) rows first, scores held as FLOAT.
-    The running sums then go bucket by bucket of the score range.
+    The running sums then go bucket by bucket of the score's leading bits.
     """
     entries = ", ".join(
         f"struct({int(c)} as class_id, cast(get({scores}, {i}) as float) as score, if(ref = {int(c)}, 1L, 0L) as hit)"
@@ -369,7 +368,7 @@ def average_precision(
         pixels.selectExpr(*keys, f"inline(array({entries}))")
         .groupBy(*keys, "class_id", "score")
         .agg(F.sum("hit").alias("pos"), F.count(F.lit(1)).alias("seen"))
-        .withColumn("_bucket", F.floor(F.col("score") * SCORE_BUCKETS))
+        .withColumn("_bucket", float_bucket(F.col("score")))
     )
     running = with_running_sums(
         by_score,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrascope.functions.rigid import POSE, with_slerp
 from terrascope.functions.single import attach
-from terrascope.operators.ordered import bracket_in_time, with_positions
+from terrascope.operators.ordered import bracket_in_time, bucket_width, with_positions
 
 
 def micros(ts: Column) -> Column:
@@ -22,7 +22,7 @@ def lerp(first: Sequence[str], second: Sequence[str], amount: str) -> list[str]:
 
 # --- temporal alignment -----------------------------------------------------------
 
-def nearest_scan(frames: DataFrame, scans: DataFrame, tolerance_s: float, bucket_s: float = 3600.0) -> DataFrame:
+def nearest_scan(frames: DataFrame, scans: DataFrame, tolerance_s: float) -> DataFrame:
     """Nearest scan in time per frame; the earlier one on a tie, -1 out of tolerance.
 
     frames(frame_id, ts), scans(scan_id, ts). Equal instants collapse before any
@@ -35,7 +35,7 @@ def nearest_scan(frames: DataFrame, scans: DataFrame, tolerance_s: float, bucket
         .groupBy("us")
         .agg(F.max("scan_id").alias("low"), F.min("scan_id").alias("high"))
     )
-    width = int(max(bucket_s, tolerance_s) * 1_000_000)
+    width = bucket_width(asked.select("us").union(scans.select(micros(F.col("ts")))), F.col("us"))
     bracket = bracket_in_time(asked.select("us").distinct(), events, width)
     back = F.col("us") - F.col("before.us")
     ahead = F.col("after.us") - F.col("us")
@@ -63,7 +63,7 @@ def nearest_scan_stats(matches: DataFrame) -> DataFrame:
     )
 
 
-def pose_interpolation(asked: DataFrame, poses: DataFrame, bucket_s: float = 3600.0) -> DataFrame:
+def pose_interpolation(asked: DataFrame, poses: DataFrame) -> DataFrame:
     """Pose at every asked instant: bracketing poses, lerp and slerp, clamped at the ends.
 
     asked(ask_id, ts), poses(ts, qw..tz) with distinct instants.
@@ -71,7 +71,8 @@ def pose_interpolation(asked: DataFrame, poses: DataFrame, bucket_s: float = 360
     pose = F.struct(*POSE)
     events = poses.select(micros(F.col("ts")).alias("us"), pose.alias("low"), pose.alias("high"))
     wanted = asked.select(micros(F.col("ts")).alias("us"), "ask_id")
-    bracket = bracket_in_time(wanted.select("us").distinct(), events, int(bucket_s * 1e6))
+    width = bucket_width(wanted.select("us").union(events.select("us")), F.col("us"))
+    bracket = bracket_in_time(wanted.select("us").distinct(), events, width)
     amount = "(us - before.us) / (after.us - before.us)"
     first = [f"before.payload.{n}" for n in POSE]
     second = [f"after.payload.{n}" for n in POSE]

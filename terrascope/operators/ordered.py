@@ -2,8 +2,10 @@
 
 A plain window puts every row of a key into one task. These helpers cut a key
 into buckets, work inside each bucket in parallel, reduce each bucket to one row,
-order those few rows, and add the result back. Rows per task are then bounded by
-the bucket width, whatever the size of the key.
+order those few rows, and add the result back. Time buckets get their width from the
+number of rows and the time they span; buckets of scores follow the leading bits of a
+float, so values that crowd near 0 are told apart as well as others. Rows that share one
+instant, or one float, are the least that a task can hold.
 """
 
 from __future__ import annotations
@@ -19,6 +21,28 @@ _BEFORE = (Window.unboundedPreceding, -1)
 _TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 
 
+#: Rows that a time bucket holds where they are spread evenly.
+ROWS_PER_BUCKET = 8192
+
+
+def bucket_width(rows: DataFrame, value: Column, rows_per_bucket: int | None = None) -> int:
+    """Width of buckets over ``value`` that follows the table: one pass for its count and range."""
+    n, low, high = rows.agg(F.count(value), F.min(value), F.max(value)).first()
+    return max(1, -(-(high - low + 1) * (rows_per_bucket or ROWS_PER_BUCKET) // n)) if n else 1
+
+
+def float_bucket(value: Column, per_octave: int = 8192) -> Column:
+    """A number that grows with ``value``, with ``per_octave`` steps between a power of two and the next.
+
+    At 8,192 steps no more than 1,024 different FLOAT values share a number.
+    """
+    size = F.abs(value).cast("double")
+    power = F.greatest(F.floor(F.log2(size)), F.lit(-40))
+    step = F.floor((size / F.pow(F.lit(2.0), power) - 1) * per_octave)
+    number = (power + 41) * per_octave + F.least(F.greatest(step, F.lit(0)), F.lit(per_octave - 1))
+    return (F.signum(value.cast("double")) * F.when(size > 2.0**-40, number).otherwise(0)).cast("bigint")
+
+
 def _series(keys: Sequence[str], order: Sequence[Column]) -> Window:
     # The bucket table has one row per bucket; without keys it is ordered as one series.
     partition = [F.col(k) for k in keys] or [F.lit(0)]

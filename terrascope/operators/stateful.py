@@ -14,19 +14,18 @@ from pyspark.sql import functions as F
 
 from terrascope.functions.numeric import clip
 from terrascope.functions.vectors import softmax
-from terrascope.operators.ordered import with_positions, with_previous, with_running_sums
+from terrascope.operators.ordered import bucket_width, with_positions, with_previous, with_running_sums
 from terrascope.session import cut_lineage
 
-DAY_US = 86_400_000_000
-
-
-def ordered_observations(observations: DataFrame, class_count: int, bucket_us: int = DAY_US) -> DataFrame:
-    """Valid observations with an order bucket that grows with time."""
+def ordered_observations(observations: DataFrame, class_count: int, bucket_us: int | None = None) -> DataFrame:
+    """Valid observations with an order bucket that grows with time, as wide as the table is dense."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    width = bucket_us or bucket_width(observations, us)
     valid = F.col("target").between(1, class_count - 1) & (F.col("conf") > 0)
     return observations.where(valid).select(
         "point_id", "seq", "target", clip(F.col("conf"), 0.0, 1.0).alias("conf"),
-        F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(float(bucket_us))).cast("bigint").alias("_b"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"),
+        F.floor(us / F.lit(float(width))).cast("bigint").alias("_b"),
+        us.alias("_us"),
     )
 
 

@@ -419,7 +419,7 @@ def _(t: Inputs) -> DataFrame:
         F.col("o_orderkey").alias("ask_id"),
         F.timestamp_micros(fr.micros(F.col("o_orderdate")) + 500000 + F.col("o_orderkey") * 1000).alias("ts"),
     )
-    return fr.pose_interpolation(asked, poses, 86400.0 * 30)
+    return fr.pose_interpolation(asked, poses)
 
 
 @query(

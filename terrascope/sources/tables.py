@@ -12,7 +12,7 @@ from terrascope.functions.rigid import POSE, ROTATION, TRANSLATION, pose_matrix,
 from terrascope.functions.single import attach
 from terrascope.functions.text import render_template, safe_label
 from terrascope.functions.vectors import l2_normalize, times_matrix
-from terrascope.operators.ordered import with_positions
+from terrascope.operators.ordered import bucket_width, with_positions
 
 # Accepted document tags.
 PROMPT_GROUP_SCHEMAS = ("mcd_open_vocab_prompt_groups_v1", "mcd_open_vocab_prompt_groups_v2")
@@ -272,14 +272,15 @@ def write_map(points: DataFrame, path: str) -> None:
 
 # --- message index ----------------------------------------------------------------------
 
-def message_index(topics: DataFrame, messages: DataFrame, topic: str, bucket_s: int = 3600) -> DataFrame:
+def message_index(topics: DataFrame, messages: DataFrame, topic: str) -> DataFrame:
     """Zero-based index of a topic's messages by time, with seconds.
 
     Numbered inside time buckets and shifted by the count of earlier buckets.
     """
     chosen = topics.where(F.col("name") == topic).select(F.col("id").alias("topic_id"))
+    width = bucket_width(messages, F.col("timestamp_ns"))
     timed = messages.join(chosen, "topic_id", "left_semi").withColumn(
-        "_b", F.floor(F.col("timestamp_ns") / F.lit(bucket_s * 1_000_000_000)).cast("bigint")
+        "_b", F.floor(F.col("timestamp_ns") / F.lit(width)).cast("bigint")
     )
     indexed = with_positions(timed, ["topic_id"], "_b", [F.col("timestamp_ns"), F.col("message_id")], "scan_index")
     return indexed.select(
