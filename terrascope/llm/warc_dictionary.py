@@ -193,8 +193,8 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                         rows.append((_page(headers["WARC-Record-ID"]), size, digest, kind, _page(headers.get("WARC-Refers-To")), headers.get("WARC-Target-URI"), path, intact))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    # One archive is one row of work; dealt out by a hash of its name.
-    return index.repartition("path").select("path").mapInArrow(read, _OUT)
+    # One archive is one task: a fixed number of partitions is not merged for being small.
+    return index.select("path").repartition(max(1, index.count())).mapInArrow(read, _OUT)
 
 
 def archive_and_read(pages: DataFrame, folder: str | None = None) -> DataFrame:
