@@ -7,8 +7,8 @@ for a secret if
 
 * the battery does not reject that it is random (three p-values, joined by Fisher's rule), and
 * its symbol counts are too even for ordinary text: a p-value for "ordinary", whose expected
-  chi-squared follows from the symbol shares of all candidate tokens of the encoding and
-  from the token's length. The second decision is made by false-discovery control
+  chi-squared follows from the shares that the encoding's symbols have in all candidate tokens
+  of the table, of which most are ordinary long words, and from the token's length. The second decision is made by false-discovery control
   (Benjamini-Hochberg) over all candidates of the table, within classes of encoding and
   length, so short tokens, which carry little evidence, need stronger evidence in effect.
 
@@ -144,9 +144,12 @@ def find_secrets(docs: DataFrame, discovery: float = DISCOVERY, keep: tuple[str,
     each = scanned.where(F.size("tokens") > 0).select("row", F.explode("tokens").alias("t")).select("row", "t.start", (F.col("t.start") + F.length("t.match")).alias("end"), F.regexp_replace("t.match", "=+$", "").alias("token"))
     each = each.withColumn("encoding", _encoding(F.col("token"))).where("encoding is not null")
     tested = cut_lineage(battery(each).drop("token"), "tested")
-    # Ordinary text: the chance that two symbols of the encoding are equal, from all candidates.
-    symbols = tested.select("encoding", "k", F.posexplode("counts").alias("symbol", "c")).groupBy("encoding", "k", "symbol").agg(F.sum("c").alias("c"))
-    repeats = symbols.groupBy("encoding", "k").agg((F.sum(F.col("c").cast("double") * F.col("c")) / (F.sum("c") * F.sum("c"))).alias("equal"))
+    # Ordinary text: the chance that two symbols of an encoding are equal, from the candidates of all encodings.
+    spell = lambda e: F.split(_symbols(e), "")
+    used = tested.select(F.explode(F.arrays_zip(spell(F.col("encoding")).alias("symbol"), F.col("counts").alias("c"))).alias("s"))
+    shares = used.groupBy("s.symbol").agg(F.sum("s.c").cast("double").alias("c"))
+    alphabets = tested.sparkSession.range(len(ENCODINGS)).select(F.col("id").cast("int").alias("encoding"), F.explode(spell(F.col("id").cast("int"))).alias("symbol"))
+    repeats = alphabets.join(shares, "symbol", "left").fillna(0.0, ["c"]).groupBy("encoding").agg((F.sum(F.col("c") * F.col("c")) / F.greatest(F.sum("c") * F.sum("c"), F.lit(1.0))).alias("equal"), F.count("*").alias("k"))
     excess = repeats.select("encoding", F.greatest(F.col("k") * F.col("equal") - 1, F.lit(0.0)).alias("excess"))
     rows = tested.join(F.broadcast(excess), "encoding")  # one row per encoding
     usual = (F.col("k") - 1) + (F.col("n") - 1) * F.col("excess")
@@ -200,7 +203,9 @@ def masked(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
         )
         return F.concat(done["out"], F.substr(text, done["at"] + 1))
 
-    rows = found.select("doc_id", "_doc.*", "spans").withColumn("text", F.when(F.size("spans") > 0, cover(F.col("text"))).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    text = F.col("_doc.text")
+    rows = found.select("doc_id", "_doc", F.when(F.size("spans") > 0, cover(text)).otherwise(text).alias("_text"), (F.size("spans") > 0).alias("_hit"))
+    columns = {c: F.col(f"_doc.{c}") for c in others} | {"doc_id": F.col("doc_id"), "text": F.col("_text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("_hit"), F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return rows.select(*[columns[c].alias(c) for c in docs.columns])
