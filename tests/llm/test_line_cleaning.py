@@ -46,8 +46,8 @@ def test_lines(spark, line, fails):
 
 
 def test_documents(spark, odd, odd_rows, empty):
-    prose = "\n".join(f"Sentence number {i} of this text says something new." for i in range(10))
-    menu = "\n".join(f"Item {i} | Go | Buy | {i}" for i in range(40))
+    prose = "\n".join(f"Line{i} has word{i * 7} and thing{i * 3} near place{i} with some{i} other{i}." for i in range(10))
+    menu = "\n".join(f"Item{i} | Go{i} | Buy{i} | {i}" for i in range(40))
     rows = [(1, prose), (2, prose + "\n" + menu), (3, menu), (4, "Too short."), (5, "again and again. " * 40), (6, prose + "\nHome")]
     got = {r.doc_id: r for r in lc.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i: r.kept for i, r in got.items()} == {1: True, 2: False, 3: False, 4: False, 5: False, 6: True}
