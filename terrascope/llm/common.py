@@ -50,6 +50,17 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def hashed_sample(rows: DataFrame, most: int, total: int, *by: str) -> DataFrame:
+    """At most ``most`` of ``total`` rows, those with the smallest hash of the columns ``by``.
+
+    A cut on the hash first leaves few more rows than that in the whole table, so the tasks
+    do not each send ``most`` rows to the one that picks.
+    """
+    draw = F.pmod(F.xxhash64(F.lit("sample"), *by), F.lit(1 << 40))
+    share = min(1.0, (1.2 * most + 200) / max(total, 1))
+    return rows.where(draw < int(share * (1 << 40))).orderBy(draw, *by).limit(most)
+
+
 def group_key(column: Column) -> Column:
     """A key that is never null, so that null forms a group of its own in plain equi-joins."""
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terrascope.llm.common import hashed_sample
 from terrascope.session import cut_lineage
 
 #: Neighbours returned; every how many ids a query; sample of vectors that the tree is fitted on;
@@ -183,7 +184,7 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP, reca
     grouped = near.groupBy("e").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
     distinct = cut_lineage(grouped.select("rep", "ids", "e"), "vectors")
     longest = float(distinct.agg(F.max(F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x)))).first()[0])
-    sample = distinct.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("e").toArrow()
+    sample = hashed_sample(distinct.select("rep", "e"), SAMPLE, distinct.count(), "rep").select("e").toArrow()
     tree = spark.sparkContext.broadcast(Tree(_lift(_matrix(sample.column(0).combine_chunks(), width), longest)))  # at most SAMPLE / LEAF * 2 nodes
     leaves = tree.value.leaves
 

@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrascope.llm.common import hashed_sample
+
 #: Documents that the scorer is trained on, at most; width of the hashed features; passes and step of the training.
 TRAINED, WIDTH, PASSES, STEP, SHRINK = 6000, 1 << 15, 30, 0.5, 1e-4
 #: Documents whose score reaches this are kept.
@@ -202,8 +204,7 @@ def fit(docs: DataFrame, trained: int = TRAINED) -> tuple[float, np.ndarray, np.
 
     counted = texts.select("text").mapInArrow(count, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toArrow()
     share, chance = estimate(counted.column(0).to_numpy(), counted.column(1).to_numpy())
-    draw = F.xxhash64(F.lit("sample"), "doc_id", "text")
-    some = texts.orderBy(draw, "doc_id").limit(trained).select("text").repartition(16).mapInArrow(featured, "pattern int, at array<int>, value array<float>").toArrow()
+    some = hashed_sample(texts, trained, int(counted.column(1).to_numpy().sum()), "doc_id", "text").select("text").repartition(16).mapInArrow(featured, "pattern int, at array<int>, value array<float>").toArrow()
     target = posterior(some.column(0).to_numpy(), share, chance) if len(some) else np.empty(0)
     rows = [(np.array(a, np.int64), np.array(v)) for a, v in zip(some.column(1).to_pylist(), some.column(2).to_pylist())]
     return share, chance, train(rows, target)
