@@ -89,8 +89,8 @@ def whole_copies(counts: DataFrame, solved: DataFrame, targets: DataFrame, cap:
     """``(grp, size, n, rate, copies)``: copies of all documents of a size, near the target.
 
     Sizes run from large to small and each takes what the rounded running sum of rates
-    gains, so a source is off by less than half its largest document. Then single copies of
-    the size nearest to what is missing are added or taken away, a few times.
+    gains, so a source is off by less than half its largest document. What is then missing, or
+    too much, is made up from the largest copies that fit in, a few times over.
     """
     rate = F.least(F.lit(float(cap)), F.exp(F.least(F.col("tilt") * F.col("size") / F.col("scale"), F.lit(700.0))))
     cells = counts.where("size > 0").join(solved, "grp").select("grp", "size", "n", rate.alias("rate"))
@@ -101,11 +101,12 @@ def whole_copies(counts: DataFrame, solved: DataFrame, targets: DataFrame, cap:
     cells = cut_lineage(cells, "cells")
     for _ in range(repairs):
         missing = cells.groupBy("grp").agg(F.sum(F.col("copies") * F.col("size")).alias("taken")).join(targets.select("grp", "target"), "grp").select("grp", (F.col("target") - F.col("taken")).alias("gap"))
-        rows = cells.join(missing, "grp")
-        fits = F.when(F.col("gap") > 0, F.col("copies") < cap * F.col("n")).otherwise(F.col("copies") > 0) & (F.col("size") < 2 * F.abs("gap"))
-        best = rows.where(fits).groupBy("grp").agg(F.min(F.struct(F.abs(F.abs("gap") - F.col("size")).alias("off"), "size", F.signum("gap").cast("long").alias("sign"))).alias("best"))
-        best = best.select("grp", F.col("best.size").alias("size"), F.col("best.sign").alias("sign"))
-        cells = cut_lineage(cells.join(best, ["grp", "size"], "left").select("grp", "size", "n", "rate", (F.col("copies") + F.coalesce("sign", F.lit(0))).alias("copies")), "cells")
+        room = F.when(F.col("gap") > 0, cap * F.col("n") - F.col("copies")).otherwise(F.col("copies"))
+        rows = cells.join(missing, "grp").withColumn("room", F.when(F.col("size") <= F.abs("gap"), room).otherwise(0))
+        larger = Window.partitionBy("grp").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("left", F.abs("gap") - F.coalesce(F.sum(F.col("room") * F.col("size")).over(larger), F.lit(0)))
+        moved = F.greatest(F.least(F.col("room"), F.floor(F.col("left") / F.col("size"))), F.lit(0))
+        cells = cut_lineage(rows.select("grp", "size", "n", "rate", (F.col("copies") + F.when(F.col("gap") > 0, moved).otherwise(-moved)).alias("copies")), "cells")
     return cells
 
 

@@ -79,9 +79,9 @@ def align(template: list[int], doc: list[int], shift: int) -> tuple[int, int, in
     """Best local alignment with the text within the band around ``shift``: matched words, first and last word.
 
     A match scores 2, a word that differs or is missing on either side -1. Ties go to the
-    alignment that ends first.
+    alignment that ends nearest to ``shift``, so that repeats of a notice are told apart.
     """
-    best = (0, 0, 0, 0)
+    best, off = (0, 0, 0, 0), 0
     above: dict[int, tuple[int, int, int]] = {}
     for i, word in enumerate(template):
         here: dict[int, tuple[int, int, int]] = {}
@@ -94,8 +94,9 @@ def align(template: list[int], doc: list[int], shift: int) -> tuple[int, int, in
                 if score - 1 > cell[0]:
                     cell = (score - 1, matched, first)
             here[j] = cell
-            if cell[0] > best[0]:
-                best = (*cell, j)
+            aside = abs(j - i - shift)
+            if cell[0] > best[0] or (cell[0] == best[0] and aside < off):
+                best, off = (*cell, j), aside
         above = here
     return best[1], best[2], best[3]
 
