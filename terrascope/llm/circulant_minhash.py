@@ -32,7 +32,7 @@ BAND_ROWS, MISS = 4, 1e-7
 
 #: Heads that a bucket's members meet per turn, and the turns before all open pairs are compared;
 #: they are compared earlier once they are at most so many times the open members.
-HEADS, TURNS, FEW = 3, 2, 4
+HEADS, TURNS, FEW = 3, 1, 4
 #: Members from which a bucket is compared in blocks, and the usual members of a block.
 LARGE, BLOCK = 24, 128
 

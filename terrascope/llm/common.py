@@ -66,20 +66,25 @@ def group_key(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))
 
 
+EDGES_PER_FILE = 100_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of an edge list ``(a, b)``: the smallest node that can be reached.
 
     Each round takes the smallest label among the neighbours and then follows the label's
     own label, so long chains halve. Labels are written to the shared folder after each
-    round; only two counts reach the driver. An empty edge list gives no rows.
+    round, in as few files as their number asks for; only counts reach the driver. An empty
+    edge list gives no rows.
     """
     both = cut_lineage(edges.where("a != b").select("a", "b").union(edges.where("a != b").select("b", "a")).distinct(), "edges")
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
+    parts = both.count() // EDGES_PER_FILE + 1
+    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")).coalesce(parts), "labels")
     while True:
         seen = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         closer = labels.join(seen, "node").select("node", F.least("component", "near").alias("next"), "component")
         jump = labels.select(F.col("node").alias("next"), F.col("component").alias("far"))
-        moved = cut_lineage(closer.join(jump, "next").select("node", F.least("next", "far").alias("component"), (F.least("next", "far") != F.col("component")).alias("changed")), "labels")
+        moved = cut_lineage(closer.join(jump, "next").select("node", F.least("next", "far").alias("component"), (F.least("next", "far") != F.col("component")).alias("changed")).coalesce(parts), "labels")
         labels = moved.select("node", "component")
         if moved.where("changed").isEmpty():
             return labels
