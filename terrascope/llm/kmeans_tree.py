@@ -31,6 +31,8 @@ NEIGHBOURS, QUERY_STEP = 20, 20
 SAMPLE, CHILDREN, LEAF, ROUNDS = 65_536, 8, 64, 6
 #: Calibration queries, and the recall that they must reach; vectors and queries in a packed block.
 CALIBRATION, RECALL = 128, 0.97
+#: Answers that the block product picks beyond those asked for, one of which is the query itself.
+SPARE = 9
 VECTOR_BLOCK, QUERY_BLOCK = 2048, 512
 
 _PARTIAL = "q long, v long, score double"
@@ -71,8 +73,8 @@ class Tree:
             todo += [(first + k, at[near == k]) for k in range(end - first) if (near == k).any()]
         return out
 
-    def ranked(self, query: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves, best bin first."""
+    def ranked(self, near: list[float], most: int) -> list[int]:
+        """The first ``most`` leaves, best bin first; ``near`` holds the query's distance to every node."""
         queue, found = [(0.0, 0)], []
         while queue and len(found) < most:
             _, node = heapq.heappop(queue)
@@ -80,8 +82,8 @@ class Tree:
             if first == end:
                 found.append(self.leaf[node])
                 continue
-            for k, d in enumerate(((self.centres[first:end] - query) ** 2).sum(1).tolist()):
-                heapq.heappush(queue, (d, first + k))
+            for k in range(first, end):
+                heapq.heappush(queue, (near[k], k))
         return found
 
 
@@ -127,12 +129,11 @@ def _top(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarra
 
 
 def _scores(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, qids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best rows of each query; the rough product picks some more than ``k``, which are then summed in one fixed order."""
-    rough = queries @ rows.T
-    m = min(k + 8, len(rows))
-    at = np.argpartition(-rough, m - 1, axis=1)[:, :m] if m < len(rows) else np.broadcast_to(np.arange(m), (len(queries), m))
-    exact = (queries[:, None, :] * rows[at]).sum(2)
-    return _top(np.repeat(qids, m), ids[at].ravel(), exact.ravel(), k)
+    """The ``k`` best rows of each query by a block product, whose last bits depend on the block."""
+    product = queries @ rows.T
+    m = min(k, len(rows))
+    at = np.argpartition(-product, m - 1, axis=1)[:, :m] if m < len(rows) else np.broadcast_to(np.arange(m), (len(queries), m))
+    return np.repeat(qids, m), ids[at].ravel(), np.take_along_axis(product, at, 1).ravel()
 
 
 class _Best:
@@ -205,7 +206,7 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP, reca
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             e = _matrix(batch.column(1), width)
-            chosen = [tree.value.ranked(q, visits) for q in np.hstack([e, np.zeros((len(e), 1))])]
+            chosen = [tree.value.ranked(near.tolist(), visits) for near in _distances(np.hstack([e, np.zeros((len(e), 1))]), tree.value.centres)]
             index = np.repeat(np.arange(len(chosen)), [len(c) for c in chosen])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen) if chosen else np.empty(0, np.int64), pa.int64()), batch.column(0).take(pa.array(index)), batch.column(1).take(pa.array(index))], ["leaf", "id", "e"])
 
@@ -215,16 +216,20 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP, reca
     met = blocks_v.select("leaf", F.col("ids").alias("v_ids"), F.col("data").alias("v")).join(blocks_q.select("leaf", F.col("ids").alias("q_ids"), F.col("data").alias("q")), "leaf")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(k + 1)
+        best = _Best(k + SPARE)
         for batch in batches:
             for vi, v, qi, q in zip(*(batch.column(c) for c in ("v_ids", "v", "q_ids", "q"))):
                 read = lambda b, t: np.frombuffer(b.as_py(), t)
-                best.add(_scores(read(q, "<f8").reshape(-1, width), read(v, "<f8").reshape(-1, width), read(vi, "<i8"), read(qi, "<i8"), k + 1))
+                best.add(_scores(read(q, "<f8").reshape(-1, width), read(v, "<f8").reshape(-1, width), read(vi, "<i8"), read(qi, "<i8"), k + SPARE))
                 if best.held > 400_000:
                     yield best.batch()
         yield best.batch()
 
-    found = _best_of(met.mapInArrow(multiply, _PARTIAL), k + 1).select(F.col("q").alias("rep"), "v", "score")
+    # The block product picks a few more; their scores are then summed in one fixed order.
+    rough = _best_of(met.mapInArrow(multiply, _PARTIAL), k + SPARE).select("q", "v")
+    pairs = rough.join(queries.select(F.col("rep").alias("q"), F.col("e").alias("qe")), "q").join(distinct.select(F.col("rep").alias("v"), F.col("e").alias("ve")), "v")
+    exact = F.aggregate(F.zip_with("qe", "ve", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    found = _best_of(pairs.select("q", "v", exact.alias("score")), k + 1).select(F.col("q").alias("rep"), "v", "score")
     # Back to all queries and all copies of the answers.
     answers = found.join(distinct.select(F.col("rep").alias("v"), "ids"), "v").select("rep", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
@@ -286,7 +291,8 @@ def _calibrate(queries: DataFrame, placed: DataFrame, tree, width: int, longest:
 
     truth = _best_of(placed.select("rep", "e").mapInArrow(exact, _PARTIAL), k + 1)
     truth = truth.where("q != v").join(placed.select(F.col("rep").alias("v"), "leaf"), "v").select("q", "leaf").toArrow()  # CALIBRATION * (k + 1) rows at most
-    order = {int(i): {leaf: n for n, leaf in enumerate(tree.value.ranked(np.append(v, 0.0), leaves))} for i, v in zip(qids, q)}
+    near = _distances(np.hstack([q, np.zeros((len(q), 1))]), tree.value.centres)
+    order = {int(i): {leaf: n for n, leaf in enumerate(tree.value.ranked(d.tolist(), leaves))} for i, d in zip(qids, near)}
     needed = np.sort([order[a][b] for a, b in zip(truth.column(0).to_pylist(), truth.column(1).to_pylist())])
     visits = 1
     while visits < leaves and np.searchsorted(needed, visits) < recall * len(needed):
