@@ -56,5 +56,7 @@ def test_small_and_unusable(spark):
 def test_tree_ranks_every_leaf_once():
     rows = np.random.default_rng(1).normal(size=(3000, 8))
     tree = kt.Tree(rows)
-    assert sorted(tree.ranked(rows[5], tree.leaves)) == list(range(tree.leaves)) and tree.leaves > 20
+    near = ((tree.centres - rows[5]) ** 2).sum(1).tolist()
+    assert sorted(tree.ranked(near, tree.leaves)) == list(range(tree.leaves)) and tree.leaves > 20
+    assert tree.ranked(near, 3) == tree.ranked(near, 9)[:3]
     assert set(tree.place(rows)) <= set(range(tree.leaves))
