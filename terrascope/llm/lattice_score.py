@@ -35,6 +35,8 @@ BEGIN, ADDED = "▁", 0.5
 
 _BAGS = "block long, words array<binary>, train array<int>, doc_ids array<long>, has_id array<boolean>, held array<boolean>, sizes array<int>, at array<binary>, counts array<binary>, pieces array<int>, piece_counts array<long>, train_docs long"
 _OUT = "doc_id long, held_out boolean, n_tokens long, known long, base double, lattice double"
+#: Numbers per trie node, more than there are characters; characters walked together; rows gathered for it.
+_FAN, _TOGETHER, _ROWS = 1 << 21, 1 << 20, 100_000
 _LOADED: dict[str, "Pieces"] = {}
 
 
@@ -76,50 +78,66 @@ def _pieces(path: str | None) -> Pieces:
 
 
 class Lattice:
-    """Log probabilities of words under given log weights of the pieces."""
+    """Log probabilities of words under given log weights of the pieces.
+
+    The pieces form a trie, held as sorted numbers ``node * 2**21 + character``. Words of one
+    length walk it together: from every place, all of them take one more character at a time
+    until none of them is the start of a piece any more.
+    """
 
     def __init__(self, pieces: Pieces, logs: np.ndarray) -> None:
-        # By first character, so that a place in a word looks at few lengths only.
-        self.weight = {p: float(logs[i]) for p, i in pieces.number.items()}
+        nodes: dict[tuple[int, int], int] = {}
+        weights = [-np.inf]
+        for piece, i in pieces.number.items():
+            node = 0
+            for c in piece:
+                node = nodes.setdefault((node, ord(c)), len(weights))
+                if node == len(weights):
+                    weights.append(-np.inf)
+            weights[node] = float(logs[i])
+        keys = np.array([n * _FAN + c for n, c in nodes], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.targets, self.weights = keys[order], np.array(list(nodes.values()), np.int64)[order], np.array(weights)
         self.byte = [float(logs[pieces.byte[b]]) for b in range(256)]
-        self.lengths: dict[str, tuple[int, ...]] = {}
-        by_start: dict[str, set[int]] = {}
-        for p in pieces.number:
-            by_start.setdefault(p[:2], set()).add(len(p))
-        self.lengths = {s: tuple(sorted(n)) for s, n in by_start.items()}
 
-    def log_word(self, word: str) -> float:
-        """Log of the sum, over all segmentations, of the product of piece probabilities.
+    def _bytes(self, codes: np.ndarray) -> np.ndarray:
+        found, at = np.unique(codes, return_inverse=True)
+        return np.array([sum(self.byte[b] for b in chr(c).encode()) for c in found.tolist()])[at]
+
+    def _one_length(self, words: list[str], n: int) -> np.ndarray:
+        codes = np.frombuffer("".join(BEGIN + w for w in words).encode("utf-32-le"), "<u4").astype(np.int64).reshape(len(words), n + 1)
+        reached = np.full((n + 2, len(words)), -np.inf)
+        reached[0] = 0
+        for i in range(n + 1):
+            here, live, node = reached[i], np.arange(len(words)), np.zeros(len(words), np.int64)
+            for j in range(i, n + 1):
+                key = node * _FAN + codes[live, j]
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                known = self.keys[at] == key
+                weight = np.where(known, self.weights[self.targets[at]], -np.inf)
+                if j == i and (lone := weight == -np.inf).any():
+                    weight[lone] = self._bytes(codes[lone, i])
+                whole = weight > -np.inf
+                rows = live[whole]
+                reached[j + 1, rows] = np.logaddexp(reached[j + 1, rows], here[rows] + weight[whole])
+                live, node = live[known], self.targets[at[known]]
+                if not len(live):
+                    break
+        return reached[n + 1]
+
+    def log_words(self, words: list[str]) -> np.ndarray:
+        """Logs of the sums, over all segmentations, of the products of piece probabilities.
 
         A character that is no piece goes through its UTF-8 bytes.
         """
-        text = BEGIN + word
-        n = len(text)
-        reached: list[list[float]] = [[] for _ in range(n + 1)]
-        reached[0] = [0.0]
-        weight, lengths = self.weight, self.lengths
-        exp, log = math.exp, math.log
-        for i in range(n):
-            terms = reached[i]
-            if not terms:
-                continue
-            if len(terms) == 1:
-                here = terms[0]
-            else:
-                top = max(terms)
-                here = top + log(sum([exp(t - top) for t in terms]))
-            reached[i] = ()
-            one = weight.get(text[i])
-            if one is None:
-                one = sum(self.byte[b] for b in text[i].encode())
-            reached[i + 1].append(here + one)
-            for size in lengths.get(text[i : i + 2], ()):
-                w = weight.get(text[i : i + size])
-                if w is not None and i + size <= n and size > 1:
-                    reached[i + size].append(here + w)
-        terms = reached[n]
-        top = max(terms)
-        return top + log(sum([exp(t - top) for t in terms]))
+        out, sizes = np.empty(len(words)), np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(sizes, kind="stable")
+        for group in np.split(order, np.nonzero(np.diff(sizes[order]))[0] + 1) if len(words) else ():
+            n = int(sizes[group[0]])
+            for part in np.array_split(group, len(group) * (n + 1) // _TOGETHER + 1):
+                if len(part):
+                    out[part] = self._one_length([words[i] for i in part], n)
+        return out
 
 
 def piece_logs(counts: np.ndarray, added: float = ADDED) -> np.ndarray:
@@ -206,15 +224,28 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     def lattices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(_pieces(path), weights.value)
         last, value = None, 0.0
-        for batch in batches:
-            found, new = [], []
-            for word in batch.column(0):  # equal words come in a row
-                word = word.as_py()
-                new.append(word != last)
+
+        def run(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            nonlocal last, value
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            words = []
+            new = np.zeros(rows.num_rows, bool)
+            for i, word in enumerate(rows.column(0).to_pylist()):  # equal words come in a row
                 if word != last:
-                    last, value = word, lattice.log_word(word.decode())
-                found.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(found, pa.float64()), pa.array(new, pa.bool_())], ["block", "pos", "total", "lp", "new"])
+                    last, new[i] = word, True
+                    words.append(word.decode())
+            found = np.r_[value, lattice.log_words(words)][np.cumsum(new)]
+            value = float(found[-1])
+            return pa.RecordBatch.from_arrays([rows.column(1), rows.column(2), rows.column(3), pa.array(found), pa.array(new)], ["block", "pos", "total", "lp", "new"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= _ROWS:
+                yield run(held)
+                held = []
+        if any(b.num_rows for b in held):
+            yield run(held)
 
     numbers = cut_lineage(summed.mapInArrow(lattices, "block long, pos int, total long, lp double, new boolean"), "words")
     # Batches never split the words of a task over workers, so a word is new once.
