@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from terrascope.session import cut_lineage
 
 #: Text bytes in a block of documents.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: Documents whose hash has this remainder are held out.
 FOLDS, HELD_OUT = 7, 2
 #: Sign before the first piece of a word; added count of every piece; longest piece of a lattice in characters.
@@ -36,7 +36,7 @@ BEGIN, ADDED = "▁", 0.5
 _BAGS = "block long, words array<binary>, train array<int>, doc_ids array<long>, has_id array<boolean>, held array<boolean>, sizes array<int>, at array<binary>, counts array<binary>, pieces array<int>, piece_counts array<long>, train_docs long"
 _OUT = "doc_id long, held_out boolean, n_tokens long, known long, base double, lattice double"
 #: Numbers per trie node, more than there are characters; characters walked together; rows gathered for it.
-_FAN, _TOGETHER, _ROWS = 1 << 21, 1 << 20, 100_000
+_FAN, _TOGETHER, _ROWS = 1 << 21, 1 << 18, 50_000
 _LOADED: dict[str, "Pieces"] = {}
 
 
