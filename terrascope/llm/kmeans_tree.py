@@ -213,7 +213,8 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP, reca
     routed = queries.repartition("rep").mapInArrow(route, "leaf long, id long, e array<double>")
     blocks_v = _packed(placed.select("leaf", F.col("rep").alias("id"), "e"), width, VECTOR_BLOCK, placed.count() / leaves)
     blocks_q = _packed(routed, width, QUERY_BLOCK, queries.count() * visits / leaves)
-    met = blocks_v.select("leaf", F.col("ids").alias("v_ids"), F.col("data").alias("v")).join(blocks_q.select("leaf", F.col("ids").alias("q_ids"), F.col("data").alias("q")), "leaf")
+    # Packed rows are far larger than Spark expects of them, so neither side may be broadcast.
+    met = blocks_v.select("leaf", F.col("ids").alias("v_ids"), F.col("data").alias("v")).join(blocks_q.select("leaf", F.col("ids").alias("q_ids"), F.col("data").alias("q")).hint("merge"), "leaf")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(k + SPARE)
