@@ -7,9 +7,11 @@ for a secret if
 
 * the battery does not reject that it is random (three p-values, joined by Fisher's rule), and
 * its symbol counts are too even for ordinary text: a p-value for "ordinary", whose expected
-  chi-squared follows from the shares that the encoding's symbols have in all candidate tokens
-  of the table, of which most are ordinary long words, and from the token's length. The second decision is made by false-discovery control
-  (Benjamini-Hochberg) over all candidates of the table, within classes of encoding and
+  chi-squared follows from the shares that the encoding's symbols have in ordinary text and
+  from the token's length. The shares are counted in the table's texts without their candidates
+  and base spans, so that secrets, however many, do not enter them; fixed shares of letters
+  bound them, for tables whose texts hold little else than tokens or repeat one template. The
+  second decision is made by false-discovery control (Benjamini-Hochberg) over all candidates of the table, within classes of encoding and
   length, so short tokens, which carry little evidence, need stronger evidence in effect.
 
 Texts are scanned once. What later passes need, a few numbers per candidate, is written to
@@ -47,6 +49,20 @@ ENCODINGS = (
     ("base36", "^[0-9a-z]+$", _DIGITS + _LOW), ("BASE36", "^[0-9A-Z]+$", _DIGITS + _UP),
     ("base62", "^[0-9A-Za-z]+$", _DIGITS + _UP + _LOW), ("base64", "^[0-9A-Za-z+/]+$", _UP + _LOW + _DIGITS + "+/"), ("base64url", "^[0-9A-Za-z_-]+$", _UP + _LOW + _DIGITS + "-_"),
 )
+#: Signs of all encodings; shares of the letters a to z in prose (mean of en, de, fr, es, in thousandths), of capitals, digits and other signs.
+SIGNS = _LOW + _UP + _DIGITS + "+/-_"
+LETTERS = (85, 16, 32, 45, 140, 14, 19, 30, 68, 4, 6, 45, 28, 76, 62, 19, 6, 67, 74, 68, 41, 12, 11, 2, 8, 5)
+CAPITALS, NUMERALS, OTHERS = 0.05, 0.01, 0.005
+#: Least share of the fixed excess that counts, whatever the table's texts hold.
+LEAST_EXCESS = 0.5
+
+
+def fixed_excess(alphabet: str) -> float:
+    """By how much two signs of prose are more often equal than evenly drawn ones, in terms of the latter."""
+    letter = [x / sum(LETTERS) for x in LETTERS]
+    share = {s: (1 - CAPITALS - NUMERALS - OTHERS) * x for s, x in zip(_LOW, letter)} | {s: CAPITALS * x for s, x in zip(_UP, letter)}
+    share |= dict.fromkeys(_DIGITS, NUMERALS / 10) | dict.fromkeys("+/-_", OTHERS / 4)
+    return max(0.0, len(alphabet) * sum(share[s] ** 2 for s in alphabet) / sum(share[s] for s in alphabet) ** 2 - 1)
 
 
 def normal_tail(z: Column) -> Column:
@@ -88,6 +104,12 @@ def base_spans(text: Column) -> Column:
     return F.concat(_spans(assign, 0), _spans(placed(text, ACCESS), 1), _spans(placed(text, HEX), 2))
 
 
+def ordinary_signs(text: Column) -> Column:
+    """Counts of ``SIGNS`` in ``text`` without candidates and base spans."""
+    count = lambda rest: F.transform(F.split(F.lit(SIGNS), ""), lambda s: (F.octet_length(rest) - F.octet_length(F.replace(rest, s, F.lit("")))).cast("long"))
+    return let(F.regexp_replace(text, f"{_TOKEN}|{ASSIGN}|{ACCESS}|{HEX}", " "), count)
+
+
 def _encoding(token: Column) -> Column:
     """Number of the smallest encoding that holds all symbols, else null."""
     found = F.lit(None).cast("int")
@@ -137,20 +159,22 @@ def find_secrets(docs: DataFrame, discovery: float = DISCOVERY, keep: tuple[str,
     Added tokens that lie within a base span are left out.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    scanned = docs.select("doc_id", *keep, text.alias("_text")).withColumn("base", base_spans(F.col("_text"))).withColumn("tokens", placed(F.col("_text"), _TOKEN)).drop("_text")
+    scanned = docs.select("doc_id", *keep, text.alias("_text")).withColumn("base", base_spans(F.col("_text"))).withColumn("tokens", placed(F.col("_text"), _TOKEN)).withColumn("signs", ordinary_signs(F.col("_text"))).drop("_text")
     outside = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] <= t["start"]) & (t["start"] + F.length(t["match"]) <= b["end"])))
-    scanned = cut_lineage(scanned.select("doc_id", *keep, F.array_sort("base").alias("base"), outside.alias("tokens")).withColumn("row", F.monotonically_increasing_id()), "scanned")
+    scanned = cut_lineage(scanned.select("doc_id", *keep, F.array_sort("base").alias("base"), outside.alias("tokens"), "signs").withColumn("row", F.monotonically_increasing_id()), "scanned")
 
     each = scanned.where(F.size("tokens") > 0).select("row", F.explode("tokens").alias("t")).select("row", "t.start", (F.col("t.start") + F.length("t.match")).alias("end"), F.regexp_replace("t.match", "=+$", "").alias("token"))
     each = each.withColumn("encoding", _encoding(F.col("token"))).where("encoding is not null")
     tested = cut_lineage(battery(each).drop("token"), "tested")
-    # Ordinary text: the chance that two symbols of an encoding are equal, from the candidates of all encodings.
+    # Ordinary text: the chance that two symbols of an encoding are equal.
     spell = lambda e: F.split(_symbols(e), "")
-    used = tested.select(F.explode(F.arrays_zip(spell(F.col("encoding")).alias("symbol"), F.col("counts").alias("c"))).alias("s"))
-    shares = used.groupBy("s.symbol").agg(F.sum("s.c").cast("double").alias("c"))
+    sums = F.array(*[F.sum(F.get("signs", F.lit(i))) for i in range(len(SIGNS))])
+    shares = scanned.agg(sums.alias("c")).select(F.explode(F.arrays_zip(F.split(F.lit(SIGNS), "").alias("symbol"), F.col("c"))).alias("s")).select("s.symbol", F.col("s.c").cast("double").alias("c"))
     alphabets = tested.sparkSession.range(len(ENCODINGS)).select(F.col("id").cast("int").alias("encoding"), F.explode(spell(F.col("id").cast("int"))).alias("symbol"))
-    repeats = alphabets.join(shares, "symbol", "left").fillna(0.0, ["c"]).groupBy("encoding").agg((F.sum(F.col("c") * F.col("c")) / F.greatest(F.sum("c") * F.sum("c"), F.lit(1.0))).alias("equal"), F.count("*").alias("k"))
-    excess = repeats.select("encoding", F.greatest(F.col("k") * F.col("equal") - 1, F.lit(0.0)).alias("excess"))
+    repeats = alphabets.join(shares, "symbol", "left").fillna(0.0, ["c"]).groupBy("encoding").agg(F.sum(F.col("c") * F.col("c")).alias("cc"), F.sum("c").alias("c"), F.count("*").alias("k"))
+    fixed = F.element_at(F.array(*[F.lit(fixed_excess(a)) for _, _, a in ENCODINGS]), F.col("encoding") + 1)
+    counted = F.when(F.col("c") > 0, F.col("k") * F.col("cc") / (F.col("c") * F.col("c")) - 1).otherwise(fixed)
+    excess = repeats.select("encoding", F.least(fixed, F.greatest(counted, LEAST_EXCESS * fixed)).alias("excess"))
     rows = tested.join(F.broadcast(excess), "encoding")  # one row per encoding
     usual = (F.col("k") - 1) + (F.col("n") - 1) * F.col("excess")
     z = (F.col("chi") - usual) / F.sqrt(2 * (F.col("k") - 1) + 4 * F.col("n") * F.col("excess"))

@@ -59,6 +59,21 @@ def test_battery_tells_random_from_ordinary(mixed):
     assert false <= max(2, 0.05 * len(added))
 
 
+@pytest.mark.parametrize("text", ["{}", "see {} there", "It was a long day and nobody wrote {} into the book, as far as we know."])
+def test_more_random_tokens_than_ordinary_ones(spark, text):
+    """Random tokens are found however many there are; ordinary ones beside them are not."""
+    random.seed(5)
+    syllables = ["the", "ing", "ver", "ein", "keit", "tion", "and", "er", "heit", "lich", "es", "on"]
+    ordinary = ["".join(random.choices(syllables, k=random.randint(9, 14))) for _ in range(34)]
+    ordinary += ["".join(w.title() for w in random.choices(["install", "guide", "section", "index", "page"], k=7)) for _ in range(34)]
+    secrets = ["".join(random.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=40)) for _ in range(1000)]
+    table = spark.createDataFrame([(i, text.format(t)) for i, t in enumerate(ordinary + secrets)], "doc_id long, text string")
+    added = [r.doc_id for r in ss.find_secrets(table).collect() if any(s.kind == 3 for s in r.spans)]
+    false = sum(i < len(ordinary) for i in added)
+    assert len(added) - false >= 0.95 * len(secrets)
+    assert false <= 0.02 * len(added)
+
+
 def test_masks(spark, odd, odd_rows, empty):
     text = 'ü token = "' + "ab12" * 10 + '" end deadbeefdeadbeef'
     out = ss.masked(spark.createDataFrame([(1, text, len(text)), (2, "plain", 5), (3, None, None)], "doc_id long, text string, n_chars long"))
