@@ -40,7 +40,8 @@ LEAST_TOKEN, REJECT, DISCOVERY = 20, 0.001, 0.01
 #: Ends of the length classes, and bins per factor of ten of a p-value.
 LENGTHS, BINS, FLOOR = (24, 32, 48, 96), 20, 12
 
-_TOKEN = rf"(?<![\p{{L}}\p{{N}}+/_=-])[A-Za-z0-9+/_-]{{{LEAST_TOKEN},}}+={{0,2}}(?![\p{{L}}\p{{N}}])"
+#: A token may follow '=', as in KEY=value and ?sig=value; the other signs would let it start inside another one.
+_TOKEN = rf"(?<![\p{{L}}\p{{N}}+/_-])[A-Za-z0-9+/_-]{{{LEAST_TOKEN},}}+={{0,2}}(?![\p{{L}}\p{{N}}])"
 #: Encodings from the smallest alphabet on: name, what a token must match, symbols in order.
 _DIGITS, _LOW, _UP = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (

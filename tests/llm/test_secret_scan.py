@@ -74,6 +74,17 @@ def test_more_random_tokens_than_ordinary_ones(spark, text):
     assert false <= 0.02 * len(added)
 
 
+def test_tokens_after_signs(spark):
+    random.seed(4)
+    token = lambda: "".join(random.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=64))
+    ways = ("PRIVATE_KEY={}", "AccountKey={};", "AWS_SECRET_ACCESS_KEY={}", "https://a.example/b?sig={}", "https://a.example/b?x=1&k={}&y=2", 'KEY="{}"', "KEY='{}'", "KEY= {}")
+    texts = [(w, t, f"Here is a line of plain words, {w.format(t)} and it goes on.") for w in ways for t in (token(), token(), token())]
+    got = {r.doc_id: r for r in ss.find_secrets(spark.createDataFrame([(i, x) for i, (_, _, x) in enumerate(texts)], "doc_id long, text string")).collect()}
+    for way in ways:
+        found = [any(x[s.start : s.end] == t for s in got[i].spans) for i, (w, t, x) in enumerate(texts) if w == way]
+        assert sum(found) >= 2, way
+
+
 def test_masks(spark, odd, odd_rows, empty):
     text = 'ü token = "' + "ab12" * 10 + '" end deadbeefdeadbeef'
     out = ss.masked(spark.createDataFrame([(1, text, len(text)), (2, "plain", 5), (3, None, None)], "doc_id long, text string, n_chars long"))
