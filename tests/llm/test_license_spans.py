@@ -32,6 +32,25 @@ def test_exact_and_altered_notices(index):
     assert ls.matches(" ".join(words[: len(words) // 2]).encode(), index, 0.8) == []
 
 
+SIBLINGS = {
+    "Released under the BSD License": "", "Released under the Frobnicate License": "", "Released under the MIT-0 License": "",
+    "Licensed under CC BY-SA 4.0": "CC-BY-SA-4.0", "Licensed under CC BY-ND 4.0": "CC-BY-ND-4.0", "Licensed under CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0", "Licensed under CC BY-NC 3.0": "",
+    "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "CC-BY-NC-4.0-title",
+    "licensed under a Creative Commons Attribution 3.0 International License": "",
+    "This work is licensed under the GNU General Public License, version 2": "GPL-2.0", "This work is licensed under the GNU Lesser General Public License, version 3": "LGPL-3.0",
+    "This work is licensed under the GNU General Public License, version 1": "", "Licensed under the Apache License, Version 1.1": "",
+}
+
+
+def test_siblings_are_told_apart(index):
+    gpl = ls.TEMPLATES["GPL-3.0-header"]
+    more = {gpl.replace("version 3", "version 2"): "GPL-2.0-header", gpl.replace("version 3", "version 1"): "", gpl.replace("GNU General", "GNU Affero General"): "AGPL-3.0-header"}
+    more |= {ls.TEMPLATES[n]: n for n in ls.TEMPLATES}
+    for notice, name in (SIBLINGS | more).items():
+        got = ls.matches(f"Some words before. {notice} and after.".encode(), index, ls.COVERAGE)
+        assert [m[0] for m in got] == [name] * bool(name), notice
+
+
 def test_alignment_against_full_table():
     """Within a wide band the banded alignment reaches the score of the whole table."""
     rng = random.Random(3)
