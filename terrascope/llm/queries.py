@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrascope.llm import circulant_minhash, dp_packing, entropy_mix, kmeans_tree, lattice_score, license_spans, line_cleaning, secret_scan, warc_dictionary, weak_quality
+from terrascope.llm import circulant_minhash, dp_packing, entropy_mix, kmeans_tree, lattice_score, license_spans, line_cleaning, merkle_manifest, secret_scan, warc_dictionary, weak_quality
 from terrascope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,33 @@ select s.doc_id, len(g)::bigint as n_shingles, component_id, s.doc_id = componen
 @query("op10_circulant_dedup", OP10_CHECK)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return circulant_minhash.near_duplicates(table(spark, folder, "documents"), width=3, percent=85)
+
+
+def _op11_check() -> str:
+    part = lambda c: f"case when {c} is null then '-' else strlen({c}::varchar) || ':' || {c}::varchar end"
+    leaf = lambda n: "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", n, "text")) + ")"
+    # crc32 bit by bit: each character is mixed in and followed by eight shifts, written as -1.
+    bits = "flatten(list_transform(range(1, length(doc_id::varchar) + 1), lambda i: [ascii((doc_id::varchar)[i]), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"xor(list_reduce(list_concat([4294967295], {bits}), lambda x, y: case when y >= 0 then xor(x, y) else xor(x >> 1, 3988292384 * (x & 1)) end), 4294967295)"
+    level = lambda t, below, key: f"""{t}(tree, level, pos, h, n) as (select * from {below}
+      union all select {key}, level + 1, pos // 2, sha256(string_agg(h, '' order by pos)), (n + 1) // 2 from {t} where n > 1 group by all)"""
+    beside = lambda c, s: f"case when {c}.at % 2 = 1 then coalesce({s}.h, '') || {c}.h else {c}.h || coalesce({s}.h, '') end"
+    climb = lambda t, start, nodes: f"""{t} as (select * from {start}
+      union all select c.doc_id, c.tree, c.level + 1, c.at // 2, c.n, sha256({beside('c', 's')}), c.proof || coalesce(s.h, '')
+      from {t} c left join {nodes} s on s.tree = c.tree and s.level = c.level and s.pos = xor(c.at, 1::bigint) where c.n > power(2, c.level))"""
+    ends = lambda t: f"(select * from {t} where n <= power(2, level))"
+    return f"""with recursive d as (select doc_id, coalesce('=' || lang, '') as tree, {leaf("n_chars")} as leaf,
+    case when {crc} % 7 = 0 then {leaf("(n_chars + 1)")} else {leaf("n_chars")} end as climbs from documents),
+p as (select *, row_number() over (partition by tree order by doc_id) - 1 as pos, count(*) over (partition by tree) as n from d),
+low0 as (select tree, 0::bigint as level, pos, leaf as h, n from p), {level("low", "low0", "tree")},
+sub as (select tree, h as subroot, row_number() over (order by tree) - 1 as place, count(*) over () as trees from low where n = 1),
+up0 as (select 0 as tree, 0::bigint as level, place as pos, subroot as h, trees as n from sub), {level("up", "up0", "tree")},
+a0 as (select doc_id, tree, 0::bigint as level, pos as at, n, climbs as h, '' as proof from p), {climb("a", "a0", "low")},
+b0 as (select doc_id, 0 as tree, 0::bigint as level, place as at, trees as n, h, proof from {ends("a")} z join sub using (tree)), {climb("b", "b0", "up")}
+select p.doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, h as folded_root, h = root as verified
+from p join sub using (tree) join {ends("b")} e using (doc_id), (select h as root from up where n = 1) r"""
+
+
+@query("op11_merkle_climb", _op11_check())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, folder, "documents"))
