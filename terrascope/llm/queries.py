@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrascope.llm import circulant_minhash, dp_packing, entropy_mix, kmeans_tree, lattice_score, license_spans, line_cleaning, merkle_manifest, secret_scan, warc_dictionary, weak_quality
+from terrascope.llm import circulant_minhash, dp_packing, entropy_mix, kmeans_tree, lattice_score, license_spans, line_cleaning, merkle_manifest, secret_scan, url_filter, warc_dictionary, weak_quality
 from terrascope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,8 @@ from p join sub using (tree) join {ends("b")} e using (doc_id), (select h as roo
 @query("op11_merkle_climb", _op11_check())
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return merkle_manifest.manifest(table(spark, folder, "documents"))
+
+
+@query("op12_url_ngrams")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages"))
