@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrascope.llm import circulant_minhash, dp_packing, entropy_mix, kmeans_tree, lattice_score, license_spans, line_cleaning, merkle_manifest, secret_scan, url_filter, warc_dictionary, weak_quality
+from terrascope.llm import circulant_minhash, dp_packing, entropy_mix, kmeans_tree, lattice_score, license_spans, line_cleaning, merkle_manifest, phrase_mining, secret_scan, url_filter, warc_dictionary, weak_quality
 from terrascope.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,25 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_url_ngrams")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"))
+
+
+def _op13_check() -> str:
+    size, least, top = phrase_mining.LONGEST, phrase_mining.AT_LEAST, phrase_mining.TOP
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[.,;:!?\x0A-\x0D]')) as p from documents),
+w as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from p),
+g as (select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from (select lang, w, unnest(range(1, {size + 1})) as m from w) y) z),
+f as (select lang, m, phrase, string_split(phrase, ' ') as ws, count(*) as f from g group by all having count(*) >= {least}),
+t as (select lang, sum(len(w))::bigint as n from w group by lang),
+c as (select lang, m, phrase, f as a, k, array_to_string(ws[1:k], ' ') as x, array_to_string(ws[k + 1:], ' ') as y from (select *, unnest(range(1, m)) as k from f where m > 1) z),
+s as (select c.lang, c.m, c.phrase, a, k, l.f as l, r.f as r, n, ({phrase_mining.SCALE}::hugeint * a * n // (l.f::hugeint * r.f))::bigint as score
+    from c join f l on l.lang = c.lang and l.phrase = x join f r on r.lang = c.lang and r.phrase = y join t on t.lang = c.lang),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+e as (select lang, unnest([array_to_string(ws[1:m - 1], ' '), array_to_string(ws[2:], ' ')]) as phrase, f from f where m > 2),
+d as (select b.* from b left join (select lang, phrase, max(f) as f from e group by all) e on e.lang = b.lang and e.phrase = b.phrase where e.f is null or e.f < a)
+select * from (select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from d) z where rank <= {top}"""
+
+
+@query("op13_phrase_frontier", _op13_check())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, folder, "documents"))
