@@ -53,7 +53,7 @@ def test_empty_table_passes(spark):
 
 def test_registered():
     names = contract.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([k for k in names if k.startswith(f"op{n}_")]) == 1
     assert names["pipeline"] is pipeline.run
 
