@@ -19,7 +19,7 @@ from terrascope.llm.common import ascii_lower, hashed_sample
 
 BITS = 18
 SIZES = (3, 4, 5)
-STEPS, RATE, SHRINK = 400, 4.0, 1e-4
+STEPS, RATE, SHRINK = 1500, 4.0, 1e-4
 THRESHOLD = 0.5
 #: Share of URLs that are expected to be allowed: what the labelled rows of both kinds weigh together.
 ALLOWED = 0.75
