@@ -4,11 +4,12 @@ Each document is a leaf, each language a tree over its leaves by doc_id, and the
 are the leaves of one more tree, ordered by language. While more than one node remains,
 every two consecutive ones, or the last alone, become the digest of their hex texts.
 
-The built levels are stored as rows that link a node to its ancestor ``SPAN`` levels up (fewer
-at the top of a tree) and hold the siblings passed on the way. A Spark recursive query then
-climbs from every leaf along these links: it appends the siblings and folds the leaf's hash, the
-tampered one where the leaf was tampered with. A link of one level would move the growing
-proofs through two shuffles a level; with eight levels a link they move a few times in all.
+The built levels are stored as rows that link a node to its ancestor ``SPAN`` levels up, or to
+the root of its tree and on into the upper one, and hold the siblings passed on the way. A
+Spark recursive query then climbs from every leaf along these links: each turn appends the
+siblings and folds the leaf's hash, the tampered one where the leaf was tampered with. With
+one level a link the growing proofs would be shuffled at every level; with eight they move a few
+times in all.
 
 The nodes near the root lie on everybody's way. A node row is repeated for each run of
 ``BLOCK`` leaves below it and joined by run, so no join key has more than ``BLOCK`` climbers.
@@ -16,6 +17,7 @@ The nodes near the root lie on everybody's way. A node row is repeated for each
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,7 +60,7 @@ def leaves(docs: DataFrame) -> DataFrame:
 
 
 def placed(rows: DataFrame, *order: str) -> DataFrame:
-    """``rows`` with ``pos``, their place in their tree, from 0 in the given order.
+    """``rows`` with ``pos``, their place in their tree, from 0 in the given order, and ``n``, the tree's size.
 
     Rows are sorted by range, so a tree may spread over any number of tasks and equal rows too;
     the place is the offset in its range plus the sizes of the tree's earlier ranges.
@@ -68,8 +70,9 @@ def placed(rows: DataFrame, *order: str) -> DataFrame:
     ranged = cut_lineage(spread.repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie").withColumn("_at", F.monotonically_increasing_id()), "ranged")
     part = F.shiftright("_at", 33)
     sizes = ranged.groupBy("tree", part.alias("_part")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("tree").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("tree", "_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    whole = Window.partitionBy("tree")
+    before = F.sum("_n").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("tree", "_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_n").over(whole).alias("n"))
     return ranged.withColumn("_part", part).join(offsets, ["tree", "_part"]).withColumn("pos", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
 
 
@@ -90,51 +93,54 @@ def _levels(kids: Column, span: Column) -> Column:
     return F.reduce(steps, F.array(kids), lambda built, _: F.concat(built, F.array(above(F.element_at(built, -1)))))
 
 
-def build(nodes: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links of all trees, and ``tree, root`` of each.
+def _hops(n: Column) -> Column:
+    return F.greatest(F.ceil(_height(n) / SPAN), F.lit(1)).cast("int")
+
 
-    ``nodes``: tree, pos, digest of the leaves. ``sizes``: tree, n. A link has its hop, the
-    place of its lower node, the siblings passed (null where the node was alone) and whether it ends
-    at the root. A group of ``2 ** SPAN`` nodes becomes one row, whatever the size of the tree.
+def build(leaf_rows: DataFrame, *own: str) -> tuple[list[DataFrame], DataFrame]:
+    """Links of all trees by hop, and ``tree, n, root`` of each tree.
+
+    ``leaf_rows``: tree, n, pos, digest; those of hop 0 keep the columns ``own`` as well. A link
+    goes from a node ``pos`` to its ancestor ``SPAN`` levels up, or to the root if that is ``last``;
+    it holds the node's digest (as ``leaf``) and the siblings passed, null where a node was alone, and ``sides``: bit s is set if the
+    sibling of level s stands on the left. A group of ``2 ** SPAN`` nodes becomes one row,
+    whatever the size of its tree.
     """
-    tall = sizes.agg(F.max(_height(F.col("n")))).first()[0]
-    links, roots = [], []
-    for hop in range(max(1, -(-(tall or 0) // SPAN))):
-        low = hop * SPAN
-        left = F.least(F.lit(SPAN), _height(F.col("n")) - low)
-        groups = nodes.groupBy("tree", F.shiftright("pos", SPAN).alias("up")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "digest"))), lambda x: x["digest"]).alias("kids"))
-        ends = _height(F.col("n")) <= low + SPAN
-        groups = groups.join(sizes, "tree").select("tree", "up", F.size("kids").alias("many"), ends.alias("last"), _levels(F.col("kids"), left).alias("levels"))
+    tall = leaf_rows.agg(F.max(_height(F.col("n")))).first()[0] or 0
+    nodes, links, roots = leaf_rows, [], []
+    for hop in range(max(1, -(-tall // SPAN))):
+        kept = own if hop == 0 else ()
+        low, height = hop * SPAN, _height(F.col("n"))
+        kids = F.sort_array(F.collect_list(F.struct("pos", "digest", *kept)))
+        groups = nodes.groupBy("tree", "n", F.shiftright("pos", SPAN).alias("up")).agg(kids.alias("kids"))
+        digests = F.transform("kids", lambda k: k["digest"])
+        groups = groups.select("tree", "n", "up", "kids", (height <= low + SPAN).alias("last"), _levels(digests, F.least(F.lit(SPAN), height - low)).alias("levels"))
         groups = cut_lineage(groups, f"levels{hop}")
-        each = groups.select("tree", "up", "last", "levels", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("i"))
+        each = groups.select("tree", "n", "up", "last", "levels", F.posexplode("kids").alias("i", "kid"))
         passed = F.transform(F.slice("levels", 1, F.size("levels") - 1), lambda level, s: F.get(level, _at_level(F.col("i"), s).bitwiseXOR(F.lit(1))))
-        links.append(each.select("tree", F.lit(hop).alias("hop"), (F.shiftleft("up", SPAN) + F.col("i")).alias("pos"), passed.alias("siblings"), "last"))
-        tops = groups.select("tree", F.col("up").alias("pos"), F.get(F.element_at("levels", -1), F.lit(0)).alias("digest"), "last")
-        roots.append(tops.where("last").select("tree", F.col("digest").alias("root")))
-        nodes = tops.where("not last").select("tree", "pos", "digest")
-    return reduce(DataFrame.unionByName, links), reduce(DataFrame.unionByName, roots)
+        links.append(each.select("tree", "n", "kid.pos", F.col("kid.digest").alias("leaf"), *[f"kid.{c}" for c in kept], passed.alias("siblings"), F.col("i").cast("long").alias("sides"), "last"))
+        tops = groups.select("tree", "n", F.col("up").alias("pos"), F.get(F.element_at("levels", -1), F.lit(0)).alias("digest"), "last")
+        roots.append(tops.where("last").select("tree", "n", F.col("digest").alias("root")))
+        nodes = tops.where("not last").drop("last")
+    return links, reduce(DataFrame.unionByName, roots)
 
 
 _ROWS = "spark.sql.cteRecursionRowLimit"
-CLIMB = """
+#: At every sibling passed the node's digest is joined with it on the side that its bit tells.
+_FOLD = """aggregate(if(size(siblings) = 0, cast(array() as array<int>), sequence(0, size(siblings) - 1)), {start}, (h, s) -> unhex(sha2(concat(
+    if(shiftright(sides, s) & 1 = 1, coalesce(lower(hex(siblings[s])), ''), ''), lower(hex(h)),
+    if(shiftright(sides, s) & 1 = 0, coalesce(lower(hex(siblings[s])), ''), '')), 256)))"""
+_APPEND = "aggregate(siblings, {start}, (b, s) -> concat(b, coalesce(s, X'')))"
+#: A leaf row holds the leaf's own link; from there on every turn takes the link of the node reached.
+CLIMB = f"""
 with recursive climb as (
-  select doc_id, leaf, tree, block, 0 as hop, pos as at, climbs as folded, cast(array() as array<binary>) as passed, false as done from {starts}
+  select doc_id, leaf, tree, block, 1 as hop, next as at, {_FOLD.format(start='climbs')} as folded, {_APPEND.format(start="X''")} as passed, done from {{leaf_rows}}
   union all
-  select c.doc_id, c.leaf, c.tree, c.block, c.hop + 1, n.next, {fold}, concat(c.passed, n.siblings), n.done
-  from climb c join {nodes} n on n.tree = c.tree and n.block = c.block and n.hop = c.hop and n.at = c.at
+  select c.doc_id, c.leaf, c.tree, c.block, c.hop + 1, n.next, {_FOLD.format(start='c.folded')}, {_APPEND.format(start='c.passed')}, n.done
+  from climb c join {{node_rows}} n on n.tree = c.tree and n.block = c.block and n.hop = c.hop and n.at = c.at
 )
 select doc_id, leaf, tree, folded, passed from climb where done
 """
-#: At every sibling passed the node's digest is joined with it on the side that the node's place tells.
-_FOLD = """aggregate(sequence(1, size(n.siblings)), c.folded, (h, s) -> unhex(sha2(concat(
-    if(shiftright(c.at, s - 1) & 1 = 1, coalesce(lower(hex(n.siblings[s - 1])), ''), ''), lower(hex(h)),
-    if(shiftright(c.at, s - 1) & 1 = 0, coalesce(lower(hex(n.siblings[s - 1])), ''), '')), 256)))"""
-#: A link of a tree of one leaf passes nothing and changes nothing.
-FOLD = f"case when size(n.siblings) = 0 then c.folded else {_FOLD} end"
-
-
-def _hops(n: Column) -> Column:
-    return F.greatest(F.ceil(_height(n) / SPAN), F.lit(1)).cast("int")
 
 
 def _runs(first: Column, past: Column) -> Column:
@@ -142,40 +148,53 @@ def _runs(first: Column, past: Column) -> Column:
     return F.explode(F.sequence(F.shiftright(first, BLOCK_BITS), F.shiftright(past - 1, BLOCK_BITS)))
 
 
-def _nodes(links: DataFrame, trees: DataFrame, upper_links: DataFrame) -> DataFrame:
-    """Node rows ``tree, block, hop, at, next, siblings, done``: one per node and run of leaves below it.
+def _onward(link: DataFrame, ways: DataFrame) -> DataFrame:
+    """Columns ``next, siblings, sides, done``; the last link of a tree goes on with the first link of its subroot.
 
-    The last link of a tree leads to its leaf of the upper tree, whose hops follow on.
+    ``ways``: the subroot's link in the upper tree, by tree.
     """
-    wide = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("hop") * SPAN)
-    lower = links.join(trees, "tree").select(
-        "tree", _runs(F.col("pos") * wide, F.least((F.col("pos") + 1) * wide, F.col("n"))).alias("block"), "hop", F.col("pos").alias("at"),
-        F.when(F.col("last"), F.col("place")).otherwise(F.shiftright("pos", SPAN)).alias("next"), "siblings", F.lit(False).alias("done"),
-    )
-    count = trees.agg(F.count(F.lit(1)).alias("_trees"))
-    ways = attach(trees, count).select("tree", "n", "place", F.explode(F.sequence(F.lit(0), _hops(F.col("_trees")) - 1)).alias("hop"))
-    ways = ways.withColumn("pos", _at_level(F.col("place"), F.col("hop") * SPAN))
-    upper = ways.join(upper_links.select("hop", "pos", "siblings", "last"), ["hop", "pos"]).select(
-        "tree", _runs(F.lit(0).cast("long"), F.col("n")).alias("block"), (_hops(F.col("n")) + F.col("hop")).alias("hop"), F.col("pos").alias("at"),
-        F.shiftright("pos", SPAN).alias("next"), "siblings", F.col("last").alias("done"),
+    joined = link.join(ways, "tree")
+    return joined.select(
+        *link.columns[: -len(("siblings", "sides", "last"))],
+        F.when(F.col("last"), F.shiftright("place", SPAN)).otherwise(F.shiftright("pos", SPAN)).alias("next"),
+        F.when(F.col("last"), F.concat("siblings", "_siblings")).otherwise(F.col("siblings")).alias("siblings"),
+        F.when(F.col("last"), F.col("sides") + F.call_function("shiftleft", F.col("_sides"), F.size("siblings"))).otherwise(F.col("sides")).alias("sides"),
+        (F.col("last") & F.col("_last")).alias("done"),
     )
-    return lower.unionByName(upper)
 
 
-def _climbed(starts: DataFrame, nodes: DataFrame) -> DataFrame:
+def node_rows(links: list[DataFrame], upper_links: list[DataFrame], trees: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Leaf rows, and the rows ``tree, block, hop, at, next, siblings, sides, done`` of the nodes above them.
+
+    A node has one row for each run of leaves below it. Hops of the upper tree follow those of a tree.
+    """
+    first = upper_links[0].select(F.col("name").alias("tree"), F.col("pos").alias("place"), F.col("siblings").alias("_siblings"), F.col("sides").alias("_sides"), F.col("last").alias("_last"))
+    low = _onward(links[0], first).withColumn("block", F.shiftright("pos", BLOCK_BITS))
+    above = []
+    for hop, link in enumerate(links[1:], 1):
+        past = F.least((F.col("pos") + 1) * (1 << (hop * SPAN)), F.col("n"))
+        above.append(_onward(link, first).select("tree", _runs(F.col("pos") * (1 << (hop * SPAN)), past).alias("block"), F.lit(hop).alias("hop"), F.col("pos").alias("at"), "next", "siblings", "sides", "done"))
+    for hop, link in enumerate(upper_links[1:], 1):
+        ways = trees.withColumn("pos", F.shiftright("place", hop * SPAN)).join(link.drop("tree", "n", "leaf"), "pos")
+        above.append(ways.select("tree", _runs(F.lit(0).cast("long"), F.col("n")).alias("block"), (_hops(F.col("n")) + (hop - 1)).alias("hop"), F.col("pos").alias("at"), F.shiftright("pos", SPAN).alias("next"), "siblings", "sides", F.col("last").alias("done")))
+    rows = reduce(DataFrame.unionByName, above) if above else low.select("tree", "block", F.lit(0).alias("hop"), F.col("pos").alias("at"), "next", "siblings", "sides", "done").where("false")
+    return low, rows
+
+
+def _climbed(low: DataFrame, above: DataFrame) -> DataFrame:
     """``doc_id, tree, leaf, folded, passed`` of every leaf at the root, by one recursive query.
 
     The session's limit of rows for recursive queries is lifted while it runs. The result is
     written, so the query runs once and under that setting.
     """
-    spark = starts.sparkSession
-    names = {"starts": f"merkle_starts_{id(starts)}", "nodes": f"merkle_nodes_{id(nodes)}"}
-    starts.createOrReplaceTempView(names["starts"])
-    nodes.createOrReplaceTempView(names["nodes"])
+    spark = low.sparkSession
+    names = {"leaf_rows": f"merkle_leaves_{uuid.uuid4().hex}", "node_rows": f"merkle_nodes_{uuid.uuid4().hex}"}
+    low.createOrReplaceTempView(names["leaf_rows"])
+    above.createOrReplaceTempView(names["node_rows"])
     limit = spark.conf.get(_ROWS, None)
     spark.conf.set(_ROWS, "-1")
     try:
-        return cut_lineage(spark.sql(CLIMB.format(**names, fold=FOLD)), "climbed")
+        return cut_lineage(spark.sql(CLIMB.format(**names)), "climbed")
     finally:
         spark.conf.unset(_ROWS) if limit is None else spark.conf.set(_ROWS, limit)
         for name in names.values():
@@ -190,20 +209,17 @@ def manifest(docs: DataFrame) -> DataFrame:
     doc_ids are ordered by leaf digest, equal rows among themselves in any order. A null n_chars
     stays null when tampered with. An empty table gives no rows; other columns are not read.
     """
-    rows = cut_lineage(placed(cut_lineage(leaves(docs), "leaves"), "doc_id", "leaf"), "placed")
-    sizes = cut_lineage(rows.groupBy("tree").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    links, subroots = build(rows.select("tree", "pos", F.col("leaf").alias("digest")), sizes)
+    rows = placed(cut_lineage(leaves(docs), "leaves"), "doc_id", "leaf")
+    links, subroots = build(rows.withColumnRenamed("leaf", "digest"), "doc_id", "climbs")
     # The subroots are the leaves of the upper tree, in one series.
-    named = cut_lineage(subroots.join(sizes, "tree").select(F.lit(TOP).alias("tree"), F.col("tree").alias("name"), "root", "n"), "subroots")
-    trees = cut_lineage(placed(named, "name").select(F.col("name").alias("tree"), "n", F.col("pos").alias("place"), F.col("root").alias("subroot")), "trees")
-    upper = trees.select(F.lit(TOP).alias("tree"), F.col("place").alias("pos"), F.col("subroot").alias("digest"))
-    upper_links, top = build(upper, upper.groupBy("tree").agg(F.count(F.lit(1)).alias("n")))
-    nodes = cut_lineage(_nodes(links, trees, upper_links), "nodes")
-    starts = rows.select("doc_id", "tree", "leaf", "climbs", "pos", F.shiftright("pos", BLOCK_BITS).alias("block"))
-    climbed = _climbed(starts, nodes).join(trees.select("tree", "subroot"), "tree")
-    proof = F.transform("passed", lambda s: F.coalesce(_hex(s), F.lit("")))
+    named = cut_lineage(subroots.select(F.lit(TOP).alias("tree"), F.col("tree").alias("name"), F.col("root").alias("digest"), F.col("n").alias("below")), "subroots")
+    series = cut_lineage(placed(named, "name"), "series")
+    upper_links, top = build(series, "name")
+    trees = series.select(F.col("name").alias("tree"), F.col("below").alias("n"), F.col("pos").alias("place"), F.col("digest").alias("subroot"))
+    low, above = node_rows(links, upper_links, trees)
+    climbed = _climbed(low, cut_lineage(above, "nodes")).join(trees.select("tree", "subroot"), "tree")
     out = attach(climbed, top.agg(F.max("root").alias("root")))
     return out.select(
         "doc_id", _hex(F.col("leaf")).alias("leaf"), _hex(F.col("subroot")).alias("subroot"), _hex(F.col("root")).alias("root"),
-        F.sha2(F.array_join(proof, ""), 256).alias("proof_sha256"), _hex(F.col("folded")).alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"),
+        F.sha2(_hex(F.col("passed")), 256).alias("proof_sha256"), _hex(F.col("folded")).alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"),
     )
