@@ -16,6 +16,7 @@ counting and no phrase is lost, as all decisions follow from the added counts.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -181,14 +182,19 @@ def _sum(counted: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def _phrases(texts: DataFrame, longest: int, frequent: np.ndarray, taken: np.ndarray) -> DataFrame:
-    tables = texts.sparkSession.sparkContext.broadcast((frequent, taken))  # 2 ** TABLE_BITS bits each
+def _phrases(texts: DataFrame, longest: int, frequent: np.ndarray, taken: np.ndarray, at_least: int) -> DataFrame:
+    """Written counts of the phrases of ``longest`` words that are frequent and may have an end taken."""
+    # Two tables of 2 ** TABLE_BITS bits at most; they go once the counts are written.
+    tables = texts.sparkSession.sparkContext.broadcast([zlib.compress(t.data, 1) for t in (frequent, taken)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacked = [np.frombuffer(zlib.decompress(t), np.uint8) for t in tables.value]
         for block in _blocks(batches):
-            yield from _block_phrases(block, longest, *tables.value)
+            yield from _block_phrases(block, longest, *unpacked)
 
-    return _sum(texts.mapInArrow(run, _COUNTED))
+    counted = cut_lineage(_sum(texts.mapInArrow(run, _COUNTED)).where(F.col("f") >= at_least), f"phrases{longest}")
+    tables.destroy()
+    return counted
 
 
 def _scored(phrases: DataFrame, words: DataFrame, reach: DataFrame, scale: int) -> DataFrame:
@@ -249,7 +255,7 @@ def collocations(docs: DataFrame, at_least: int = AT_LEAST, top: int = TOP, scal
         taken = bit_table(words.join(reach, "lang").where("f > before and f <= top_f"))
         known = frequent.copy()
         for size in range(2, longest + 1):
-            counted = cut_lineage(_phrases(texts, size, known, taken).where(F.col("f") >= at_least), f"phrases{size}")
+            counted = _phrases(texts, size, known, taken, at_least)
             if counted.isEmpty():
                 break
             phrases.append(counted)
