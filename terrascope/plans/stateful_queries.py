@@ -26,9 +26,14 @@ def event_streams(t: Inputs, *names: str) -> list[DataFrame]:
 
 
 def delay(t: Inputs) -> str:
-    """Files may come in any order, so a row may be as late as the table is long."""
-    longest = t["events"].agg(F.max("ts").cast("timestamp").cast("long") - F.min("ts").cast("timestamp").cast("long")).first()[0]
-    return f"{(longest or 0) + 2} seconds"
+    """How late rows may come. One file is one batch, in which nothing is late; several may come in any order.
+
+    A source that delivers in time order states its own delay, an hour say.
+    """
+    files, longest = t["events"].agg(
+        F.count_distinct(F.col("_metadata.file_path")), F.max("ts").cast("timestamp").cast("long") - F.min("ts").cast("timestamp").cast("long")
+    ).first()
+    return f"{(longest or 0) + 2} seconds" if files > 1 else "2 seconds"
 
 
 # --- class state ------------------------------------------------------------------------
@@ -44,9 +49,8 @@ def _(t: Inputs) -> DataFrame:
 @query("observation_ema_stream", "point_id:i class_id:i logit:d", EMA)
 def _(t: Inputs) -> DataFrame:
     (observations,) = event_streams(t, "fx_observations")
-    emitted = run_append(so.observation_ema(observations, CLASS_COUNT, ALPHA, SCALE, delay(t)), "ema")
-    rows = so.latest_state(emitted).select("point_id", F.posexplode("logits").alias("class_id", "logit"))
-    return rows.where(F.col("logit") > 0)
+    emitted = run_append(so.ema_partials(observations, CLASS_COUNT, ALPHA, SCALE, delay(t)), "ema")
+    return so.composed_ema(emitted, ALPHA)
 
 
 EVIDENCE = f"with {OBS}, e as (select point_id, target as class_id, sum(conf) as evidence, max(conf) as support_max from ob group by point_id, target) "
@@ -103,7 +107,8 @@ def _(t: Inputs) -> DataFrame:
 @query("observation_switch_stream", SWITCH_SHAPE, SWITCHED)
 def _(t: Inputs) -> DataFrame:
     (observations,) = event_streams(t, "fx_observations")
-    return so.latest_state(run_append(so.observation_switch(observations, CLASS_COUNT, ALPHA, SCALE, SWITCH, delay(t)), "switch"))
+    emitted = run_append(so.switch_partials(observations, CLASS_COUNT, ALPHA, SCALE, SWITCH, delay(t)), "switch")
+    return so.composed_switch(emitted, CLASS_COUNT, ALPHA, SCALE, SWITCH)
 
 
 @query("support_max", "point_id:i support:d", f"with {OBS} select point_id, max(conf) as support from ob group by point_id")

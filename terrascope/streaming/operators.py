@@ -6,7 +6,7 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -24,35 +24,36 @@ def valid_observations(observations: DataFrame, class_count: int) -> DataFrame:
     return observations.where(valid).withColumn("conf", clip(F.col("conf"), 0.0, 1.0))
 
 
-class InOrder(StatefulProcessor):
-    """A fold over one point's observations in time order, whatever batches they come in.
+class InBucket(StatefulProcessor):
+    """The observations of one point in one time bucket, until the watermark passes the bucket.
 
-    Observations that the watermark has not passed wait in the state. Those that it has
-    passed are folded into the point's value for good; the others are folded, in order,
-    into what is emitted. So the last emission of a point is the value after all its
-    observations, if none came later than the delay. The delay bounds what waits.
+    Whenever rows come, the bucket's partial is emitted anew; the one with the most rows counts.
+    A timer at the end of the bucket drops its state, so the state holds open buckets alone.
     """
 
-    value_type = ""
+    def __init__(self, width_us: int, partial):
+        self.width_us, self.partial = width_us, partial
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("value", self.value_type)
-        self.waiting = handle.getListState("waiting", "us bigint, seq bigint, target int, conf double")
+        self.handle = handle
+        self.rows = handle.getListState("rows", "us bigint, seq bigint, target int, conf double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        value = self.load(self.value.get()) if self.value.exists() else self.first()
+        point, bucket = int(key[0]), int(key[1])
         names = ["us", "seq", "target", "conf"]
-        waited = list(self.waiting.get()) if self.waiting.exists() else []
-        kept = [pd.DataFrame(waited, columns=names)] if waited else []
-        batch = pd.concat([*kept, *[r[names] for r in rows]], ignore_index=True).sort_values(["us", "seq"], kind="stable")
-        us, target, conf = batch["us"].to_numpy("int64"), batch["target"].to_numpy("int64"), batch["conf"].to_numpy("float64")
-        done = int(np.searchsorted(us, timerValues.getCurrentWatermarkInMs() * 1000))
-        if done:
-            value = self.fold(value, target[:done], conf[:done])
-            self.value.update(self.save(value))
-        rest = list(zip(us[done:].tolist(), batch["seq"].astype("int64").tolist()[done:], target[done:].tolist(), conf[done:].tolist()))
-        self.waiting.put(rest) if rest else self.waiting.clear()
-        yield self.emit(int(key[0]), self.fold(value, target[done:], conf[done:]))
+        fresh = pd.concat([r[names] for r in rows], ignore_index=True)
+        if self.rows.exists():
+            batch = pd.concat([pd.DataFrame(list(self.rows.get()), columns=names), fresh], ignore_index=True)
+        else:
+            batch = fresh
+            self.handle.registerTimer((bucket + 1) * self.width_us // 1000)
+        self.rows.appendList(list(zip(*(fresh[n].tolist() for n in names))))
+        batch = batch.sort_values(["us", "seq"], kind="stable")
+        yield self.partial.frame(point, bucket, batch["target"].to_numpy("int64"), batch["conf"].to_numpy("float64"))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.rows.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -63,103 +64,157 @@ def _decayed(alpha: float, n: int) -> np.ndarray:
     return (1.0 - alpha) ** np.arange(n - 1, -1, -1)
 
 
-class EmaState(InOrder):
-    """Class vector of one point, updated by every valid observation."""
+class EmaPartial:
+    """What some observations in order add to a class vector; vectors before them are damped by their number."""
 
-    value_type = "seen bigint, logits array<double>"
+    shape = "point_id bigint, bucket bigint, seen bigint, gains array<double>"
 
     def __init__(self, class_count: int, alpha: float, scale: float):
         self.class_count, self.alpha, self.scale = class_count, alpha, scale
 
-    def first(self) -> tuple:
-        return 0, np.zeros(self.class_count)
+    def of(self, target: np.ndarray, conf: np.ndarray) -> tuple[int, list[float]]:
+        weights = self.alpha * self.scale * conf * _decayed(self.alpha, len(conf))
+        return len(conf), np.bincount(target, weights, self.class_count).tolist()
 
-    def load(self, stored) -> tuple:
-        return int(stored[0]), np.asarray(stored[1], dtype=float)
+    def frame(self, point: int, bucket: int, target: np.ndarray, conf: np.ndarray) -> pd.DataFrame:
+        seen, gains = self.of(target, conf)
+        return pd.DataFrame({"point_id": [point], "bucket": [bucket], "seen": [seen], "gains": [gains]})
 
-    def save(self, value: tuple) -> tuple:
-        return value[0], value[1].tolist()
 
-    def fold(self, value: tuple, target: np.ndarray, conf: np.ndarray) -> tuple:
-        n = len(target)
-        gained = np.bincount(target, self.alpha * self.scale * conf * _decayed(self.alpha, n), self.class_count)
-        return value[0] + n, (1.0 - self.alpha) ** n * value[1] + gained
+class SwitchPartial:
+    """What some observations in order do to a class with hysteresis, whatever its state before.
 
-    def emit(self, point_id: int, value: tuple) -> pd.DataFrame:
-        return pd.DataFrame({"point_id": [point_id], "seen": [value[0]], "logits": [value[1].tolist()]})
-
-
-class SwitchState(InOrder):
-    """Class with hysteresis: label, strength, pending label and its support; folded by runs of one target."""
-
-    value_type = "seen bigint, label int, strength double, pending int, support double"
+    A run is a stretch of one target. Only the first run can meet support that is pending for
+    its target; it is kept as the confidences up to the one that switches without any (``head``)
+    and the gain of those after it. What the later runs do depends on the label alone, so
+    they become one action per label: the label, pending label and support after them, and the
+    strength as ``keep * strength + add``. Partials apply one after the other; the first
+    observation of a point must lift its strength over 1e-6.
+    """
 
-    def __init__(self, alpha: float, scale: float, switch_support: float):
-        self.alpha, self.scale, self.switch_support = alpha, scale, switch_support
+    shape = (
+        "point_id bigint, bucket bigint, seen bigint, target int, head array<double>, rest bigint, rest_gain double, more boolean, "
+        "actions array<struct<label:int,pending:int,support:double,keep:double,add:double>>"
+    )
 
-    def first(self) -> tuple:
-        return 0, 0, 0.0, 0, 0.0
+    def __init__(self, class_count: int, alpha: float, scale: float, switch_support: float):
+        self.class_count, self.alpha, self.scale, self.switch_support = class_count, alpha, scale, switch_support
 
-    def load(self, stored) -> tuple:
-        return tuple(stored)
+    def _gain(self, conf: np.ndarray) -> float:
+        return float((self.alpha * self.scale * conf * _decayed(self.alpha, len(conf))).sum())
 
-    def save(self, value: tuple) -> tuple:
-        return int(value[0]), int(value[1]), float(value[2]), int(value[3]), float(value[4])
+    def _damp(self, n: int) -> float:
+        return (1.0 - self.alpha) ** n
 
-    def _raised(self, strength: float, conf: np.ndarray) -> float:
-        return float((1.0 - self.alpha) ** len(conf) * strength + (self.alpha * self.scale * conf * _decayed(self.alpha, len(conf))).sum())
+    def _switched(self, conf: np.ndarray) -> float:
+        """Strength of a label set by the first of these."""
+        return self._damp(len(conf) - 1) * float(conf[0]) * self.scale + self._gain(conf[1:])
 
-    def fold(self, value: tuple, target: np.ndarray, conf: np.ndarray) -> tuple:
-        seen, label, strength, pending, support = value
-        cuts = np.flatnonzero(np.diff(target)) + 1
-        for run, confs in zip(np.split(target, cuts), np.split(conf, cuts)):
-            if not len(run):
-                continue
-            seen, kind = seen + len(run), int(run[0])
-            if abs(strength) <= 1e-6 or label == kind:
-                label, strength, pending, support = kind, self._raised(strength, confs), 0, 0.0
+    def _action(self, label: int, runs: list[tuple[int, np.ndarray]]) -> tuple:
+        pending, support, keep, add = 0, 0.0, 1.0, 0.0
+        for kind, conf in runs:
+            if label == kind:
+                damp = self._damp(len(conf))
+                pending, support, keep, add = 0, 0.0, keep * damp, add * damp + self._gain(conf)
                 continue
-            sums = np.cumsum(np.r_[support if pending == kind else 0.0, confs])[1:]
+            sums = np.cumsum(conf)
             at = int(np.searchsorted(sums, self.switch_support))
-            if at == len(run):
+            if at == len(conf):
                 pending, support = kind, float(sums[-1])
             else:
-                label, strength, pending, support = kind, self._raised(float(confs[at]) * self.scale, confs[at + 1 :]), 0, 0.0
-        return seen, label, strength, pending, support
+                label, pending, support, keep, add = kind, 0, 0.0, 0.0, self._switched(conf[at:])
+        return label, pending, support, keep, add
 
-    def emit(self, point_id: int, value: tuple) -> pd.DataFrame:
-        names = ["seen", "label", "strength", "pending_label", "pending_support"]
-        return pd.DataFrame({"point_id": [point_id]} | {n: [v] for n, v in zip(names, self.save(value))})
+    def of(self, target: np.ndarray, conf: np.ndarray) -> tuple:
+        """``seen, target, head, rest, rest_gain, more, actions``."""
+        cuts = np.flatnonzero(np.diff(target)) + 1
+        runs = [(int(kind[0]), part) for kind, part in zip(np.split(target, cuts), np.split(conf, cuts))]
+        kind, first = runs[0]
+        ends = int(np.searchsorted(np.cumsum(first), self.switch_support)) + 1
+        rest = first[ends:]
+        actions = [self._action(label, runs[1:]) for label in range(1, self.class_count)] if len(runs) > 1 else []
+        return len(target), kind, first[:ends].tolist(), len(rest), self._gain(rest), len(runs) > 1, actions
+
+    def frame(self, point: int, bucket: int, target: np.ndarray, conf: np.ndarray) -> pd.DataFrame:
+        names = ["seen", "target", "head", "rest", "rest_gain", "more", "actions"]
+        return pd.DataFrame({"point_id": [point], "bucket": [bucket]} | {n: [v] for n, v in zip(names, self.of(target, conf))})
+
+    def apply(self, state: tuple, partial: tuple) -> tuple:
+        """State ``seen, label, strength, pending label, pending support`` after a partial."""
+        seen, label, strength, pending, support = state
+        more_seen, kind, head, rest, rest_gain, more, actions = partial
+        head = np.asarray(head, dtype=float)
+        if abs(strength) <= 1e-6 or label == kind:
+            label, strength, pending, support = kind, self._damp(len(head)) * strength + self._gain(head), 0, 0.0
+            strength = self._damp(rest) * strength + rest_gain
+        else:
+            sums = np.cumsum(np.r_[support if pending == kind else 0.0, head])[1:]
+            at = int(np.searchsorted(sums, self.switch_support))
+            if at == len(head):
+                pending, support = kind, float(sums[-1])
+            else:
+                label, pending, support = kind, 0, 0.0
+                strength = self._damp(rest) * self._switched(head[at:]) + rest_gain
+        if more:
+            label, pending, support, keep, add = actions[label - 1]
+            strength = keep * strength + add
+        return seen + more_seen, label, strength, pending, support
 
 
-def _by_point(observations: DataFrame, class_count: int, delay: str):
+def _partials(observations: DataFrame, partial, class_count: int, delay: str, width_s: int) -> DataFrame:
     rows = valid_observations(observations, class_count).withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", delay)
-    return rows.select("point_id", "event_time", F.unix_micros("event_time").alias("us"), "seq", "target", "conf").groupBy("point_id")
-
-
-def observation_ema(observations: DataFrame, class_count: int, alpha: float, scale: float, delay: str) -> DataFrame:
-    """State of every point after each batch. ``delay``: how late an observation may come."""
-    return _by_point(observations, class_count, delay).transformWithStateInPandas(
-        EmaState(class_count, alpha, scale), "point_id bigint, seen bigint, logits array<double>", "Append", "EventTime"
-    )
-
-
-def observation_switch(
-    observations: DataFrame, class_count: int, alpha: float, scale: float, switch_support: float, delay: str
-) -> DataFrame:
-    """State of every point after each batch. ``delay``: how late an observation may come."""
-    return _by_point(observations, class_count, delay).transformWithStateInPandas(
-        SwitchState(alpha, scale, switch_support),
-        "point_id bigint, seen bigint, label int, strength double, pending_label int, pending_support double",
-        "Append",
-        "EventTime",
-    )
-
-
-def latest_state(emitted: DataFrame) -> DataFrame:
-    """Last emitted state of every point."""
-    rest = [c for c in emitted.columns if c != "point_id"]
-    return emitted.groupBy("point_id").agg(F.max_by(F.struct(*rest), "seen").alias("s")).select("point_id", "s.*")
+    us = F.unix_micros("event_time")
+    bucket = F.floor(us / F.lit(float(width_s * 1_000_000))).cast("bigint")
+    keyed = rows.select("point_id", bucket.alias("bucket"), "event_time", us.alias("us"), "seq", "target", "conf").groupBy("point_id", "bucket")
+    return keyed.transformWithStateInPandas(InBucket(width_s * 1_000_000, partial), partial.shape, "Append", "EventTime")
+
+
+def ema_partials(observations: DataFrame, class_count: int, alpha: float, scale: float, delay: str, width_s: int = 3600) -> DataFrame:
+    """Partial per point and time bucket after each batch. ``delay``: how late an observation may come."""
+    return _partials(observations, EmaPartial(class_count, alpha, scale), class_count, delay, width_s)
+
+
+def switch_partials(observations: DataFrame, class_count: int, alpha: float, scale: float, switch_support: float, delay: str, width_s: int = 3600) -> DataFrame:
+    """Partial per point and time bucket after each batch. ``delay``: how late an observation may come."""
+    return _partials(observations, SwitchPartial(class_count, alpha, scale, switch_support), class_count, delay, width_s)
+
+
+def _latest(emitted: DataFrame) -> DataFrame:
+    """Last partial of every point and bucket: the one that has seen most."""
+    rest = [c for c in emitted.columns if c not in ("point_id", "bucket")]
+    return emitted.groupBy("point_id", "bucket").agg(F.max_by(F.struct(*rest), "seen").alias("s")).select("point_id", "bucket", "s.*")
+
+
+def composed_ema(emitted: DataFrame, alpha: float) -> DataFrame:
+    """``point_id, class_id, logit`` from the partials of all buckets; a window orders buckets, not observations."""
+    later = F.coalesce(F.sum("seen").over(Window.partitionBy("point_id").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    damped = _latest(emitted).withColumn("_damp", F.pow(F.lit(1.0 - alpha), later.cast("double")))
+    gains = damped.select("point_id", "_damp", F.posexplode("gains").alias("class_id", "gain")).where("gain > 0")
+    return gains.groupBy("point_id", "class_id").agg(F.sum(F.col("gain") * F.col("_damp")).alias("logit"))
+
+
+def composed_switch(emitted: DataFrame, class_count: int, alpha: float, scale: float, switch_support: float) -> DataFrame:
+    """State of every point: its partials apply in the order of their buckets, read in a stream."""
+    rule = SwitchPartial(class_count, alpha, scale, switch_support)
+    names = ["point_id", "seen", "label", "strength", "pending_label", "pending_support"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        point, state = None, None
+        for frame in frames:
+            done = []
+            for row in frame.itertuples(index=False):
+                if row.point_id != point:
+                    if state is not None:
+                        done.append((point, *state))
+                    point, state = row.point_id, (0, 0, 0.0, 0, 0.0)
+                actions = [tuple(a[n] for n in ("label", "pending", "support", "keep", "add")) if isinstance(a, dict) else tuple(a) for a in row.actions]
+                state = rule.apply(state, (row.seen, row.target, row.head, row.rest, row.rest_gain, row.more, actions))
+            yield pd.DataFrame(done, columns=names)
+        if state is not None:
+            yield pd.DataFrame([(point, *state)], columns=names)
+
+    ordered = _latest(emitted).repartition("point_id").sortWithinPartitions("point_id", "bucket")
+    return ordered.mapInPandas(run, "point_id bigint, seen bigint, label int, strength double, pending_label int, pending_support double")
 
 
 def evidence(observations: DataFrame, class_count: int) -> DataFrame:

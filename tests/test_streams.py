@@ -1,5 +1,6 @@
 """Every stream gives one answer for any file layout of its table."""
 
+import os
 import tempfile
 from pathlib import Path
 
@@ -10,8 +11,9 @@ import pyarrow.parquet as pq
 import pytest
 from check_queries import compare
 
-from terrascope.plans import catalog
-from terrascope.streaming.operators import EmaState, SwitchState
+from terrascope.plans import catalog, stateful_queries
+from terrascope.streaming.operators import EmaPartial, SwitchPartial
+from terrascope.streaming import run
 from terrascope.streaming.run import file_stream, run_append, stream_session
 
 SOURCE = "/root/testdata/sf0.001/events.parquet"
@@ -51,24 +53,79 @@ def test_late_rows_are_an_error(spark, layouts):
         run_append(counted.select("event_id"), "late")
 
 
-@pytest.mark.parametrize("state", [EmaState(6, 0.3, 4.0), SwitchState(0.3, 4.0, 1.505)])
-def test_fold_in_parts(state):
-    """Folding in parts equals folding at once and one by one."""
-    rng = np.random.default_rng(5)
-    target, conf = rng.integers(1, 4, 300).repeat(rng.integers(1, 4, 300)), rng.random(3000)
-    conf = conf[: len(target)]
-    whole = state.fold(state.first(), target, conf)
-    for size in (1, 7):
-        value = state.first()
-        for at in range(0, len(target), size):
-            value = state.load(state.save(state.fold(value, target[at : at + size], conf[at : at + size])))
-        for a, b in zip(whole, value):
-            np.testing.assert_allclose(a, b, rtol=1e-9)
+def one_by_one(observations, alpha, scale, bound):
+    label, strength, pending, support = 0, 0.0, 0, 0.0
+    for target, conf in observations:
+        if abs(strength) <= 1e-6 or label == target:
+            label, strength, pending, support = target, (1 - alpha) * strength + alpha * conf * scale, 0, 0.0
+            continue
+        support = support + conf if pending == target else conf
+        pending = target
+        if support >= bound:
+            label, strength, pending, support = target, conf * scale, 0, 0.0
+    return len(observations), label, strength, pending, support
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 40, 1000])
+@pytest.mark.parametrize("least", [0.0, 0.3])
+def test_partials_compose(size, least):
+    """Partials of stretches of any length, applied in order, equal the rule replayed one by one."""
+    rng = np.random.default_rng(size)
+    target = rng.integers(1, 5, 300).repeat(rng.integers(1, 9, 300))
+    conf = least + (1 - least) * rng.random(len(target)) ** 3 + 1e-3
+    rule = SwitchPartial(6, 0.3, 4.0, 1.505)
+    state = (0, 0, 0.0, 0, 0.0)
+    for at in range(0, len(target), size):
+        state = rule.apply(state, rule.of(target[at : at + size], conf[at : at + size]))
+        end = min(at + size, len(target))
+        np.testing.assert_allclose(state, one_by_one(list(zip(target[:end].tolist(), conf[:end].tolist())), 0.3, 4.0, 1.505), rtol=1e-9)
+    ema = EmaPartial(6, 0.3, 4.0)
+    whole, parts = np.array(ema.of(target, conf)[1]), np.zeros(6)
+    for at in range(0, len(target), size):
+        n, gains = ema.of(target[at : at + size], conf[at : at + size])
+        parts = 0.7**n * parts + gains
+    np.testing.assert_allclose(parts, whole, rtol=1e-9, atol=1e-300)
 
 
 def test_switch_rule():
     """One class holds until the support of another reaches the bound."""
-    state = SwitchState(0.5, 2.0, 1.0)
-    value = state.fold(state.first(), np.array([1, 2, 2, 1, 2]), np.array([1.0, 0.4, 0.4, 0.5, 0.9]))
-    assert value == (5, 1, 1.0, 2, 0.9)
-    assert state.fold(value, np.array([2]), np.array([0.2])) == (6, 2, 0.4, 0, 0.0)
+    rule = SwitchPartial(3, 0.5, 2.0, 1.0)
+    state = rule.apply((0, 0, 0.0, 0, 0.0), rule.of(np.array([1, 2, 2, 1, 2]), np.array([1.0, 0.4, 0.4, 0.5, 0.9])))
+    assert state == (5, 1, 1.0, 2, 0.9)
+    assert rule.apply(state, rule.of(np.array([2]), np.array([0.2]))) == (6, 2, 0.4, 0, 0.0)
+
+
+@pytest.fixture(scope="module")
+def nearly_in_order():
+    """Two hundred files in time order, rows up to an hour late, a third of them of one point."""
+    rng = np.random.default_rng(9)
+    events = pq.read_table(SOURCE)
+    user = np.where(rng.random(len(events)) < 1 / 3, 7, events["user_id"].to_numpy())
+    events = events.set_column(events.schema.get_field_index("user_id"), "user_id", pa.array(user, pa.int64()))
+    us = events["ts"].cast(pa.timestamp("us")).cast(pa.int64()).to_numpy()
+    order = np.argsort(us + rng.integers(0, 1_750_000_000, len(us)))
+    root = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    (root / "events.parquet").mkdir()
+    for i, rows in enumerate(np.array_split(order, 200)):
+        path = root / "events.parquet" / f"part-{i:04d}.parquet"
+        pq.write_table(events.take(pa.array(rows)), path)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    return str(root), events
+
+
+def test_state_is_bounded_by_open_buckets(spark, nearly_in_order, monkeypatch):
+    """With a delay of an hour the answer is that of the whole table, and closed buckets leave the state."""
+    folder, events = nearly_in_order
+    db = duckdb.connect()
+    db.register("events", events)
+    held = []
+    finish = run._finish
+    monkeypatch.setattr(run, "_finish", lambda query: (finish(query), held.append([o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]])))
+    monkeypatch.setattr(stateful_queries, "delay", lambda t: "1 hour")
+    slow = file_stream
+    monkeypatch.setattr(stateful_queries, "file_stream", lambda *args: slow(*args, files_per_batch=10))
+    for key in ("observation_ema_stream", "observation_switch_stream"):
+        query = catalog.REGISTRY[key]
+        assert compare(query.run(spark, folder).toArrow(), db.execute(query.check).to_arrow_table()) == "ok", key
+    for rows in held:
+        assert len(rows) >= 20 and max(rows) < len(events) / 4
