@@ -10,7 +10,7 @@ from terrascope.plans.frame_queries import NEAREST, TOLERANCE_S
 from terrascope.plans.inputs import DERIVED, Inputs
 from terrascope.plans.registry import query
 from terrascope.streaming import operators as so
-from terrascope.streaming.run import file_stream, run_append, run_update, stream_session
+from terrascope.streaming.run import Closing, file_stream, run_append, run_update, stream_session
 
 CLASS_COUNT, ALPHA, SCALE, SWITCH = 6, 0.3, 4.0, 1.505
 
@@ -36,6 +36,16 @@ def delay(t: Inputs) -> str:
     return f"{(longest or 0) + 2} seconds" if files > 1 else "2 seconds"
 
 
+def last_events(t: Inputs) -> DataFrame:
+    """One event of every type, far beyond the others and with ids below 0."""
+    types = t["events"].select("event_type").distinct()
+    end = t["events"].agg(F.max("ts")).first()[0]
+    return types.select(
+        F.lit(-1).alias("event_id"), (F.lit(end) + F.expr("interval 3650 days")).alias("ts"), F.lit(-1).alias("user_id"), "event_type",
+        F.lit(0.0).alias("value"), F.lit(None).cast("string").alias("props"),
+    )
+
+
 # --- class state ------------------------------------------------------------------------
 
 EMA = f"with {OBS} select point_id, target as class_id, sum({ALPHA} * {SCALE} * conf * power(1 - {ALPHA}, total - n)) as logit from ob group by point_id, target"
@@ -181,8 +191,12 @@ def _(t: Inputs) -> DataFrame:
 
 @query("stream_scan_match", "frame_id:i scan_id:i gap_s:d", f"with {NEAREST} select frame_id, scan_id, case when scan_id >= 0 then gap_s end as gap_s from nm")
 def _(t: Inputs) -> DataFrame:
-    frames, scans = event_streams(t, "fx_frames", "fx_scans")
-    return so.closest_pairs(run_append(so.scan_pairs(frames, scans, TOLERANCE_S, delay(t)), "pairs"))
+    session = stream_session(t.spark)
+    closing = Closing(session, t["events"].schema)
+    events = closing.after(file_stream(session, t.folder, "events", t["events"].schema))
+    frames, scans = (session.sql(DERIVED[n], events=events) for n in ("fx_frames", "fx_scans"))
+    found = run_append(so.scan_match(frames, scans, TOLERANCE_S, delay(t)), "matches", lambda: closing.write(last_events(t)))
+    return found.where(F.col("frame_id") >= 0)
 
 
 @query(

@@ -169,12 +169,12 @@ def _partials(observations: DataFrame, partial, class_count: int, delay: str, wi
     return keyed.transformWithStateInPandas(InBucket(width_s * 1_000_000, partial), partial.shape, "Append", "EventTime")
 
 
-def ema_partials(observations: DataFrame, class_count: int, alpha: float, scale: float, delay: str, width_s: int = 3600) -> DataFrame:
+def ema_partials(observations: DataFrame, class_count: int, alpha: float, scale: float, delay: str, width_s: int = 86_400) -> DataFrame:
     """Partial per point and time bucket after each batch. ``delay``: how late an observation may come."""
     return _partials(observations, EmaPartial(class_count, alpha, scale), class_count, delay, width_s)
 
 
-def switch_partials(observations: DataFrame, class_count: int, alpha: float, scale: float, switch_support: float, delay: str, width_s: int = 3600) -> DataFrame:
+def switch_partials(observations: DataFrame, class_count: int, alpha: float, scale: float, switch_support: float, delay: str, width_s: int = 86_400) -> DataFrame:
     """Partial per point and time bucket after each batch. ``delay``: how late an observation may come."""
     return _partials(observations, SwitchPartial(class_count, alpha, scale, switch_support), class_count, delay, width_s)
 
@@ -226,11 +226,13 @@ def evidence(observations: DataFrame, class_count: int) -> DataFrame:
     )
 
 
-def scan_pairs(frames: DataFrame, scans: DataFrame, tolerance_s: float, delay: str) -> DataFrame:
-    """Frame and scan pairs within the tolerance from two unbounded inputs, and every frame once without a scan.
+def scan_match(frames: DataFrame, scans: DataFrame, tolerance_s: float, delay: str) -> DataFrame:
+    """Nearest scan of each frame within the tolerance, the earlier one on a tie; -1 without a gap if there is none.
 
-    The join needs an equality: scans sit in tolerance-wide time buckets and a frame
-    looks into its own and both neighbours. Watermarks bound the kept state.
+    One query in append mode: a left outer interval join of two unbounded inputs, then a minimum
+    per frame. The join needs an equality: scans sit in tolerance-wide time buckets, and a frame
+    looks into its own and both neighbours. A frame comes out once the watermark has passed all
+    instants at which a scan for it could still come; then frame and scans leave the state.
     """
     width = int(tolerance_s * 1_000_000)
     bucket = lambda ts: F.floor(F.unix_micros(ts) / F.lit(float(width))).cast("bigint")
@@ -245,18 +247,13 @@ def scan_pairs(frames: DataFrame, scans: DataFrame, tolerance_s: float, delay: s
         f"bucket = scan_bucket and scan_ts >= frame_ts - interval {width} microseconds "
         f"and scan_ts <= frame_ts + interval {width} microseconds"
     )
-    none = frames.select("frame_id", F.col("ts").cast("timestamp").alias("frame_ts"), F.lit(None).cast("bigint").alias("scan_id"), F.lit(None).cast("timestamp").alias("scan_ts"))
-    return left.join(right, near).select("frame_id", "frame_ts", "scan_id", "scan_ts").union(none)
-
-
-def closest_pairs(pairs: DataFrame) -> DataFrame:
-    """Nearest scan of each frame, the earlier one on a tie; -1 without a gap if there is none."""
-    gap = F.unix_micros("scan_ts") - F.unix_micros("frame_ts")
+    scan_us = F.unix_micros("scan_ts")
+    gap = scan_us - F.unix_micros("frame_ts")
+    pairs = left.join(right, near, "left_outer").select("frame_id", "frame_ts", "scan_id", scan_us.alias("scan_us"), gap.alias("gap"))
     # Of equal earlier instants the last scan counts, of equal later ones the first.
-    rank = F.struct(F.abs(gap).alias("a"), F.col("scan_ts").alias("b"), F.when(gap < 0, -F.col("scan_id")).otherwise(F.col("scan_id")).alias("c"))
-    return pairs.groupBy("frame_id").agg(
-        F.coalesce(F.min_by("scan_id", F.when(F.col("scan_id").isNotNull(), rank)), F.lit(-1)).alias("scan_id"), (F.min(F.abs(gap)) / 1e6).alias("gap_s")
-    )
+    rank = F.struct(F.abs("gap").alias("a"), F.col("scan_us").alias("b"), F.when(F.col("gap") < 0, -F.col("scan_id")).otherwise(F.col("scan_id")).alias("c"))
+    best = F.min_by("scan_id", F.when(F.col("scan_id").isNotNull(), rank))
+    return pairs.groupBy("frame_id", "frame_ts").agg(F.coalesce(best, F.lit(-1)).alias("scan_id"), (F.min(F.abs("gap")) / 1e6).alias("gap_s"))
 
 
 def frame_metrics(events: DataFrame, delay: str, window: str = "6 hours") -> DataFrame:

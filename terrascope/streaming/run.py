@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -42,27 +45,49 @@ def _finish(query: StreamingQuery) -> None:
         raise RuntimeError(f"{late} rows came after the watermark had passed them; state a longer delay")
 
 
-def run_append(stream: DataFrame, label: str) -> DataFrame:
+def run_append(stream: DataFrame, label: str, closing: Callable[[], None] | None = None) -> DataFrame:
     """Process everything available into Parquet files and read them back.
 
     Checkpoint and output live in the shared folder, so a lost executor or a restart
     resumes from the last committed batch. The checkpoint goes once the stream is done.
+    ``closing`` is called when all is processed, to add the rows that end the stream; the query
+    then goes on from its checkpoint, and what was waiting for the watermark comes out.
     """
     spark = stream.sparkSession
     base = shared_path(spark, label)
-    query = (
+    writer = (
         stream.writeStream.format("parquet")
         .outputMode("append")
         .option("path", f"{base}/data")
         .option("checkpointLocation", f"{base}/checkpoint")
         .trigger(availableNow=True)
-        .start()
     )
-    _finish(query)
+    _finish(writer.start())
+    if closing is not None:
+        closing()
+        _finish(writer.start())
     remove(spark, f"{base}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
 
 
+class Closing:
+    """Rows that end a stream: a second source beside it, empty until they are written.
+
+    Their time lies so far ahead that the watermark passes everything before them.
+    """
+
+    def __init__(self, session: SparkSession, schema: StructType):
+        self.session, self.schema = session, schema
+        self.path = shared_path(session, "closing")
+        session.createDataFrame([], schema).write.parquet(self.path)
+
+    def after(self, stream: DataFrame) -> DataFrame:
+        return stream.unionByName(self.session.readStream.schema(self.schema).parquet(self.path))
+
+    def write(self, rows: DataFrame) -> None:
+        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]).write.mode("append").parquet(self.path)
+
+
 def run_update(stream: DataFrame, label: str) -> DataFrame:
     """Process everything available in update mode; every batch is its own folder.
 

@@ -129,3 +129,23 @@ def test_state_is_bounded_by_open_buckets(spark, nearly_in_order, monkeypatch):
         assert compare(query.run(spark, folder).toArrow(), db.execute(query.check).to_arrow_table()) == "ok", key
     for rows in held:
         assert len(rows) >= 20 and max(rows) < len(events) / 4
+
+
+def test_frames_without_scan_come_out_with_the_watermark(spark, nearly_in_order, monkeypatch):
+    """The nearest scan in one query: matched and unmatched frames come out while the stream runs, and leave the state."""
+    folder, events = nearly_in_order
+    db = duckdb.connect()
+    db.register("events", events)
+    progress = []
+    finish = run._finish
+    monkeypatch.setattr(run, "_finish", lambda query: (finish(query), progress.append([p for p in query.recentProgress])))
+    monkeypatch.setattr(stateful_queries, "delay", lambda t: "1 hour")
+    slow = file_stream
+    monkeypatch.setattr(stateful_queries, "file_stream", lambda *args: slow(*args, files_per_batch=20))
+    query = catalog.REGISTRY["stream_scan_match"]
+    assert compare(query.run(spark, folder).toArrow(), db.execute(query.check).to_arrow_table()) == "ok"
+    before, after = progress
+    out = sum(o["numRowsRemoved"] for p in before for o in p["stateOperators"] if o["operatorName"] == "stateStoreSave")
+    assert out > 0.8 * db.execute("select count(*) from events where event_type in ('view', 'click', 'purchase')").fetchone()[0]
+    rows = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in [*before, *after]]
+    assert max(rows) < len(events) and rows[-1] < 30
