@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrascope.operators import geometry as ge
 from terrascope.operators import stateful as sf
 from terrascope.plans.frame_queries import NEAREST, TOLERANCE_S
+from terrascope.plans.geometry_queries import CAMERA, DYNAMIC, HOLES, dynamic_projected, inserted, supported
 from terrascope.plans.inputs import DERIVED, Inputs
 from terrascope.plans.registry import query
 from terrascope.streaming import operators as so
-from terrascope.streaming.run import Closing, file_stream, run_append, run_update, stream_session
+from terrascope.streaming.run import Closing, file_stream, run_append, run_update, saved, stream_session
 
 CLASS_COUNT, ALPHA, SCALE, SWITCH = 6, 0.3, 4.0, 1.505
 
@@ -46,6 +50,14 @@ def last_events(t: Inputs) -> DataFrame:
     )
 
 
+def closed_events(t: Inputs) -> tuple[SparkSession, DataFrame, Callable[[], None]]:
+    """A session, its event stream, and what ends the stream once all its files are read."""
+    session = stream_session(t.spark)
+    closing = Closing(session, t["events"].schema)
+    events = closing.after(file_stream(session, t.folder, "events", t["events"].schema))
+    return session, events, lambda: closing.write(last_events(t))
+
+
 # --- class state ------------------------------------------------------------------------
 
 EMA = f"with {OBS} select point_id, target as class_id, sum({ALPHA} * {SCALE} * conf * power(1 - {ALPHA}, total - n)) as logit from ob group by point_id, target"
@@ -191,11 +203,9 @@ def _(t: Inputs) -> DataFrame:
 
 @query("stream_scan_match", "frame_id:i scan_id:i gap_s:d", f"with {NEAREST} select frame_id, scan_id, case when scan_id >= 0 then gap_s end as gap_s from nm")
 def _(t: Inputs) -> DataFrame:
-    session = stream_session(t.spark)
-    closing = Closing(session, t["events"].schema)
-    events = closing.after(file_stream(session, t.folder, "events", t["events"].schema))
+    session, events, close = closed_events(t)
     frames, scans = (session.sql(DERIVED[n], events=events) for n in ("fx_frames", "fx_scans"))
-    found = run_append(so.scan_match(frames, scans, TOLERANCE_S, delay(t)), "matches", lambda: closing.write(last_events(t)))
+    found = run_append(so.scan_match(frames, scans, TOLERANCE_S, delay(t)), "matches", close)
     return found.where(F.col("frame_id") >= 0)
 
 
@@ -210,3 +220,83 @@ def _(t: Inputs) -> DataFrame:
     written = run_update(so.frame_metrics(events, delay(t)), "metrics")
     last = written.groupBy("window_start", "event_type").agg(F.max_by(F.struct("frames", "total", "largest"), "batch").alias("s"))
     return last.select(F.unix_seconds("window_start").alias("window_start"), "event_type", "s.*")
+
+
+# Frames arrive as events; the map's frames are numbered alike.
+ARRIVALS = "select ts, event_type, cast(floor(event_id * 6 / 1000) as int) as frame_index from {events} where event_type in ('view', 'click', 'purchase')"
+COUNTERS = f"""{DYNAMIC}, {HOLES}, fc as (select v.frame_index, visible, kept, dynamic, coalesce(masked, 0) as masked, inserted
+  from (select frame_index, count(*) as visible, sum(kept::int) as kept, sum((motion = 'dynamic')::int) as dynamic from ts group by frame_index) v
+  left join (select frame_index, count(*) as masked from dm group by frame_index) m on m.frame_index = v.frame_index
+  join (select frame_index, sum(inserted::int) as inserted from hi group by frame_index) i on i.frame_index = v.frame_index)"""
+
+
+def frame_counters(t: Inputs) -> DataFrame:
+    """Per frame of the map: points seen, kept and dynamic, pixels masked and points inserted."""
+    seen = dynamic_projected(t)
+    support = supported(t).groupBy("frame_index").agg(
+        F.count(F.lit(1)).alias("visible"), F.count_if(F.col("kept")).alias("kept"), F.count_if(F.col("motion") == "dynamic").alias("dynamic")
+    )
+    masked = ge.dynamic_mask_stats(seen, ge.dynamic_mask(seen, 2, CAMERA)).select("frame_index", F.col("masked_pixels").alias("masked"))
+    filled = ge.insertion_counters(t["fx_points"], inserted(t)).select("frame_index", "inserted")
+    return support.join(masked, "frame_index", "left").join(filled, "frame_index").select("frame_index", "visible", "kept", "dynamic", F.coalesce("masked", F.lit(0)).alias("masked"), "inserted")
+
+
+@query(
+    "stream_frame_counters", "window_start:i event_type:s frames:i visible:i kept:i dynamic:i masked:i inserted:i",
+    f"""with {COUNTERS} select epoch(time_bucket(interval 6 hours, ts, timestamp '1970-01-01'))::bigint as window_start, event_type, count(*) as frames, coalesce(sum(visible), 0) as visible,
+    coalesce(sum(kept), 0) as kept, coalesce(sum(dynamic), 0) as dynamic, coalesce(sum(masked), 0) as masked, coalesce(sum(inserted), 0) as inserted
+    from ({ARRIVALS}) a left join fc on fc.frame_index = a.frame_index group by 1, 2""",
+)
+def _(t: Inputs) -> DataFrame:
+    """Every window comes out once, when the watermark passes it."""
+    session, events, close = closed_events(t)
+    frames = session.sql(ARRIVALS, events=events)
+    counted = run_append(so.counted_frames(frames, saved(session, frame_counters(t), "counters"), delay(t)), "counters", close)
+    return counted.withColumn("window_start", F.unix_seconds("window_start"))
+
+
+KEYFRAMES = "select user_id as camera, event_id as frame_id, ts from {events} where event_id % 5 = 4 or event_id < 0"
+KEYED = "kf as (select *, row_number() over (partition by camera order by ts, frame_id) as no, count(*) over (partition by camera) as many from ({}) k where frame_id >= 0)".format(KEYFRAMES)
+
+
+def rings(t: Inputs, size: int) -> DataFrame:
+    session, events, close = closed_events(t)
+    return run_append(so.keyframe_ring(session.sql(KEYFRAMES, events=events), size, delay(t)), "ring", close).where(F.col("frame_id") >= 0)
+
+
+@query(
+    "keyframe_ring_stream", "camera:i frame_id:i support_frame:i back:i",
+    f"with {KEYED} select a.camera, a.frame_id, b.frame_id as support_frame, a.no - b.no as back from kf a join kf b on a.camera = b.camera and b.no between a.no - 4 and a.no - 1",
+)
+def _(t: Inputs) -> DataFrame:
+    """Each camera keeps its last four keyframes."""
+    return rings(t, 4).select("camera", "frame_id", F.posexplode("earlier").alias("back", "support_frame")).withColumn("back", F.col("back") + 1)
+
+
+@query("replay_window_stream", "camera:i frame_id:i", f"with {KEYED} select camera, frame_id from kf where no > many - 8")
+def _(t: Inputs) -> DataFrame:
+    """The last keyframe of a camera and the seven in its ring."""
+    last = rings(t, 7).groupBy("camera").agg(F.max_by(F.struct("frame_id", "earlier"), F.struct("us", "frame_id")).alias("s"))
+    return last.select("camera", F.explode(F.concat(F.array("s.frame_id"), F.col("s.earlier"))).alias("frame_id"))
+
+
+# Points of the saved map: four of five, with their observations up to the middle of the month.
+SAVED = "point_id % 5 <> 0 and ts < timestamp '2024-01-16 00:00:00'"
+
+
+@query(
+    "incremental_append_stream", "point_id:i class_id:i evidence:d is_new:b",
+    f"""select point_id, target as class_id, sum(conf) as evidence, not bool_or(bool_or({SAVED})) over (partition by point_id) as is_new
+    from {{fx_observations}} where target between 1 and {CLASS_COUNT - 1} and conf > 0 group by point_id, target""",
+)
+def _(t: Inputs) -> DataFrame:
+    """The stream starts from a saved map; untouched points of the map stay as they were saved."""
+    session = stream_session(t.spark)
+    known = t["fx_observations"].where(SAVED)
+    start = saved(session, sf.observation_cumulative(known, CLASS_COUNT, SCALE).select("point_id", F.col("class_id").cast("int").alias("class_id"), "evidence"), "map")
+    events = file_stream(session, t.folder, "events", t["events"].schema)
+    rest = session.sql(DERIVED["fx_observations"], events=events).where(f"not ({SAVED})")
+    touched = run_append(so.appended_map(start, rest, CLASS_COUNT), "appended")
+    last = touched.groupBy("point_id").agg(F.max_by(F.struct("is_new", "evidence"), "seen").alias("s"))
+    now = last.select("point_id", F.posexplode("s.evidence").alias("class_id", "evidence"), "s.is_new").where("evidence > 0")
+    return now.unionByName(start.join(last, "point_id", "left_anti").withColumn("is_new", F.lit(False)))

@@ -265,3 +265,116 @@ def frame_metrics(events: DataFrame, delay: str, window: str = "6 hours") -> Dat
         .agg(F.count(F.lit(1)).alias("frames"), F.sum("value").alias("total"), F.max("value").alias("largest"))
         .select(F.col("window.start").alias("window_start"), "event_type", "frames", "total", "largest")
     )
+
+
+def counted_frames(frames: DataFrame, counters: DataFrame, delay: str, window: str = "6 hours") -> DataFrame:
+    """Sums of per-frame counters over the frames that arrive in each tumbling window, by kind; a window comes out once.
+
+    ``frames``: ts, event_type, frame_index. ``counters``: frame_index and the counters of a
+    frame, a static table with a row per frame. A frame without a row counts with zeros.
+    """
+    names = [c for c in counters.columns if c != "frame_index"]
+    timed = frames.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", delay)
+    sums = [F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in names]
+    return (
+        timed.join(counters, "frame_index", "left")
+        .groupBy(F.window("event_time", window), "event_type")
+        .agg(F.count(F.lit(1)).alias("frames"), *sums)
+        .select(F.col("window.start").alias("window_start"), "event_type", "frames", *names)
+    )
+
+
+class Ring(StatefulProcessor):
+    """The last keyframes of one camera, never more than ``size``, in time order.
+
+    A keyframe waits until the watermark has passed it; then it is emitted with the keyframes in
+    the ring, newest first, and takes the place of the oldest.
+    """
+
+    shape = "camera bigint, frame_id bigint, us bigint, earlier array<bigint>"
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ring = handle.getListState("ring", "frame_id bigint")
+        self.waiting = handle.getListState("waiting", "us bigint, frame_id bigint")
+
+    def _passed(self, key, watermark_ms: int) -> Iterator[pd.DataFrame]:
+        waiting = sorted((int(us), int(frame)) for us, frame in self.waiting.get()) if self.waiting.exists() else []
+        passed = [w for w in waiting if w[0] < watermark_ms * 1000]
+        if not passed:
+            return
+        self.waiting.put(waiting[len(passed) :]) if len(passed) < len(waiting) else self.waiting.clear()
+        ring = [int(r[0]) for r in self.ring.get()] if self.ring.exists() else []
+        out = []
+        for us, frame in passed:
+            out.append((int(key[0]), frame, us, ring[::-1]))
+            ring = [*ring, frame][-self.size :]
+        self.ring.put([(frame,) for frame in ring])
+        yield pd.DataFrame(out, columns=["camera", "frame_id", "us", "earlier"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fresh = pd.concat([r[["us", "frame_id"]] for r in rows], ignore_index=True)
+        self.waiting.appendList(list(zip(fresh["us"].tolist(), fresh["frame_id"].tolist())))
+        for ms in set((fresh["us"] // 1000 + 1).tolist()):
+            self.handle.registerTimer(ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._passed(key, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def keyframe_ring(keyframes: DataFrame, size: int, delay: str) -> DataFrame:
+    """Every keyframe with up to ``size`` keyframes of its camera before it, newest first.
+
+    ``keyframes``: camera, frame_id, ts.
+    """
+    timed = keyframes.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", delay)
+    keyed = timed.select("camera", "event_time", F.unix_micros("event_time").alias("us"), "frame_id").groupBy("camera")
+    return keyed.transformWithStateInPandas(Ring(size), Ring.shape, "Append", "EventTime")
+
+
+class SavedMap(StatefulProcessor):
+    """Evidence per class of one map point: what the saved map holds, and all observations since.
+
+    A point that the saved map lacks is new and starts with no evidence.
+    """
+
+    shape = "point_id bigint, is_new boolean, seen bigint, evidence array<double>"
+
+    def __init__(self, class_count: int):
+        self.class_count = class_count
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.point = handle.getValueState("point", "is_new boolean, seen bigint, evidence array<double>")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        known = [0.0] * self.class_count
+        if self.point.exists():
+            known = list(self.point.get()[2])
+        for kind, amount in zip(initialState["class_id"].tolist(), initialState["evidence"].tolist()):
+            known[int(kind)] += float(amount)
+        self.point.update((False, 0, known))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        is_new, seen, evidence = self.point.get() if self.point.exists() else (True, 0, [0.0] * self.class_count)
+        evidence = np.asarray(evidence, dtype=float)
+        for part in rows:
+            seen += len(part)
+            evidence = evidence + np.bincount(part["target"].to_numpy("int64"), part["conf"].to_numpy("float64"), self.class_count)
+        self.point.update((bool(is_new), int(seen), evidence.tolist()))
+        yield pd.DataFrame({"point_id": [int(key[0])], "is_new": [bool(is_new)], "seen": [int(seen)], "evidence": [evidence.tolist()]})
+
+    def close(self) -> None:
+        pass
+
+
+def appended_map(saved: DataFrame, observations: DataFrame, class_count: int) -> DataFrame:
+    """Points touched by a batch, after it, going on from a saved map ``point_id, class_id, evidence``."""
+    keyed = valid_observations(observations, class_count).select("point_id", "target", "conf").groupBy("point_id")
+    return keyed.transformWithStateInPandas(SavedMap(class_count), SavedMap.shape, "Append", "None", initialState=saved.groupBy("point_id"))

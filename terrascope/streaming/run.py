@@ -109,3 +109,10 @@ def run_update(stream: DataFrame, label: str) -> DataFrame:
     _finish(query)
     remove(spark, f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/data")
+
+
+def saved(session: SparkSession, table: DataFrame, label: str) -> DataFrame:
+    """A batch result as a static table of a stream's session, written once."""
+    path = shared_path(session, label)
+    table.write.parquet(path)
+    return session.read.schema(table.schema).parquet(path)
