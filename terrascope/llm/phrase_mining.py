@@ -9,9 +9,10 @@ longer at a time, where the shorter part at that word was frequent. A language i
 its last wanted score lies above the bound of the next word, or no frequent word is left; ties
 with the bound keep it open.
 
-Phrases are counted as they lie, per block of text, and the blocks' counts are added up. Which
-words and phrases are frequent travels as a bit table of fixed size; a wrong bit costs some
-counting and no phrase is lost, as all decisions follow from the added counts.
+Texts become blocks of word numbers once. Phrases are counted as they lie in a block, and the
+blocks' counts are added up. Which words and phrases are frequent travels as a bit table of
+fixed size; a wrong bit costs some counting and no phrase is lost, as all decisions follow from
+the added counts.
 """
 
 from __future__ import annotations
@@ -55,17 +56,41 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().translate(_JOIN).replace(b".", b" . ").split()
 
 
-def _place(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(1 << TABLE_BITS))
+# Fixed values of the 64-bit xxHash, which Spark's ``xxhash64`` follows.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
-def _key(lang: Column, phrase: Column) -> Column:
-    return F.concat(lang, F.lit("\t"), phrase)
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def _hash_numbers(x: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    """Spark's hash of one long value per place."""
+    h = _turned((seed + _P5 + np.uint64(8)) ^ (_turned(x * _P2, 31) * _P1), 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def _longer(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a phrase from that of all but its last word, and that word's."""
+    with np.errstate(over="ignore"):
+        return _hash_numbers(word, _hash_numbers(h, np.uint64(42)))
+
+
+def _word_hash(lang: bytes, word: bytes) -> int:
+    return xxhash.xxh64_intdigest(lang + b"\t" + word, 42)
+
+
+def _phrase_hash(lang: Column, phrase: Column) -> Column:
+    """The same hashes in Spark."""
+    words = F.transform(F.split(phrase, " "), lambda w: F.xxhash64(F.concat(lang, F.lit("\t"), w)))
+    return F.reduce(F.slice(words, 2, LONGEST), F.element_at(words, 1), lambda h, w: F.xxhash64(h, w))
 
 
 def bit_table(phrases: DataFrame) -> np.ndarray:
     """Bits set for every ``lang, phrase``; ``2 ** TABLE_BITS`` bits reach the driver, however many phrases there are."""
-    place = _place(_key(F.col("lang"), F.col("phrase")))
+    place = F.pmod(_phrase_hash(F.col("lang"), F.col("phrase")), F.lit(1 << TABLE_BITS))
     chunks = phrases.select(F.shiftright(place, _CHUNK_BITS).alias("chunk"), (place % (1 << _CHUNK_BITS)).alias("bit"))
     rows = chunks.groupBy("chunk").agg(F.bitmap_construct_agg("bit").alias("bits")).toArrow()
     table = np.zeros((1 << (TABLE_BITS - _CHUNK_BITS), (1 << _CHUNK_BITS) // 8), np.uint8)
@@ -74,9 +99,8 @@ def bit_table(phrases: DataFrame) -> np.ndarray:
     return table.reshape(-1)
 
 
-def _known(table: np.ndarray, keys: list[bytes]) -> np.ndarray:
-    # Spark's hash of one string.
-    places = np.array([xxhash.xxh64_intdigest(k, 42) for k in keys], np.uint64) & np.uint64((1 << TABLE_BITS) - 1)
+def _known(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    places = hashes & np.uint64((1 << TABLE_BITS) - 1)
     return (table[(places >> np.uint64(3)).astype(np.int64)] >> (places & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -120,7 +144,7 @@ class _Codes(dict):
         self[b"."] = 0
 
     def __missing__(self, word: bytes) -> int:
-        place = xxhash.xxh64_intdigest(self.lang + b"\t" + word, 42) & ((1 << TABLE_BITS) - 1)
+        place = _word_hash(self.lang, word) & ((1 << TABLE_BITS) - 1)
         code = 0
         if self.frequent[place >> 3] >> (place & 7) & 1:
             code = len(self.words)
@@ -129,6 +153,18 @@ class _Codes(dict):
         return code
 
 
+def _coded(block: list[tuple[bytes, bytes]], frequent: np.ndarray) -> tuple[list[tuple[bytes, bytes]], np.ndarray]:
+    """Words that may be frequent, the first one empty, and all places of the block as numbers of them."""
+    words: list[tuple[bytes, bytes]] = [(b"", b"")]
+    coders: dict[bytes, _Codes] = {}
+    parts = [np.zeros(1, np.int32)]
+    for lang, text in block:
+        coder = coders.get(lang) or coders.setdefault(lang, _Codes(lang, frequent, words))
+        found = tokens(text)
+        parts += [np.fromiter(map(coder.__getitem__, found), np.int32, len(found)), np.zeros(1, np.int32)]
+    return words, np.concatenate(parts)
+
+
 def _ids(rows: np.ndarray) -> np.ndarray:
     """Numbers of the rows, equal for equal rows, from 0 in the order of their first."""
     ids = rows[:, 0].astype(np.int64)
@@ -137,17 +173,12 @@ def _ids(rows: np.ndarray) -> np.ndarray:
     return ids
 
 
-def _block_phrases(block: list[tuple[bytes, bytes]], longest: int, frequent: np.ndarray, taken: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _block_phrases(words: list[tuple[bytes, bytes]], codes: np.ndarray, longest: int, frequent: np.ndarray, taken: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Counts of the phrases of ``longest`` words that may be frequent and start or end with a word taken."""
-    words: list[tuple[bytes, bytes]] = [(b"", b"")]
-    coders: dict[bytes, _Codes] = {}
-    parts = [np.zeros(1, np.int64)]
-    for lang, text in block:
-        coder = coders.get(lang) or coders.setdefault(lang, _Codes(lang, frequent, words))
-        found = tokens(text)
-        parts += [np.fromiter(map(coder.__getitem__, found), np.int64, len(found)), np.zeros(1, np.int64)]
-    codes = np.concatenate(parts)
-    open_end = np.r_[False, _known(taken, [lang + b"\t" + word for lang, word in words[1:]])][codes]
+    hashes = np.array([_word_hash(*w) for w in words], np.uint64)
+    open_end = _known(taken, hashes)
+    open_end[0] = False
+    open_end = open_end[codes]
     # Whether the phrase of the last length at a place may be frequent; single words are, if they have a code.
     good = codes > 0
     for size in range(2, longest + 1):
@@ -159,19 +190,17 @@ def _block_phrases(block: list[tuple[bytes, bytes]], longest: int, frequent: np.
         for j in range(size):
             fits &= codes[j : j + count] > 0
         at = np.flatnonzero(fits)
-        ids = _ids(codes[at[:, None] + np.arange(size)])
-        _, one, many = np.unique(ids, return_index=True, return_counts=True)
-        hopeful = np.zeros(len(one), bool)
-        for k in range(0, len(one), _AT_ONCE):
-            rows = codes[at[one[k : k + _AT_ONCE]][:, None] + np.arange(size)].tolist()
-            names = [b" ".join([words[c][1] for c in r]) for r in rows]
-            langs = [words[r[0]][0] for r in rows]
-            if size == longest:
-                yield _counted(langs, names, many[k : k + _AT_ONCE].tolist())
-            else:
-                hopeful[k : k + _AT_ONCE] = _known(frequent, [lang + b"\t" + name for lang, name in zip(langs, names)])
-        good = np.zeros(len(codes), bool)
-        good[at] = hopeful[ids]
+        if size < longest:
+            h = hashes[codes[at]]
+            for j in range(1, size):
+                h = _longer(h, hashes[codes[at + j]])
+            good = np.zeros(len(codes), bool)
+            good[at] = _known(frequent, h)
+    ids = _ids(codes[at[:, None] + np.arange(longest)])
+    _, one, many = np.unique(ids, return_index=True, return_counts=True)
+    for k in range(0, len(one), _AT_ONCE):
+        rows = codes[at[one[k : k + _AT_ONCE]][:, None] + np.arange(longest)].tolist()
+        yield _counted([words[r[0]][0] for r in rows], [b" ".join([words[c][1] for c in r]) for r in rows], many[k : k + _AT_ONCE].tolist())
 
 
 _OUT = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
@@ -182,17 +211,38 @@ def _sum(counted: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def _phrases(texts: DataFrame, longest: int, frequent: np.ndarray, taken: np.ndarray, at_least: int) -> DataFrame:
+_BLOCKS = "langs array<string>, words array<string>, codes binary"
+
+
+def _coded_blocks(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """The blocks of the texts as numbers of their frequent words, written once; every later count reads these."""
+    table = texts.sparkSession.sparkContext.broadcast(zlib.compress(frequent.data, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(zlib.decompress(table.value), np.uint8)
+        for block in _blocks(batches):
+            words, codes = _coded(block, known)
+            columns = [pa.array([[w[i] for w in words]], pa.list_(pa.binary())).cast(pa.list_(pa.string())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([codes.tobytes()], pa.binary())], ["langs", "words", "codes"])
+
+    blocks = cut_lineage(texts.mapInArrow(run, _BLOCKS), "blocks")
+    table.destroy()
+    return blocks
+
+
+def _phrases(blocks: DataFrame, longest: int, frequent: np.ndarray, taken: np.ndarray, at_least: int) -> DataFrame:
     """Written counts of the phrases of ``longest`` words that are frequent and may have an end taken."""
     # Two tables of 2 ** TABLE_BITS bits at most; they go once the counts are written.
-    tables = texts.sparkSession.sparkContext.broadcast([zlib.compress(t.data, 1) for t in (frequent, taken)])
+    tables = blocks.sparkSession.sparkContext.broadcast([zlib.compress(t.data, 1) for t in (frequent, taken)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacked = [np.frombuffer(zlib.decompress(t), np.uint8) for t in tables.value]
-        for block in _blocks(batches):
-            yield from _block_phrases(block, longest, *unpacked)
+        for batch in batches:
+            for i in range(len(batch)):
+                langs, words = (batch.column(c)[i].values.cast(pa.binary()).to_pylist() for c in (0, 1))
+                yield from _block_phrases(list(zip(langs, words)), np.frombuffer(batch.column(2)[i].as_buffer(), np.int32), longest, *unpacked)
 
-    counted = cut_lineage(_sum(texts.mapInArrow(run, _COUNTED)).where(F.col("f") >= at_least), f"phrases{longest}")
+    counted = cut_lineage(_sum(blocks.mapInArrow(run, _COUNTED)).where(F.col("f") >= at_least), f"phrases{longest}")
     tables.destroy()
     return counted
 
@@ -239,6 +289,7 @@ def collocations(docs: DataFrame, at_least: int = AT_LEAST, top: int = TOP, scal
     everything = cut_lineage(_sum(texts.mapInArrow(_word_counts, _COUNTED)), "words")
     words = everything.where(F.col("f") >= at_least)
     frequent = bit_table(words)
+    blocks = _coded_blocks(texts, frequent)
     open_langs = everything.groupBy("lang").agg(F.sum("f").alias("n"))
     # Frequencies in rising order, with the share of their language up to each and the one that follows.
     rising = Window.partitionBy("lang").orderBy("f")
@@ -255,7 +306,7 @@ def collocations(docs: DataFrame, at_least: int = AT_LEAST, top: int = TOP, scal
         taken = bit_table(words.join(reach, "lang").where("f > before and f <= top_f"))
         known = frequent.copy()
         for size in range(2, longest + 1):
-            counted = _phrases(texts, size, known, taken, at_least)
+            counted = _phrases(blocks, size, known, taken, at_least)
             if counted.isEmpty():
                 break
             phrases.append(counted)

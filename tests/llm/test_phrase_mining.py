@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -67,13 +68,12 @@ def test_small_blocks_and_tables(spark, prose, monkeypatch):
     """Counts add up over blocks, and a table full of wrong bits loses nothing."""
     full = np.full(1 << (pm.TABLE_BITS - 3), 0xFF, np.uint8)
     rows = [(b"en", (t or "").encode()) for _, t in prose]
-    sums = Counter()
-    for k in range(0, len(rows), 20):
-        for batch in pm._block_phrases(rows[k : k + 20], 3, full, full):
-            for p, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                sums[p] += f
-    whole = {p: f for batch in pm._block_phrases(rows, 3, full, full) for p, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())}
-    assert sums == whole and whole
+
+    def counted(block):
+        found = [b.to_pydict() for b in pm._block_phrases(*pm._coded(block, full), 3, full, full)]
+        return Counter({p: f for b in found for p, f in zip(b["phrase"], b["f"])})
+
+    assert sum((counted(rows[k : k + 20]) for k in range(0, len(rows), 20)), Counter()) == counted(rows)
 
 
 def test_settles_before_the_whole_frontier(spark, monkeypatch):
@@ -109,7 +109,11 @@ def test_odd_rows(spark, odd, odd_rows, empty):
     assert pm.collocations(odd, at_least=10**9).columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
 
-def test_bits_are_those_of_spark(spark):
-    keys = [("en", "a b"), ("", "é"), ("x\ty", "z" * 100)]
+def test_hashes_are_those_of_spark(spark):
+    keys = [("en", "a b"), ("", "é"), ("x\ty", "z" * 100), ("de", "ein zwei drei vier fünf")]
     table = pm.bit_table(spark.createDataFrame(keys, "lang string, phrase string"))
-    assert pm._known(table, [f"{a}\t{b}".encode() for a, b in keys]).all() and np.unpackbits(table).sum() == 3
+    hashes = []
+    for lang, phrase in keys:
+        words = [np.array([pm._word_hash(lang.encode(), w.encode())], np.uint64) for w in phrase.split(" ")]
+        hashes.append(reduce(pm._longer, words)[0])
+    assert pm._known(table, np.array(hashes)).all() and np.unpackbits(table).sum() == len(keys)
