@@ -39,11 +39,11 @@ UNKNOWN = "und"
 #: Share of a language's word occurrences whose words the frontier holds after each turn, rarest first.
 SHARES = (1 / 16, 1 / 4, 1.0)
 #: Bytes of text of one block, and bits of the tables of frequent words and phrases.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 TABLE_BITS = 26
 _CHUNK_BITS = 15
 #: Phrases of a block that become text at once.
-_AT_ONCE = 100_000
+_AT_ONCE = 50_000
 
 # All characters that end a piece become the first of them, which then stands alone as a token.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
