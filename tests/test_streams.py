@@ -6,6 +6,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -13,11 +14,12 @@ from check_queries import compare
 
 from terrascope.plans import catalog, stateful_queries
 from terrascope.streaming.operators import EmaPartial, SwitchPartial
+from terrascope.streaming import operators as so
 from terrascope.streaming import run
 from terrascope.streaming.run import file_stream, run_append, stream_session
 
 SOURCE = "/root/testdata/sf0.001/events.parquet"
-STREAMS = ["frame_ingest_stream", "observation_ema_stream", "observation_switch_stream", "evidence_stream", "stream_scan_match", "stream_frame_metrics"]
+STREAMS = ["frame_ingest_stream", "observation_ema_stream", "observation_switch_stream", "evidence_stream", "stream_scan_match", "stream_frame_metrics", "keyframe_ring_stream", "incremental_append_stream"]
 
 
 @pytest.fixture(scope="module")
@@ -149,3 +151,49 @@ def test_frames_without_scan_come_out_with_the_watermark(spark, nearly_in_order,
     assert out > 0.8 * db.execute("select count(*) from events where event_type in ('view', 'click', 'purchase')").fetchone()[0]
     rows = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in [*before, *after]]
     assert max(rows) < len(events) and rows[-1] < 30
+
+
+def test_ring_never_exceeds_its_size():
+    """Rows in any order within the delay; the ring holds the last keyframes in time order."""
+    class Held:
+        def __init__(self):
+            self.rows = []
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def appendList(self, rows):
+            self.rows += rows
+
+        def clear(self):
+            self.rows = []
+
+    class Now:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    held = {"ring": Held(), "waiting": Held()}
+    timers = []
+    handle = type("Handle", (), {"getListState": lambda self, name, schema: held[name], "registerTimer": lambda self, ms: timers.append(ms)})()
+    ring = so.Ring(3)
+    ring.init(handle)
+    rng = np.random.default_rng(2)
+    order = np.argsort(np.arange(200) + rng.integers(0, 9, 200))
+    out, latest = [], 0
+    for part in np.array_split(order, 23):
+        list(ring.handleInputRows((7,), iter([pd.DataFrame({"us": part * 5_000, "frame_id": part})]), Now(0)))
+        latest = max(latest, int(part.max()) * 5)
+        out += [r for frame in ring.handleExpiredTimer((7,), Now(latest - 50), None) for r in frame.itertuples(index=False)]
+        assert len(held["ring"].rows) <= 3 and len(held["waiting"].rows) <= 30
+    out += [r for frame in ring.handleExpiredTimer((7,), Now(10**9), None) for r in frame.itertuples(index=False)]
+    assert [r.frame_id for r in out] == list(range(200)) and all(r.earlier == [r.frame_id - k for k in (1, 2, 3) if r.frame_id >= k] for r in out)
+    assert set(timers) >= {5 * f + 1 for f in range(200)} and not held["waiting"].rows
