@@ -160,6 +160,10 @@ class _Best:
         return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["q", "v", "score"])
 
 
+#: Queries that are copied to their leaves at once.
+_ROUTED = 256
+
+
 def _best_of(partial: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "v"))
     return partial.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -171,9 +175,10 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP, reca
     Vectors that are null, zero, or hold a null or non-finite component take no part, as a
     query or as an answer; nor do rows without an id. All vectors must have one length; the
     most common length is taken and others take no part. A query is never its own answer;
-    its copies are. Fewer vectors than ``k`` give all of them. Extra columns are ignored.
+    its copies are. A repeated row counts once; of several vectors under one id the first in the
+    order of their components counts. Fewer vectors than ``k`` give all of them. Extra columns are ignored.
     """
-    rows = usable(vectors)
+    rows = usable(vectors).groupBy("vec_id").agg(F.min("e").alias("e"))
     lengths = rows.groupBy(F.size("e").alias("w")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "w").first()
     spark = vectors.sparkSession
     if lengths is None:
@@ -204,7 +209,8 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP, reca
     visits = _calibrate(queries, placed, tree, width, longest, k, recall, leaves)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # A query goes to many leaves, so few leave at once.
+        for batch in (b.slice(at, _ROUTED) for b in batches for at in range(0, len(b), _ROUTED)):
             e = _matrix(batch.column(1), width)
             chosen = [tree.value.ranked(near.tolist(), visits) for near in _distances(np.hstack([e, np.zeros((len(e), 1))]), tree.value.centres)]
             index = np.repeat(np.arange(len(chosen)), [len(c) for c in chosen])

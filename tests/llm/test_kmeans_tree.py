@@ -53,6 +53,22 @@ def test_small_and_unusable(spark):
     assert kt.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_repeated_rows_count_once(spark):
+    """Queries and candidates given twice: every neighbour still comes once, and k different ones come."""
+    rng = np.random.default_rng(5)
+    rows = {i: rng.normal(size=8).tolist() for i in range(1, 121)}
+    given = [*rows.items(), *[(i, rows[i]) for i in (20, 20, 40, 7, 7, 7)], (9, [100.0] * 8)]
+    table = spark.createDataFrame([(i, e) for i, e in given], "vec_id long, embedding array<double>")
+    rows[9] = min(rows[9], [100.0] * 8)
+    ids, matrix = np.array(sorted(rows)), np.array([rows[i] for i in sorted(rows)])
+    got = {}
+    for r in kt.search(table).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    best = {int(i): {v for v, _ in found} for i, found in exact(ids, matrix, 20, 20)}
+    assert got.keys() == best.keys() and all(len(v) == len(set(v)) == 20 and i not in v for i, v in got.items())
+    assert sum(len(best[i] & set(v)) for i, v in got.items()) >= 0.9 * 20 * len(best)
+
+
 def test_tree_ranks_every_leaf_once():
     rows = np.random.default_rng(1).normal(size=(3000, 8))
     tree = kt.Tree(rows)
