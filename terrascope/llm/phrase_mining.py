@@ -37,7 +37,7 @@ TOP = 2000
 SCALE = 1000
 UNKNOWN = "und"
 #: Share of a language's word occurrences whose words the frontier holds after each turn, rarest first.
-SHARES = (1 / 16, 1 / 4, 1.0)
+SHARES = (1 / 4, 1.0)
 #: Bytes of text of one block, and bits of the tables of frequent words and phrases.
 BLOCK = 4 << 20
 TABLE_BITS = 26
