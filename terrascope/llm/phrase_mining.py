@@ -165,10 +165,10 @@ def _coded(block: list[tuple[bytes, bytes]], frequent: np.ndarray) -> tuple[list
     return words, np.concatenate(parts)
 
 
-def _ids(rows: np.ndarray) -> np.ndarray:
+def _ids(columns: list[np.ndarray]) -> np.ndarray:
     """Numbers of the rows, equal for equal rows, from 0 in the order of their first."""
-    ids = rows[:, 0].astype(np.int64)
-    for column in rows.T[1:]:
+    ids = columns[0].astype(np.int64)
+    for column in columns[1:]:
         ids = pd.factorize(ids * (int(column.max(initial=0)) + 1) + column)[0]
     return ids
 
@@ -196,8 +196,10 @@ def _block_phrases(words: list[tuple[bytes, bytes]], codes: np.ndarray, longest:
                 h = _longer(h, hashes[codes[at + j]])
             good = np.zeros(len(codes), bool)
             good[at] = _known(frequent, h)
-    ids = _ids(codes[at[:, None] + np.arange(longest)])
-    _, one, many = np.unique(ids, return_index=True, return_counts=True)
+    ids = _ids([codes[at + j] for j in range(longest)])
+    many = np.bincount(ids)
+    one = np.empty(len(many), np.int64)
+    one[ids] = np.arange(len(ids))
     for k in range(0, len(one), _AT_ONCE):
         rows = codes[at[one[k : k + _AT_ONCE]][:, None] + np.arange(longest)].tolist()
         yield _counted([words[r[0]][0] for r in rows], [b" ".join([words[c][1] for c in r]) for r in rows], many[k : k + _AT_ONCE].tolist())
