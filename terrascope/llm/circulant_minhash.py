@@ -3,12 +3,13 @@
 All coordinates of a signature come from two permutations of the 32-bit numbers: the first
 scatters the elements of a set, the second is read at circular shifts 0, 1, 2, ..., one
 shift per coordinate. Bands of coordinates are hashed to bucket keys. Documents that share
-a bucket are compared on their full sets, but pairs are not made for it: a bucket's members
-meet a few heads first and linked documents are merged. What then still lies in different
-components is compared pair by pair in small buckets, and in large ones block against block,
-where a task counts all common shingles of two blocks at once and returns links alone. So
-every pair of a bucket is either compared or known to be connected, and a group of
-thousands of copies costs a few rows per member.
+a bucket are compared on their full sets, but a bucket's pairs are not made for it. In each
+turn a bucket names one head, and every member still lying in another component meets the
+one head that it shares most buckets with; linked documents are merged. Turns go on while
+they close buckets. What is open then is compared pair by pair if that is little, else by
+a prefix filter: sets in the order of rarity, of which two similar ones must share one of
+their first elements. So every pair of a bucket is compared, ruled out by that bound, or
+known to be connected, and a group of thousands of copies costs a row per member and turn.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrascope.llm.common import components, group_key
@@ -30,13 +31,14 @@ SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 #: Coordinates per band, and the chance of missing a pair right at the threshold.
 BAND_ROWS, MISS = 4, 1e-7
 
-#: Heads that a bucket's members meet per turn, and the turns before all open pairs are compared;
-#: they are compared earlier once they are at most so many times the open members.
-HEADS, TURNS, FEW = 3, 1, 4
-#: Members from which a bucket is compared in blocks, and the usual members of a block.
-LARGE, BLOCK = 24, 128
+#: All open pairs of buckets are compared once they are at most so many times the open members;
+#: turns end when one leaves more than this share of them open.
+FEW, SHRINK = 2, 0.7
+#: Usual number of documents compared with one head in a group, and counters of the elements' rarity.
+GROUP, BINS = 64, 1 << 22
 
-_CHUNK, _HELD, _COLUMNS = 8192, 200, 1 << 15
+_CHUNK = 8192
+_NODE = "struct<missing:boolean,id:long,digest:binary>"
 _SIG = "doc_id long, n_shingles long, digest binary, keys array<long>"
 
 
@@ -108,6 +110,11 @@ def signatures(docs: DataFrame, width: int, bands: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, _SIG)
 
 
+def _node(digest: Column, rep: Column) -> Column:
+    """A class's name; names are ordered by document id, missing ids last."""
+    return F.named_struct(F.lit("missing"), rep.isNull(), F.lit("id"), F.coalesce(rep, F.lit(0)), F.lit("digest"), digest)
+
+
 def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """``(digest, text)`` of one document for each wanted shingle set."""
     ids = classes.join(wanted, "digest", "left_semi").select(group_key(F.col("rep")).alias("id_key")).distinct()
@@ -124,90 +131,90 @@ def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets are at least ``percent`` / 100 similar."""
-    left = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, np.ndarray] = {}
+    """The pairs ``(a, b)`` of classes whose full sets are at least ``percent`` / 100 similar.
 
-        def sets(name: pa.Scalar, text: pa.Scalar) -> np.ndarray:
-            key = name.as_py()
-            if key not in held:
-                if len(held) >= _HELD:
-                    held.clear()
-                held[key] = shingle_set(text.as_py(), width)
-            return held[key]
+    Pairs of one ``b`` are dealt into groups of about ``GROUP``; its text goes once to each
+    of them and is followed there by the texts of its partners.
+    """
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")).where("parts > 1")
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("a"), F.col("parts"))).cast("int")
+    dealt = cut_lineage(pairs.join(parts, "b", "left").select("a", "b", part.alias("part")), "pairs")
+    partners = dealt.withColumn("digest", F.col("a.digest")).join(texts, "digest").select("a", "b", "part", F.lit(1).alias("turn"), "text")
+    heads = dealt.select("b", "part").distinct().withColumn("digest", F.col("b.digest")).join(texts, "digest")
+    rows = partners.union(heads.select(F.col("b").alias("a"), "b", "part", F.lit(0), "text"))
+    rows = rows.repartition("b", "part").sortWithinPartitions("b", "part", "turn")
 
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.empty(0, np.uint64)
         for batch in batches:
             ok = []
-            for a, b, ta, tb in zip(*(batch.column(i) for i in range(4))):
-                one, two = sets(a, ta), sets(b, tb)
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                ok.append(100 * common >= percent * (len(one) + len(two) - common))
+            for turn, text in zip(batch.column(3).to_pylist(), batch.column(4)):
+                one = shingle_set(text.as_py(), width)
+                if turn == 0:
+                    head = one
+                    ok.append(False)
+                    continue
+                common = len(np.intersect1d(one, head, assume_unique=True))
+                ok.append(100 * common >= percent * (len(one) + len(head) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(test, "a binary, b binary")
+    return rows.mapInArrow(test, f"a {_NODE}, b {_NODE}")
 
 
-def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many elements each set on the left shares with each on the right."""
-    total = np.zeros((len(left), len(right)))
-    ours, theirs = np.concatenate(left), np.concatenate(right)
-    at, bt = np.repeat(np.arange(len(left)), [len(s) for s in left]), np.repeat(np.arange(len(right)), [len(s) for s in right])
-    shared = np.intersect1d(ours, theirs)
-    for first in range(0, len(shared), _COLUMNS):
-        part = shared[first : first + _COLUMNS]
-        sides = []
-        for values, rows, n in ((ours, at, len(left)), (theirs, bt, len(right))):
-            column = np.minimum(np.searchsorted(part, values), len(part) - 1)
-            hit = part[column] == values
-            side = np.zeros((n, len(part)), np.float32)
-            side[rows[hit], column[hit]] = 1
-            sides.append(side)
-        total += sides[0] @ sides[1].T
-    return total
+def _bin(shingles: np.ndarray) -> np.ndarray:
+    return (shingles % np.uint64(BINS)).astype(np.int64)
 
 
-def _confirm_blocks(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between different components within the buckets of ``(key, digest, component, all)``; ``all`` counts a bucket's members.
-
-    Of the links of two blocks only those that join what is not joined yet are returned.
-    """
-    block = F.pmod(F.xxhash64("digest"), F.ceil(F.col("all") / BLOCK)).cast("int")
-    rows = members.withColumn("block", block).join(texts, "digest")
-    packed = rows.groupBy("key", "block").agg(F.collect_list(F.struct("digest", "component", "text")).alias("docs"))
-    meet = packed.join(packed.select("key", F.col("block").alias("other"), F.col("docs").alias("others")), "key").where("block <= other").select("docs", "others")
+def _rarity(texts: DataFrame, width: int) -> np.ndarray:
+    """How many elements of all sets fall into each of ``BINS`` counters."""
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(BINS, np.int64)
         for batch in batches:
-            for docs, others in zip(batch.column(0), batch.column(1)):
-                found = _links(docs.as_py(), others.as_py(), width, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (zip(*found) if found else ((), ()))], ["a", "b"])
+            for text in batch.column(0):
+                seen[_bin(shingle_set(text.as_py(), width))] += 1
+        at = np.nonzero(seen)[0]
+        for first in range(0, len(at), 1 << 16):
+            part = at[first : first + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[part])], ["bin", "c"])
+
+    counted = texts.select("text").mapInArrow(count, "bin long, c long").groupBy("bin").agg(F.sum("c").alias("c")).toArrow()  # BINS rows at most
+    out = np.zeros(BINS, np.int64)
+    out[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    return out
 
-    return meet.mapInArrow(test, "a binary, b binary")
 
+def prefix_length(n: int, percent: int) -> int:
+    """Elements of a set of ``n`` of which a similar set, in the same order, must share one among its own."""
+    return n - (n * percent + 99) // 100 + 1
 
-def _links(docs: list[dict], others: list[dict], width: int, percent: int) -> list[tuple[bytes, bytes]]:
-    if len({d["component"] for d in docs} | {d["component"] for d in others}) < 2:
-        return []
-    left, right = ([shingle_set(d["text"], width) for d in side] for side in (docs, others))
-    common = common_counts(left, right)
-    sizes = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :]
-    parent: dict[bytes, bytes] = {}
 
-    def root(x: bytes) -> bytes:
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
+def _prefix_pairs(open_nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of ``(node, n, component)`` in different components that may be similar; none that is similar is left out."""
+    ours = cut_lineage(texts.join(open_nodes.select(F.col("node.digest").alias("digest")), "digest", "left_semi"), "open_texts")
+    rarity = texts.sparkSession.sparkContext.broadcast(_rarity(ours, width))  # BINS counters
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for digest, text in zip(batch.column(0), batch.column(1)):
+                s = shingle_set(text.as_py(), width)
+                kept = s[np.lexsort((s, rarity.value[_bin(s)]))][: prefix_length(len(s), percent)]
+                columns = [pa.array([digest.as_py()] * len(kept), pa.binary()), pa.array(kept.view(np.int64)), pa.array(np.arange(len(kept)))]
+                yield pa.RecordBatch.from_arrays(columns, ["digest", "element", "place"])
 
-    found = []
-    for i, j in zip(*np.nonzero(100 * common >= percent * (sizes - common))):
-        a, b = root(docs[i]["component"]), root(others[j]["component"])
-        if a != b:
-            parent[a] = b
-            found.append((docs[i]["digest"], others[j]["digest"]))
-    return found
+    named = open_nodes.withColumn("digest", F.col("node.digest"))
+    rows = ours.mapInArrow(first, "digest binary, element long, place long").join(named, "digest").select("element", "place", "node", "n", "component")
+    met = rows.groupBy("element").agg(F.count("*").alias("c")).where("c > 1")
+    rows = cut_lineage(rows.join(met.select("element"), "element", "left_semi"), "prefixes")
+    left = rows.select("element", F.col("place").alias("i"), F.col("node").alias("a"), "n", "component")
+    right = rows.select("element", F.col("place").alias("j"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+    # The first common element leaves at most the rest of the shorter side to be shared.
+    reach = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+    return left.join(right, "element").where("b < a and component != other").where(reach & _alike(percent)).select("a", "b").distinct()
+
+
+def _alike(percent: int) -> Column:
+    return (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT, miss: float = MISS) -> DataFrame:
@@ -221,53 +228,54 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     """
     bands = bands_needed(percent, miss=miss)
     signed = cut_lineage(signatures(docs, width, bands), "signatures")
-    classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    rep = F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"].alias("rep")
+    classes = signed.where("n_shingles > 0").groupBy("digest").agg(rep, F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
     classes = cut_lineage(classes, "classes")
-    placed = classes.select("digest", "n", F.explode("keys").alias("key"))
+    placed = classes.select(_node(F.col("digest"), F.col("rep")).alias("node"), "n", F.explode("keys").alias("key"))
     shared = placed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     members = cut_lineage(placed.join(shared.select("key"), "key"), "members")
 
-    wanted = members.select("digest").distinct()
-    texts = _texts(docs, classes.select("digest", "rep"), wanted, width)
+    texts = _texts(docs, classes.select("digest", "rep"), members.select(F.col("node.digest").alias("digest")).distinct(), width)
     links: DataFrame | None = None
-    labels = wanted.select(F.col("digest").alias("node"), F.col("digest").alias("component"))
-    alike = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-    turn = 0
+    labels: DataFrame | None = None
+    before, turn = math.inf, 0
     while True:
-        at = cut_lineage(members.join(labels.withColumnRenamed("node", "digest"), "digest"), "placed")
+        at = members.withColumn("component", F.col("node"))
+        if labels is not None:
+            at = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        at = cut_lineage(at, "placed")
         # Pairs of a bucket that lie in different components, without making them.
         sides = at.groupBy("key", "component").agg(F.count("*").alias("c"))
-        open_pairs = sides.groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same")).where("all * all > same")
-        left = open_pairs.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs"), F.sum("all").alias("rows")).first()
+        open_keys = sides.groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same")).where("all * all > same")
+        left = open_keys.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs"), F.sum("all").alias("rows")).first()
         if not left["rows"]:
             break
-        rows = at.join(open_pairs.select("key"), "key")
-        everything = left["pairs"] <= FEW * left["rows"] or turn >= TURNS
-        if everything:
-            rows = at.join(open_pairs.select("key", "all"), "key")
-            small = rows.where(F.col("all") < LARGE)
-            other = small.select("key", F.col("digest").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-            pairs = small.withColumnRenamed("digest", "a").join(other, "key").where("component < other")
-            blocks = cut_lineage(_confirm_blocks(rows.where(F.col("all") >= LARGE).select("key", "digest", "component", "all"), texts, width, percent), "links")
-            links = blocks if links is None else links.union(blocks)
+        members = cut_lineage(at.join(open_keys.select("key"), "key", "left_semi"), "open")
+        few, last = left["pairs"] <= FEW * left["rows"], left["rows"] > SHRINK * before
+        if few:
+            other = members.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+            pairs = members.withColumnRenamed("node", "a").join(other, "key").where("b < a and component != other").where(_alike(percent)).select("a", "b").distinct()
+        elif last:
+            pairs = _prefix_pairs(members.select("node", "n", "component").distinct(), texts, width, percent)
         else:
-            first = lambda k: F.min(F.struct(F.xxhash64("digest", F.lit(HEADS * turn + k)).alias("draw"), "digest", "n", "component"))
-            heads = rows.groupBy("key").agg(F.array(*[first(k) for k in range(HEADS)]).alias("heads"))
-            heads = heads.select("key", F.explode(F.array_distinct(F.transform("heads", lambda h: h.dropFields("draw")))).alias("head"))
-            heads = heads.select("key", F.col("head.digest").alias("b"), F.col("head.n").alias("m"), F.col("head.component").alias("other"))
-            pairs = rows.withColumnRenamed("digest", "a").join(heads, "key").where("component != other")
-        new = cut_lineage(_confirm(pairs.where(alike).select("a", "b").distinct(), texts, width, percent), "links")
+            draw = F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "n", "component")
+            heads = members.groupBy("key").agg(F.min(draw).alias("head")).select("key", F.col("head.node").alias("b"), F.col("head.n").alias("m"), F.col("head.component").alias("other"))
+            met = members.withColumnRenamed("node", "a").join(heads, "key").where("component != other").where(_alike(percent))
+            best = met.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("a").agg(F.max(F.struct("c", "b"))["b"].alias("b"))
+            pairs = best.select("a", "b")
+        new = cut_lineage(_confirm(pairs, texts, width, percent), "links")
         links = new if links is None else links.union(new)
-        linked = components(links)
-        labels = wanted.join(linked.withColumnRenamed("node", "digest"), "digest", "left").select(F.col("digest").alias("node"), F.coalesce("component", "digest").alias("component"))
-        labels = cut_lineage(labels, "labels")
-        if everything:
+        labels = components(links)
+        if few or last:
             break
-        turn += 1
-
-    of_class = classes.select("digest", "rep").join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "rep", F.coalesce("component", "digest").alias("component"))
-    least = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
-    names = of_class.join(least, "component").select("digest", "component_id")
+        before, turn = left["rows"], turn + 1
+        members = members.drop("component")
+
+    if labels is None:
+        names = classes.select("digest", F.col("rep").alias("component_id"))
+    else:
+        named = labels.select(F.col("node.digest").alias("digest"), F.when(~F.col("component.missing"), F.col("component.id")).alias("least"), F.lit(True).alias("linked"))
+        names = classes.select("digest", "rep").join(named, "digest", "left").select("digest", F.when(F.col("linked"), F.col("least")).otherwise(F.col("rep")).alias("component_id"))
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     out = signed.select("doc_id", "n_shingles", "digest").join(names, "digest", "left").select("doc_id", "n_shingles", own.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))

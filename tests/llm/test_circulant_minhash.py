@@ -68,6 +68,26 @@ def test_components(spark, width, percent):
         assert got[i] == (n, least, i == least)
 
 
+def test_prefix_filter(spark, monkeypatch):
+    """Crowds whose members lie under, at and over the threshold, compared by prefixes alone."""
+    monkeypatch.setattr(cm, "FEW", -1)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    rows = corpus()
+    base, passage = [word() for _ in range(150)], [word() for _ in range(60)]
+    for k in range(150):
+        words = list(base)
+        for _ in range(rng.choice([2, 5, 6, 12])):
+            words[rng.randrange(150)] = word()
+        rows.append((10_000 + k, " ".join(words)))
+        rows.append((20_000 + k, " ".join(passage + [word() for _ in range(rng.choice([5, 10, 40]))])))
+    for shrink in (0.7, -1):
+        monkeypatch.setattr(cm, "SHRINK", shrink)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in cm.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+        assert [got[i] for i, _ in rows] == list(all_pairs(rows, 3, 85))
+    assert [cm.prefix_length(n, 85) for n in (1, 7, 20, 100)] == [1, 2, 4, 16]
+
+
 def test_odd_rows(odd, odd_rows, empty):
     rows = [(r[0], r[1]) for r in odd_rows]
     got = sorted((repr((r.doc_id, r.n_shingles, r.component_id)) for r in cm.near_duplicates(odd, 3, 85).collect()))
