@@ -68,8 +68,8 @@ def test_components(spark, width, percent):
         assert got[i] == (n, least, i == least)
 
 
-def test_prefix_filter(spark, monkeypatch):
-    """Crowds whose members lie under, at and over the threshold, compared by prefixes alone."""
+def test_crowds(spark, monkeypatch):
+    """Crowds whose members lie under, at and over the threshold, the last turn compared in blocks."""
     monkeypatch.setattr(cm, "FEW", -1)
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
@@ -85,7 +85,6 @@ def test_prefix_filter(spark, monkeypatch):
         monkeypatch.setattr(cm, "SHRINK", shrink)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in cm.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
         assert [got[i] for i, _ in rows] == list(all_pairs(rows, 3, 85))
-    assert [cm.prefix_length(n, 85) for n in (1, 7, 20, 100)] == [1, 2, 4, 16]
 
 
 def test_odd_rows(odd, odd_rows, empty):
