@@ -6,17 +6,19 @@ shift per coordinate. Bands of coordinates are hashed to bucket keys. Documents
 a bucket are compared on their full sets, but a bucket's pairs are not made for it. In each
 turn a bucket names one head, and every member still lying in another component meets the
 one head that it shares most buckets with; linked documents are merged. Turns go on while
-they close buckets. What is open then is compared
-pair by pair in small buckets, and in large ones block against block, where a task counts
-all common shingles of two blocks at once and returns links alone. So every pair of a
-bucket is either compared or known to be connected, and a group of thousands of copies
-costs a row per member and turn.
+they close buckets. What is open then is compared pair by pair if that is little, else by
+a prefix filter: sets in the order of rarity, of which two similar ones have their first
+common element at places that their sizes bound, and differ in few elements. So every pair
+of a bucket is compared, ruled out by these bounds, or known to be connected, and a group
+of thousands of copies costs a row per member and turn.
 """
 
 from __future__ import annotations
 
 import math
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +36,13 @@ BAND_ROWS, MISS = 4, 1e-7
 
 #: All open pairs of buckets are compared once they are at most so many times the open members;
 #: turns end when one leaves more than this share of them open.
-FEW, SHRINK = 2, 0.7
-#: Usual number of documents compared with one head in a group.
-GROUP = 64
-#: Members from which a bucket is compared in blocks, and the usual members and shingles of a block.
-LARGE, BLOCK, BLOCK_SHINGLES = 24, 128, 1 << 21
+FEW, SHRINK = 2, 0.9
+#: Usual number of documents compared with one head in a group, counters of the elements' rarity,
+#: rows of one element that meet in a part, and longs of parities.
+GROUP, BINS, PART, LONGS = 64, 1 << 20, 1024, 16
 
-_CHUNK, _COLUMNS = 8192, 1 << 15
+_CHUNK = 8192
 _NODE = "struct<missing:boolean,id:long,digest:binary>"
-_NODE_ARROW = pa.struct([("missing", pa.bool_()), ("id", pa.int64()), ("digest", pa.binary())])
 _SIG = "doc_id long, n_shingles long, digest binary, keys array<long>"
 
 
@@ -165,64 +165,103 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return rows.mapInArrow(test, f"a {_NODE}, b {_NODE}")
 
 
-def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many elements each set on the left shares with each on the right."""
-    total = np.zeros((len(left), len(right)))
-    ours, theirs = np.concatenate(left), np.concatenate(right)
-    at, bt = np.repeat(np.arange(len(left)), [len(s) for s in left]), np.repeat(np.arange(len(right)), [len(s) for s in right])
-    shared = np.intersect1d(ours, theirs)
-    for first in range(0, len(shared), _COLUMNS):
-        part = shared[first : first + _COLUMNS]
-        sides = []
-        for values, rows, n in ((ours, at, len(left)), (theirs, bt, len(right))):
-            column = np.minimum(np.searchsorted(part, values), len(part) - 1)
-            hit = part[column] == values
-            side = np.zeros((n, len(part)), np.float32)
-            side[rows[hit], column[hit]] = 1
-            sides.append(side)
-        total += sides[0] @ sides[1].T
-    return total
-
-
-def _confirm_blocks(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between different components within the buckets of ``(key, node, component, blocks)``; a bucket is dealt into ``blocks``.
-
-    Of the links of two blocks only those that join what is not joined yet are returned.
+def prefix_length(n: int, percent: int) -> int:
+    """Elements of a set of ``n`` of which a similar set, in the same order, must share one among its own."""
+    return n - (n * percent + 99) // 100 + 1
+
+
+def _bin(shingles: np.ndarray) -> np.ndarray:
+    return (shingles % np.uint64(BINS)).astype(np.int64)
+
+
+def _rarity(texts: DataFrame, width: int) -> np.ndarray:
+    """How many elements of all sets fall into each of ``BINS`` counters."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(BINS, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                seen[_bin(shingle_set(text.as_py(), width))] += 1
+        at = np.nonzero(seen)[0]
+        for first in range(0, len(at), 1 << 16):
+            part = at[first : first + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[part])], ["bin", "c"])
+
+    counted = texts.select("text").mapInArrow(count, "bin long, c long").groupBy("bin").agg(F.sum("c").alias("c")).toArrow()  # BINS rows at most
+    out = np.zeros(BINS, np.int64)
+    out[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    return out
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """``LONGS`` longs of which each bit tells whether an odd number of elements falls on it.
+
+    Two sets differ in at least as many elements as their bits do.
     """
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = members.withColumn("block", block).withColumn("digest", F.col("node.digest")).join(texts, "digest")
-    packed = rows.groupBy("key", "block").agg(F.collect_list(F.struct("node", F.col("component.digest").alias("component"), "text")).alias("docs"))
-    meet = packed.join(packed.select("key", F.col("block").alias("other"), F.col("docs").alias("others")), "key").where("block <= other").select("docs", "others")
+    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % (64 * LONGS), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _with_parities(rows: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``rows`` with the parities of their ``digest`` as the struct ``bits``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for docs, others in zip(batch.column(0), batch.column(1)):
-                found = _links(docs.as_py(), others.as_py(), width, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(c, _NODE_ARROW) for c in (zip(*found) if found else ((), ()))], ["a", "b"])
+            bits = np.array([parities(shingle_set(t.as_py(), width)) for t in batch.column(1)], np.int64).reshape(-1, LONGS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in bits.T)], ["digest", *(f"p{k}" for k in range(LONGS))])
+
+    wanted = texts.select("digest", "text").join(rows.select("digest").distinct(), "digest", "left_semi")
+    named = wanted.mapInArrow(run, "digest binary, " + ", ".join(f"p{k} long" for k in range(LONGS)))
+    return rows.join(named.select("digest", F.struct(*(f"p{k}" for k in range(LONGS))).alias("bits")), "digest")
+
 
-    return meet.mapInArrow(test, f"a {_NODE}, b {_NODE}")
+def _differ(left: Column, right: Column) -> Column:
+    return reduce(operator.add, [F.bit_count(left[f"p{k}"].bitwiseXOR(right[f"p{k}"])) for k in range(LONGS)])
 
 
-def _links(docs: list[dict], others: list[dict], width: int, percent: int) -> list[tuple[dict, dict]]:
-    if len({d["component"] for d in docs} | {d["component"] for d in others}) < 2:
-        return []
-    left, right = ([shingle_set(d["text"], width) for d in side] for side in (docs, others))
-    common = common_counts(left, right)
-    sizes = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :]
-    parent: dict[bytes, bytes] = {}
+def _reach(n: Column, m: Column, percent: int) -> Column:
+    """The last place at which a set of ``n`` can have its first element in common with a similar set of ``m``."""
+    return n - F.ceil((n + m) * percent / F.lit(100 + percent) - 1e-9)
 
-    def root(x: bytes) -> bytes:
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
 
-    found = []
-    for i, j in zip(*np.nonzero(100 * common >= percent * (sizes - common))):
-        a, b = root(docs[i]["component"]), root(others[j]["component"])
-        if a != b:
-            parent[a] = b
-            found.append((docs[i]["node"], others[j]["node"]))
-    return found
+def _prefix_pairs(open_nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of ``(node, n, component)`` in different components that may be similar; none that is similar is left out.
+
+    Sets are put in one order, rare elements first. Two similar ones have their first common
+    element at places that their sizes bound. Rows of an element that lie too far for
+    its smallest set go first; of what is left, members of the component that the element has
+    most of meet the others only.
+    """
+    named = open_nodes.withColumn("digest", F.col("node.digest"))
+    ours = cut_lineage(texts.join(named.select("digest"), "digest", "left_semi"), "open_texts")
+    rarity = texts.sparkSession.sparkContext.broadcast(_rarity(ours, width))  # BINS counters
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for digest, text in zip(batch.column(0), batch.column(1)):
+                s = shingle_set(text.as_py(), width)
+                kept = s[np.lexsort((s, rarity.value[_bin(s)]))][: prefix_length(len(s), percent)]
+                columns = [pa.array([digest.as_py()] * len(kept), pa.binary()), pa.array(kept.view(np.int64)), pa.array(np.arange(len(kept)))]
+                yield pa.RecordBatch.from_arrays(columns, ["digest", "element", "place"])
+
+    rows = ours.mapInArrow(first, "digest binary, element long, place long").join(named.select("digest", "n", F.col("component.digest").alias("of")), "digest")
+    rows = cut_lineage(rows, "prefixes")
+    mixed = rows.groupBy("element").agg(F.min("n").alias("least"), F.min("of").alias("low"), F.max("of").alias("high")).where("low != high").select("element", "least")
+    least = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / F.lit(100) - 1e-9))
+    near = cut_lineage(rows.join(mixed, "element").where(F.col("place") <= _reach(F.col("n"), least, percent)).drop("least"), "near")
+    sides = near.groupBy("element", "of").agg(F.count("*").alias("c"))
+    most = sides.groupBy("element").agg(F.max(F.struct("c", "of"))["of"].alias("most"), F.count("*").alias("sides"), F.sum("c").alias("c")).where("sides > 1")
+    most = most.select("element", "most", F.ceil(F.col("c") / PART).cast("int").alias("parts"))
+    sided = cut_lineage(_with_parities(near.join(most, "element"), ours, width), "sided")
+    left = sided.where("of != most").select("element", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int").alias("part"), F.col("digest").alias("x"), "n", F.col("place").alias("i"), "of", F.col("bits").alias("p"))
+    right = sided.select("element", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("digest").alias("y"), F.col("n").alias("m"), F.col("place").alias("j"), F.col("of").alias("other"), (F.col("of") == F.col("most")).alias("in_most"), F.col("bits").alias("q"))
+    n, m = F.col("n"), F.col("m")
+    met = left.join(right, ["element", "part"]).where("of != other and (in_most or x < y)").where((F.col("i") <= _reach(n, m, percent)) & (F.col("j") <= _reach(m, n, percent)))
+    met = met.where(_differ(F.col("p"), F.col("q")) <= _reach(n, m, percent) + _reach(m, n, percent))
+    pairs = cut_lineage(met.select("x", "y").distinct(), "candidates")
+    names = named.select("digest", "node")
+    pairs = pairs.join(names.select(F.col("digest").alias("x"), F.col("node").alias("a")), "x").join(names.select(F.col("digest").alias("y"), F.col("node").alias("b")), "y")
+    return pairs.select("a", "b")
 
 
 def _alike(percent: int) -> Column:
@@ -257,35 +296,36 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
             at = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         at = cut_lineage(at, "placed")
         # Pairs of a bucket that lie in different components, without making them.
-        sides = at.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("shingles"))
-        open_keys = sides.groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"), F.sum("shingles").alias("shingles")).where("all * all > same")
+        sides = at.groupBy("key", "component").agg(F.count("*").alias("c"))
+        open_keys = sides.groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same")).where("all * all > same")
         open_keys = cut_lineage(open_keys, "open_keys")
         left = open_keys.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs"), F.sum("all").alias("rows")).first()
         if not left["rows"]:
             break
-        blocks = F.when(F.col("all") >= LARGE, F.ceil(F.greatest(F.col("all") / BLOCK, F.col("shingles") / BLOCK_SHINGLES))).alias("blocks")
-        members = cut_lineage(at.join(open_keys.select("key", blocks), "key"), "open")
-        few, last = left["pairs"] <= FEW * left["rows"], left["rows"] > SHRINK * before
-        crowded = None
-        if few or last:
-            small = members if few else members.where("blocks is null")
-            other = small.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-            pairs = small.withColumnRenamed("node", "a").join(other, "key").where("b < a and component != other").where(_alike(percent)).select("a", "b").distinct()
-            crowded = None if few else members.where("blocks is not null").select("key", "node", "component", "blocks")
+        members = cut_lineage(at.join(open_keys.select("key", "all"), "key"), "open")
+        few, last = left["pairs"] <= FEW * left["rows"], left["pairs"] > SHRINK * before
+        if few:
+            other = members.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+            pairs = members.withColumnRenamed("node", "a").join(other, "key").where("b < a and component != other").where(_alike(percent)).select("a", "b").distinct()
+        elif last:
+            pairs = _prefix_pairs(members.select("node", "n", "component").distinct(), texts, width, percent)
         else:
-            draw = F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "n", "component")
-            heads = members.groupBy("key").agg(F.min(draw).alias("head")).select("key", F.col("head.node").alias("b"), F.col("head.n").alias("m"), F.col("head.component").alias("other"))
+            # The first head of a bucket is the member whose buckets hold most, which lies in the middle of a crowd.
+            weighed = members.withColumn("weight", F.lit(0))
+            if turn == 0:
+                weighed = members.join(members.groupBy("node").agg((-F.sum("all")).alias("weight")), "node")
+            draw = F.struct("weight", F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "n", "component")
+            heads = weighed.groupBy("key").agg(F.min(draw).alias("head")).select("key", F.col("head.node").alias("b"), F.col("head.n").alias("m"), F.col("head.component").alias("other"))
             met = members.withColumnRenamed("node", "a").join(heads, "key").where("component != other").where(_alike(percent))
             best = met.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("a").agg(F.max(F.struct("c", "b"))["b"].alias("b"))
             pairs = best.select("a", "b")
-        new = _confirm(pairs, texts, width, percent)
-        new = cut_lineage(new if crowded is None else new.union(_confirm_blocks(crowded, texts, width, percent)), "links")
+        new = cut_lineage(_confirm(pairs, texts, width, percent), "links")
         links = new if links is None else links.union(new)
         labels = components(links)
         if few or last:
             break
-        before, turn = left["rows"], turn + 1
-        members = members.drop("component", "blocks")
+        before, turn = left["pairs"], turn + 1
+        members = members.drop("component", "all")
 
     if labels is None:
         names = classes.select("digest", F.col("rep").alias("component_id"))

@@ -69,7 +69,7 @@ def test_components(spark, width, percent):
 
 
 def test_crowds(spark, monkeypatch):
-    """Crowds whose members lie under, at and over the threshold, the last turn compared in blocks."""
+    """Crowds whose members lie under, at and over the threshold, the last turn left to the prefix filter."""
     monkeypatch.setattr(cm, "FEW", -1)
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
