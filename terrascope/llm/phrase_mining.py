@@ -39,7 +39,7 @@ UNKNOWN = "und"
 #: Share of a language's word occurrences whose words the frontier holds after each turn, rarest first.
 SHARES = (1 / 4, 1.0)
 #: Bytes of text of one block, and bits of the tables of frequent words and phrases.
-BLOCK = 4 << 20
+BLOCK = 3 << 20
 TABLE_BITS = 26
 _CHUNK_BITS = 15
 #: Phrases of a block that become text at once.
@@ -165,10 +165,10 @@ def _coded(block: list[tuple[bytes, bytes]], frequent: np.ndarray) -> tuple[list
     return words, np.concatenate(parts)
 
 
-def _ids(columns: list[np.ndarray]) -> np.ndarray:
-    """Numbers of the rows, equal for equal rows, from 0 in the order of their first."""
-    ids = columns[0].astype(np.int64)
-    for column in columns[1:]:
+def _ids(columns: Iterator[np.ndarray]) -> np.ndarray:
+    """Numbers of the rows, equal for equal rows, from 0 in the order of their first; columns are taken one at a time."""
+    ids = next(columns).astype(np.int64)
+    for column in columns:
         ids = pd.factorize(ids * (int(column.max(initial=0)) + 1) + column)[0]
     return ids
 
@@ -196,10 +196,12 @@ def _block_phrases(words: list[tuple[bytes, bytes]], codes: np.ndarray, longest:
                 h = _longer(h, hashes[codes[at + j]])
             good = np.zeros(len(codes), bool)
             good[at] = _known(frequent, h)
-    ids = _ids([codes[at + j] for j in range(longest)])
+    del good, fits, open_end, first, last
+    ids = _ids(codes[at + j] for j in range(longest))
     many = np.bincount(ids)
     one = np.empty(len(many), np.int64)
     one[ids] = np.arange(len(ids))
+    del ids
     for k in range(0, len(one), _AT_ONCE):
         rows = codes[at[one[k : k + _AT_ONCE]][:, None] + np.arange(longest)].tolist()
         yield _counted([words[r[0]][0] for r in rows], [b" ".join([words[c][1] for c in r]) for r in rows], many[k : k + _AT_ONCE].tolist())
