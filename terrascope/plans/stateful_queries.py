@@ -175,7 +175,7 @@ def _(t: Inputs) -> DataFrame:
         "point_id", "class_id", "evidence", F.lit(0).alias("pending_label"), F.lit(0.0).alias("pending_support")
     )
     fresh = t["fx_points"].select(
-        (F.lit(1000000000) + F.col("frame_index") * 1000000 + F.col("point_idx") % 1000000).alias("point_id"),
+        (F.lit(1000000000) + F.col("frame_index").cast("bigint") * 1000000 + F.col("point_idx") % 1000000).alias("point_id"),
         F.col("label").alias("class_id"), (F.col("r") * SCALE).alias("strength"),
     )
     return sf.incremental_append(current, fresh, SCALE)
