@@ -27,9 +27,15 @@ def paint_regions(mask_pixels: DataFrame) -> DataFrame:
 
 
 def paint_raster(mask_pixels: DataFrame, width: int, height: int) -> DataFrame:
-    """Whole raster with -1 on uncovered pixels."""
-    shifted = paint_regions(mask_pixels).withColumn("region", (F.col("region") + 1).cast("double"))
-    return densify(shifted, width, height, ["region"]).withColumn("region", F.col("region").cast("int") - 1)
+    """Whole raster with -1 on uncovered pixels.
+
+    A frame's canvas is painted first, like a mask of its own, so no join meets the pixels.
+    """
+    at = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    canvas = mask_pixels.select("frame_index").distinct().select("frame_index", at(height).alias("v")).select("frame_index", at(width).alias("u"), "v")
+    inside = F.col("u").between(0, width - 1) & F.col("v").between(0, height - 1)
+    painted = mask_pixels.where(inside).select(*PIXEL, F.col("mask_order").cast("int").alias("mask_order"))
+    return paint_regions(painted.unionByName(canvas.withColumn("mask_order", F.lit(-1))))
 
 
 def mask_tiles(mask_pixels: DataFrame) -> DataFrame:
@@ -54,6 +60,8 @@ def mask_nms(
     copies.
     """
     by_score = Window.partitionBy("frame_index").orderBy(F.col("score").desc(), "mask_id")
+    # Pixels are spread from few bytes, so everything made of them is estimated far too small:
+    # none of it is broadcast.
     tiles = mask_tiles(mask_pixels)
     # A mask has at most one entry per tile of the image.
     outline = F.transform(
@@ -65,7 +73,7 @@ def mask_nms(
     )
     members = (
         masks.select("frame_index", "mask_id", "score")
-        .join(shapes, ["frame_index", "mask_id"], "left")
+        .join(shapes.hint("merge"), ["frame_index", "mask_id"], "left")
         .select(
             "frame_index", "mask_id", "score", F.coalesce("area", F.lit(0)).alias("area"), "shape",
             F.row_number().over(by_score).alias("rank"), F.lag("shape").over(by_score).alias("shape_before"),
@@ -75,12 +83,12 @@ def mask_nms(
         F.min("mask_id").alias("mask_id"), F.max("area").alias("area"),
         F.min("rank").alias("first_rank"), F.max("rank").alias("last_rank"),
     )
-    placed = tiles.join(groups.select("frame_index", "mask_id", "shape"), ["frame_index", "mask_id"])
+    placed = tiles.join(groups.select("frame_index", "mask_id", "shape").hint("merge"), ["frame_index", "mask_id"])
     side = lambda t: placed.select(
         "frame_index", "tile_u", "tile_v", F.col("shape").alias(f"shape_{t}"), F.col("bits").alias(f"bits_{t}")
     )
     overlaps = (
-        side("a").join(side("b"), ["frame_index", "tile_u", "tile_v"])
+        side("a").join(side("b").hint("merge"), ["frame_index", "tile_u", "tile_v"])
         .where(F.col("shape_a") != F.col("shape_b"))
         .groupBy("frame_index", F.col("shape_a").alias("shape"), F.col("shape_b").alias("other"))
         .agg(F.sum(F.bit_count(F.col("bits_a").bitwiseAND(F.col("bits_b")))).alias("shared"))
@@ -88,11 +96,11 @@ def mask_nms(
         .join(
             groups.select(
                 "frame_index", F.col("shape").alias("other"), F.col("area").alias("other_area"), "first_rank", "last_rank"
-            ),
+            ).hint("merge"),
             ["frame_index", "other"],
         )
     )
-    met = members.join(overlaps, ["frame_index", "shape"]).select(
+    met = members.join(overlaps.hint("merge"), ["frame_index", "shape"]).select(
         "*", (F.col("shared") / F.col("area")).alias("_own"), (F.col("shared") / F.col("other_area")).alias("_other")
     )
     zero = F.lit(0.0)
@@ -110,8 +118,8 @@ def mask_nms(
     )
     copies = groups.select("frame_index", "shape", F.col("first_rank").alias("_first"))
     judged = (
-        members.join(copies, ["frame_index", "shape"], "left")
-        .join(worst, ["frame_index", "mask_id"], "left")
+        members.join(copies.hint("merge"), ["frame_index", "shape"], "left")
+        .join(worst.hint("merge"), ["frame_index", "mask_id"], "left")
         .select(
             "frame_index", "mask_id", "score", "rank", "area",
             F.when(F.col("rank") > F.col("_first"), F.lit(1.0)).otherwise(F.coalesce("_iou", zero)).alias("iou"),

@@ -22,14 +22,14 @@ MASK_PIXELS = f"""mp as (select m.frame_index, m.mask_id, a.range as u, b.range
  mo as (select *, row_number() over (partition by frame_index order by area desc, mask_id) - 1 as mask_order from ma)"""
 
 
-def mask_pixels(t: Inputs) -> DataFrame:
+def mask_pixels(t: Inputs, masks: DataFrame | None = None, *carry: str) -> DataFrame:
     """Pixels of the rectangular masks, clipped to the image."""
     last_u = F.least(F.col("x0") + F.col("w"), F.lit(WIDTH)) - 1
     last_v = F.least(F.col("y0") + F.col("h"), F.lit(HEIGHT)) - 1
     return (
-        t["fx_masks"]
-        .select("frame_index", "mask_id", "x0", last_u.alias("x1"), F.explode(F.sequence("y0", last_v)).alias("v"))
-        .select("frame_index", "mask_id", F.explode(F.sequence("x0", "x1")).alias("u"), "v")
+        (t["fx_masks"] if masks is None else masks)
+        .select("frame_index", "mask_id", *carry, "x0", last_u.alias("x1"), F.explode(F.sequence("y0", last_v)).alias("v"))
+        .select("frame_index", "mask_id", *carry, F.explode(F.sequence("x0", "x1")).alias("u"), "v")
     )
 
 
@@ -49,9 +49,10 @@ def _(t: Inputs) -> DataFrame:
     left join mo on mo.frame_index = mp.frame_index and mo.mask_id = mp.mask_id group by f.frame_index, a.range, b.range""",
 )
 def _(t: Inputs) -> DataFrame:
-    pixels = mask_pixels(t)
+    """Masks get their order before they are spread to pixels."""
     order = rg.area_rank(mask_areas(t)).select("frame_index", "mask_id", "mask_order")
-    return rg.paint_raster(pixels.join(order, ["frame_index", "mask_id"]), WIDTH, HEIGHT)
+    ordered = t["fx_masks"].join(order.hint("merge"), ["frame_index", "mask_id"])
+    return rg.paint_raster(mask_pixels(t, ordered, "mask_order"), WIDTH, HEIGHT)
 
 
 NMS = f"""{MASK_PIXELS}, rk as (select m.frame_index, m.mask_id, m.score, ma.area, row_number() over (partition by m.frame_index order by m.score desc, m.mask_id) as rank

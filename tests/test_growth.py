@@ -20,3 +20,13 @@ def test_appended_point_ids_pass_32_bits(spark):
     pq.write_table(pq.read_table(f"{SOURCE}/events.parquet"), root / "events.parquet")
     fresh = catalog.REGISTRY["incremental_append"].run(spark, str(root)).where("is_new").collect()
     assert len(fresh) == 50 and min(r.point_id for r in fresh) >= 1_000_000_000 + 5000 * 1_000_000
+
+
+def broadcasts(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_pixels_of_masks_are_never_broadcast(spark):
+    """Spread from a few bytes of a mask, pixels pass for small at any size of the table."""
+    for key in ("paint_regions", "mask_nms", "mask_nms_fallback"):
+        assert broadcasts(catalog.REGISTRY[key].run(spark, SOURCE)) == 0, key
