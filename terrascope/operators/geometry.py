@@ -208,69 +208,68 @@ def temporal_support(
 
     A frame supports a point when any of its points lies within ``distance``. Two
     points of one fine cell (diagonal = distance) are always that close, so dense
-    places are settled by the cells a frame occupies, without point pairs. Only
-    points with an open frame go to the exact check, joined on cell and frame block.
-    Those cells are two distances wide, so a point looks into eight of them: its own
-    and the nearer neighbour along each axis. Supporting frames are bits of one number.
+    places are settled by the cells a frame occupies, without point pairs: one number
+    per cell and block of frames holds a bit per frame, neighbouring frames included.
+    Only points with an open frame go to the exact check, joined on wide cell and
+    frame block. Both sides go into their own cell and, where it lies within reach, the
+    next one up along each axis and in time; of two near points the higher cell on every
+    axis holds both. Supporting frames are bits of one number.
     """
     if not 1 <= radius <= 31:
         raise ValueError("radius must be within 1..31")
-    fine, block = distance / math.sqrt(3.0) * (1.0 - 1e-9), 2 * radius + 1
+    fine = distance / math.sqrt(3.0) * (1.0 - 1e-9)
+    # Wider cells and longer blocks mean fewer copies of a row, but more pairs to compare.
+    wide, reach, block = 4.0 * distance, distance * (1.0 + 1e-9), 16
+    bits_block = min(32, 63 - 2 * radius)
     offsets = [k for k in range(-radius, radius + 1) if k]
     kept = points.where(finite(*[F.col(c) for c in XYZ]))
+    in_block = lambda f, size: F.floor(f / F.lit(float(size))).cast("bigint")
     celled = kept.select(
-        "*",
+        "*", in_block(F.col("frame_index"), bits_block).alias("_b"),
         *[F.floor(F.col(c) / F.lit(fine)).cast("bigint").alias(f"_f{c}") for c in XYZ],
-        *[F.floor(F.col(c) / F.lit(distance)).cast("bigint").alias(f"_h{c}") for c in XYZ],
     )
-    cells = ["frame_index", "_fx", "_fy", "_fz"]
+    cells = ["_b", "_fx", "_fy", "_fz"]
     bit = lambda k: F.expr(f"shiftleft(1L, cast({k} + {radius} as int))")
 
-    occupied = celled.select(*cells).distinct()
-    # A cell occupied in frame g supports the same cell of frame g - k at offset k.
     settled = (
-        occupied.select("*", F.explode(F.array(*[F.lit(k) for k in offsets])).alias("_k"))
-        .select((F.col("frame_index") - F.col("_k")).alias("frame_index"), *cells[1:], bit("_k").alias("_bit"))
+        celled.select(
+            "frame_index", *cells[1:],
+            F.explode(F.sequence(in_block(F.col("frame_index") - radius, bits_block), in_block(F.col("frame_index") + radius, bits_block))).alias("_b"),
+        )
         .groupBy(*cells)
-        .agg(F.bit_or("_bit").alias("_near"))
+        .agg(F.bit_or(bit(f"frame_index - _b * {bits_block}")).alias("_frames"))
     )
     span = points.agg(F.min("frame_index").alias("_lo"), F.max("frame_index").alias("_hi"))
     # These sides grow with the points although their size is estimated low, so they
     # are never broadcast: sort-merge joins spill and split under skew.
-    near = celled.join(settled.hint("merge"), cells, "left").withColumn("_near", F.coalesce("_near", F.lit(0).cast("bigint")))
+    others_mask = sum(1 << (k + radius) for k in offsets)
+    near = celled.join(settled.hint("merge"), cells).withColumn(
+        "_near", F.expr(f"shiftright(_frames, cast(frame_index - _b * {bits_block} as int)) & {others_mask}L")
+    ).drop("_frames", *cells)
     marked = attach(near, span)
     possible = F.expr(
         " + ".join(f"if(frame_index + {k} between _lo and _hi, {1 << (k + radius)}L, 0L)" for k in offsets)
     )
-    # Half cells are one distance wide: an odd half borders the next cell, an even one
-    # the cell before.
-    cell = {c: f"shiftright(_h{c}, 1)" for c in XYZ}
-    side = {c: f"({cell[c]} + if(_h{c} & 1 = 1, 1, -1))" for c in XYZ}
-    around = F.expr(
-        "array(" + ", ".join(
-            f"struct({x} as _cx, {y} as _cy, {z} as _cz)"
-            for x in (cell["x"], side["x"]) for y in (cell["y"], side["y"]) for z in (cell["z"], side["z"])
-        ) + ")"
-    )
-    frame_block = lambda f: F.floor(f / F.lit(float(block))).cast("bigint")
-    probe = (
-        marked.where(F.col("_near").bitwiseAND(possible) != possible)
-        .select(
-            "frame_index", "point_idx", *XYZ, "_near", *[f"_h{c}" for c in XYZ],
-            F.explode(
-                F.sequence(frame_block(F.col("frame_index") - radius), frame_block(F.col("frame_index") + radius))
-            ).alias("_block"),
-        )
-        .select("frame_index", "point_idx", *XYZ, "_near", "_block", F.inline(around))
+
+    def spread_out(rows: DataFrame) -> DataFrame:
+        """Copies of rows with the keys _block, _cx, _cy, _cz."""
+        found = rows.select("*", F.explode(F.sequence(in_block(F.col("frame_index"), block), in_block(F.col("frame_index") + radius, block))).alias("_block"))
+        for c in XYZ:
+            at = lambda value: F.floor(value / F.lit(wide)).cast("bigint")
+            found = found.select("*", F.explode(F.sequence(at(F.col(c)), at(F.col(c) + F.lit(reach)))).alias(f"_c{c}"))
+        return found
+
+    keys = ["_block", *[f"_c{c}" for c in XYZ]]
+    probe = spread_out(
+        marked.where(F.col("_near").bitwiseAND(possible) != possible).select("frame_index", "point_idx", *XYZ, "_near")
+    )
+    others = spread_out(kept.select("frame_index", *XYZ).distinct()).select(
+        *keys, F.col("frame_index").alias("_g"), *[F.col(c).alias(f"_o{c}") for c in XYZ]
     )
-    others = celled.select(
-        frame_block(F.col("frame_index")).alias("_block"), *[F.expr(cell[c]).alias(f"_c{c}") for c in XYZ],
-        F.col("frame_index").alias("_g"), *[F.col(c).alias(f"_o{c}") for c in XYZ],
-    ).distinct()
     gap = "(_g - frame_index)"
     square = F.expr(" + ".join(f"({c} - _o{c}) * ({c} - _o{c})" for c in XYZ))
     found = (
-        probe.join(others.hint("merge"), ["_block", "_cx", "_cy", "_cz"])
+        probe.join(others.hint("merge"), keys)
         .where(
             F.expr(f"{gap} between {-radius} and {radius} and {gap} <> 0")
             & (F.col("_near").bitwiseAND(bit(gap)) == 0)
@@ -375,16 +374,21 @@ def accumulate_depth(
 ) -> DataFrame:
     """Depth raster per frame from the clouds of neighbouring frames.
 
-    Each point is sent to the frames that read it, so the range condition becomes an
-    equality on the target frame. Cloud order is source frame, then point.
+    A cloud meets the poses of all frames that read it at once, as a list of that many
+    entries, so its points are moved once and no copy of a point is shuffled.
     """
-    targets = F.sequence(F.col("frame_index") - frames_after, F.col("frame_index") + frames_before)
-    sent = points.select(
-        F.explode(targets).alias("frame_index"),
-        F.struct(F.col("frame_index").alias("source"), "point_idx").alias("_origin"),
-        *XYZ,
+    views = with_rotation(poses.select("frame_index", *POSE))
+    readers = (
+        views.select(
+            F.explode(F.sequence(F.col("frame_index") - frames_before, F.col("frame_index") + frames_after)).alias("source"),
+            F.struct(*views.columns).alias("_view"),
+        )
+        .groupBy("source")
+        .agg(F.collect_list("_view").alias("_views"))
     )
-    seen = pinhole(world_to_camera(sent, poses), k)
+    clouds = points.where(finite(*[F.col(c) for c in XYZ])).select(F.col("frame_index").alias("source"), *XYZ)
+    sent = clouds.join(readers.hint("merge"), "source").select(*XYZ, F.inline("_views"))
+    seen = pinhole(as_camera(sent, to_camera(pose_matrix(), pose_translation(), XYZ), ["frame_index"]), k)
     stored = F.col("zc").cast("float")
     # The FLOAT buffer rule of nearest_z_pixel only decides which point wins; the
     # stored depth is the smallest FLOAT either way.

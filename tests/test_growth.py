@@ -3,10 +3,13 @@
 import tempfile
 from pathlib import Path
 
+import numpy as np
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 
+from terrascope.operators import geometry as ge
 from terrascope.plans import catalog
+from terrascope.plans.geometry_queries import CAMERA
 
 SOURCE = "/root/testdata/sf0.001"
 
@@ -30,3 +33,25 @@ def test_pixels_of_masks_are_never_broadcast(spark):
     """Spread from a few bytes of a mask, pixels pass for small at any size of the table."""
     for key in ("paint_regions", "mask_nms", "mask_nms_fallback"):
         assert broadcasts(catalog.REGISTRY[key].run(spark, SOURCE)) == 0, key
+
+
+def shuffled_rows(spark, df, group: str) -> int:
+    """Rows written to shuffles by the jobs of ``df``."""
+    spark.sparkContext.setJobGroup(group, group)
+    df.write.format("noop").mode("overwrite").save()
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+    spark.sparkContext.setJobGroup("", "")
+    return sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+
+def test_support_and_fusion_shuffle_few_copies_of_a_point(spark):
+    """Sparse points, all open: some ten rows a point go through shuffles, and fusing them moves each once."""
+    rng = np.random.default_rng(8)
+    rows = [(f, i, *map(float, p)) for f in range(20) for i, p in enumerate(rng.uniform(0, 10, (200, 3)))]
+    points = spark.createDataFrame(rows, "frame_index int, point_idx bigint, x double, y double, z double")
+    supported = ge.temporal_support(points, 0.25, 3, 3, 2)
+    assert shuffled_rows(spark, supported, "support") < 13 * len(rows)
+    poses = spark.createDataFrame([(f, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0) for f in range(20)], "frame_index int, qw double, qx double, qy double, qz double, tx double, ty double, tz double")
+    beyond = points.withColumn("x", points.x + 10_000.0)  # outside every image
+    assert shuffled_rows(spark, ge.depth_fuse_symmetric(beyond, poses, CAMERA, 3), "fuse") < 1.5 * len(rows)
