@@ -176,8 +176,8 @@ DYNAMIC = f"""{SUPPORT}, dp as ({pixel_text(camera_text("(select * from ts where
  dm as (select distinct frame_index, u + du as u, v + dv as v from dp, off where u + du between 0 and 63 and v + dv between 0 and 47)"""
 
 
-def dynamic_projected(t: Inputs) -> DataFrame:
-    seeds = supported(t).where(F.col("motion") == "dynamic").select("frame_index", "point_idx", "x", "y", "z")
+def dynamic_projected(t: Inputs, judged: DataFrame | None = None) -> DataFrame:
+    seeds = (supported(t) if judged is None else judged).where(F.col("motion") == "dynamic").select("frame_index", "point_idx", "x", "y", "z")
     return ge.project_points(seeds, t["fx_poses"], CAMERA)
 
 

@@ -13,6 +13,7 @@ from terrascope.plans.frame_queries import NEAREST, TOLERANCE_S
 from terrascope.plans.geometry_queries import CAMERA, DYNAMIC, HOLES, dynamic_projected, inserted, supported
 from terrascope.plans.inputs import DERIVED, Inputs
 from terrascope.plans.registry import query
+from terrascope.session import cut_lineage
 from terrascope.streaming import operators as so
 from terrascope.streaming.run import Closing, file_stream, run_append, run_update, saved, stream_session
 
@@ -231,9 +232,13 @@ COUNTERS = f"""{DYNAMIC}, {HOLES}, fc as (select v.frame_index, visible, kept, d
 
 
 def frame_counters(t: Inputs) -> DataFrame:
-    """Per frame of the map: points seen, kept and dynamic, pixels masked and points inserted."""
-    seen = dynamic_projected(t)
-    support = supported(t).groupBy("frame_index").agg(
+    """Per frame of the map: points seen, kept and dynamic, pixels masked and points inserted.
+
+    Points are judged once and written, as three counters read them.
+    """
+    judged = cut_lineage(supported(t).select("frame_index", "point_idx", "x", "y", "z", "kept", "motion"), "support")
+    seen = dynamic_projected(t, judged)
+    support = judged.groupBy("frame_index").agg(
         F.count(F.lit(1)).alias("visible"), F.count_if(F.col("kept")).alias("kept"), F.count_if(F.col("motion") == "dynamic").alias("dynamic")
     )
     masked = ge.dynamic_mask_stats(seen, ge.dynamic_mask(seen, 2, CAMERA)).select("frame_index", F.col("masked_pixels").alias("masked"))
