@@ -51,7 +51,8 @@ def bootstrap_replicates(
     groups = tallies.select("group_id").distinct().withColumn("_b", F.shiftright("group_id", 12))
     numbered = with_positions(groups, [], "_b", [F.col("group_id")]).select("group_id", "position")
     count = groups.agg(F.count(F.lit(1)).alias("group_count"))
-    # As many draws as groups in every replicate.
+    # As many draws as groups in every replicate: spread from a few rows, they would be
+    # estimated small enough for a broadcast.
     picks = (
         attach(tallies.sparkSession.range(replicates).withColumnRenamed("id", "replicate"), count)
         .where("group_count > 0")
@@ -59,7 +60,7 @@ def bootstrap_replicates(
         .select("replicate", draw(F.col("replicate"), F.col("slot"), seed, F.col("group_count")).alias("position"))
     )
     pooled = (
-        picks.join(numbered.join(tallies, "group_id"), "position")
+        picks.hint("merge").join(numbered.join(tallies, "group_id").hint("merge"), "position")
         .groupBy("replicate", "stage", "stage_order")
         .agg(*[F.sum(c).alias(c) for c in names])
     )

@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 import pyarrow.parquet as pq
 
 from terrascope.operators import geometry as ge
+from terrascope.operators import resample as rs
+from terrascope.operators.evaluate import tally_columns
 from terrascope.plans import catalog
 from terrascope.plans.geometry_queries import CAMERA
 
@@ -55,3 +57,14 @@ def test_support_and_fusion_shuffle_few_copies_of_a_point(spark):
     poses = spark.createDataFrame([(f, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0) for f in range(20)], "frame_index int, qw double, qx double, qy double, qz double, tx double, ty double, tz double")
     beyond = points.withColumn("x", points.x + 10_000.0)  # outside every image
     assert shuffled_rows(spark, ge.depth_fuse_symmetric(beyond, poses, CAMERA, 3), "fuse") < 1.5 * len(rows)
+
+
+def test_bootstrap_draws_are_never_broadcast(spark):
+    """Two thousand replicates of as many draws as there are groups."""
+    rows = [(g, "oracle", 0, *[5] * 9) for g in range(30)]
+    names = tally_columns([1, 2])
+    shape = "group_id bigint, stage string, stage_order int, " + ", ".join(f"{n} bigint" for n in [*names, "valid_pixels"])
+    tallies = spark.createDataFrame([r[: 3 + len(names) + 1] for r in rows], shape)
+    plan = rs.bootstrap_replicates(tallies, [1, 2], 50, 7)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [position" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
