@@ -25,31 +25,36 @@ def valid_observations(observations: DataFrame, class_count: int) -> DataFrame:
 
 
 class InBucket(StatefulProcessor):
-    """The observations of one point in one time bucket, until the watermark passes the bucket.
+    """The observations of one share of the points in one time bucket, until the watermark passes the bucket.
 
-    Whenever rows come, the bucket's partial is emitted anew; the one with the most rows counts.
-    A timer at the end of the bucket drops its state, so the state holds open buckets alone.
+    Whenever rows come, the bucket's partials of their points are emitted anew; the one with the most
+    rows counts. A timer at the end of the bucket drops its state, so the state holds open buckets alone.
     """
 
+    names = ["point_id", "us", "seq", "target", "conf"]
+
     def __init__(self, width_us: int, partial):
         self.width_us, self.partial = width_us, partial
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "us bigint, seq bigint, target int, conf double")
+        self.rows = handle.getListState("rows", "point_id bigint, us bigint, seq bigint, target int, conf double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        point, bucket = int(key[0]), int(key[1])
-        names = ["us", "seq", "target", "conf"]
-        fresh = pd.concat([r[names] for r in rows], ignore_index=True)
+        bucket = int(key[1])
+        fresh = pd.concat([r[self.names] for r in rows], ignore_index=True)
+        batch = fresh
         if self.rows.exists():
-            batch = pd.concat([pd.DataFrame(list(self.rows.get()), columns=names), fresh], ignore_index=True)
+            held = pd.DataFrame(list(self.rows.get()), columns=self.names)
+            batch = pd.concat([held[held["point_id"].isin(fresh["point_id"].unique())], fresh], ignore_index=True)
         else:
-            batch = fresh
             self.handle.registerTimer((bucket + 1) * self.width_us // 1000)
-        self.rows.appendList(list(zip(*(fresh[n].tolist() for n in names))))
-        batch = batch.sort_values(["us", "seq"], kind="stable")
-        yield self.partial.frame(point, bucket, batch["target"].to_numpy("int64"), batch["conf"].to_numpy("float64"))
+        self.rows.appendList(list(zip(*(fresh[n].tolist() for n in self.names))))
+        batch = batch.sort_values(["point_id", "us", "seq"], kind="stable")
+        points, target, conf = batch["point_id"].to_numpy("int64"), batch["target"].to_numpy("int64"), batch["conf"].to_numpy("float64")
+        cuts = np.flatnonzero(np.diff(points)) + 1
+        parts = zip(points[np.r_[0, cuts]].tolist(), np.split(target, cuts), np.split(conf, cuts))
+        yield self.partial.frame([(point, bucket, *self.partial.of(kinds, weights)) for point, kinds, weights in parts])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.rows.clear()
@@ -76,9 +81,8 @@ class EmaPartial:
         weights = self.alpha * self.scale * conf * _decayed(self.alpha, len(conf))
         return len(conf), np.bincount(target, weights, self.class_count).tolist()
 
-    def frame(self, point: int, bucket: int, target: np.ndarray, conf: np.ndarray) -> pd.DataFrame:
-        seen, gains = self.of(target, conf)
-        return pd.DataFrame({"point_id": [point], "bucket": [bucket], "seen": [seen], "gains": [gains]})
+    def frame(self, partials: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(partials, columns=["point_id", "bucket", "seen", "gains"])
 
 
 class SwitchPartial:
@@ -135,9 +139,9 @@ class SwitchPartial:
         actions = [self._action(label, runs[1:]) for label in range(1, self.class_count)] if len(runs) > 1 else []
         return len(target), kind, first[:ends].tolist(), len(rest), self._gain(rest), len(runs) > 1, actions
 
-    def frame(self, point: int, bucket: int, target: np.ndarray, conf: np.ndarray) -> pd.DataFrame:
-        names = ["seen", "target", "head", "rest", "rest_gain", "more", "actions"]
-        return pd.DataFrame({"point_id": [point], "bucket": [bucket]} | {n: [v] for n, v in zip(names, self.of(target, conf))})
+    def frame(self, partials: list[tuple]) -> pd.DataFrame:
+        names = ["point_id", "bucket", "seen", "target", "head", "rest", "rest_gain", "more", "actions"]
+        return pd.DataFrame(partials, columns=names)
 
     def apply(self, state: tuple, partial: tuple) -> tuple:
         """State ``seen, label, strength, pending label, pending support`` after a partial."""
@@ -161,11 +165,16 @@ class SwitchPartial:
         return seen + more_seen, label, strength, pending, support
 
 
+#: Shares that the points of a time bucket are dealt to. A call of the state costs milliseconds, so it takes many points.
+SHARES = 512
+
+
 def _partials(observations: DataFrame, partial, class_count: int, delay: str, width_s: int) -> DataFrame:
     rows = valid_observations(observations, class_count).withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", delay)
     us = F.unix_micros("event_time")
     bucket = F.floor(us / F.lit(float(width_s * 1_000_000))).cast("bigint")
-    keyed = rows.select("point_id", bucket.alias("bucket"), "event_time", us.alias("us"), "seq", "target", "conf").groupBy("point_id", "bucket")
+    share = F.pmod(F.xxhash64("point_id"), F.lit(SHARES)).alias("share")
+    keyed = rows.select(share, bucket.alias("bucket"), "point_id", "event_time", us.alias("us"), "seq", "target", "conf").groupBy("share", "bucket")
     return keyed.transformWithStateInPandas(InBucket(width_s * 1_000_000, partial), partial.shape, "Append", "EventTime")
 
 

@@ -4,6 +4,7 @@ import tempfile
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 
@@ -12,6 +13,7 @@ from terrascope.operators import resample as rs
 from terrascope.operators.evaluate import tally_columns
 from terrascope.plans import catalog
 from terrascope.plans.geometry_queries import CAMERA
+from terrascope.streaming import operators as streaming
 
 SOURCE = "/root/testdata/sf0.001"
 
@@ -68,3 +70,23 @@ def test_bootstrap_draws_are_never_broadcast(spark):
     plan = rs.bootstrap_replicates(tallies, [1, 2], 50, 7)._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join [position" in line]
     assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+def test_bucket_state_takes_many_points_in_a_call():
+    """One call of the state gives the partials of all points that came, and only of those."""
+    class Held(list):
+        exists, get, appendList = (lambda self: bool(self)), (lambda self: iter(self)), list.extend
+
+    held, timers = Held(), []
+    handle = type("Handle", (), {"getListState": lambda self, name, schema: held, "registerTimer": lambda self, ms: timers.append(ms)})()
+    bucket = streaming.InBucket(1000, streaming.EmaPartial(6, 0.3, 4.0))
+    bucket.init(handle)
+    rows = [(p, us, us, 1 + us % 3, 0.1 + 0.001 * us) for us in range(5) for p in range(40)]
+    name = ["point_id", "us", "seq", "target", "conf"]
+    (first,) = bucket.handleInputRows((0, 0), iter([pd.DataFrame(rows[100:], columns=name)]), None)
+    assert sorted(first["point_id"]) == list(range(40)) and len(timers) == 1
+    (second,) = bucket.handleInputRows((0, 0), iter([pd.DataFrame(rows[:7], columns=name)]), None)
+    assert second["point_id"].tolist() == list(range(7)) and len(timers) == 1
+    for p, gains in zip(second["point_id"], second["gains"]):
+        mine = sorted(r[1:] for r in [*rows[:7], *rows[100:]] if r[0] == p)
+        assert gains == bucket.partial.of(np.array([r[2] for r in mine]), np.array([r[3] for r in mine]))[1]
