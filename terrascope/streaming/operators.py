@@ -6,6 +6,8 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -235,34 +237,63 @@ def evidence(observations: DataFrame, class_count: int) -> DataFrame:
     )
 
 
+def _matched(own: pa.Array, before: pa.Array, after: pa.Array) -> pa.Array:
+    """Frames of some time buckets with their nearest scan, however far; null without any.
+
+    All scans of the batch serve all its frames: those of other buckets are only farther.
+    """
+    column = lambda rows, name: rows.field(name).to_numpy(zero_copy_only=False)
+    events, ends = own.flatten(), [rows.drop_null() for rows in (before, after)]
+    us, ids, is_scan = column(events, "us"), column(events, "id"), column(events, "is_scan")
+    scan_us = np.concatenate([us[is_scan], *[column(rows, "us") for rows in ends]])
+    scan_id = np.concatenate([ids[is_scan], *[column(rows, "id") for rows in ends]])
+    order = np.lexsort((scan_id, scan_us))
+    scan_us, scan_id = scan_us[order], scan_id[order]
+    frame_us = us[~is_scan]
+    # Of equal earlier instants the last scan counts, of equal later ones the first.
+    at = np.searchsorted(scan_us, frame_us, "left")
+    far = np.int64(2**62)
+    padded_us, padded_id = np.r_[np.int64(0), scan_us, np.int64(0)], np.r_[np.int64(-1), scan_id, np.int64(-1)]
+    back = np.where(at > 0, frame_us - padded_us[at], far)
+    ahead = np.where(at < len(scan_us), padded_us[at + 1] - frame_us, far)
+    gap = np.minimum(back, ahead)
+    found = np.where(back <= ahead, padded_id[at], padded_id[at + 1])
+    names, none = ["frame_id", "frame_us", "scan_id", "gap"], gap == far
+    frames = pa.StructArray.from_arrays([pa.array(ids[~is_scan]), pa.array(frame_us), pa.array(found, mask=none), pa.array(gap, mask=none)], names)
+    lengths = pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False)
+    upto = np.r_[0, np.cumsum(lengths)]
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(~is_scan)][upto], pa.int32()), frames)
+
+
 def scan_match(frames: DataFrame, scans: DataFrame, tolerance_s: float, delay: str) -> DataFrame:
     """Nearest scan of each frame within the tolerance, the earlier one on a tie; -1 without a gap if there is none.
 
-    One query in append mode: a left outer interval join of two unbounded inputs, then a minimum
-    per frame. The join needs an equality: scans sit in tolerance-wide time buckets, and a frame
-    looks into its own and both neighbours. A frame comes out once the watermark has passed all
-    instants at which a scan for it could still come; then frame and scans leave the state.
+    One query in append mode without pairs. Frames and scans gather in tolerance-wide time
+    buckets; of the buckets beside its own, a frame can need the last scan before or the first
+    after, so a scan also goes to both neighbours, where one row of them is kept. A bucket is
+    matched once the watermark has passed all instants at which a scan for it could still come;
+    then it leaves the state. A frame that was given twice comes out once.
     """
     width = int(tolerance_s * 1_000_000)
-    bucket = lambda ts: F.floor(F.unix_micros(ts) / F.lit(float(width))).cast("bigint")
-    left = frames.withColumn("frame_ts", F.col("ts").cast("timestamp")).withWatermark("frame_ts", delay)
-    left = left.select(
-        "frame_id", "frame_ts",
-        F.explode(F.array(*[bucket(F.col("frame_ts")) + d for d in (-1, 0, 1)])).alias("bucket"),
+    step = F.expr(f"interval {width} microseconds")
+    ts = F.col("ts").cast("timestamp")
+    event = lambda name, is_scan: F.struct(F.unix_micros(ts).alias("us"), F.col(name).cast("bigint").alias("id"), F.lit(is_scan).alias("is_scan"))
+    beside = F.explode(F.array(*[F.struct((ts + sign * step if sign else ts).alias("at"), F.lit(sign).alias("side")) for sign in (-1, 0, 1)]))
+    copies = scans.select(beside.alias("b"), event("scan_id", True).alias("e")).select("b.at", "b.side", "e")
+    both = frames.select(ts.alias("at"), F.lit(0).alias("side"), event("frame_id", False).alias("e")).unionByName(copies)
+    # A copy lies up to the tolerance ahead of its scan, another one as far behind.
+    timed = both.withWatermark("at", f"{delay} {2 * width} microseconds")
+    of = lambda side: F.when(F.col("side") == side, F.col("e"))
+    buckets = timed.groupBy(F.window("at", f"{width} microseconds").alias("bucket")).agg(
+        F.collect_list(of(0)).alias("own"), F.max(of(1)).alias("before"), F.min(of(-1)).alias("after")
     )
-    right = scans.withColumn("scan_ts", F.col("ts").cast("timestamp")).withWatermark("scan_ts", delay)
-    right = right.select("scan_id", "scan_ts", bucket(F.col("scan_ts")).alias("scan_bucket"))
-    near = F.expr(
-        f"bucket = scan_bucket and scan_ts >= frame_ts - interval {width} microseconds "
-        f"and scan_ts <= frame_ts + interval {width} microseconds"
+    matched = F.arrow_udf(_matched, "array<struct<frame_id:bigint,frame_us:bigint,scan_id:bigint,gap:bigint>>")
+    found = buckets.select("bucket", F.explode(matched("own", "before", "after")).alias("f")).select("bucket", "f.*")
+    near = F.when(F.col("gap") <= width, F.struct("scan_id", "gap"))
+    best = found.groupBy("bucket", "frame_id", "frame_us").agg(F.min(near).alias("s"))
+    return best.select(
+        "frame_id", F.timestamp_micros("frame_us").alias("frame_ts"), F.coalesce("s.scan_id", F.lit(-1).cast("bigint")).alias("scan_id"), (F.col("s.gap") / 1e6).alias("gap_s")
     )
-    scan_us = F.unix_micros("scan_ts")
-    gap = scan_us - F.unix_micros("frame_ts")
-    pairs = left.join(right, near, "left_outer").select("frame_id", "frame_ts", "scan_id", scan_us.alias("scan_us"), gap.alias("gap"))
-    # Of equal earlier instants the last scan counts, of equal later ones the first.
-    rank = F.struct(F.abs("gap").alias("a"), F.col("scan_us").alias("b"), F.when(F.col("gap") < 0, -F.col("scan_id")).otherwise(F.col("scan_id")).alias("c"))
-    best = F.min_by("scan_id", F.when(F.col("scan_id").isNotNull(), rank))
-    return pairs.groupBy("frame_id", "frame_ts").agg(F.coalesce(best, F.lit(-1)).alias("scan_id"), (F.min(F.abs("gap")) / 1e6).alias("gap_s"))
 
 
 def frame_metrics(events: DataFrame, delay: str, window: str = "6 hours") -> DataFrame:

@@ -14,6 +14,7 @@ from terrascope.operators.evaluate import tally_columns
 from terrascope.plans import catalog
 from terrascope.plans.geometry_queries import CAMERA
 from terrascope.streaming import operators as streaming
+from terrascope.streaming import run
 
 SOURCE = "/root/testdata/sf0.001"
 
@@ -90,3 +91,30 @@ def test_bucket_state_takes_many_points_in_a_call():
     for p, gains in zip(second["point_id"], second["gains"]):
         mine = sorted(r[1:] for r in [*rows[:7], *rows[100:]] if r[0] == p)
         assert gains == bucket.partial.of(np.array([r[2] for r in mine]), np.array([r[3] for r in mine]))[1]
+
+
+def test_crowded_scans_make_no_pairs_with_frames(spark, monkeypatch):
+    """Frames and scans of a few minutes, many at one instant: no join of the two, and the nearest scan by brute force."""
+    rng = np.random.default_rng(4)
+    base = 1_704_067_200_000_000
+    us = base + np.r_[rng.integers(0, 400, 500) * 1_000_000, rng.integers(2_000, 9_000, 100) * 1_000_000]
+    events = pd.DataFrame({"id": np.arange(600), "us": us, "is_scan": rng.random(600) < 0.4})
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.createDataFrame(events).selectExpr("id", "timestamp_micros(us) as ts", "is_scan").coalesce(1).write.parquet(f"{root}/rows.parquet")
+    progress = []
+    finish = run._finish
+    monkeypatch.setattr(run, "_finish", lambda query: (finish(query), progress.extend(query.recentProgress)))
+    session = run.stream_session(spark)
+    closing = run.Closing(session, spark.read.parquet(f"{root}/rows.parquet").schema)
+    rows = closing.after(run.file_stream(session, root, "rows", closing.schema))
+    frames, scans = rows.where("not is_scan").selectExpr("id as frame_id", "ts"), rows.where("is_scan").selectExpr("id as scan_id", "ts")
+    last = spark.sql("select -1L as id, timestamp '2034-01-01' as ts, false as is_scan")
+    found = run.run_append(streaming.scan_match(frames, scans, 60.0, "2 seconds"), "crowd", lambda: closing.write(last)).where("frame_id >= 0").collect()
+    scan = events[events.is_scan]
+    expected = {}
+    for f in events[~events.is_scan].itertuples():
+        gap = (scan.us - f.us).abs()
+        order = sorted((g, t, -i if t < f.us else i, i) for g, t, i in zip(gap, scan.us, scan.id) if g <= 60_000_000)
+        expected[f.id] = (order[0][3], order[0][0] / 1e6) if order else (-1, None)
+    assert len(found) == len(expected) and {r.frame_id: (r.scan_id, r.gap_s) for r in found} == expected
+    assert not [o for p in progress for o in p["stateOperators"] if "Join" in o["operatorName"]]
