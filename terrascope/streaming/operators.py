@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from typing import Iterator
 
 import numpy as np
@@ -369,14 +370,52 @@ class Ring(StatefulProcessor):
         pass
 
 
+class Rings(Ring):
+    """The rings of one share of the cameras. A call of the state costs milliseconds, so it takes many cameras.
+
+    One timer is set for the earliest keyframe that waits; when it fires, the next one is set.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ring = handle.getListState("ring", "camera bigint, frame_id bigint")
+        self.waiting = handle.getListState("waiting", "us bigint, camera bigint, frame_id bigint")
+
+    def _passed(self, key, watermark_ms: int) -> Iterator[pd.DataFrame]:
+        waiting = sorted(tuple(map(int, row)) for row in self.waiting.get()) if self.waiting.exists() else []
+        upto = bisect_left(waiting, (watermark_ms * 1000,))
+        if upto < len(waiting):
+            self.handle.registerTimer(waiting[upto][0] // 1000 + 1)
+        if not upto:
+            return
+        self.waiting.put(waiting[upto:]) if upto < len(waiting) else self.waiting.clear()
+        rings: dict[int, list[int]] = {}
+        for camera, frame in self.ring.get() if self.ring.exists() else ():
+            rings.setdefault(int(camera), []).append(int(frame))
+        out = []
+        for us, camera, frame in waiting[:upto]:
+            ring = rings.get(camera, [])
+            out.append((camera, frame, us, ring[::-1]))
+            rings[camera] = [*ring, frame][-self.size :]
+        self.ring.put([(camera, frame) for camera, ring in rings.items() for frame in ring])
+        yield pd.DataFrame(out, columns=["camera", "frame_id", "us", "earlier"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fresh = pd.concat([r[["us", "camera", "frame_id"]] for r in rows], ignore_index=True)
+        self.waiting.appendList(list(zip(*(fresh[n].tolist() for n in fresh.columns))))
+        self.handle.registerTimer(int(fresh["us"].min()) // 1000 + 1)
+        return iter(())
+
+
 def keyframe_ring(keyframes: DataFrame, size: int, delay: str) -> DataFrame:
     """Every keyframe with up to ``size`` keyframes of its camera before it, newest first.
 
     ``keyframes``: camera, frame_id, ts.
     """
     timed = keyframes.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", delay)
-    keyed = timed.select("camera", "event_time", F.unix_micros("event_time").alias("us"), "frame_id").groupBy("camera")
-    return keyed.transformWithStateInPandas(Ring(size), Ring.shape, "Append", "EventTime")
+    share = F.pmod(F.xxhash64("camera"), F.lit(SHARES)).alias("share")
+    keyed = timed.select(share, "camera", "event_time", F.unix_micros("event_time").alias("us"), "frame_id").groupBy("share")
+    return keyed.transformWithStateInPandas(Rings(size), Rings.shape, "Append", "EventTime")
 
 
 class SavedMap(StatefulProcessor):

@@ -118,3 +118,28 @@ def test_crowded_scans_make_no_pairs_with_frames(spark, monkeypatch):
         expected[f.id] = (order[0][3], order[0][0] / 1e6) if order else (-1, None)
     assert len(found) == len(expected) and {r.frame_id: (r.scan_id, r.gap_s) for r in found} == expected
     assert not [o for p in progress for o in p["stateOperators"] if "Join" in o["operatorName"]]
+
+
+def test_rings_of_many_cameras_take_one_call_and_one_timer():
+    """A call holds all cameras of a share, and sets a timer for the earliest keyframe that waits, not one for each."""
+    class Held(list):
+        exists, get, appendList = (lambda self: bool(self)), (lambda self: iter(list(self))), list.extend
+
+        def put(self, rows):
+            self[:] = rows
+
+    held, timers = {"ring": Held(), "waiting": Held()}, []
+    handle = type("Handle", (), {"getListState": lambda self, name, schema: held[name], "registerTimer": lambda self, ms: timers.append(ms)})()
+    rings = streaming.Rings(3)
+    rings.init(handle)
+    now = lambda ms: type("Now", (), {"getCurrentWatermarkInMs": lambda self: ms})()
+    rows = pd.DataFrame([(f * 5000 + c, c, f * 40 + c) for f in range(20) for c in range(40)], columns=["us", "camera", "frame_id"])
+    parts = np.array_split(np.random.default_rng(5).permutation(len(rows)), 2)
+    for part in parts:
+        list(rings.handleInputRows((0,), iter([rows.iloc[part]]), now(0)))
+    (first,) = rings.handleExpiredTimer((0,), now(50), None)
+    assert len(first) == 400 and len(timers) == 3 and timers[-1] == 51 and len(held["ring"]) == 120
+    (rest,) = rings.handleExpiredTimer((0,), now(10**6), None)
+    assert len(timers) == 3 and not held["waiting"] and not list(rings.handleExpiredTimer((0,), now(10**6), None))
+    for r in [*first.itertuples(index=False), *rest.itertuples(index=False)]:
+        assert r.camera == r.frame_id % 40 and r.earlier == [r.frame_id - 40 * k for k in (1, 2, 3) if r.frame_id >= 40 * k]
