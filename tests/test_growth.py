@@ -5,9 +5,12 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
+from terrascope.functions import text
 from terrascope.operators import geometry as ge
 from terrascope.operators import resample as rs
 from terrascope.operators.evaluate import tally_columns
@@ -143,3 +146,14 @@ def test_rings_of_many_cameras_take_one_call_and_one_timer():
     assert len(timers) == 3 and not held["waiting"] and not list(rings.handleExpiredTimer((0,), now(10**6), None))
     for r in [*first.itertuples(index=False), *rest.itertuples(index=False)]:
         assert r.camera == r.frame_id % 40 and r.earlier == [r.frame_id - 40 * k for k in (1, 2, 3) if r.frame_id >= 40 * k]
+
+
+def test_safe_labels_need_no_pattern(spark):
+    """All bytes are replaced at once; nulls, empty labels and parts of a table keep their places."""
+    names = ["traffic sign", "日本", None, "", "a-b_C9", "é/x" * 1000]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, label string").repartition(1)
+    labels = rows.sortWithinPartitions("i").select(text.safe_label(F.col("label")).alias("safe"))
+    assert "regexp" not in labels._jdf.queryExecution().executedPlan().toString()
+    expected = ["traffic_sign", "______", None, "query", "a-b_C9", "___x" * 1000]
+    assert [r.safe for r in labels.collect()] == expected
+    assert text._safe(pa.array(names).slice(1, 3)).to_pylist() == expected[1:4] and text._safe(pa.array([], pa.string())).to_pylist() == []
