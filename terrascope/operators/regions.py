@@ -302,19 +302,26 @@ def query_response_stats(responses: DataFrame, alpha_limit: float = 0.05) -> Dat
     )
 
 
-def minmax_heat(responses: DataFrame, alpha_limit: float = 0.05) -> DataFrame:
+def minmax_heat(pixels: DataFrame, responses: dict[int, str], alpha_limit: float = 0.05) -> DataFrame:
     """clamp(2 (x - min) / (max - min + 1e-9) - 1, 0, 1) per frame and query, 0 where invisible.
 
-    The extremes are aggregated and joined back, so no frame is sorted or buffered.
+    ``pixels``: frame_index, u, v, alpha and a column of responses per query, ``{query_id: column}``.
+    The extremes are aggregated and joined back, so no frame is sorted or buffered. A pixel
+    becomes a row per query only after the join. Frames without a visible pixel have no rows.
     """
     visible = F.col("alpha") > alpha_limit
-    ends = responses.where(visible).groupBy("frame_index", "query_id").agg(
-        F.min("response").alias("_lo"), F.max("response").alias("_hi")
-    )
-    scaled = clip(2.0 * (F.col("response") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-9) - 1.0, 0.0, 1.0)
-    return responses.join(ends, ["frame_index", "query_id"]).withColumn(
-        "heat", F.when(visible, scaled).otherwise(F.lit(0.0))
-    ).drop("_lo", "_hi")
+    rows = pixels.select("frame_index", "u", "v", "alpha", *[F.col(c).alias(f"_x{q}") for q, c in responses.items()])
+    # No filter on visible pixels: both sides of the join then read one shuffle.
+    seen = {q: F.when(visible, F.col(f"_x{q}")) for q in responses}
+    ends = rows.groupBy("frame_index").agg(
+        F.count_if(visible).alias("_seen"), *[F.min(x).alias(f"_lo{q}") for q, x in seen.items()], *[F.max(x).alias(f"_hi{q}") for q, x in seen.items()]
+    ).where("_seen > 0")
+
+    def heat(q: int) -> Column:
+        scaled = clip(2.0 * (F.col(f"_x{q}") - F.col(f"_lo{q}")) / (F.col(f"_hi{q}") - F.col(f"_lo{q}") + 1e-9) - 1.0, 0.0, 1.0)
+        return F.struct(F.lit(q).alias("query_id"), F.when(visible, scaled).otherwise(F.lit(0.0)).alias("heat"))
+
+    return rows.join(ends, "frame_index").select("frame_index", "u", "v", F.inline(F.array(*[heat(q) for q in responses])))
 
 
 # --- training terms as metrics --------------------------------------------------------------

@@ -167,10 +167,15 @@ def _(t: Inputs) -> DataFrame:
     return rg.box_smooth(t["fx_depth"].withColumn("response", F.col("color")), 16, 12, half=3)
 
 
-def responses(t: Inputs) -> DataFrame:
-    entries = F.array(*[F.struct(F.lit(c).alias("query_id"), F.expr(f"s{c} * 0.317D * pi()").alias("response")) for c in CLASSES])
+def response_columns(t: Inputs) -> DataFrame:
+    """A column of responses per class."""
     alpha = (F.col("alpha") * ((F.col("u") + F.col("v")) % 10) / 10.0).alias("alpha")
-    return t["fx_scored"].select("frame_index", "u", "v", alpha, F.inline(entries))
+    return t["fx_scored"].select("frame_index", "u", "v", alpha, *[F.expr(f"s{c} * 0.317D * pi()").alias(f"response{c}") for c in CLASSES])
+
+
+def responses(t: Inputs) -> DataFrame:
+    entries = F.array(*[F.struct(F.lit(c).alias("query_id"), F.col(f"response{c}").alias("response")) for c in CLASSES])
+    return response_columns(t).select("frame_index", "u", "v", "alpha", F.inline(entries))
 
 
 RESPONSES = (
@@ -196,7 +201,7 @@ def _(t: Inputs) -> DataFrame:
     from rs join e on rs.frame_index = e.frame_index and rs.query_id = e.query_id""",
 )
 def _(t: Inputs) -> DataFrame:
-    return rg.minmax_heat(responses(t))
+    return rg.minmax_heat(response_columns(t), {c: f"response{c}" for c in CLASSES})
 
 
 # --- training terms ---------------------------------------------------------------------------------

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from terrascope.functions import text
 from terrascope.operators import geometry as ge
+from terrascope.operators import regions
 from terrascope.operators import resample as rs
 from terrascope.operators.evaluate import tally_columns
 from terrascope.plans import catalog
@@ -157,3 +158,14 @@ def test_safe_labels_need_no_pattern(spark):
     expected = ["traffic_sign", "______", None, "query", "a-b_C9", "___x" * 1000]
     assert [r.safe for r in labels.collect()] == expected
     assert text._safe(pa.array(names).slice(1, 3)).to_pylist() == expected[1:4] and text._safe(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_heat_shuffles_pixels_not_a_row_for_each_query(spark):
+    """Pixels become six rows each after the join."""
+    pixels = spark.createDataFrame([(f, u, v, 1.0, 0.1 * u, 0.2 * v) for f in range(20) for u in range(10) for v in range(5)], "frame_index int, u int, v int, alpha double, a double, b double")
+    heat = regions.minmax_heat(pixels, {1: "a", 2: "b", 3: "a", 4: "b", 5: "a", 6: "b"})
+    assert shuffled_rows(spark, heat, "heat") < 1.5 * 1000
+    assert heat.count() == 6000
+    dark = regions.minmax_heat(pixels.withColumn("alpha", F.when(F.col("frame_index") == 3, 0.0).when(F.col("u") == 9, 0.0).otherwise(1.0)), {1: "a"})
+    seen = {(r.frame_index, r.u): r.heat for r in dark.where("v = 0").collect()}
+    assert len(seen) == 190 and seen[0, 0] == 0.0 and abs(seen[0, 8] - 1.0) < 1e-6 and seen[0, 9] == 0.0
