@@ -22,7 +22,7 @@ from terrascope.functions.rigid import (
     transpose,
     with_rotation,
 )
-from terrascope.operators.ordered import with_positions
+from terrascope.operators.ordered import parts_of, with_positions
 
 XYZ = ("x", "y", "z")
 CAMERA = ("xc", "yc", "zc")
@@ -176,12 +176,23 @@ def labelled_pixel_summary(labels: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def stride_sample(points: DataFrame, stride: int) -> DataFrame:
-    """Every ``stride``-th point of each cloud in cloud order, the first included."""
+    """Every ``stride``-th point of each cloud in cloud order, the first included.
+
+    Places count inside blocks of a cloud, shifted by the sizes of its earlier blocks. A block's
+    size is the place of its last point, so both sides of the join read one shuffle of the points.
+    """
     if stride <= 1:
         return points
-    bucketed = points.withColumn("_b", F.shiftright("point_idx", 20))
-    placed = with_positions(bucketed, ["frame_index"], "_b", [F.col("point_idx")], "_order")
-    return placed.where(F.col("_order") % stride == 0).select(*points.columns)
+    # A struct is equal to itself with nulls inside, and the join keeps the partitions of the window.
+    parts = parts_of(points)
+    rows = points.withColumn("_part", F.struct("frame_index", F.shiftright("point_idx", 20).alias("block"))).repartition(parts, "_part")
+    inside = Window.partitionBy("_part").orderBy("point_idx")
+    placed = rows.withColumn("_place", F.row_number().over(inside)).withColumn("_end", F.lead(F.lit(1)).over(inside).isNull())
+    earlier = Window.partitionBy("_part.frame_index").orderBy("_part.block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = placed.where("_end").select("_part", "_place").repartition(parts, "_part.frame_index")
+    before = blocks.select(F.col("_part").alias("_key"), F.coalesce(F.sum("_place").over(earlier), F.lit(0)).alias("_before"))
+    joined = placed.join(before, F.col("_part") == F.col("_key"))
+    return joined.where((F.col("_before") + F.col("_place") - 1) % stride == 0).select(*points.columns)
 
 
 def color_or_default(points: DataFrame, channels: Sequence[str] = ("r", "g", "b")) -> DataFrame:

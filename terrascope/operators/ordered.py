@@ -31,6 +31,16 @@ def bucket_width(rows: DataFrame, value: Column, rows_per_bucket: int | None = N
     return max(1, -(-(high - low + 1) * (rows_per_bucket or ROWS_PER_BUCKET) // n)) if n else 1
 
 
+#: Rows that a task sorts or groups where they are dealt out by their number.
+ROWS_PER_TASK = 1 << 19
+
+
+def parts_of(rows: DataFrame) -> int:
+    """How many parts to deal ``rows`` out to, so that a task's memory does not grow with the table."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-rows.count() // ROWS_PER_TASK))
+
+
 def float_bucket(value: Column, per_octave: int = 8192) -> Column:
     """A number that grows with ``value``, with ``per_octave`` steps between a power of two and the next.
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from terrascope.functions.rigid import Intrinsics
 from terrascope.operators import geometry as ge
-from terrascope.plans.inputs import Inputs
+from terrascope.operators.ordered import parts_of
+from terrascope.plans.inputs import DERIVED, Inputs
 from terrascope.plans.registry import query
 
 CAMERA = Intrinsics(64, 48, 40.0, 40.0, 32.0, 24.0, 80.0, 0.01)
@@ -124,10 +125,13 @@ def _(t: Inputs) -> DataFrame:
 )
 def _(t: Inputs) -> DataFrame:
     """Every 4th point seeds the map; the depth raster still sees all points."""
-    kept = ge.stride_sample(t["fx_points"], 4).groupBy("frame_index").agg(
-        F.count(F.lit(1)).alias("points"), F.sum("point_idx").alias("index_sum")
-    )
-    raster = ge.nearest_z_pixel(projected(t), []).groupBy("frame_index").agg(F.count(F.lit(1)).alias("pixels"))
+    lines = t["lineitem"].drop("l_returnflag", "l_linestatus")
+    parts = parts_of(lines)
+    points = t.spark.sql(DERIVED["fx_points"], lineitem=lines.repartition(parts, "l_orderkey")).select("frame_index", "point_idx")
+    kept = ge.stride_sample(points, 4).groupBy("frame_index").agg(F.count(F.lit(1)).alias("points"), F.sum("point_idx").alias("index_sum"))
+    # Both sides, or the fewer parts of the poses would count.
+    seen, poses = (t[n].repartition(parts, "frame_index") for n in ("fx_points", "fx_poses"))
+    raster = ge.nearest_z_pixel(ge.project_points(seen, poses, CAMERA), []).groupBy("frame_index").agg(F.count(F.lit(1)).alias("pixels"))
     return kept.join(raster, "frame_index")
 
 

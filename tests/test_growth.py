@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from terrascope.functions import text
 from terrascope.operators import geometry as ge
+from terrascope.operators import ordered
 from terrascope.operators import regions
 from terrascope.operators import resample as rs
 from terrascope.operators.evaluate import tally_columns
@@ -169,3 +170,13 @@ def test_heat_shuffles_pixels_not_a_row_for_each_query(spark):
     dark = regions.minmax_heat(pixels.withColumn("alpha", F.when(F.col("frame_index") == 3, 0.0).when(F.col("u") == 9, 0.0).otherwise(1.0)), {1: "a"})
     seen = {(r.frame_index, r.u): r.heat for r in dark.where("v = 0").collect()}
     assert len(seen) == 190 and seen[0, 0] == 0.0 and abs(seen[0, 8] - 1.0) < 1e-6 and seen[0, 9] == 0.0
+
+
+def test_stride_parts_follow_the_rows(spark, monkeypatch):
+    """More rows are dealt to more tasks, whatever the configured number, and places stay exact."""
+    monkeypatch.setattr(ordered, "ROWS_PER_TASK", 50)
+    rows = [(f, (b << 20) + p) for f in (0, 1, None) for b in range(40) for p in range(1 + (b * 7 + (f or 3)) % 5)]
+    sampled = ge.stride_sample(spark.createDataFrame(rows, "frame_index int, point_idx bigint").repartition(5), 4)
+    assert f", {-(-len(rows) // 50)})" in sampled._jdf.queryExecution().executedPlan().toString() and len(rows) > 300
+    expected = [r for k in (0, 1, None) for r in sorted((r for r in rows if r[0] == k), key=lambda r: r[1])[::4]]
+    assert sorted(map(str, map(tuple, sampled.collect()))) == sorted(map(str, expected))
