@@ -73,10 +73,10 @@ def normal_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def chi_tail(x: Column, df: Column) -> Column:
-    """Upper tail of chi-squared by the cube-root normal form (Wilson and Hilferty)."""
+def chi_normal(x: Column, df: Column) -> Column:
+    """Normal variable with the upper tail of chi-squared, by the cube-root form (Wilson and Hilferty)."""
     v = 2 / (9 * df)
-    return normal_tail((F.cbrt(x / df) - (1 - v)) / F.sqrt(v))
+    return (F.cbrt(x / df) - (1 - v)) / F.sqrt(v)
 
 
 def placed(text: Column, pattern: str) -> Column:
@@ -148,8 +148,12 @@ def battery(tokens: DataFrame) -> DataFrame:
     two_sided = lambda z: F.greatest(2 * normal_tail(F.abs(z)), F.lit(1e-300))
     # Sparse counts: the chi-squared mean is k - 1 and its variance shrinks by (n - 1) / n.
     z_chi = (F.col("chi") - (F.col("k") - 1)) / F.sqrt(2 * (F.col("k") - 1) * (F.col("n") - 1.0) / F.col("n"))
-    fisher = -2 * (F.log(F.greatest(normal_tail(z_chi), F.lit(1e-300))) + F.log(two_sided(z_runs)) + F.log(two_sided(z_serial)))
-    return rows.withColumn("p_random", F.greatest(chi_tail(fisher, F.lit(6.0)), F.lit(0.0))).drop("ranks", "pairs", "squares", "high", "runs", "product")
+    # Every number below enters the next one many times; as columns they do not multiply in the plan.
+    rows = rows.withColumns({"z_chi": z_chi, "z_runs": z_runs, "z_serial": z_serial})
+    rows = rows.withColumns({"t_chi": F.greatest(normal_tail(F.col("z_chi")), F.lit(1e-300)), "t_runs": two_sided(F.col("z_runs")), "t_serial": two_sided(F.col("z_serial"))})
+    rows = rows.withColumn("z_fisher", chi_normal(-2 * (F.log("t_chi") + F.log("t_runs") + F.log("t_serial")), F.lit(6.0)))
+    rows = rows.withColumn("p_random", F.greatest(normal_tail(F.col("z_fisher")), F.lit(0.0)))
+    return rows.drop("ranks", "pairs", "squares", "high", "runs", "product", "z_chi", "z_runs", "z_serial", "t_chi", "t_runs", "t_serial", "z_fisher")
 
 
 def find_secrets(docs: DataFrame, discovery: float = DISCOVERY, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -178,12 +182,12 @@ def find_secrets(docs: DataFrame, discovery: float = DISCOVERY, keep: tuple[str,
     excess = repeats.select("encoding", F.least(fixed, F.greatest(counted, LEAST_EXCESS * fixed)).alias("excess"))
     rows = tested.join(F.broadcast(excess), "encoding")  # one row per encoding
     usual = (F.col("k") - 1) + (F.col("n") - 1) * F.col("excess")
-    z = (F.col("chi") - usual) / F.sqrt(2 * (F.col("k") - 1) + 4 * F.col("n") * F.col("excess"))
+    rows = rows.withColumn("z", (F.col("chi") - usual) / F.sqrt(2 * (F.col("k") - 1) + 4 * F.col("n") * F.col("excess")))
     length = F.lit(len(LENGTHS))
     for i in reversed(range(len(LENGTHS))):
         length = F.when(F.col("n") < LENGTHS[i], F.lit(i)).otherwise(length)
     # A bin holds p-values up to 10 ** (-bin / BINS); a token that is not random counts as p = 1.
-    p = F.when(F.col("p_random") >= REJECT, F.greatest(normal_tail(-z), F.lit(10.0**-FLOOR))).otherwise(1.0)
+    p = F.when(F.col("p_random") >= REJECT, F.greatest(normal_tail(-F.col("z")), F.lit(10.0**-FLOOR))).otherwise(1.0)
     rows = rows.select("row", "start", "end", "encoding", length.alias("length"), F.floor(-F.log10(p) * BINS).cast("int").alias("bin"))
     bins = rows.groupBy("encoding", "length", "bin").agg(F.count("*").alias("c"))
     stratum = Window.partitionBy("encoding", "length")

@@ -164,7 +164,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray) -> np.n
             if not len(at):
                 continue
             index = np.concatenate([rows[i][0] for i in at])
-            value = np.concatenate([rows[i][1] for i in at])
+            value = np.concatenate([rows[i][1] for i in at]).astype(np.float64)
             owner = np.repeat(np.arange(len(at)), [len(rows[i][0]) for i in at])
             z = np.bincount(owner, weights[index] * value, len(at)) + weights[WIDTH]
             error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target[at]) * weight[at]
@@ -206,8 +206,14 @@ def fit(docs: DataFrame, trained: int = TRAINED) -> tuple[float, np.ndarray, np.
     share, chance = estimate(counted.column(0).to_numpy(), counted.column(1).to_numpy())
     some = hashed_sample(texts, trained, int(counted.column(1).to_numpy().sum()), "doc_id", "text").select("text").repartition(16).mapInArrow(featured, "pattern int, at array<int>, value array<float>").toArrow()
     target = posterior(some.column(0).to_numpy(), share, chance) if len(some) else np.empty(0)
-    rows = [(np.array(a, np.int64), np.array(v)) for a, v in zip(some.column(1).to_pylist(), some.column(2).to_pylist())]
-    return share, chance, train(rows, target)
+    return share, chance, train(_rows(some.column(1).combine_chunks(), some.column(2).combine_chunks()), target)
+
+
+def _rows(index: pa.ListArray, value: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Numbers and weights of every document as parts of two flat arrays; as objects they would take ten times the driver's memory."""
+    ends = np.r_[0, np.cumsum(index.value_lengths().to_numpy())]
+    flat = index.flatten().to_numpy(), value.flatten().to_numpy()
+    return [(flat[0][a:b], flat[1][a:b]) for a, b in zip(ends, ends[1:])]
 
 
 def score(docs: DataFrame, threshold: float = THRESHOLD, trained: int = TRAINED, keep: tuple[str, ...] = ()) -> DataFrame:

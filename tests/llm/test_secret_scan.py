@@ -94,3 +94,9 @@ def test_masks(spark, odd, odd_rows, empty):
     same = ss.masked(odd)
     assert same.columns == odd.columns and same.count() == len(odd_rows)
     assert ss.masked(empty).count() == 0 and ss.find_secrets(empty).count() == 0
+
+
+def test_plan_of_the_battery_stays_small(spark):
+    """Statistics that enter one another many times are columns; written out, the plan had 224,645 characters."""
+    tokens = spark.createDataFrame([(1, 0, 4, "a1b2c3d4e5f6", 6)], "row long, start int, end int, token string, encoding int")
+    assert len(ss.battery(tokens)._jdf.queryExecution().executedPlan().toString()) < 30_000

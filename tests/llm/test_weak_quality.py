@@ -1,6 +1,7 @@
 """Recovered accuracies, held-out labels of the table, and odd rows."""
 
 import numpy as np
+import pyarrow as pa
 
 from terrascope.llm import weak_quality as wq
 
@@ -45,3 +46,11 @@ def test_odd_rows(spark, odd, odd_rows, empty):
     plain = "The house of the rising sun is in the town and it is known to all."
     crowd = spark.createDataFrame([(i, plain if i % 3 else "@ | # | $ | " * 9) for i in range(60)], "doc_id long, text string")
     assert {(r.doc_id % 3 != 0, r.kept) for r in wq.score(crowd).collect()} == {(True, True), (False, False)}
+
+
+def test_training_rows_are_parts_of_flat_arrays():
+    """The driver holds the sample's features once, four bytes a number, not as objects."""
+    index, value = pa.array([[3, 1], [], [2]], pa.list_(pa.int32())), pa.array([[0.5, 1.0], [], [0.25]], pa.list_(pa.float32()))
+    rows = wq._rows(index, value)
+    assert [(a.tolist(), b.tolist()) for a, b in rows] == [([3, 1], [0.5, 1.0]), ([], []), ([2], [0.25])]
+    assert all(a.dtype == np.int32 and b.dtype == np.float32 and not a.flags.owndata and not b.flags.owndata for a, b in rows)
