@@ -25,6 +25,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -202,9 +203,12 @@ def _block_phrases(words: list[tuple[bytes, bytes]], codes: np.ndarray, longest:
     one = np.empty(len(many), np.int64)
     one[ids] = np.arange(len(ids))
     del ids
+    langs, texts = (pa.array([w[i] for w in words], pa.binary()).cast(pa.string()) for i in (0, 1))
     for k in range(0, len(one), _AT_ONCE):
-        rows = codes[at[one[k : k + _AT_ONCE]][:, None] + np.arange(longest)].tolist()
-        yield _counted([words[r[0]][0] for r in rows], [b" ".join([words[c][1] for c in r]) for r in rows], many[k : k + _AT_ONCE].tolist())
+        first = at[one[k : k + _AT_ONCE]]
+        columns = [pa.array(codes[first + j]) for j in range(longest)]
+        phrase = pc.binary_join_element_wise(*[texts.take(c) for c in columns], " ")
+        yield pa.RecordBatch.from_arrays([langs.take(columns[0]), phrase, pa.array(many[k : k + _AT_ONCE], pa.int64())], ["lang", "phrase", "f"])
 
 
 _OUT = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
