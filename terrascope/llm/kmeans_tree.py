@@ -160,8 +160,8 @@ class _Best:
         return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["q", "v", "score"])
 
 
-#: Queries that are copied to their leaves at once.
-_ROUTED = 256
+#: Queries that look for their leaves at once, and copies of queries in a batch that leaves.
+_ROUTED, _SENT = 256, 8192
 
 
 def _best_of(partial: DataFrame, k: int) -> DataFrame:
@@ -209,12 +209,14 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP, reca
     visits = _calibrate(queries, placed, tree, width, longest, k, recall, leaves)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A query goes to many leaves, so few leave at once.
+        # A query goes to many leaves, so its copies leave in small batches.
         for batch in (b.slice(at, _ROUTED) for b in batches for at in range(0, len(b), _ROUTED)):
             e = _matrix(batch.column(1), width)
             chosen = [tree.value.ranked(near.tolist(), visits) for near in _distances(np.hstack([e, np.zeros((len(e), 1))]), tree.value.centres)]
-            index = np.repeat(np.arange(len(chosen)), [len(c) for c in chosen])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen) if chosen else np.empty(0, np.int64), pa.int64()), batch.column(0).take(pa.array(index)), batch.column(1).take(pa.array(index))], ["leaf", "id", "e"])
+            index, leaf = np.repeat(np.arange(len(chosen)), [len(c) for c in chosen]), np.concatenate(chosen).astype(np.int64)
+            for at in range(0, len(leaf), _SENT):
+                copies = pa.array(index[at : at + _SENT])
+                yield pa.RecordBatch.from_arrays([pa.array(leaf[at : at + _SENT]), batch.column(0).take(copies), batch.column(1).take(copies)], ["leaf", "id", "e"])
 
     routed = queries.repartition("rep").mapInArrow(route, "leaf long, id long, e array<double>")
     blocks_v = _packed(placed.select("leaf", F.col("rep").alias("id"), "e"), width, VECTOR_BLOCK, placed.count() / leaves)
