@@ -6,8 +6,10 @@ then placed in a leaf. A query walks the tree through a priority queue of nodes,
 centre first, and so ranks the leaves. How many leaves are visited is widened, on
 calibration queries whose exact answers are known, until the recall asked for is reached.
 
-Vectors and the queries of a leaf travel in packed blocks of bounded size; blocks of one
-leaf meet in a join and are multiplied in numpy. Equal vectors are kept once with their
+Vectors of a leaf and queries that lie near each other in the tree travel in packed blocks of
+bounded size. A block of queries is not copied per leaf: the vectors of the leaves that a group
+of blocks wants stream past it, each block is multiplied in numpy with the leaves that one of
+its queries wants, and one list of answers per query leaves a task. Equal vectors are kept once with their
 smallest ids, more than the number of neighbours asked for of which can never be an answer.
 """
 
@@ -29,11 +31,12 @@ from terrascope.session import cut_lineage
 #: children per node and sampled vectors per leaf; rounds of k-means per node.
 NEIGHBOURS, QUERY_STEP = 20, 20
 SAMPLE, CHILDREN, LEAF, ROUNDS = 65_536, 8, 64, 6
-#: Calibration queries, and the recall that they must reach; vectors and queries in a packed block.
+#: Calibration queries, and the recall that they must reach.
 CALIBRATION, RECALL = 128, 0.97
 #: Answers that the block product picks beyond those asked for, one of which is the query itself.
 SPARE = 9
-VECTOR_BLOCK, QUERY_BLOCK = 2048, 512
+#: Vectors and queries in a packed block, blocks in a group of queries, tasks that groups are dealt out to at least.
+VECTOR_BLOCK, QUERY_BLOCK, GROUP, TASKS = 2048, 256, 32, 16
 
 _PARTIAL = "q long, v long, score double"
 
@@ -87,6 +90,21 @@ class Tree:
         return found
 
 
+    def wanted(self, near: np.ndarray, most: int) -> np.ndarray:
+        """Which leaves are among each query's first ``most``, best bin first; ``near`` has a row per query.
+
+        The search reaches a leaf by the farthest node on the way to it, so it takes leaves in
+        the order of that distance; leaves that share the node of the last one come along.
+        """
+        far = np.full_like(near, -np.inf)
+        for node, (first, end) in enumerate(self.children):
+            far[:, first:end] = np.maximum(far[:, node, None], near[:, first:end])
+        out = np.empty((len(near), self.leaves))
+        at = np.array(self.leaf)
+        out[:, at[at >= 0]] = far[:, at >= 0]
+        return out <= np.partition(out, most - 1, axis=1)[:, most - 1, None]
+
+
 def _distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (centres**2).sum(1)[None, :] - 2 * rows @ centres.T
 
@@ -128,40 +146,66 @@ def _top(q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarra
     return q[keep], v[keep], s[keep]
 
 
-def _scores(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, qids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` best rows of each query by a block product, whose last bits depend on the block."""
-    product = queries @ rows.T
-    m = min(k, len(rows))
-    at = np.argpartition(-product, m - 1, axis=1)[:, :m] if m < len(rows) else np.broadcast_to(np.arange(m), (len(queries), m))
-    return np.repeat(qids, m), ids[at].ravel(), np.take_along_axis(product, at, 1).ravel()
-
-
 class _Best:
-    """Running best answers of many queries."""
-
-    def __init__(self, k: int) -> None:
-        self.k, self.parts, self.held = k, [], 0
-
-    def add(self, part: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-        self.parts.append(part)
-        self.held += len(part[0])
-        if self.held > 500_000:
-            self.fold()
-
-    def fold(self) -> None:
-        if self.parts:
-            self.parts = [_top(*(np.concatenate(c) for c in zip(*self.parts)), self.k)]
-            self.held = len(self.parts[0][0])
-
-    def batch(self) -> pa.RecordBatch:
-        self.fold()
-        q, v, s = self.parts[0] if self.parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        self.parts, self.held = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["q", "v", "score"])
-
-
-#: Queries that look for their leaves at once, and copies of queries in a batch that leaves.
-_ROUTED, _SENT = 256, 8192
+    """Running best ``k`` answers of ``count`` queries, ties to the smaller vector."""
+
+    def __init__(self, count: int, k: int) -> None:
+        self.scores, self.ids = np.full((count, k), -np.inf), np.full((count, k), np.iinfo(np.int64).max)
+
+    def add(self, product: np.ndarray, ids: np.ndarray, first: int = 0) -> None:
+        """``product``: scores of the vectors ``ids`` for the queries from ``first``; its last bits depend on the block."""
+        k = self.scores.shape[1]
+        scores, held = self.scores[first : first + len(product)], self.ids[first : first + len(product)]
+        floor = scores[:, -1]
+        if len(ids) > k and np.isinf(floor).any():
+            floor = np.maximum(floor, np.partition(product, -k, axis=1)[:, -k])
+        q, at = np.nonzero(product >= floor[:, None])
+        if not len(q):
+            return
+        touched = np.unique(q)
+        q, v, s = (np.concatenate(c) for c in ((np.repeat(touched, k), q), (held[touched].ravel(), ids[at]), (scores[touched].ravel(), product[q, at])))
+        _, v, s = _top(q, v, s, k)
+        held[touched], scores[touched] = v.reshape(-1, k), s.reshape(-1, k)
+
+    def batch(self, qids: np.ndarray) -> pa.RecordBatch:
+        q, at = np.nonzero(self.ids < np.iinfo(np.int64).max)
+        return pa.RecordBatch.from_arrays([pa.array(qids[q], pa.int64()), pa.array(self.ids[q, at], pa.int64()), pa.array(self.scores[q, at], pa.float64())], ["q", "v", "score"])
+
+
+class _Share:
+    """A group of queries, in blocks, and a slice of the vectors that passes by."""
+
+    def __init__(self, key: tuple[int, int], k: int) -> None:
+        self.key, self.k, self.best = key, k, None
+        self.asked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting: list[tuple[int, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def ask(self, ids: np.ndarray, rows: np.ndarray, wants: np.ndarray) -> None:
+        self.asked.append((ids, rows, wants))
+
+    def meet(self, leaf: int, ids: np.ndarray, rows: np.ndarray) -> None:
+        self.waiting.append((leaf, ids, rows))
+        self.held += len(ids)
+        if self.held >= VECTOR_BLOCK:
+            self._multiply()
+
+    def _multiply(self) -> None:
+        """Each block of queries meets those leaves that one of them wants."""
+        if self.best is None:
+            self.best = _Best(sum(len(ids) for ids, _, _ in self.asked), self.k)
+        first = 0
+        for qids, queries, wants in self.asked:
+            near = [(ids, rows) for leaf, ids, rows in self.waiting if wants[leaf]]
+            if near:
+                ids, rows = (np.concatenate(c) for c in zip(*near))
+                self.best.add(queries @ rows.T, ids, first)
+            first += len(qids)
+        self.waiting, self.held = [], 0
+
+    def answers(self) -> pa.RecordBatch:
+        self._multiply()
+        return self.best.batch(np.concatenate([ids for ids, _, _ in self.asked]))
 
 
 def _best_of(partial: DataFrame, k: int) -> DataFrame:
@@ -204,35 +248,59 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP, reca
     # Queries: each distinct vector that some query has, searched once.
     asked = rows.where((F.col("vec_id") % step == 0) & (F.size("e") == width)).join(distinct.select("rep", "e"), "e").select(F.col("vec_id").alias("query_id"), "rep")
     asked = cut_lineage(asked, "asked")
-    queries = cut_lineage(placed.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "e"), "queries")
+    queries = cut_lineage(placed.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "leaf", "e"), "queries")
 
     visits = _calibrate(queries, placed, tree, width, longest, k, recall, leaves)
 
+    # Queries that lie near each other in the tree travel together, a block at a time.
+    start = F.sum("n").over(Window.orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1))
+    starts = queries.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(start, F.lit(0)))  # a row per leaf
+    place = F.col("start") + F.pmod(F.xxhash64("rep"), F.col("n"))
+    blocks_q = _packed(queries.join(starts, "leaf").select(F.floor(place / QUERY_BLOCK).alias("block"), F.col("rep").alias("id"), "e"), width, 2 * QUERY_BLOCK, 1)
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A query goes to many leaves, so its copies leave in small batches.
-        for batch in (b.slice(at, _ROUTED) for b in batches for at in range(0, len(b), _ROUTED)):
-            e = _matrix(batch.column(1), width)
-            chosen = [tree.value.ranked(near.tolist(), visits) for near in _distances(np.hstack([e, np.zeros((len(e), 1))]), tree.value.centres)]
-            index, leaf = np.repeat(np.arange(len(chosen)), [len(c) for c in chosen]), np.concatenate(chosen).astype(np.int64)
-            for at in range(0, len(leaf), _SENT):
-                copies = pa.array(index[at : at + _SENT])
-                yield pa.RecordBatch.from_arrays([pa.array(leaf[at : at + _SENT]), batch.column(0).take(copies), batch.column(1).take(copies)], ["leaf", "id", "e"])
-
-    routed = queries.repartition("rep").mapInArrow(route, "leaf long, id long, e array<double>")
-    blocks_v = _packed(placed.select("leaf", F.col("rep").alias("id"), "e"), width, VECTOR_BLOCK, placed.count() / leaves)
-    blocks_q = _packed(routed, width, QUERY_BLOCK, queries.count() * visits / leaves)
+        for batch in batches:
+            wants = []
+            for data in batch.column(2):
+                e = np.frombuffer(data.as_py(), "<f8").reshape(-1, width)
+                near = _distances(np.hstack([e, np.zeros((len(e), 1))]), tree.value.centres)
+                wants.append(np.packbits(tree.value.wanted(near, visits).any(0)).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(wants, pa.binary())], ["block", "ids", "data", "wants"])
+
+    blocks_q = cut_lineage(blocks_q.mapInArrow(route, "block long, ids binary, data binary, wants binary").withColumn("group", F.floor(F.col("block") / GROUP)), "blocks")
+
+    def leaves_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group, bits in zip(*(c.to_pylist() for c in batch.columns)):
+                leaf = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=leaves))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaf), group)), pa.array(leaf)], ["group", "leaf"])
+
+    wanted = blocks_q.select("group", "wants").mapInArrow(leaves_wanted, "group long, leaf long").distinct()
+    blocks_v = _packed(placed.select("leaf", F.col("rep").alias("id"), "e"), width, VECTOR_BLOCK, int(placed.count() / leaves // VECTOR_BLOCK) + 3)
+    # A task streams a slice of the vectors past one group of queries and so sends one list a query.
+    groups = blocks_q.agg(F.max("group")).first()
+    slices = -(-TASKS // (1 + groups[0])) if groups[0] is not None else 1
     # Packed rows are far larger than Spark expects of them, so neither side may be broadcast.
-    met = blocks_v.select("leaf", F.col("ids").alias("v_ids"), F.col("data").alias("v")).join(blocks_q.select("leaf", F.col("ids").alias("q_ids"), F.col("data").alias("q")).hint("merge"), "leaf")
+    passing = blocks_v.join(wanted.hint("merge"), "leaf").select("group", F.pmod(F.xxhash64("ids"), F.lit(slices)).alias("slice"), F.lit(1).alias("kind"), "leaf", "ids", "data", F.lit(None).cast("binary").alias("wants"))
+    asking = blocks_q.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"), F.lit(0).alias("kind"), F.col("block").alias("leaf"), "ids", "data", "wants")
+    met = asking.unionByName(passing).repartition(4 * slices * (1 + (groups[0] or 0)), "group", "slice").sortWithinPartitions("group", "slice", "kind", "leaf")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(k + SPARE)
+        share = None
         for batch in batches:
-            for vi, v, qi, q in zip(*(batch.column(c) for c in ("v_ids", "v", "q_ids", "q"))):
-                read = lambda b, t: np.frombuffer(b.as_py(), t)
-                best.add(_scores(read(q, "<f8").reshape(-1, width), read(v, "<f8").reshape(-1, width), read(vi, "<i8"), read(qi, "<i8"), k + SPARE))
-                if best.held > 400_000:
-                    yield best.batch()
-        yield best.batch()
+            for group, part, kind, leaf, ids, data, wants in zip(*batch.columns):
+                key = (group.as_py(), part.as_py())
+                if share is None or share.key != key:
+                    if share is not None:
+                        yield share.answers()
+                    share = _Share(key, k + SPARE)
+                rows = np.frombuffer(data.as_py(), "<f8").reshape(-1, width)
+                if kind.as_py():
+                    share.meet(leaf.as_py(), np.frombuffer(ids.as_py(), "<i8"), rows)
+                else:
+                    share.ask(np.frombuffer(ids.as_py(), "<i8"), rows, np.unpackbits(np.frombuffer(wants.as_py(), np.uint8), count=leaves).astype(bool))
+        if share is not None:
+            yield share.answers()
 
     # The block product picks a few more; their scores are then summed in one fixed order.
     rough = _best_of(met.mapInArrow(multiply, _PARTIAL), k + SPARE).select("q", "v")
@@ -248,13 +316,13 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP, reca
     return final.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _packed(rows: DataFrame, width: int, most: int, usual: float) -> DataFrame:
-    """``(leaf, ids, data)``: up to ``most`` rows of a leaf per block, packed where they lie after one exchange.
+def _packed(rows: DataFrame, width: int, most: int, parts: int) -> DataFrame:
+    """``(key, ids, data)``: up to ``most`` rows of a key per block, packed where they lie after one exchange.
 
-    A leaf's rows are dealt out by a hash of the id into as many parts as blocks of its
-    ``usual`` size, and two more, so a leaf that outgrows the others fills several tasks.
+    The rows are a key, an id and a vector. A key's rows are dealt out by a hash of the id into
+    ``parts``, so a key that outgrows the others fills several tasks.
     """
-    parts = int(usual // most) + 3
+    key = rows.columns[0]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[np.ndarray] = []
@@ -262,7 +330,7 @@ def _packed(rows: DataFrame, width: int, most: int, usual: float) -> DataFrame:
         leaf, held = None, 0
 
         def block() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([leaf], pa.int64()), pa.array([np.concatenate(ids).astype("<i8").tobytes()], pa.binary()), pa.array([np.concatenate(data).astype("<f8").tobytes()], pa.binary())], ["leaf", "ids", "data"])
+            out = pa.RecordBatch.from_arrays([pa.array([leaf], pa.int64()), pa.array([np.concatenate(ids).astype("<i8").tobytes()], pa.binary()), pa.array([np.concatenate(data).astype("<f8").tobytes()], pa.binary())], [key, "ids", "data"])
             ids.clear(), data.clear()
             return out
 
@@ -281,22 +349,22 @@ def _packed(rows: DataFrame, width: int, most: int, usual: float) -> DataFrame:
         if ids:
             yield block()
 
-    dealt = rows.repartition("leaf", F.pmod(F.xxhash64("id"), F.lit(parts))).sortWithinPartitions("leaf")
-    return dealt.mapInArrow(pack, "leaf long, ids binary, data binary")
+    dealt = rows.repartition(key, F.pmod(F.xxhash64("id"), F.lit(parts))).sortWithinPartitions(key)
+    return dealt.mapInArrow(pack, f"{key} long, ids binary, data binary")
 
 
 def _calibrate(queries: DataFrame, placed: DataFrame, tree, width: int, longest: float, k: int, recall: float, leaves: int) -> int:
     """Leaves to visit so that the calibration queries find ``recall`` of their exact neighbours."""
-    chosen = queries.orderBy(F.xxhash64(F.lit("calibration"), "rep"), "rep").limit(CALIBRATION).toArrow()
+    chosen = queries.select("rep", "e").orderBy(F.xxhash64(F.lit("calibration"), "rep"), "rep").limit(CALIBRATION).toArrow()
     qids, q = chosen.column(0).to_numpy(), _matrix(chosen.column(1).combine_chunks(), width)
     if not len(qids):
         return 1
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(k + 1)
+        best = _Best(len(qids), k + 1)
         for batch in batches:
-            best.add(_scores(q, _matrix(batch.column(1), width), batch.column(0).to_numpy(), qids, k + 1))
-        yield best.batch()
+            best.add(q @ _matrix(batch.column(1), width).T, batch.column(0).to_numpy())
+        yield best.batch(qids)
 
     truth = _best_of(placed.select("rep", "e").mapInArrow(exact, _PARTIAL), k + 1)
     truth = truth.where("q != v").join(placed.select(F.col("rep").alias("v"), "leaf"), "v").select("q", "leaf").toArrow()  # CALIBRATION * (k + 1) rows at most

@@ -76,3 +76,46 @@ def test_tree_ranks_every_leaf_once():
     assert sorted(tree.ranked(near, tree.leaves)) == list(range(tree.leaves)) and tree.leaves > 20
     assert tree.ranked(near, 3) == tree.ranked(near, 9)[:3]
     assert set(tree.place(rows)) <= set(range(tree.leaves))
+
+
+def test_wanted_leaves_hold_the_first_ranked():
+    rows = np.random.default_rng(2).normal(size=(3000, 8))
+    tree = kt.Tree(rows)
+    near = ((tree.centres[None] - rows[:40, None]) ** 2).sum(2)
+    for most in (1, 7, tree.leaves):
+        wanted = tree.wanted(near, most)
+        for want, distances in zip(wanted, near.tolist()):
+            # The best-first search takes the very same leaves, as many as come along with the last one.
+            assert set(tree.ranked(distances, most)) <= set(np.flatnonzero(want)) == set(tree.ranked(distances, int(want.sum())))
+
+
+def python_rows(spark, run):
+    """Most rows that any Python step of the queries started by ``run`` made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    seen = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    rows = [0]
+    executions = store.executionsList().drop(seen).iterator()
+    while executions.hasNext():
+        execution = executions.next().executionId()
+        values, nodes = store.executionMetrics(execution), store.planGraph(execution).allNodes().iterator()
+        while nodes.hasNext():
+            node = nodes.next()
+            metrics = node.metrics().iterator()
+            while node.name() == "MapInArrow" and metrics.hasNext():
+                metric = metrics.next()
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    rows.append(int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return max(rows)
+
+
+def test_rows_grow_with_the_table(spark, monkeypatch):
+    """Vectors without structure, so that a query wants most leaves: four times the rows must not send sixteen times the copies."""
+    monkeypatch.setattr(kt, "LEAF", 4)
+    made = []
+    for n in (1500, 6000):
+        rows = np.random.default_rng(n).normal(size=(n, 24))
+        table = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+        made.append(python_rows(spark, lambda: kt.search(table).collect()))
+    assert 0 < made[1] <= 6 * made[0]
