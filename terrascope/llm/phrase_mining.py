@@ -21,6 +21,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -134,36 +135,52 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _counted([lang] * len(seen), list(seen), list(seen.values()))
 
 
+class _Words(NamedTuple):
+    """Words of a block by number, as flat columns that pass through Spark without an object per word; the first one is empty."""
+
+    #: Languages of the block, and each word's number among them.
+    langs: list[bytes]
+    lang: np.ndarray
+    #: All words one after the other, and where each starts and the last ends.
+    text: bytes | pa.Buffer
+    ends: np.ndarray
+    hashes: np.ndarray
+
+
 class _Codes(dict):
     """Codes of one language's words: 0 for a word that is not frequent and for the end of a piece.
 
-    ``words`` holds the words of all codes with their language.
+    ``words`` holds the words of all codes with the number of their language and their hash.
     """
 
-    def __init__(self, lang: bytes, frequent: np.ndarray, words: list[tuple[bytes, bytes]]):
-        self.lang, self.frequent, self.words = lang, memoryview(frequent), words
+    def __init__(self, lang: bytes, number: int, frequent: np.ndarray, words: list[tuple[int, bytes, int]]):
+        self.lang, self.number, self.frequent, self.words = lang, number, memoryview(frequent), words
         self[b"."] = 0
 
     def __missing__(self, word: bytes) -> int:
-        place = _word_hash(self.lang, word) & ((1 << TABLE_BITS) - 1)
+        h = _word_hash(self.lang, word)
+        place = h & ((1 << TABLE_BITS) - 1)
         code = 0
         if self.frequent[place >> 3] >> (place & 7) & 1:
             code = len(self.words)
-            self.words.append((self.lang, word))
+            self.words.append((self.number, word, h))
         self[word] = code
         return code
 
 
-def _coded(block: list[tuple[bytes, bytes]], frequent: np.ndarray) -> tuple[list[tuple[bytes, bytes]], np.ndarray]:
-    """Words that may be frequent, the first one empty, and all places of the block as numbers of them."""
-    words: list[tuple[bytes, bytes]] = [(b"", b"")]
+def _coded(block: list[tuple[bytes, bytes]], frequent: np.ndarray) -> tuple[_Words, np.ndarray]:
+    """Words that may be frequent, and all places of the block as numbers of them."""
+    words: list[tuple[int, bytes, int]] = [(0, b"", 0)]
     coders: dict[bytes, _Codes] = {}
     parts = [np.zeros(1, np.int32)]
     for lang, text in block:
-        coder = coders.get(lang) or coders.setdefault(lang, _Codes(lang, frequent, words))
+        coder = coders.get(lang) or coders.setdefault(lang, _Codes(lang, len(coders), frequent, words))
         found = tokens(text)
         parts += [np.fromiter(map(coder.__getitem__, found), np.int32, len(found)), np.zeros(1, np.int32)]
-    return words, np.concatenate(parts)
+    numbers, texts, hashes = zip(*words)
+    ends = np.zeros(len(words) + 1, np.int32)
+    np.cumsum([len(t) for t in texts], out=ends[1:])
+    return _Words(list(coders), np.array(numbers, np.int32), b"".join(texts), ends, np.array(hashes, np.uint64)), np.concatenate(parts)
 
 
 def _ids(columns: Iterator[np.ndarray]) -> np.ndarray:
@@ -174,14 +191,14 @@ def _ids(columns: Iterator[np.ndarray]) -> np.ndarray:
     return ids
 
 
-def _block_phrases(words: list[tuple[bytes, bytes]], codes: np.ndarray, longest: int, frequent: np.ndarray, taken: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _block_phrases(words: _Words, codes: np.ndarray, longest: int, frequent: np.ndarray, taken: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Counts of the phrases of ``longest`` words that may be frequent and start or end with a word taken."""
-    hashes = np.array([_word_hash(*w) for w in words], np.uint64)
+    hashes = words.hashes
     open_end = _known(taken, hashes)
     open_end[0] = False
     open_end = open_end[codes]
     # Whether the phrase of the last length at a place may be frequent; single words are, if they have a code.
-    good = codes > 0
+    good = word = codes > 0
     for size in range(2, longest + 1):
         count = len(codes) - size + 1
         if count <= 0:
@@ -189,7 +206,7 @@ def _block_phrases(words: list[tuple[bytes, bytes]], codes: np.ndarray, longest:
         first, last = open_end[:count], open_end[size - 1 :]
         fits = (first | last) & (good[:count] | ~first) & (good[1 : count + 1] | ~last)
         for j in range(size):
-            fits &= codes[j : j + count] > 0
+            fits &= word[j : j + count]
         at = np.flatnonzero(fits)
         if size < longest:
             h = hashes[codes[at]]
@@ -197,18 +214,19 @@ def _block_phrases(words: list[tuple[bytes, bytes]], codes: np.ndarray, longest:
                 h = _longer(h, hashes[codes[at + j]])
             good = np.zeros(len(codes), bool)
             good[at] = _known(frequent, h)
-    del good, fits, open_end, first, last
+    del good, word, fits, open_end, first, last
     ids = _ids(codes[at + j] for j in range(longest))
     many = np.bincount(ids)
     one = np.empty(len(many), np.int64)
     one[ids] = np.arange(len(ids))
     del ids
-    langs, texts = (pa.array([w[i] for w in words], pa.binary()).cast(pa.string()) for i in (0, 1))
+    langs = pa.array(words.langs, pa.binary()).cast(pa.string())
+    texts = pa.StringArray.from_buffers(len(words.lang), pa.py_buffer(words.ends), pa.py_buffer(words.text))
     for k in range(0, len(one), _AT_ONCE):
         first = at[one[k : k + _AT_ONCE]]
         columns = [pa.array(codes[first + j]) for j in range(longest)]
         phrase = pc.binary_join_element_wise(*[texts.take(c) for c in columns], " ")
-        yield pa.RecordBatch.from_arrays([langs.take(columns[0]), phrase, pa.array(many[k : k + _AT_ONCE], pa.int64())], ["lang", "phrase", "f"])
+        yield pa.RecordBatch.from_arrays([langs.take(pa.array(words.lang[codes[first]])), phrase, pa.array(many[k : k + _AT_ONCE], pa.int64())], ["lang", "phrase", "f"])
 
 
 _OUT = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
@@ -219,7 +237,7 @@ def _sum(counted: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-_BLOCKS = "langs array<string>, words array<string>, codes binary"
+_BLOCKS = "langs array<string>, lang binary, text binary, ends binary, hashes binary, codes binary"
 
 
 def _coded_blocks(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -230,8 +248,9 @@ def _coded_blocks(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
         known = np.frombuffer(zlib.decompress(table.value), np.uint8)
         for block in _blocks(batches):
             words, codes = _coded(block, known)
-            columns = [pa.array([[w[i] for w in words]], pa.list_(pa.binary())).cast(pa.list_(pa.string())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([codes.tobytes()], pa.binary())], ["langs", "words", "codes"])
+            langs = pa.array([words.langs], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
+            flat = {"lang": words.lang.tobytes(), "text": words.text, "ends": words.ends.tobytes(), "hashes": words.hashes.tobytes(), "codes": codes.tobytes()}
+            yield pa.RecordBatch.from_arrays([langs, *(pa.array([x], pa.binary()) for x in flat.values())], ["langs", *flat])
 
     blocks = cut_lineage(texts.mapInArrow(run, _BLOCKS), "blocks")
     table.destroy()
@@ -247,10 +266,18 @@ def _phrases(blocks: DataFrame, longest: int, frequent: np.ndarray, taken: np.nd
         unpacked = [np.frombuffer(zlib.decompress(t), np.uint8) for t in tables.value]
         for batch in batches:
             for i in range(len(batch)):
-                langs, words = (batch.column(c)[i].values.cast(pa.binary()).to_pylist() for c in (0, 1))
-                yield from _block_phrases(list(zip(langs, words)), np.frombuffer(batch.column(2)[i].as_buffer(), np.int32), longest, *unpacked)
-
-    counted = cut_lineage(_sum(blocks.mapInArrow(run, _COUNTED)).where(F.col("f") >= at_least), f"phrases{longest}")
+                lang, text, ends, hashes, codes = (batch.column(c)[i].as_buffer() for c in range(1, 6))
+                words = _Words(batch.column(0)[i].values.cast(pa.binary()).to_pylist(), np.frombuffer(lang, np.int32), text, np.frombuffer(ends, np.int32), np.frombuffer(hashes, np.uint64))
+                yield from _block_phrases(words, np.frombuffer(codes, np.int32), longest, *unpacked)
+
+    # A block is large, so a task holds one of them at a time; the setting is put back when the counts are written.
+    conf, rows = blocks.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = conf.get(rows)
+    conf.set(rows, "1")
+    try:
+        counted = cut_lineage(_sum(blocks.mapInArrow(run, _COUNTED)).where(F.col("f") >= at_least), f"phrases{longest}")
+    finally:
+        conf.set(rows, usual)
     tables.destroy()
     return counted
 

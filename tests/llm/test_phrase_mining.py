@@ -117,3 +117,16 @@ def test_hashes_are_those_of_spark(spark):
         words = [np.array([pm._word_hash(lang.encode(), w.encode())], np.uint64) for w in phrase.split(" ")]
         hashes.append(reduce(pm._longer, words)[0])
     assert pm._known(table, np.array(hashes)).all() and np.unpackbits(table).sum() == len(keys)
+
+
+def test_counting_a_block_hashes_no_word_again(monkeypatch):
+    """Words are hashed once, as the block is made; each of the counts reads flat columns."""
+    full = np.full(1 << (pm.TABLE_BITS - 3), 0xFF, np.uint8)
+    block = [(b"en", "Ab cé. ab cé ab".encode()), (b"de", "ab cé cé".encode()), (b"en", b"")]
+    words, codes = pm._coded(block, full)
+    texts = [words.text[a:b] for a, b in zip(words.ends, words.ends[1:])]
+    assert [(words.langs[n], t) for n, t in zip(words.lang, texts)][1:] == [(b"en", b"ab"), (b"en", "cé".encode()), (b"de", b"ab"), (b"de", "cé".encode())]
+    assert words.hashes[1:].tolist() == [pm._word_hash(words.langs[n], t) for n, t in zip(words.lang, texts)][1:]
+    monkeypatch.setattr(pm, "_word_hash", None)
+    found = {(r["lang"], r["phrase"]): r["f"] for b in pm._block_phrases(words, codes, 2, full, full) for r in b.to_pylist()}
+    assert found == {("en", "ab cé"): 2, ("en", "cé ab"): 1, ("de", "ab cé"): 1, ("de", "cé cé"): 1}
