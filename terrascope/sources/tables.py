@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-
-
+import hashlib
+from collections.abc import Iterator
+from functools import reduce
+from operator import or_
+from urllib.parse import unquote
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +19,7 @@ from terrascope.functions.single import attach
 from terrascope.functions.text import render_template, safe_label
 from terrascope.functions.vectors import l2_normalize, times_matrix
 from terrascope.operators.ordered import bucket_width, with_positions
+from terrascope.session import cut_lineage
 
 # Accepted document tags.
 PROMPT_GROUP_SCHEMAS = ("mcd_open_vocab_prompt_groups_v1", "mcd_open_vocab_prompt_groups_v2")
@@ -303,14 +310,84 @@ def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
 
 # --- provenance ---------------------------------------------------------------------------
 
+#: Bytes up to which a file passes as one value; larger ones are streamed.
+WHOLE = 64 << 20
+
+
 def file_digests(spark: SparkSession, path: str, root: str, glob: str | None = None) -> DataFrame:
-    """SHA-256 per file with its name relative to ``root``."""
+    """SHA-256 per file with its name relative to ``root``.
+
+    A file of more than ``WHOLE`` bytes is streamed through its task in the pieces between its
+    line ends, so it may be larger than a value can be. One task reads it from start to end,
+    as the digest is one chain. Compressed files and those that Spark's text reader does not
+    give back byte for byte pass as one value whatever their size.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    name = F.regexp_replace("path", "^(file:)?/*", "/")
-    relative = F.expr(f"substring(regexp_replace(path, '^(file:)?/*', '/'), {len(root.rstrip('/')) + 2})")
-    return reader.load(path).select(relative.alias("name"), F.sha2("content", 256).alias("digest"), name.alias("_p")).drop("_p")
+    relative = F.expr(f"substring(regexp_replace(path, '^(file:)?/*', '/'), {len(root.rstrip('/')) + 2})").alias("name")
+    length = F.col("length")
+    found = reader.load(path).where(length <= WHOLE).select(relative, F.sha2("content", 256).alias("digest"))
+    large = {r.path: r.length for r in reader.load(path).where(length > WHOLE).select("path", "length").collect()}  # a row per large file
+    plain = {p: n for p, n in large.items() if not set("*?[]{}\\") & set(p) and not _compressed(spark, p)}
+    if plain:
+        streamed = _streamed_digests(spark, plain)
+        done = [r.path for r in streamed.where("digest is not null").select("path").collect() if r.path in plain]
+        found = found.union(streamed.where(F.col("path").isin(done) & F.col("digest").isNotNull()).select(relative, "digest"))
+        large = {p: n for p, n in large.items() if p not in set(done)}
+    if large:
+        # The reader takes lengths as a condition, so it leaves all other files closed.
+        rest = reader.load(path).where(reduce(or_, (length == n for n in set(large.values())))).where(F.col("path").isin(list(large)))
+        found = found.union(rest.select(relative, F.sha2("content", 256).alias("digest")))
+    return found
+
+
+def _compressed(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop
+    return hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(hadoop.fs.Path(path)) is not None
+
+
+def _streamed_digests(spark: SparkSession, files: dict[str, int]) -> DataFrame:
+    """``path, digest``, written once; the digest is null where the pieces do not add up to the file."""
+    lines = spark.read.option("lineSep", "\n").text(list(files))
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, size, seen, sha = None, 0, 0, hashlib.sha256()
+
+        def ended() -> pa.RecordBatch:
+            # Only whether the last line has an end is unknown.
+            if seen == size - 1:
+                sha.update(b"\n")
+            return pa.RecordBatch.from_arrays([pa.array([unquote(path)], pa.string()), pa.array([sha.hexdigest() if seen in (size - 1, size) else None], pa.string())], ["path", "digest"])
+
+        for batch in batches:
+            at = 0
+            for run_end in pc.run_end_encode(batch.column(0)).run_ends.to_pylist():
+                piece = batch.slice(at, run_end - at)
+                at = run_end
+                data = b"\n".join(piece.column(2).to_pylist())
+                if piece.column(0)[0].as_py() == path:
+                    data = b"\n" + data
+                else:
+                    if path is not None:
+                        yield ended()
+                    path, size, seen, sha = piece.column(0)[0].as_py(), piece.column(1)[0].as_py(), 0, hashlib.sha256()
+                sha.update(data)
+                seen += len(data)
+        if path is not None:
+            yield ended()
+
+    # One split for each file; the settings are put back when the digests are written.
+    whole = {"spark.sql.files.maxPartitionBytes": str(max(files.values())), "spark.sql.files.minPartitionNum": "1"}
+    usual = {k: spark.conf.get(k, None) for k in whole}
+    for k, v in whole.items():
+        spark.conf.set(k, v)
+    try:
+        return cut_lineage(lines.mapInArrow(run, "path string, digest string"), "digests")
+    finally:
+        for k, v in usual.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def combined_digest(digests: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Region maps, labels, documents and digests on small tables."""
 
+import gzip
 import hashlib
 import json
 
@@ -139,6 +140,23 @@ def test_digests(spark, tmp_path):
     assert (got.combined, got.files) == (expected.hexdigest(), 2)
 
 
+def test_large_files_are_streamed(spark, tmp_path, monkeypatch):
+    """Above the bound a file is no single value, whatever its bytes: line ends, none, a byte order mark, compressed."""
+    noise = np.random.default_rng(3).integers(0, 256, 300_000).astype(np.uint8).tobytes()
+    files = {"ends.bin": noise + b"\n", "open.bin": noise + b"x", "cr.bin": b"a\r\nb\r" * 500, "lines.bin": b"\n" * 1000, "one.bin": b"y" * 1000, "mark.bin": b"\xef\xbb\xbf" + noise, "a b%20c.bin": noise[::-1], "[x].bin": noise[:5000], "small.bin": b"z", "packed.bin.gz": gzip.compress(noise)}
+    for name, body in files.items():
+        (tmp_path / name).write_bytes(body)
+    expected = {name: hashlib.sha256(body).hexdigest() for name, body in files.items()}
+    monkeypatch.setattr(tb, "WHOLE", 500)
+    streamed, real = [], tb._streamed_digests
+    monkeypatch.setattr(tb, "_streamed_digests", lambda *a: streamed.append(real(*a)) or streamed[-1])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    got = tb.file_digests(spark, str(tmp_path), str(tmp_path)).collect()
+    assert len(got) == len(files) and {r.name: r.digest for r in got} == expected
+    assert {r.path.rpartition("/")[2] for r in streamed[0].where("digest is not null").collect()} == set(files) - {"mark.bin", "[x].bin", "small.bin", "packed.bin.gz"}
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
 def test_report_refuses_overwrite(spark, tmp_path):
     tb.write_report(spark.range(2), str(tmp_path / "r"))
     with pytest.raises(Exception, match="(?i)already exists"):
