@@ -20,6 +20,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from typing import NamedTuple
 
@@ -28,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrascope.session import cut_lineage
@@ -238,6 +239,22 @@ def _sum(counted: DataFrame) -> DataFrame:
 
 
 _BLOCKS = "langs array<string>, lang binary, text binary, ends binary, hashes binary, codes binary"
+#: Rows of one batch on their way to Python and out of a file: of texts, and of blocks.
+_BATCHES = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+_TEXTS_AT_ONCE = 512
+
+
+@contextmanager
+def _batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Queries that run within hold so many rows of large values at a time; then the settings are put back."""
+    usual = {key: spark.conf.get(key) for key in _BATCHES}
+    try:
+        for key in _BATCHES:
+            spark.conf.set(key, str(rows))
+        yield
+    finally:
+        for key, value in usual.items():
+            spark.conf.set(key, value)
 
 
 def _coded_blocks(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -252,7 +269,10 @@ def _coded_blocks(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
             flat = {"lang": words.lang.tobytes(), "text": words.text, "ends": words.ends.tobytes(), "hashes": words.hashes.tobytes(), "codes": codes.tobytes()}
             yield pa.RecordBatch.from_arrays([langs, *(pa.array([x], pa.binary()) for x in flat.values())], ["langs", *flat])
 
-    blocks = cut_lineage(texts.mapInArrow(run, _BLOCKS), "blocks")
+    # A row group per block; else a file's blocks share a page, and a reader unpacks all of them at once.
+    groups = {"parquet.block.size": str(BLOCK), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+    with _batches(texts.sparkSession, _TEXTS_AT_ONCE):
+        blocks = cut_lineage(texts.mapInArrow(run, _BLOCKS), "blocks", **groups)
     table.destroy()
     return blocks
 
@@ -270,14 +290,9 @@ def _phrases(blocks: DataFrame, longest: int, frequent: np.ndarray, taken: np.nd
                 words = _Words(batch.column(0)[i].values.cast(pa.binary()).to_pylist(), np.frombuffer(lang, np.int32), text, np.frombuffer(ends, np.int32), np.frombuffer(hashes, np.uint64))
                 yield from _block_phrases(words, np.frombuffer(codes, np.int32), longest, *unpacked)
 
-    # A block is large, so a task holds one of them at a time; the setting is put back when the counts are written.
-    conf, rows = blocks.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    usual = conf.get(rows)
-    conf.set(rows, "1")
-    try:
-        counted = cut_lineage(_sum(blocks.mapInArrow(run, _COUNTED)).where(F.col("f") >= at_least), f"phrases{longest}")
-    finally:
-        conf.set(rows, usual)
+    # A block is large, so a task holds one of them at a time. Few phrases are frequent: they go into as few files as their size asks for.
+    with _batches(blocks.sparkSession, 1):
+        counted = cut_lineage(_sum(blocks.mapInArrow(run, _COUNTED)).where(F.col("f") >= at_least).hint("rebalance"), f"phrases{longest}")
     tables.destroy()
     return counted
 
@@ -321,8 +336,11 @@ def collocations(docs: DataFrame, at_least: int = AT_LEAST, top: int = TOP, scal
     one without frequent phrases gives no rows; other columns are not read.
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    everything = cut_lineage(_sum(texts.mapInArrow(_word_counts, _COUNTED)), "words")
-    words = everything.where(F.col("f") >= at_least)
+    # Rare words are only needed for their language's total: they become one row, without a phrase.
+    counted = _sum(texts.mapInArrow(_word_counts, _COUNTED)).withColumn("phrase", F.when(F.col("f") >= at_least, F.col("phrase")))
+    with _batches(docs.sparkSession, _TEXTS_AT_ONCE):
+        everything = cut_lineage(_sum(counted), "words")
+    words = everything.where("phrase is not null")
     frequent = bit_table(words)
     blocks = _coded_blocks(texts, frequent)
     open_langs = everything.groupBy("lang").agg(F.sum("f").alias("n"))

@@ -62,9 +62,9 @@ def clear(spark: SparkSession) -> None:
     remove(spark, _own_dir(spark))
 
 
-def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: survives lost executors."""
+def cut_lineage(df: DataFrame, label: str = "stage", **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: survives lost executors. The options are the Parquet writer's."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ from collections import Counter
 from functools import reduce
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from terrascope.llm import phrase_mining as pm
@@ -130,3 +131,41 @@ def test_counting_a_block_hashes_no_word_again(monkeypatch):
     monkeypatch.setattr(pm, "_word_hash", None)
     found = {(r["lang"], r["phrase"]): r["f"] for b in pm._block_phrases(words, codes, 2, full, full) for r in b.to_pylist()}
     assert found == {("en", "ab cé"): 2, ("en", "cé ab"): 1, ("de", "ab cé"): 1, ("de", "cé cé"): 1}
+
+
+def test_blocks_lie_in_row_groups_of_their_own(spark):
+    """A reader unpacks one block at a time, not all blocks of a file; the settings are as before."""
+    usual = [spark.conf.get(key) for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")]
+    texts = spark.range(0, 4, 1, 1).selectExpr("'en' as lang", f"array_join(transform(sequence(1, {pm.BLOCK // 5}), i -> concat('w', pmod(xxhash64(id, i), 5000))), ' ') as text")
+    blocks = pm._coded_blocks(texts, np.full(1 << (pm.TABLE_BITS - 3), 0xFF, np.uint8))
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in blocks.inputFiles()]
+    assert [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)] == [1] * 4
+    assert usual == [spark.conf.get(key) for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")]
+
+
+def test_writes_what_is_frequent_in_few_files(spark, monkeypatch):
+    """Rare words are not written, and frequent phrases do not lie in a file for each partition of the counts."""
+    written = {}
+    cut = pm.cut_lineage
+
+    def spy(df, label="stage", **options):
+        out = cut(df, label, **options)
+        written.setdefault(label, (out.count(), len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(pm, "cut_lineage", spy)
+    rng = np.random.default_rng(3)
+    said = [" ".join(f"w{k}" for k in rng.integers(0, 60, 60)) for _ in range(80)]
+    rows = [("en", f"{text}. rare{i}. " + ". ".join(f"p{k} q{k}" for k in range(16))) for i, text in enumerate(said)]
+    # Small partitions stand for large counts.
+    small = {"coalescePartitions.parallelismFirst": "false", "coalescePartitions.minPartitionSize": "1k", "advisoryPartitionSizeInBytes": "4k"}
+    usual = {key: spark.conf.get(f"spark.sql.adaptive.{key}") for key in small}
+    try:
+        for key, value in small.items():
+            spark.conf.set(f"spark.sql.adaptive.{key}", value)
+        check(spark, rows, 20, 2000, shares=(1.0,))
+    finally:
+        for key, value in usual.items():
+            spark.conf.set(f"spark.sql.adaptive.{key}", value)
+    assert written["words"][0] == 60 + 2 * 16 + 1
+    assert written["phrases2"] == (16, 1)
