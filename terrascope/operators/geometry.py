@@ -5,9 +5,13 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from terrascope.functions.near import near_frames
 from terrascope.functions.numeric import clip, count_when, finite, ratio
 from terrascope.functions.single import attach
 from terrascope.functions.rigid import (
@@ -22,11 +26,13 @@ from terrascope.functions.rigid import (
     transpose,
     with_rotation,
 )
-from terrascope.operators.ordered import parts_of, with_positions
+from terrascope.operators.ordered import ROWS_PER_TASK, least_parts, parts_of, with_positions
 
 XYZ = ("x", "y", "z")
 CAMERA = ("xc", "yc", "zc")
 PIXEL = ["frame_index", "u", "v"]
+#: A pixel's place among the 64 of its word.
+PIXEL_BIT = "shiftleft(1L, cast(u & 63 as int))"
 
 
 def snap(axis: str, size: int, rounding: str) -> tuple[str, str]:
@@ -206,6 +212,10 @@ def color_or_default(points: DataFrame, channels: Sequence[str] = ("r", "g", "b"
 
 # --- temporal support -------------------------------------------------------------------
 
+#: Points that one group of neighbouring frames holds, where frames are not larger than that.
+POINTS_PER_GROUP = 1 << 17
+
+
 def temporal_support(
     points: DataFrame,
     distance: float = 0.12,
@@ -217,79 +227,48 @@ def temporal_support(
 ) -> DataFrame:
     """Support of every point by other frames within ``radius``, and its class.
 
-    A frame supports a point when any of its points lies within ``distance``. Two
-    points of one fine cell (diagonal = distance) are always that close, so dense
-    places are settled by the cells a frame occupies, without point pairs: one number
-    per cell and block of frames holds a bit per frame, neighbouring frames included.
-    Only points with an open frame go to the exact check, joined on wide cell and
-    frame block. Both sides go into their own cell and, where it lies within reach, the
-    next one up along each axis and in time; of two near points the higher cell on every
-    axis holds both. Supporting frames are bits of one number.
+    A frame supports a point when any of its points lies within ``distance``. Points are
+    shuffled once, into blocks of frames; the frames within ``radius`` before and after a
+    block come along, with nothing but their places. Where blocks would hold many points,
+    wide cells part them, and places within reach of a cell come along as well. Each group
+    then finds the supporting frames of its own points as bits of one number
+    (``near_frames``), so no join and no second shuffle is needed. Columns of ``points``
+    travel with them: leave out what is not used.
     """
     if not 1 <= radius <= 31:
         raise ValueError("radius must be within 1..31")
-    fine = distance / math.sqrt(3.0) * (1.0 - 1e-9)
-    # Wider cells and longer blocks mean fewer copies of a row, but more pairs to compare.
-    wide, reach, block = 4.0 * distance, distance * (1.0 + 1e-9), 16
-    bits_block = min(32, 63 - 2 * radius)
+    sizes = points.groupBy("frame_index").agg(F.count(F.lit(1)).alias("n"))
+    lo, hi, total, largest = sizes.agg(F.min("frame_index"), F.max("frame_index"), F.sum("n"), F.max("n")).first()
     offsets = [k for k in range(-radius, radius + 1) if k]
-    kept = points.where(finite(*[F.col(c) for c in XYZ]))
-    in_block = lambda f, size: F.floor(f / F.lit(float(size))).cast("bigint")
-    celled = kept.select(
-        "*", in_block(F.col("frame_index"), bits_block).alias("_b"),
-        *[F.floor(F.col(c) / F.lit(fine)).cast("bigint").alias(f"_f{c}") for c in XYZ],
-    )
-    cells = ["_b", "_fx", "_fy", "_fz"]
-    bit = lambda k: F.expr(f"shiftleft(1L, cast({k} + {radius} as int))")
-
-    settled = (
-        celled.select(
-            "frame_index", *cells[1:],
-            F.explode(F.sequence(in_block(F.col("frame_index") - radius, bits_block), in_block(F.col("frame_index") + radius, bits_block))).alias("_b"),
-        )
-        .groupBy(*cells)
-        .agg(F.bit_or(bit(f"frame_index - _b * {bits_block}")).alias("_frames"))
-    )
-    span = points.agg(F.min("frame_index").alias("_lo"), F.max("frame_index").alias("_hi"))
-    # These sides grow with the points although their size is estimated low, so they
-    # are never broadcast: sort-merge joins spill and split under skew.
-    others_mask = sum(1 << (k + radius) for k in offsets)
-    near = celled.join(settled.hint("merge"), cells).withColumn(
-        "_near", F.expr(f"shiftright(_frames, cast(frame_index - _b * {bits_block} as int)) & {others_mask}L")
-    ).drop("_frames", *cells)
-    marked = attach(near, span)
-    possible = F.expr(
-        " + ".join(f"if(frame_index + {k} between _lo and _hi, {1 << (k + radius)}L, 0L)" for k in offsets)
-    )
-
-    def spread_out(rows: DataFrame) -> DataFrame:
-        """Copies of rows with the keys _block, _cx, _cy, _cz."""
-        found = rows.select("*", F.explode(F.sequence(in_block(F.col("frame_index"), block), in_block(F.col("frame_index") + radius, block))).alias("_block"))
+    block = max(2 * radius, min(64, max(16, POINTS_PER_GROUP // (largest or 1))))
+    wide, reach = 16.0 * distance, distance * 1.001
+    in_block = lambda f: F.floor(f / F.lit(float(block))).cast("bigint")
+    in_cell = lambda value: F.floor(value / F.lit(wide)).cast("bigint")
+
+    mine, keys = F.col("_block") == in_block(F.col("frame_index")), ["_block"]
+    # Blocks before the first frame and after the last have no points of their own.
+    first = in_block(F.greatest(F.col("frame_index") - radius, F.lit(lo)))
+    last = in_block(F.least(F.col("frame_index") + radius, F.lit(hi)))
+    copies = points.where(finite(*[F.col(c) for c in XYZ])).select("*", F.explode(F.sequence(first, last)).alias("_block"))
+    if block * (largest or 0) > 4 * POINTS_PER_GROUP:
         for c in XYZ:
-            at = lambda value: F.floor(value / F.lit(wide)).cast("bigint")
-            found = found.select("*", F.explode(F.sequence(at(F.col(c)), at(F.col(c) + F.lit(reach)))).alias(f"_c{c}"))
-        return found
-
-    keys = ["_block", *[f"_c{c}" for c in XYZ]]
-    probe = spread_out(
-        marked.where(F.col("_near").bitwiseAND(possible) != possible).select("frame_index", "point_idx", *XYZ, "_near")
-    )
-    others = spread_out(kept.select("frame_index", *XYZ).distinct()).select(
-        *keys, F.col("frame_index").alias("_g"), *[F.col(c).alias(f"_o{c}") for c in XYZ]
-    )
-    gap = "(_g - frame_index)"
-    square = F.expr(" + ".join(f"({c} - _o{c}) * ({c} - _o{c})" for c in XYZ))
-    found = (
-        probe.join(others.hint("merge"), keys)
-        .where(
-            F.expr(f"{gap} between {-radius} and {radius} and {gap} <> 0")
-            & (F.col("_near").bitwiseAND(bit(gap)) == 0)
-            & (square <= distance * distance)
-        )
-        .groupBy("frame_index", "point_idx")
-        .agg(F.bit_or(bit(gap)).alias("_far"))
-    )
-    mask = F.col("_near").bitwiseOR(F.coalesce("_far", F.lit(0).cast("bigint")))
+            copies = copies.select("*", F.explode(F.sequence(in_cell(F.col(c) - reach), in_cell(F.col(c) + reach))).alias(f"_c{c}"))
+            mine, keys = mine & (F.col(f"_c{c}") == in_cell(F.col(c))), [*keys, f"_c{c}"]
+    places = ["frame_index", *XYZ]
+    rest = [c for c in points.columns if c not in places]
+    copies = copies.withColumn("_mine", mine).select(*keys, *places, "_mine", *[F.when(F.col("_mine"), F.col(c)).alias(c) for c in rest])
+    names, near = list(points.columns), near_frames(distance, radius)
+
+    def run(group: pa.Table) -> pa.Table:
+        own = group["_mine"].to_numpy()
+        xyz = np.stack([group[c].cast(pa.float64()).to_numpy() for c in XYZ], axis=1)
+        masks = near(group["frame_index"].to_numpy(), xyz, np.flatnonzero(own))
+        return group.filter(group["_mine"]).select(names).append_column("_mask", pa.array(masks))
+
+    parts = max(least_parts(points), -(-(total or 0) * (block + 2 * radius) // (block * ROWS_PER_TASK)))
+    shape = StructType([*[points.schema[c] for c in names], StructField("_mask", LongType())])
+    found = copies.repartition(parts, *keys).groupBy(*keys).applyInArrow(run, shape)
+    judged = found.select("*", F.lit(lo).alias("_lo"), F.lit(hi).alias("_hi"), (F.bit_count("_mask") + 1).cast("int").alias("support"))
     past = sum(1 << (k + radius) for k in offsets if k <= -min_gap)
     future = sum(1 << (k + radius) for k in offsets if k >= min_gap)
     begin = F.greatest(F.col("frame_index") - radius, F.col("_lo"))
@@ -300,11 +279,6 @@ def temporal_support(
         & (F.col("frame_index") >= begin + min_gap)
         & (end >= F.col("frame_index") + min_gap)
     )
-    judged = (
-        marked.join(found.hint("merge"), ["frame_index", "point_idx"], "left")
-        .withColumn("_mask", mask)
-        .withColumn("support", (F.bit_count("_mask") + 1).cast("int"))
-    )
     spans = ~two_sided | (
         (F.col("_mask").bitwiseAND(F.lit(past)) != 0) & (F.col("_mask").bitwiseAND(F.lit(future)) != 0)
     )
@@ -362,18 +336,27 @@ def spread(pixels: DataFrame, offsets: Sequence[tuple[int, int]], width: int, he
     )
 
 
+def mask_words(projected_dynamic: DataFrame, radius: int, k: Intrinsics) -> DataFrame:
+    """Pixels blanked around projected dynamic points, 64 of a row as the bits of one number, and the points seen in them.
+
+    Pixels of one number meet before they are shuffled; a row per pixel never is.
+    """
+    near = spread(projected_dynamic.select(*PIXEL), disk_offsets(radius), k.width, k.height)
+    return near.groupBy("frame_index", "v", F.shiftright("u", 6).alias("word")).agg(
+        F.bit_or(F.expr(PIXEL_BIT)).alias("bits"), F.count_if(F.col("offset2") == 0).alias("points")
+    )
+
+
 def dynamic_mask(projected_dynamic: DataFrame, radius: int, k: Intrinsics) -> DataFrame:
-    """Pixels blanked around projected dynamic points; seed pixels collapse first."""
-    seeds = projected_dynamic.select(*PIXEL).distinct()
-    return spread(seeds, disk_offsets(radius), k.width, k.height).select(*PIXEL).distinct()
+    """Pixels blanked around projected dynamic points."""
+    bits = F.expr("filter(sequence(0, 63), i -> getbit(bits, i) = 1)")
+    words = mask_words(projected_dynamic, radius, k)
+    return words.select("frame_index", "v", "word", F.explode(bits).alias("i")).select("frame_index", (F.col("word") * 64 + F.col("i")).alias("u"), "v")
 
 
-def dynamic_mask_stats(projected_dynamic: DataFrame, mask: DataFrame) -> DataFrame:
-    seen = projected_dynamic.groupBy("frame_index").agg(F.count(F.lit(1)).alias("projected_points"))
-    blank = mask.groupBy("frame_index").agg(F.count(F.lit(1)).alias("masked_pixels"))
-    return seen.join(blank, "frame_index", "left").select(
-        "frame_index", "projected_points", F.coalesce("masked_pixels", F.lit(0)).alias("masked_pixels")
-    )
+def dynamic_mask_stats(words: DataFrame) -> DataFrame:
+    """Projected points and blanked pixels per frame, from the words of the mask."""
+    return words.groupBy("frame_index").agg(F.sum("points").alias("projected_points"), F.sum(F.bit_count("bits")).alias("masked_pixels"))
 
 
 def apply_mask(pixels: DataFrame, mask: DataFrame) -> DataFrame:

@@ -35,10 +35,13 @@ def bucket_width(rows: DataFrame, value: Column, rows_per_bucket: int | None = N
 ROWS_PER_TASK = 1 << 19
 
 
+def least_parts(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def parts_of(rows: DataFrame) -> int:
     """How many parts to deal ``rows`` out to, so that a task's memory does not grow with the table."""
-    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-rows.count() // ROWS_PER_TASK))
+    return max(least_parts(rows), -(-rows.count() // ROWS_PER_TASK))
 
 
 def float_bucket(value: Column, per_octave: int = 8192) -> Column:

@@ -152,18 +152,19 @@ SUPPORT = f"""span as (select min(frame_index) as lo, max(frame_index) as hi fro
  ts as (select *, case when kept then 'static' when support <= 1 then 'dynamic' else 'uncertain' end as motion from sk)"""
 
 
-def supported(t: Inputs) -> DataFrame:
-    return ge.temporal_support(t["fx_points"], DISTANCE, RADIUS, 3, 2, True, 1)
+def supported(t: Inputs, *carry: str) -> DataFrame:
+    """Judged points by frame and place; without ``point_idx`` nobody numbers the points."""
+    return ge.temporal_support(t["fx_points"].select("frame_index", *carry, "x", "y", "z"), DISTANCE, RADIUS, 3, 2, True, 1)
 
 
 @query("temporal_support", "frame_index:i point_idx:i support:i kept:b", f"with {SUPPORT} select * from ts")
 def _(t: Inputs) -> DataFrame:
-    return supported(t)
+    return supported(t, "point_idx")
 
 
 @query("dynamic_seeds", "frame_index:i point_idx:i motion:s", f"with {SUPPORT} select * from ts where motion <> 'static'")
 def _(t: Inputs) -> DataFrame:
-    return supported(t).where(F.col("motion") != "static")
+    return supported(t, "point_idx").where(F.col("motion") != "static")
 
 
 @query(
@@ -172,7 +173,7 @@ def _(t: Inputs) -> DataFrame:
     sum(case when motion = 'dynamic' then 1 else 0 end) as dynamic_points, sum(case when kept then 1 else 0 end) / count(*) as keep_ratio from ts group by rollup (frame_index)""",
 )
 def _(t: Inputs) -> DataFrame:
-    return ge.temporal_filter_stats(supported(t), t["fx_points"])
+    return ge.temporal_filter_stats(supported(t, "point_idx"), t["fx_points"])
 
 
 DYNAMIC = f"""{SUPPORT}, dp as ({pixel_text(camera_text("(select * from ts where motion = 'dynamic')"), CAMERA)}),
@@ -181,7 +182,7 @@ DYNAMIC = f"""{SUPPORT}, dp as ({pixel_text(camera_text("(select * from ts where
 
 
 def dynamic_projected(t: Inputs, judged: DataFrame | None = None) -> DataFrame:
-    seeds = (supported(t) if judged is None else judged).where(F.col("motion") == "dynamic").select("frame_index", "point_idx", "x", "y", "z")
+    seeds = (supported(t) if judged is None else judged).where(F.col("motion") == "dynamic").select("frame_index", "x", "y", "z")
     return ge.project_points(seeds, t["fx_poses"], CAMERA)
 
 
@@ -191,8 +192,7 @@ def dynamic_projected(t: Inputs, judged: DataFrame | None = None) -> DataFrame:
     join (select frame_index, count(*) as n from dm group by frame_index) b on a.frame_index = b.frame_index""",
 )
 def _(t: Inputs) -> DataFrame:
-    seen = dynamic_projected(t)
-    return ge.dynamic_mask_stats(seen, ge.dynamic_mask(seen, 2, CAMERA))
+    return ge.dynamic_mask_stats(ge.mask_words(dynamic_projected(t), 2, CAMERA))
 
 
 @query(
@@ -221,7 +221,7 @@ def _(t: Inputs) -> DataFrame:
     f"with {SUPPORT} " + fused_text("(select * from ts where kept)", -3, 4),
 )
 def _(t: Inputs) -> DataFrame:
-    static = supported(t).where("kept").select("frame_index", "point_idx", "x", "y", "z")
+    static = supported(t, "point_idx").where("kept").select("frame_index", "point_idx", "x", "y", "z")
     return ge.depth_fuse_symmetric(static, t["fx_poses"], CAMERA, 3)
 
 

@@ -8,6 +8,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from terrascope.functions import text
@@ -67,6 +68,36 @@ def test_support_and_fusion_shuffle_few_copies_of_a_point(spark):
     assert shuffled_rows(spark, ge.depth_fuse_symmetric(beyond, poses, CAMERA, 3), "fuse") < 1.5 * len(rows)
 
 
+@pytest.mark.parametrize("key, rows", [("dynamic_mask", 2.0)])
+def test_support_queries_shuffle_points_once(spark, key, rows):
+    """Rows that go through shuffles for a line of the table; ten to eleven where points and their cells were joined."""
+    lines = spark.read.parquet(f"{SOURCE}/lineitem.parquet").count()
+    assert shuffled_rows(spark, catalog.REGISTRY[key].run(spark, SOURCE), f"once {key}") < rows * lines
+
+
+@pytest.mark.parametrize("per_group", [64, 1 << 17])
+def test_support_in_cells_equals_brute_force(spark, monkeypatch, per_group):
+    """Blocks of many points are parted into wide cells; a crowd, single points, points far out and null ones, several blocks."""
+    monkeypatch.setattr(ge, "POINTS_PER_GROUP", per_group)
+    rng = np.random.default_rng(11)
+    rows = [(f, p) for f in range(-20, 21) for p in rng.uniform(-4, 4, (12, 3)) * (1.0, 1.0, 0.05)]
+    rows += [(f, np.full(3, 1.0) + rng.normal(0, 0.1, 3)) for f in (-3, 0, 1) for _ in range(150)]
+    rows += [(f, np.array([1e9, -1e9, 0.1 * f])) for f in range(-20, 21, 2)]
+    frames, places = np.array([f for f, _ in rows]), np.array([p for _, p in rows])
+    given = [(int(f), i, *map(float, p)) for i, (f, p) in enumerate(zip(frames, places))]
+    given += [(3, 10_000, None, 1.0, 1.0), (3, 10_001, float("nan"), 1.0, 1.0)]
+    table = spark.createDataFrame(given, "frame_index int, point_idx bigint, x double, y double, z double")
+    got = {r.point_idx: (r.frame_index, r.x, r.support, r.motion) for r in ge.temporal_support(table, 0.25, 3, 3, 2).collect()}
+    assert len(got) == len(rows)
+    for i, (f, p) in enumerate(rows):
+        d = places - p
+        gaps = {int(g) for g in frames[(d[:, 0] ** 2 + d[:, 1] ** 2 + d[:, 2] ** 2) <= 0.25 * 0.25] - f if 0 < abs(g) <= 3}
+        low, high = max(f - 3, -20), min(f + 3, 20)
+        kept = 1 + len(gaps) >= min(3, high - low + 1) and (f < low + 2 or high < f + 2 or (min(gaps) <= -2 and max(gaps) >= 2))
+        motion = "static" if kept else "dynamic" if not gaps else "uncertain"
+        assert got[i] == (f, p[0], 1 + len(gaps), motion), i
+
+
 def test_bootstrap_draws_are_never_broadcast(spark):
     """Two thousand replicates of as many draws as there are groups."""
     rows = [(g, "oracle", 0, *[5] * 9) for g in range(30)]
