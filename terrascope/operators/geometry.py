@@ -31,7 +31,8 @@ from terrascope.operators.ordered import ROWS_PER_TASK, least_parts, parts_of, w
 XYZ = ("x", "y", "z")
 CAMERA = ("xc", "yc", "zc")
 PIXEL = ["frame_index", "u", "v"]
-#: A pixel's place among the 64 of its word.
+#: The word of a mask that holds a pixel, and the pixel's bit among its 64.
+PIXEL_WORD = "shiftright(u, 6)"
 PIXEL_BIT = "shiftleft(1L, cast(u & 63 as int))"
 
 
@@ -336,31 +337,27 @@ def spread(pixels: DataFrame, offsets: Sequence[tuple[int, int]], width: int, he
     )
 
 
-def mask_words(projected_dynamic: DataFrame, radius: int, k: Intrinsics) -> DataFrame:
+def dynamic_mask(projected_dynamic: DataFrame, radius: int, k: Intrinsics) -> DataFrame:
     """Pixels blanked around projected dynamic points, 64 of a row as the bits of one number, and the points seen in them.
 
     Pixels of one number meet before they are shuffled; a row per pixel never is.
     """
     near = spread(projected_dynamic.select(*PIXEL), disk_offsets(radius), k.width, k.height)
-    return near.groupBy("frame_index", "v", F.shiftright("u", 6).alias("word")).agg(
+    return near.groupBy("frame_index", "v", F.expr(PIXEL_WORD).alias("word")).agg(
         F.bit_or(F.expr(PIXEL_BIT)).alias("bits"), F.count_if(F.col("offset2") == 0).alias("points")
     )
 
 
-def dynamic_mask(projected_dynamic: DataFrame, radius: int, k: Intrinsics) -> DataFrame:
-    """Pixels blanked around projected dynamic points."""
-    bits = F.expr("filter(sequence(0, 63), i -> getbit(bits, i) = 1)")
-    words = mask_words(projected_dynamic, radius, k)
-    return words.select("frame_index", "v", "word", F.explode(bits).alias("i")).select("frame_index", (F.col("word") * 64 + F.col("i")).alias("u"), "v")
-
-
-def dynamic_mask_stats(words: DataFrame) -> DataFrame:
-    """Projected points and blanked pixels per frame, from the words of the mask."""
-    return words.groupBy("frame_index").agg(F.sum("points").alias("projected_points"), F.sum(F.bit_count("bits")).alias("masked_pixels"))
+def dynamic_mask_stats(mask: DataFrame) -> DataFrame:
+    """Projected points and blanked pixels per frame."""
+    return mask.groupBy("frame_index").agg(F.sum("points").alias("projected_points"), F.sum(F.bit_count("bits")).alias("masked_pixels"))
 
 
 def apply_mask(pixels: DataFrame, mask: DataFrame) -> DataFrame:
-    return pixels.join(mask.select(*PIXEL), PIXEL, "left_anti")
+    """Pixels that the mask does not blank."""
+    words = mask.select("frame_index", "v", "word", "bits")
+    found = pixels.withColumn("word", F.expr(PIXEL_WORD)).join(words.hint("merge"), ["frame_index", "v", "word"], "left")
+    return found.where(f"coalesce(bits & {PIXEL_BIT}, 0L) = 0").select(*pixels.columns)
 
 
 def accumulate_depth(

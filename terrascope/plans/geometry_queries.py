@@ -192,7 +192,7 @@ def dynamic_projected(t: Inputs, judged: DataFrame | None = None) -> DataFrame:
     join (select frame_index, count(*) as n from dm group by frame_index) b on a.frame_index = b.frame_index""",
 )
 def _(t: Inputs) -> DataFrame:
-    return ge.dynamic_mask_stats(ge.mask_words(dynamic_projected(t), 2, CAMERA))
+    return ge.dynamic_mask_stats(ge.dynamic_mask(dynamic_projected(t), 2, CAMERA))
 
 
 @query(

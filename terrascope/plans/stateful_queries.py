@@ -241,7 +241,7 @@ def frame_counters(t: Inputs) -> DataFrame:
     support = judged.groupBy("frame_index").agg(
         F.count(F.lit(1)).alias("visible"), F.count_if(F.col("kept")).alias("kept"), F.count_if(F.col("motion") == "dynamic").alias("dynamic")
     )
-    masked = ge.dynamic_mask_stats(ge.mask_words(seen, 2, CAMERA)).select("frame_index", F.col("masked_pixels").alias("masked"))
+    masked = ge.dynamic_mask_stats(ge.dynamic_mask(seen, 2, CAMERA)).select("frame_index", F.col("masked_pixels").alias("masked"))
     filled = ge.insertion_counters(t["fx_points"], inserted(t)).select("frame_index", "inserted")
     return support.join(masked, "frame_index", "left").join(filled, "frame_index").select("frame_index", "visible", "kept", "dynamic", F.coalesce("masked", F.lit(0)).alias("masked"), "inserted")
 
