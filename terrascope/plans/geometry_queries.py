@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,6 +154,12 @@ SUPPORT = f"""span as (select min(frame_index) as lo, max(frame_index) as hi fro
  ts as (select *, case when kept then 'static' when support <= 1 then 'dynamic' else 'uncertain' end as motion from sk)"""
 
 
+def numbered(t: Inputs) -> DataFrame:
+    """The points, of lines that are shuffled as they are stored, before places are worked out."""
+    lines = t["lineitem"].drop("l_returnflag", "l_linestatus")
+    return t.spark.sql(DERIVED["fx_points"], lineitem=lines.repartition(parts_of(lines), "l_orderkey"))
+
+
 def supported(t: Inputs, *carry: str) -> DataFrame:
     """Judged points by frame and place; without ``point_idx`` nobody numbers the points."""
     return ge.temporal_support(t["fx_points"].select("frame_index", *carry, "x", "y", "z"), DISTANCE, RADIUS, 3, 2, True, 1)
@@ -381,9 +389,9 @@ HOLES = f"""cm as (select *, zc::float as zf from ({camera_text('{fx_points}')})
     from hn h left join {{fx_pixels}} p on p.frame_index = h.frame_index and p.u = h.u and p.v = h.v)"""
 
 
-def inserted(t: Inputs) -> DataFrame:
-    cam = ge.world_to_camera(t["fx_points"], t["fx_poses"]).withColumn("own_depth", F.col("z"))
-    return ge.hole_insertion(cam, t["fx_pixels"], CAMERA, carry=["r", "g", "b", "label"])
+def inserted(t: Inputs, points: DataFrame | None = None, carry: Sequence[str] = ("r", "g", "b", "label")) -> DataFrame:
+    cam = ge.world_to_camera(t["fx_points"] if points is None else points, t["fx_poses"]).withColumn("own_depth", F.col("z"))
+    return ge.hole_insertion(cam, t["fx_pixels"], CAMERA, carry=carry)
 
 
 @query("hole_insertion", "frame_index:i u:i v:i point_idx:i inserted:b", f"with {HOLES} select * from hi")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terrascope.operators import geometry as ge
 from terrascope.operators import stateful as sf
 from terrascope.plans.frame_queries import NEAREST, TOLERANCE_S
-from terrascope.plans.geometry_queries import CAMERA, DYNAMIC, HOLES, dynamic_projected, inserted, supported
+from terrascope.plans.geometry_queries import CAMERA, DYNAMIC, HOLES, dynamic_projected, inserted, numbered, supported
 from terrascope.plans.inputs import DERIVED, Inputs
 from terrascope.plans.registry import query
 from terrascope.session import cut_lineage
@@ -234,15 +234,17 @@ COUNTERS = f"""{DYNAMIC}, {HOLES}, fc as (select v.frame_index, visible, kept, d
 def frame_counters(t: Inputs) -> DataFrame:
     """Per frame of the map: points seen, kept and dynamic, pixels masked and points inserted.
 
-    Points are judged once and written, as three counters read them.
+    Points are judged once and written, as three counters read them; places are kept of the dynamic ones.
     """
-    judged = cut_lineage(supported(t, "point_idx").select("frame_index", "point_idx", "x", "y", "z", "kept", "motion"), "support")
+    places = [F.when(F.col("motion") == "dynamic", F.col(c)).alias(c) for c in ge.XYZ]
+    judged = cut_lineage(supported(t).select("frame_index", *places, "kept", "motion"), "support")
     seen = dynamic_projected(t, judged)
     support = judged.groupBy("frame_index").agg(
         F.count(F.lit(1)).alias("visible"), F.count_if(F.col("kept")).alias("kept"), F.count_if(F.col("motion") == "dynamic").alias("dynamic")
     )
     masked = ge.dynamic_mask_stats(ge.dynamic_mask(seen, 2, CAMERA)).select("frame_index", F.col("masked_pixels").alias("masked"))
-    filled = ge.insertion_counters(t["fx_points"], inserted(t)).select("frame_index", "inserted")
+    placed = inserted(t, numbered(t).select("frame_index", "point_idx", *ge.XYZ), carry=())
+    filled = ge.insertion_counters(t["fx_points"], placed).select("frame_index", "inserted")
     return support.join(masked, "frame_index", "left").join(filled, "frame_index").select("frame_index", "visible", "kept", "dynamic", F.coalesce("masked", F.lit(0)).alias("masked"), "inserted")
 
 

@@ -19,6 +19,8 @@ from terrascope.operators import resample as rs
 from terrascope.operators.evaluate import tally_columns
 from terrascope.plans import catalog
 from terrascope.plans.geometry_queries import CAMERA
+from terrascope.plans.inputs import Inputs
+from terrascope.plans.stateful_queries import frame_counters
 from terrascope.streaming import operators as streaming
 from terrascope.streaming import run
 
@@ -75,6 +77,13 @@ def test_support_queries_shuffle_points_once(spark, key, rows):
     assert shuffled_rows(spark, catalog.REGISTRY[key].run(spark, SOURCE), f"once {key}") < rows * lines
 
 
+def test_frame_counters_shuffle_few_rows(spark):
+    """Points once for their support and twice for their pixels; eleven rows a line where points and their cells were joined."""
+    lines = spark.read.parquet(f"{SOURCE}/lineitem.parquet").count()
+    spark.sparkContext.setJobGroup("counters", "counters")
+    assert shuffled_rows(spark, frame_counters(Inputs(spark, SOURCE)), "counters") < 5 * lines
+
+
 @pytest.mark.parametrize("per_group", [64, 1 << 17])
 def test_support_in_cells_equals_brute_force(spark, monkeypatch, per_group):
     """Blocks of many points are parted into wide cells; a crowd, single points, points far out and null ones, several blocks."""
