@@ -229,7 +229,7 @@ def _(t: Inputs) -> DataFrame:
     f"with {SUPPORT} " + fused_text("(select * from ts where kept)", -3, 4),
 )
 def _(t: Inputs) -> DataFrame:
-    static = supported(t, "point_idx").where("kept").select("frame_index", "point_idx", "x", "y", "z")
+    static = supported(t).where("kept").select("frame_index", "x", "y", "z")
     return ge.depth_fuse_symmetric(static, t["fx_poses"], CAMERA, 3)
 
 
