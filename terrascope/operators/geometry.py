@@ -225,6 +225,7 @@ def temporal_support(
     min_gap: int = 2,
     bidirectional: bool = True,
     dynamic_max_support: int = 1,
+    frames: DataFrame | None = None,
 ) -> DataFrame:
     """Support of every point by other frames within ``radius``, and its class.
 
@@ -234,11 +235,12 @@ def temporal_support(
     wide cells part them, and places within reach of a cell come along as well. Each group
     then finds the supporting frames of its own points as bits of one number
     (``near_frames``), so no join and no second shuffle is needed. Columns of ``points``
-    travel with them: leave out what is not used.
+    travel with them: leave out what is not used. ``frames`` are the same points where their
+    frames are cheaper to count.
     """
     if not 1 <= radius <= 31:
         raise ValueError("radius must be within 1..31")
-    sizes = points.groupBy("frame_index").agg(F.count(F.lit(1)).alias("n"))
+    sizes = (points if frames is None else frames).groupBy("frame_index").agg(F.count(F.lit(1)).alias("n"))
     lo, hi, total, largest = sizes.agg(F.min("frame_index"), F.max("frame_index"), F.sum("n"), F.max("n")).first()
     offsets = [k for k in range(-radius, radius + 1) if k]
     block = max(2 * radius, min(64, max(16, POINTS_PER_GROUP // (largest or 1))))

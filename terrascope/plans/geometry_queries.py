@@ -162,7 +162,8 @@ def numbered(t: Inputs) -> DataFrame:
 
 def supported(t: Inputs, *carry: str) -> DataFrame:
     """Judged points by frame and place; without ``point_idx`` nobody numbers the points."""
-    return ge.temporal_support(t["fx_points"].select("frame_index", *carry, "x", "y", "z"), DISTANCE, RADIUS, 3, 2, True, 1)
+    points = numbered(t) if carry else t["fx_points"]
+    return ge.temporal_support(points.select("frame_index", *carry, "x", "y", "z"), DISTANCE, RADIUS, 3, 2, True, 1, frames=t["fx_points"])
 
 
 @query("temporal_support", "frame_index:i point_idx:i support:i kept:b", f"with {SUPPORT} select * from ts")
