@@ -70,7 +70,7 @@ def test_support_and_fusion_shuffle_few_copies_of_a_point(spark):
     assert shuffled_rows(spark, ge.depth_fuse_symmetric(beyond, poses, CAMERA, 3), "fuse") < 1.5 * len(rows)
 
 
-@pytest.mark.parametrize("key, rows", [("dynamic_mask", 2.0), ("static_pixels", 2.6), ("depth_fuse_symmetric", 2.6), ("temporal_support", 3.0), ("dynamic_seeds", 3.0)])
+@pytest.mark.parametrize("key, rows", [("dynamic_mask", 2.0), ("static_pixels", 2.6), ("depth_fuse_symmetric", 2.6), ("temporal_support", 3.0), ("dynamic_seeds", 3.0), ("temporal_filter_stats", 2.0)])
 def test_support_queries_shuffle_points_once(spark, key, rows):
     """Rows that go through shuffles for a line of the table; ten to eleven where points and their cells were joined."""
     lines = spark.read.parquet(f"{SOURCE}/lineitem.parquet").count()
